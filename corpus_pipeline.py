@@ -1,10 +1,75 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each on what the one before kept.
+
+1. quality rules: documents that fail the base rules or the likelihood ratio go;
+2. line dedup: common blocks go from the later document, and documents of
+   which nothing but white space is left go with them;
+3. SimHash near-dedup: of each group the document with the least id stays;
+4. benchmark decontamination: documents that hold a test item go;
+5. best-fit packing: what is left, as pieces of sequences of 2048 tokens.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltaloom.llm import decontam, linededup, packing, quality, simhash
+from deltaloom.llm.common import shared_dir, table
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose place is in ``rows(keep_rid)``, with their own columns."""
+    placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return placed.join(rows, F.col("rid") == F.col("keep_rid"), "left_semi").select("row.*")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return _with_rows(docs, judged.where("kept").select(F.col("rid").alias("keep_rid")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that loses nothing stays as it is, also if it is empty."""
+    out = linededup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.length(F.translate("text", " \t\n\x0b\f\r", "")) > 0))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select([own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = simhash.simhash_classes(docs)
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
+    return _with_rows(docs, first.select(F.col("first.rid").alias("keep_rid")))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+# the likelihood ratio, the alignment and the fingerprints' groups have no SQL form; tests hold run() against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

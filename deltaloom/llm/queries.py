@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, suffix, tokens
+from . import chat, decontam, linededup, packing, quality, secrets, simhash, suffix, tokens, warc
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +16,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts written from all conversations, fitted, parsed and rendered again."""
+    raw = chat.transcripts(table(spark, sf_dir, "conversations"))
+    return chat.render(chat.parse(raw, chat.fit(chat.labelled(raw))))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.fit(secrets.example_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), forest)
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -28,12 +44,54 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, labels).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica in which every 101st page's payload lost its last byte to damage."""
+    stored = warc.records(table(spark, sf_dir, "pages"))
+    hurt = F.concat(F.substring("record", 1, F.octet_length("record") - 5), F.lit("?\r\n\r\n").cast("binary"))
+    replica = stored.withColumn("record", F.when(F.col("page_id") % 101 == 7, hurt).otherwise(F.col("record")))
+    return warc.audit(warc.digests(stored), warc.digests(replica))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op5_simhash_near_dedup, op6_token_counts, op7_quality_rules, op10_suffix_array_dedup)
+    for f in (
+        op1_best_fit_packing, op2_chat_formatting, op3_secret_scan, op4_benchmark_decontamination, op5_simhash_near_dedup,
+        op6_token_counts, op7_quality_rules, op8_warc_fixity, op9_line_dedup, op10_suffix_array_dedup,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+# The audit's answer by plain comparison of every record.
+_OP8 = """
+WITH rec AS (
+  SELECT page_id, page_id // 1000 AS archive, url, html,
+         'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || html AS body
+  FROM pages),
+full_rec AS (
+  SELECT page_id, archive, url, html,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) ||
+         'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: application/http;msgtype=response' || chr(13) || chr(10) ||
+         'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body AS head
+  FROM rec),
+placed AS (
+  SELECT page_id, archive, head, CAST(strlen(head) + 4 AS BIGINT) AS length,
+         CAST(row_number() OVER w - 1 AS BIGINT) AS seq,
+         CAST(coalesce(sum(strlen(head) + 4) OVER (PARTITION BY archive ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM full_rec WINDOW w AS (PARTITION BY archive ORDER BY page_id, url, html))
+SELECT archive, seq, page_id, "offset", length,
+       sha256(head || chr(13) || chr(10) || chr(13) || chr(10)) AS expected,
+       sha256(left(head, length(head) - 1) || '?' || chr(13) || chr(10) || chr(13) || chr(10)) AS actual,
+       'damaged' AS state
+FROM placed WHERE page_id % 101 = 7
+"""
+
+# The base counts in SQL; the verdict has none, so the query as a whole has no oracle (see tests/llm).
+ORACLE_SQL: dict[str, str] = {"op8_warc_fixity": _OP8}

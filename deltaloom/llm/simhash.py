@@ -58,12 +58,12 @@ def _fingerprints(batches):
     for b in batches:
         seen: dict[str, int] = {}
         out = []
-        for t in b.column(1).to_pylist():
+        for t in b.column(2).to_pylist():
             if (x := seen.get(t)) is None:
                 x = fingerprint(t)
                 seen[t] = x = x - (1 << 64) if x >> 63 else x
             out.append(x)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["rid", "doc_id", "fp"])
 
 
 def _syndrome(x: np.ndarray, bits: int) -> np.ndarray:
@@ -170,25 +170,17 @@ def _links(threshold: int):
     return run
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, one row for each input row.
-
-    ``fingerprint`` is 16 lowercase hex digits; ``component_id`` the least
-    doc_id among the documents reachable over links of at most ``threshold``
-    (4 or less) differing bits. A null or wordless text has fingerprint zero,
-    which is linked like any other. A null doc_id keeps its row and counts in
-    no minimum; where a component has only null ids, ``component_id`` is null.
-    Repeated rows and ids stay as they are. Extra columns are pruned.
-    """
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """``(rid, doc_id, fp, root, component_id)``: the groups with each row's place; see ``simhash_groups``."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the covering holds for thresholds of 0 to 4")
-    fps = materialize(two_columns(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    fps = materialize(base.mapInArrow(_fingerprints, "rid long, doc_id long, fp long"))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     spread = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
     # anchors whose homes exceed one part; at most rows / HOMES_PER_PART of them
     hot = (
-        distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean").where("home")
-        .groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES_PER_PART)
+        spread.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES_PER_PART)
         .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / HOMES_PER_PART).cast("int").alias("parts"))
     )
     parts = F.coalesce(F.col("parts"), F.lit(1))
@@ -205,8 +197,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     roots = components(edges)
     ids = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = ids.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return fps.join(classes, F.col("fp") == F.col("class_fp")).select(
+    least = ids.groupBy(F.col("root").alias("least_root")).agg(F.min("first_id").alias("component_id"))
+    classes = ids.join(least, F.col("root") == F.col("least_root")).select(F.col("fp").alias("class_fp"), "root", "component_id")
+    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("rid", "doc_id", "fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``, one row for each input row.
+
+    ``fingerprint`` is 16 lowercase hex digits; ``component_id`` the least
+    doc_id among the documents reachable over links of at most ``threshold``
+    (4 or less) differing bits. A null or wordless text has fingerprint zero,
+    which is linked like any other. A null doc_id keeps its row and counts in
+    no minimum; where a component has only null ids, ``component_id`` is null.
+    Repeated rows and ids stay as they are. Extra columns are pruned. ``docs``
+    is a table read from files: its rows keep their order when read again.
+    """
+    return simhash_classes(docs, id_col, text_col, threshold).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -201,7 +201,10 @@ def test_simhash_links_of_a_chain_in_parts(spark, monkeypatch):
 
 class _Given:
     def __init__(self, spark, s):
-        self.df = spark.createDataFrame(list(enumerate(s)), "doc_id long, fp long")
+        self.df = spark.createDataFrame([(i, i, x) for i, x in enumerate(s)], "rid long, doc_id long, fp long")
+
+    def select(self, *_):
+        return self
 
     def mapInArrow(self, *_):
         return self.df
