@@ -2,5 +2,597 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import calls as call_rules
+from ..functions import paths, text
+from ..operators import cluster, evaluate, graph, rank, reach, refine, similarity
+from ..sources.shared import materialize, table
+from . import oracles as o
+from .adapters import CALLS_SQL, FILES_SQL, GRAPH_SQL, call_sites, changed_files, keys_graph
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- paths ------------------------------------------------------------------------
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, path, {o.LANGUAGE} AS language FROM files")
+def detect_language(spark: SparkSession, sf: str) -> DataFrame:
+    return changed_files(spark, sf).select("doc_id", "path", paths.language("path").alias("language"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT doc_id, path, {o.CATEGORY} AS category, {o.CONFIG_LIKE} AS config_like, {o.TOP_DOC} AS top_level_doc, {o.rule(paths.TRUE_INFRA)} AS true_infra FROM files""")
+def classify_paths(spark, sf):
+    return changed_files(spark, sf).select(
+        "doc_id", "path", paths.category("path").alias("category"), paths.is_config_like("path").alias("config_like"), paths.is_top_level_doc("path").alias("top_level_doc"),
+        paths.is_true_infrastructure("path").alias("true_infra"))
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, path, {o.ROLE} AS role, {o.TEST_FILE} AS is_test_file FROM files")
+def file_roles(spark, sf):
+    return changed_files(spark, sf).select("doc_id", "path", paths.role("path").alias("role"), paths.is_test_file("path").alias("is_test_file"))
+
+
+@query(f"""WITH {FILES_SQL} SELECT diff_id, count(*) AS n_files, bool_or({o.rule(paths.RISK_SCHEMA)}) AS has_schema, bool_or({o.rule(paths.RISK_AUTH)}) AS has_auth,
+  bool_or({o.rule(paths.RISK_API)}) AS has_api, bool_and({o.rule(paths.RISK_TEST)}) AS test_only FROM files GROUP BY diff_id""")
+def risk_flags_by_path(spark, sf):
+    f = changed_files(spark, sf).withColumns(paths.risk_flags("path"))
+    return rank.group_features(f, ["diff_id"]).select("diff_id", "n_files", "has_schema", "has_auth", "has_api", "test_only")
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, path, {o.BARE} AS bare_stem, {o.IMPL} AS test_impl_stem FROM files")
+def stems(spark, sf):
+    return changed_files(spark, sf).select("doc_id", "path", paths.bare_stem("path").alias("bare_stem"), paths.test_impl_stem("path").alias("test_impl_stem"))
+
+
+@query(f"WITH {FILES_SQL} SELECT doc_id, path, array_to_string(list_sort({o.TOPICS}), ' ') AS tokens FROM files")
+def topic_tokens(spark, sf):
+    return changed_files(spark, sf).select("doc_id", "path", F.array_join(F.array_sort(paths.topic_tokens("path")), " ").alias("tokens"))
+
+
+@query(f"""WITH {FILES_SQL}, c AS (SELECT *, {o.CONFIG_LIKE} AS cl, {o.CATEGORY} AS cat, string_split(path, '/') AS p FROM files)
+SELECT diff_id, bucket, is_infra, count(*) AS n_files FROM (SELECT diff_id, cl OR cat <> 'Unclassified' AS is_infra,
+  CASE WHEN cl THEN 'config-like' WHEN cat = 'TestUtil' THEN 'test-util' WHEN cat <> 'Unclassified' THEN lower(cat) WHEN p[1] = '' THEN 'root'
+    WHEN p[1] IN {o.names(paths.WORKSPACE_ROOTS)} AND len(p) >= 3 AND NOT contains(p[2], '.') AND NOT contains(p[3], '.') AND p[2] IN {o.names(paths.CONTAINERS)} THEN p[1] || '/' || p[2] || '/' || p[3]
+    WHEN p[1] IN {o.names(paths.WORKSPACE_ROOTS)} AND len(p) >= 2 AND NOT contains(p[2], '.') THEN p[1] || '/' || p[2] ELSE p[1] END AS bucket FROM c) GROUP BY ALL""")
+def large_diff_partitions(spark, sf):
+    return cluster.partitions(changed_files(spark, sf)).groupBy("diff_id", "bucket", "is_infra").agg(F.count("*").alias("n_files"))
+
+
+# --- ranking ----------------------------------------------------------------------
+
+_RANK_SQL = """
+WITH g AS (
+  SELECT c_mktsegment AS diff_id, c_nationkey AS group_id, bool_or(l_returnflag = 'R') AS has_schema, bool_or(o_orderpriority = '1-URGENT') AS has_api,
+         bool_or(l_linestatus = 'F' AND l_quantity > 49) AS has_auth, bool_and(l_returnflag = 'N') AS test_only,
+         CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS additions, CAST(sum(l_linenumber) AS BIGINT) AS deletions, count(*) AS n_files
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+f AS (
+  SELECT *, least(1.0, CASE WHEN has_schema THEN 0.3 ELSE 0 END + CASE WHEN has_api THEN 0.25 ELSE 0 END + CASE WHEN has_auth THEN 0.35 ELSE 0 END)::DOUBLE AS risk,
+         0.5::DOUBLE AS centrality, greatest(0.0, least(1.0, ln(1.0 + additions + deletions) / ln(100001.0)))::DOUBLE AS surface_area, CASE WHEN test_only THEN 0.1 ELSE 0.5 END::DOUBLE AS uncertainty FROM g),
+s AS (SELECT *, round((0.35 * risk + 0.25 * centrality + 0.20 * surface_area + 0.20 * uncertainty) / (0.35 + 0.25 + 0.20 + 0.20), 6) AS score FROM f)
+SELECT diff_id, group_id, has_schema, has_api, has_auth, test_only, additions, deletions, n_files, risk, centrality, round(surface_area, 6) AS surface_area, uncertainty, score,
+       row_number() OVER (PARTITION BY diff_id ORDER BY score DESC, CAST(group_id AS VARCHAR)) AS review_order FROM s"""
+
+
+@query(_RANK_SQL)
+def rank_groups(spark, sf):
+    """Flagship: each market segment is a change, its nations are groups, its lines files."""
+    files = (
+        table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .select(F.col("c_mktsegment").alias("diff_id"), F.col("c_nationkey").alias("group_id"), (F.col("l_returnflag") == "R").alias("is_schema"), (F.col("o_orderpriority") == "1-URGENT").alias("is_api"),
+                ((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49)).alias("is_auth"), (F.col("l_returnflag") == "N").alias("is_test"),
+                F.col("l_quantity").cast("long").alias("additions"), F.col("l_linenumber").cast("long").alias("deletions"))
+    )
+    out = rank.rank_groups(rank.group_features(files, ["diff_id", "group_id"]), "diff_id", "group_id", max_lines=100_000)
+    return out.withColumn("surface_area", F.round("surface_area", 6))
+
+
+# --- calls and graph --------------------------------------------------------------
+
+@query(f"WITH {CALLS_SQL}, p AS (SELECT *, {o.PATTERN} AS pattern FROM calls) SELECT event_id, callee, pattern, {o.EDGE} AS edge_type FROM p")
+def call_patterns(spark, sf):
+    return call_sites(spark, sf).select("event_id", "callee", call_rules.pattern("callee").alias("pattern")).withColumn("edge_type", call_rules.edge_type("pattern"))
+
+
+@query(f"""WITH {CALLS_SQL}, p AS (SELECT *, {o.PATTERN} AS pattern FROM calls), e AS (SELECT file || '::' || caller AS src, file AS dst, {o.EDGE} AS edge_type FROM p WHERE caller IS NOT NULL)
+SELECT src, dst, edge_type, count(*) AS n FROM e WHERE edge_type IS NOT NULL GROUP BY ALL""")
+def enrich_edges(spark, sf):
+    c = call_sites(spark, sf)
+    files = c.select(F.col("file").alias("path")).distinct()
+    defs = c.where("caller is not null").select(F.col("file").alias("path"), F.col("caller").alias("name"), F.lit("Function").alias("kind"), F.lit(0).alias("pos")).distinct()
+    return graph.enrich(graph.heuristic_edges(c), graph.nodes(files, defs)).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CALLS_SQL},
+sym AS (SELECT DISTINCT file || '::' || caller AS id FROM calls WHERE caller IS NOT NULL UNION SELECT DISTINCT file FROM calls),
+imp AS (SELECT file, local, target FROM (SELECT file, 'f' || (line % 9) AS local, 'src/m' || (line % 43) || '.ts::f' || (line % 7) AS target, row_number() OVER (PARTITION BY file, 'f' || (line % 9) ORDER BY line DESC, event_id DESC) AS n FROM calls) WHERE n = 1),
+c AS (SELECT file, CASE WHEN caller IS NULL THEN file ELSE file || '::' || caller END AS src, 'f' || (event_id % 11) || CASE WHEN event_id % 3 = 0 THEN '.f' || (event_id % 4) ELSE '' END AS callee FROM calls),
+r AS (SELECT c.*, d.target AS direct, m.target AS module, split_part(callee, '.', -1) AS method FROM c LEFT JOIN imp d ON d.file = c.file AND d.local = c.callee
+      LEFT JOIN imp m ON m.file = c.file AND contains(callee, '.') AND m.local = split_part(callee, '.', 1)),
+t AS (SELECT src, CASE WHEN direct IS NOT NULL THEN direct WHEN module IS NOT NULL THEN coalesce((SELECT id FROM sym WHERE id = module || '::' || method), module) ELSE (SELECT id FROM sym WHERE id = r.file || '::' || callee) END AS dst FROM r)
+SELECT src, dst, 'Calls' AS edge_type, count(*) AS n FROM t WHERE dst IS NOT NULL AND src <> dst AND dst IN (SELECT id FROM sym) AND src IN (SELECT id FROM sym) GROUP BY ALL""")
+def call_edges(spark, sf):
+    c = call_sites(spark, sf)
+    files = c.select(F.col("file").alias("path")).distinct()
+    defs = c.where("caller is not null").select(F.col("file").alias("path"), F.col("caller").alias("name"), F.lit("Function").alias("kind"), F.lit(0).alias("pos")).distinct()
+    target = F.format_string("src/m%d.ts::f%d", F.col("line") % 43, F.col("line") % 7)
+    names = graph.import_map(c.select("file", F.concat(F.lit("f"), F.col("line") % 9).alias("local"), target.alias("target"), F.col("line").alias("import_pos"), F.col("event_id").alias("name_pos")))
+    callee = F.concat(F.lit("f"), (F.col("event_id") % 11).cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(".f"), (F.col("event_id") % 4).cast("string"))).otherwise(""))
+    out = graph.call_edges(c.select("file", "caller", callee.alias("callee")), names, graph.nodes(files, defs))
+    return out.groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
+
+
+_IMPORTS_SQL = f"""WITH {FILES_SQL}, known AS (SELECT DISTINCT path FROM files),
+imp AS (SELECT DISTINCT path AS importer, '../' || regexp_replace(regexp_extract(path, '[^/]*/[^/]*$'), '\\.[a-z]*$', '') AS source FROM files WHERE regexp_matches(path, '^[^/]+/[^/]+/')),
+res AS (SELECT importer, source, regexp_replace(regexp_extract(importer, '^(.*)/[^/]*$', 1), '/?[^/]*$', '') AS up, substr(source, 4) AS rest FROM imp),
+cand AS (SELECT importer, source, s.pos, CASE WHEN up = '' THEN rest ELSE up || '/' || rest END || s.suffix AS candidate FROM res,
+  (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(graph.SUFFIXES))}) s(pos, suffix)),
+hit AS (SELECT importer, source, arg_min(candidate, pos) AS target FROM cand WHERE candidate IN (SELECT path FROM known) GROUP BY 1, 2)
+SELECT imp.importer, imp.source, target FROM imp LEFT JOIN hit USING (importer, source)"""
+
+
+@query(_IMPORTS_SQL)
+def import_resolution(spark, sf):
+    f = changed_files(spark, sf).select("path").distinct()
+    source = F.concat(F.lit("../"), F.regexp_replace(paths.short_label("path"), r"\.[a-z]*$", ""))
+    imports = f.where(F.size(F.split("path", "/")) > 2).select(F.col("path").alias("importer"), source.alias("source"))
+    # such a source has dots at its start only as far as '..' goes: it is a path already, as in TypeScript
+    wanted = imports.select("importer", "source", paths.normalize(F.concat(paths.parent_dir("importer"), F.lit("/"), "source")).alias("resolved"))
+    hit = graph._first_candidate(wanted, ["importer", "source"], f, graph.SUFFIXES)
+    return imports.join(hit, ["importer", "source"], "left")
+
+
+@query("""WITH pk AS (SELECT DISTINCT '@' || source || CASE WHEN doc_id % 3 = 0 THEN '/' || lang ELSE '' END AS package FROM documents),
+s AS (SELECT DISTINCT '@' || source || '/' || lang || '/x' || (doc_id % 5) AS source FROM documents)
+SELECT s.source, arg_max(package, length(package)) AS package FROM s JOIN pk ON starts_with(s.source, package || '/') GROUP BY 1""")
+def workspace_longest_prefix(spark, sf):
+    d = table(spark, sf, "documents")
+    packages = d.select(F.concat(F.lit("@"), "source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), "lang")).otherwise("")).alias("package")).distinct()
+    wanted = d.select(F.concat(F.lit("@"), "source", F.lit("/"), "lang", F.lit("/x"), (F.col("doc_id") % 5).cast("string")).alias("source")).distinct()
+    parts = F.split("source", "/")
+    pre = wanted.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("package"))
+    return pre.join(packages, "package").groupBy("source").agg(F.max_by("package", F.length("package")).alias("package"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id")
+def symbol_graph_nodes(spark, sf):
+    e = keys_graph(spark, sf)
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+@query(f"WITH {GRAPH_SQL}, v AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || r_regionkey FROM region) SELECT * FROM edges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
+def symbol_graph_edges(spark, sf):
+    v = (
+        table(spark, sf, "customer").where("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+        .unionByName(table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("id")))
+        .unionByName(table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
+    )
+    return graph.known_edges(keys_graph(spark, sf), v)
+
+
+@query("""WITH a AS (SELECT user_id AS file, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS scope, 'v' || (event_id % 6) AS variable, 'p' || (event_id % 5) AS callee FROM events),
+c AS (SELECT user_id AS file, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS scope, 'p' || (event_id % 4) AS callee, unnest(['v' || (event_id % 6), 'v' || (event_id % 10)]) AS argument, event_id AS line FROM events)
+SELECT a.file, a.scope, a.callee AS producer, c.callee AS consumer, a.variable AS via, c.line FROM a JOIN c ON a.file = c.file AND a.scope IS NOT DISTINCT FROM c.scope AND a.variable = c.argument AND a.callee <> c.callee""")
+def data_flow_edges(spark, sf):
+    e = table(spark, sf, "events")
+    mod = lambda p, k: F.concat(F.lit(p), (F.col("event_id") % k).cast("string"))
+    a = e.select(F.col("user_id").alias("file"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("scope"), mod("v", 6).alias("variable"), mod("p", 5).alias("callee"))
+    c = e.select(F.col("user_id").alias("file"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("scope"), mod("p", 4).alias("callee"), F.array(mod("v", 6), mod("v", 10)).alias("arguments"), F.col("event_id").alias("line"))
+    return graph.data_flow(a, c)
+
+
+@query("""WITH old AS (SELECT p_brand AS file, p_name AS name, p_type AS kind, p_size AS n FROM part WHERE p_partkey % 7 <> 0),
+new AS (SELECT p_brand AS file, p_name AS name, p_type AS kind, p_size + CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END AS n FROM part WHERE p_partkey % 11 <> 0),
+a AS (SELECT file, name, kind, arg_min(n + 1, start) AS n FROM (SELECT file, name, kind, n, n AS start FROM old) GROUP BY ALL), b AS (SELECT file, name, kind, arg_min(n + 1, start) AS n FROM (SELECT file, name, kind, n, n AS start FROM new) GROUP BY ALL)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.name, b.name) AS name, coalesce(a.kind, b.kind) AS kind, a.n AS old_lines, b.n AS new_lines,
+  CASE WHEN a.n IS NULL THEN 'Added' WHEN b.n IS NULL THEN 'Removed' ELSE 'Modified' END AS change
+FROM a FULL JOIN b ON a.file = b.file AND a.name = b.name AND a.kind = b.kind WHERE a.n IS NULL OR b.n IS NULL OR a.n <> b.n""")
+def symbol_diff(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), "p_partkey", "p_size")
+    new_size = F.col("p_size") + F.when(F.col("p_partkey") % 5 == 0, 3).otherwise(0)
+    old = p.where("p_partkey % 7 <> 0").select("file", "name", "kind", F.col("p_size").alias("start_line"), (2 * F.col("p_size")).alias("end_line"))
+    new = p.where("p_partkey % 11 <> 0").select("file", "name", "kind", new_size.alias("start_line"), (2 * new_size).alias("end_line"))
+    return graph.symbol_diff(old, new)
+
+
+@query(f"""WITH {GRAPH_SQL}, g AS (SELECT 'c' || c_custkey AS path, c_nationkey % 5 AS group_id FROM customer UNION ALL SELECT 'n' || n_nationkey, n_nationkey % 5 FROM nation UNION ALL SELECT 'r' || r_regionkey, r_regionkey % 5 FROM region)
+SELECT a.group_id, e.src, e.dst, e.edge_type FROM edges e JOIN g a ON a.path = e.src JOIN g b ON b.path = e.dst AND a.group_id = b.group_id""")
+def internal_edges(spark, sf):
+    g = (
+        table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"), (F.col("c_nationkey") % 5).alias("group_id"))
+        .unionByName(table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("path"), (F.col("n_nationkey") % 5).alias("group_id")))
+        .unionByName(table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("path"), (F.col("r_regionkey") % 5).alias("group_id")))
+    )
+    return graph.internal_edges(keys_graph(spark, sf), g)
+
+
+# --- reachability -----------------------------------------------------------------
+
+_STEPS_SQL = """step AS (SELECT DISTINCT 'u' || (a.user_id % 400) AS src, 'u' || ((a.user_id * 7 + a.event_id) % 400) AS dst FROM events a WHERE event_type = 'purchase'),
+start AS (SELECT 'u' || i AS entry FROM range(0, 400, 100) t(i))"""
+
+
+def _steps(spark, sf):
+    e = table(spark, sf, "events").where("event_type = 'purchase'")
+    src = F.concat(F.lit("u"), (F.col("user_id") % 400).cast("string"))
+    dst = F.concat(F.lit("u"), ((F.col("user_id") * 7 + F.col("event_id")) % 400).cast("string"))
+    steps = e.select(src.alias("src"), dst.alias("dst"), F.lit("Calls").alias("edge_type")).distinct()
+    start = spark.range(0, 400, 100).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("entry"))
+    return steps, start.select("entry", F.col("entry").alias("node"))
+
+
+def _walk(src: str, dst: str, cost: int) -> str:
+    return f"""w(entry, node, d) AS (SELECT entry, entry, 0::BIGINT FROM start UNION SELECT w.entry, step.{dst}, w.d + {cost} FROM w JOIN step ON step.{src} = w.node WHERE w.d < {6 * cost})"""
+
+
+@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('src', 'dst', 1)} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2")
+def reachability_forward(spark, sf):
+    steps, start = _steps(spark, sf)
+    return reach.distances(steps, start, max_hops=6)
+
+
+@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('dst', 'src', 2)} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2")
+def reachability_reverse(spark, sf):
+    steps, start = _steps(spark, sf)
+    return reach.distances(steps, start, 2, True, max_hops=6)
+
+
+_MERGED_SQL = f"""{_STEPS_SQL}, {_walk('src', 'dst', 1)},
+x(entry, node, d) AS (SELECT entry, entry, 0::BIGINT FROM start UNION SELECT x.entry, step.src, x.d + 2 FROM x JOIN step ON step.dst = x.node WHERE x.d < 12),
+m AS (SELECT entry, node, min(d) AS distance FROM (SELECT * FROM w UNION ALL SELECT * FROM x) GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_MERGED_SQL} SELECT * FROM m")
+def reachability_merged(spark, sf):
+    steps, start = _steps(spark, sf)
+    return reach.reachability(steps, start, max_hops=6)
+
+
+@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('src', 'dst', 1).replace('w.d < 6', 'w.d < 3')} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
+def call_chain_depth(spark, sf):
+    steps, start = _steps(spark, sf)
+    return reach.call_chain(steps, start, 3)
+
+
+@query(f"""WITH RECURSIVE {_MERGED_SQL}, a AS (SELECT node AS path, entry, distance, row_number() OVER (PARTITION BY node ORDER BY distance, entry) AS n FROM m)
+SELECT path, entry, distance, row_number() OVER (PARTITION BY entry ORDER BY distance, path) - 1 AS flow_position FROM a WHERE n = 1""")
+def assign_argmin(spark, sf):
+    steps, start = _steps(spark, sf)
+    near = reach.reachability(steps, start, max_hops=6).select(F.lit(1).alias("diff_id"), "entry", F.col("node").alias("path"), "distance")
+    return cluster.positions(cluster.assign(near)).select("path", "entry", "distance", "flow_position")
+
+
+_NEAR = 0.35
+_PAIRS_SQL = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {_NEAR})"""
+
+
+@query(f"""WITH RECURSIVE {_PAIRS_SQL}, both_ways AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.root FROM r JOIN both_ways p ON p.a = r.node)
+SELECT node, min(root) AS component FROM r GROUP BY node""")
+def components(spark, sf):
+    v = table(spark, sf, "embeddings")
+    e = similarity.similar_pairs(v, _NEAR).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return reach.components(e, v.select(F.col("vec_id").alias("node")))
+
+
+# --- grouping ---------------------------------------------------------------------
+
+@query(f"""WITH {FILES_SQL}, d AS (SELECT DISTINCT diff_id, path, CASE WHEN contains(path, '/') THEN {o.DIR} ELSE '.' END AS name FROM files)
+SELECT diff_id, name, path, count(*) OVER (PARTITION BY diff_id, name) AS n_files FROM d""")
+def directory_groups(spark, sf):
+    return cluster.directory_groups(changed_files(spark, sf))
+
+
+@query(f"""WITH {FILES_SQL}, d AS (SELECT DISTINCT diff_id, path, CASE WHEN contains(path, '/') THEN {o.DIR} ELSE '.' END AS name FROM files),
+g AS (SELECT diff_id, name, count(*) AS n, min(path) AS first_path, min(string_split(path, '/')[1]) AS prefix FROM d GROUP BY ALL),
+f AS (SELECT *, n <= 5 AND contains(first_path, '/') AS fit FROM g), b AS (SELECT *, count(*) FILTER (fit) OVER (PARTITION BY diff_id, prefix, fit) AS members FROM f),
+k AS (SELECT *, CASE WHEN NOT fit THEN 'own:' || name WHEN members <= 12 THEN 'p:' || prefix ELSE 'd:' || name END AS bucket FROM b),
+l AS (SELECT diff_id, name, min(name) OVER (PARTITION BY diff_id, bucket) AS merged FROM k)
+SELECT d.diff_id, d.path, l.merged AS name FROM d JOIN l USING (diff_id, name)""")
+def consolidate_level(spark, sf):
+    d = cluster.directory_groups(changed_files(spark, sf)).select("diff_id", F.col("name").alias("grp"), "name", F.lit(False).alias("has_entry"), "path")
+    return cluster.merge_level(d, 1).select("diff_id", "path", "name")
+
+
+@query()
+def consolidate_all(spark, sf):
+    d = cluster.directory_groups(changed_files(spark, sf)).select("diff_id", F.dense_rank().over(Window.partitionBy("diff_id").orderBy("name")).cast("long").alias("grp"), "name", F.lit(False).alias("has_entry"), "path")
+    return cluster.consolidate(d).select("diff_id", "grp", "name", "path")
+
+
+_SPLIT_SQL = f"""{FILES_SQL}, u AS (SELECT DISTINCT diff_id, path FROM files),
+gr AS (SELECT diff_id, path, CAST(length(path) % 7 AS BIGINT) AS group_id FROM u WHERE length(path) % 3 <> 0), loose AS (SELECT diff_id, path FROM u WHERE length(path) % 3 = 0)"""
+
+
+def _split(spark, sf):
+    u = changed_files(spark, sf).select("diff_id", "path").distinct().withColumn("n", F.char_length("path"))
+    return u.where("n % 3 = 0").select("diff_id", "path"), u.where("n % 3 <> 0").select("diff_id", "path", (F.col("n") % 7).cast("long").alias("group_id"))
+
+
+@query(f"""WITH {_SPLIT_SQL}, pa AS (SELECT diff_id, path, unnest(range(2, len(string_split(path, '/')))) AS depth FROM loose), pb AS (SELECT diff_id, group_id, path, unnest(range(2, len(string_split(path, '/')))) AS depth FROM gr),
+xa AS (SELECT *, array_to_string(list_slice(string_split(path, '/'), 1, depth), '/') AS prefix FROM pa), xb AS (SELECT diff_id, depth, array_to_string(list_slice(string_split(path, '/'), 1, depth), '/') AS prefix, min(group_id) AS group_id FROM pb GROUP BY ALL)
+SELECT diff_id, path, arg_max(group_id, depth) AS group_id, CAST(max(depth) AS INT) AS shared FROM xa JOIN xb USING (diff_id, depth, prefix) GROUP BY 1, 2""")
+def nearest_directory(spark, sf):
+    return cluster.nearest_directory(*_split(spark, sf))
+
+
+@query(f"""WITH {_SPLIT_SQL}, ta AS (SELECT diff_id, path, unnest({o.TOPICS}) AS token FROM loose), tb AS (SELECT diff_id, group_id, path AS other, unnest({o.TOPICS}) AS token FROM gr),
+n AS (SELECT ta.diff_id, ta.path, group_id, other, count(*) AS n FROM ta JOIN tb USING (diff_id, token) GROUP BY ALL), g AS (SELECT diff_id, path, group_id, max(n) AS n FROM n GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY diff_id, path ORDER BY n DESC) AS rk FROM g)
+SELECT diff_id, path, min(group_id) AS group_id, max(n) AS overlap FROM r WHERE rk = 1 GROUP BY 1, 2 HAVING max(n) >= 2 OR count(*) = 1""")
+def topic_affinity(spark, sf):
+    return cluster.topic_affinity(*_split(spark, sf))
+
+
+@query(f"""WITH {_SPLIT_SQL}, s AS (SELECT *, {o.TEST_FILE} AS is_test, {o.IMPL} AS stem, {o.BARE} AS bare FROM gr),
+st AS (SELECT diff_id, stem, arg_max(group_id, path) AS g FROM s WHERE NOT is_test GROUP BY ALL), ba AS (SELECT diff_id, bare, arg_max(group_id, path) AS g FROM s WHERE NOT is_test AND bare <> '' GROUP BY ALL)
+SELECT s.diff_id, path, is_test, CASE WHEN is_test THEN coalesce(st.g, ba.g, group_id) ELSE group_id END AS group_id FROM s LEFT JOIN st USING (diff_id, stem) LEFT JOIN ba ON ba.diff_id = s.diff_id AND ba.bare = s.bare""")
+def test_pairs(spark, sf):
+    return cluster.move_tests(_split(spark, sf)[1])
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT DISTINCT diff_id, path, {o.CATEGORY} AS category, CASE WHEN contains(path, '/') THEN {o.DIR} ELSE '.' END AS dir FROM files),
+c AS (SELECT *, count(*) FILTER (category = 'Unclassified') OVER (PARTITION BY diff_id, dir) AS n FROM f)
+SELECT diff_id, path, CASE WHEN category = 'Unclassified' AND n >= 2 THEN 'DirectoryGroup' ELSE category END AS category,
+  CASE WHEN category = 'Unclassified' AND n >= 2 THEN dir ELSE CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.CATEGORY_TITLES.items())} END END AS sub_group FROM c""")
+def infra_groups(spark, sf):
+    return cluster.infra_groups(changed_files(spark, sf))
+
+
+# --- similarity -------------------------------------------------------------------
+
+@query(f"WITH {_PAIRS_SQL} SELECT a, b, round(s, 4) AS similarity FROM pairs")
+def similar_pairs(spark, sf):
+    return similarity.similar_pairs(table(spark, sf, "embeddings"), _NEAR).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.2 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 20""")
+def pairwise_topk(spark, sf):
+    return similarity.top_pairs(similarity.similar_pairs(table(spark, sf, "embeddings"), 0.2)).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("SELECT label AS grp, CAST(pos - 1 AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")
+def centroids(spark, sf):
+    return similarity.centroids(table(spark, sf, "embeddings"), "label").withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def greedy_merge(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("diff_id"), F.floor(F.col("vec_id") / 3).alias("grp"), "embedding")
+    return similarity.greedy_merge(v, _NEAR)
+
+
+# --- text -------------------------------------------------------------------------
+
+@query("SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, CASE WHEN strlen(text) <= 4000 THEN 0 ELSE 1 END AS cut FROM documents")
+def token_budget(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", text.estimate_tokens("text").alias("tokens"), F.when(text.truncate("text", 1000) == F.col("text"), 0).otherwise(1).alias("cut"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'key sk-ant-abcdef12345 and ' WHEN 1 THEN 'sk-proj-ABCdef_99 sk-short ' WHEN 2 THEN 'AIzaSyA1234567 ' ELSE '' END || left(text, 600) AS x FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(x, 500), 'sk-ant-[\p{L}\p{N}_-]{3,}', '[REDACTED_ANTHROPIC_KEY]', 'g'), 'sk-proj-[\p{L}\p{N}_-]{2,}', '[REDACTED_OPENAI_KEY]', 'g'), 'sk-[\p{L}\p{N}_-]{7,}', '[REDACTED_API_KEY]', 'g'), 'AIza[\p{L}\p{N}_-]{6,}', '[REDACTED_GEMINI_KEY]', 'g') AS redacted FROM t""")
+def redaction(spark, sf):
+    lead = F.when(F.col("doc_id") % 4 == 0, "key sk-ant-abcdef12345 and ").when(F.col("doc_id") % 4 == 1, "sk-proj-ABCdef_99 sk-short ").when(F.col("doc_id") % 4 == 2, "AIzaSyA1234567 ").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", text.redact(F.concat(lead, F.substring("text", 1, 600))).alias("redacted"))
+
+
+@query(r"""WITH p AS (SELECT a.doc_id, string_split(regexp_replace(a.text, '\n$', ''), chr(10)) AS old, string_split(regexp_replace(b.text, '\n$', ''), chr(10)) AS new FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, array_to_string(list_filter(new, lambda x: NOT list_contains(old, x)), chr(10)) AS added, CAST(len(list_filter(old, lambda x: NOT list_contains(new, x))) AS BIGINT) AS removed FROM p""")
+def line_diff(spark, sf):
+    d = table(spark, sf, "documents")
+    j = d.select("doc_id", F.col("text").alias("old")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new")), "doc_id")
+    out = text.line_diff("old", "new")
+    return j.select("doc_id", F.array_join(out["added"], "\n").alias("added"), out["removed"].alias("removed"))
+
+
+@query("SELECT n_regionkey AS diff_id, sha256(coalesce(NULL, 'none') || chr(10) || min(n_name) || chr(10) || string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS cache_key FROM nation GROUP BY 1")
+def cache_key(spark, sf):
+    from ..sources.caches import cache_key as key
+
+    n = table(spark, sf, "nation")
+    return n.groupBy(F.col("n_regionkey").alias("diff_id")).agg(key(F.lit(None).cast("string"), F.min("n_name"), "n_name").alias("cache_key"))
+
+
+# --- refinement -------------------------------------------------------------------
+
+_GROUPS_SQL = "gf AS (SELECT 'group_' || (c_nationkey % 9) AS group_id, 'f' || c_custkey AS path, c_custkey FROM customer)"
+
+
+def _group_files(spark, sf):
+    return table(spark, sf, "customer").select(F.concat(F.lit("group_"), (F.col("c_nationkey") % 9).cast("string")).alias("group_id"), F.concat(F.lit("f"), "c_custkey").alias("path"), "c_custkey")
+
+
+@query(f"""WITH {_GROUPS_SQL}, mv AS (SELECT c_custkey AS ord, path, CASE WHEN c_custkey % 2 = 0 THEN group_id ELSE 'group_0' END AS from_group, 'group_' || (c_custkey % 4) AS to_group FROM gf WHERE c_custkey % 3 = 0
+  UNION ALL SELECT c_custkey + 1000000, path, group_id, 'infra' FROM gf WHERE c_custkey % 15 = 0),
+l AS (SELECT path, from_group, arg_max(to_group, ord) AS to_group FROM mv GROUP BY 1, 2)
+SELECT coalesce(l.to_group, gf.group_id) AS group_id, gf.path FROM gf LEFT JOIN l ON l.path = gf.path AND l.from_group = gf.group_id""")
+def refine_reclassify(spark, sf):
+    g = _group_files(spark, sf)
+    own = F.when(F.col("c_custkey") % 2 == 0, F.col("group_id")).otherwise("group_0")
+    moves = g.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ord"), "path", own.alias("from_group"), F.concat(F.lit("group_"), (F.col("c_custkey") % 4).cast("string")).alias("to_group")).unionByName(
+        g.where("c_custkey % 15 = 0").select((F.col("c_custkey") + 1000000).alias("ord"), "path", F.col("group_id").alias("from_group"), F.lit("infra").alias("to_group")))
+    return refine.reclassify(g.select("group_id", "path"), moves)
+
+
+@query(f"""WITH {_GROUPS_SQL}, sp AS (SELECT group_id AS source, c_custkey % 2 + CASE group_id WHEN 'group_1' THEN 0 ELSE 2 END AS new_ord, path FROM gf WHERE group_id = 'group_1' OR (group_id = 'group_2' AND c_custkey % 10 <> 3)),
+bad AS (SELECT DISTINCT gf.group_id FROM gf JOIN (SELECT DISTINCT source FROM sp) s ON s.source = gf.group_id LEFT JOIN sp ON sp.source = gf.group_id AND sp.path = gf.path WHERE sp.path IS NULL)
+SELECT CASE WHEN sp.path IS NOT NULL AND gf.group_id NOT IN (SELECT group_id FROM bad) THEN 'group_refined_' || sp.new_ord ELSE gf.group_id END AS group_id, gf.path FROM gf LEFT JOIN sp ON sp.source = gf.group_id AND sp.path = gf.path""")
+def refine_split(spark, sf):
+    g = _group_files(spark, sf)
+    sp = g.where("group_id = 'group_1' or (group_id = 'group_2' and c_custkey % 10 <> 3)").select(
+        F.col("group_id").alias("source"), (F.col("c_custkey") % 2 + F.when(F.col("group_id") == "group_1", 0).otherwise(2)).alias("new_ord"), "path")
+    return refine.split(g.select("group_id", "path"), sp)
+
+
+_MERGES = ((1, 0, "group_3"), (1, 1, "group_5"), (2, 0, "group_7"), (2, 1, "group_1"), (2, 2, "group_2"))
+
+
+@query(f"""WITH {_GROUPS_SQL}, m(merge_ord, pos, group_id) AS (VALUES {', '.join(map(str, _MERGES))}), t AS (SELECT group_id, first_value(group_id) OVER (PARTITION BY merge_ord ORDER BY pos) AS into_id FROM m)
+SELECT coalesce(into_id, gf.group_id) AS group_id, path FROM gf LEFT JOIN t ON t.group_id = gf.group_id""")
+def refine_merge(spark, sf):
+    return refine.merge(_group_files(spark, sf).select("group_id", "path"), spark.createDataFrame(_MERGES, "merge_ord int, pos int, group_id string"))
+
+
+@query("""WITH g AS (SELECT n_regionkey AS diff_id, 'group_' || n_nationkey AS group_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS ro FROM nation), r AS (SELECT 'group_' || n_nationkey AS group_id, 1 AS p FROM nation WHERE n_nationkey % 4 = 3)
+SELECT diff_id, g.group_id, row_number() OVER (PARTITION BY diff_id ORDER BY coalesce(p, ro), g.group_id) AS review_order FROM g LEFT JOIN r ON r.group_id = g.group_id""")
+def refine_rerank(spark, sf):
+    n = table(spark, sf, "nation").withColumn("group_id", F.concat(F.lit("group_"), "n_nationkey"))
+    g = n.select(F.col("n_regionkey").alias("diff_id"), "group_id", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).cast("long").alias("review_order"))
+    return refine.rerank(g, n.where("n_nationkey % 4 = 3").select("group_id", F.lit(1).cast("long").alias("new_position")))
+
+
+@query("""WITH g AS (SELECT 'group_' || n_nationkey AS group_id, n_name AS name FROM nation), op AS (SELECT s_suppkey AS ord, CASE s_suppkey % 3 WHEN 0 THEN 'group_' || s_nationkey WHEN 1 THEN (SELECT '  ' || lower(n_name) FROM nation WHERE n_nationkey = s_nationkey) ELSE 'group_' || (s_nationkey + 20) END AS group_id FROM supplier),
+rp AS (SELECT ord, coalesce(a.group_id, b.group_id, op.group_id) AS group_id, a.group_id IS NULL AND b.group_id IS NOT NULL AS repaired FROM op LEFT JOIN g a ON a.group_id = op.group_id LEFT JOIN g b ON lower(trim(b.name)) = lower(trim(op.group_id)))
+SELECT ord, group_id, repaired, CASE WHEN group_id IN (SELECT group_id FROM g) THEN NULL ELSE 'unknown group' END AS reason FROM rp""")
+def refine_sanitize_warnings(spark, sf):
+    n = table(spark, sf, "nation")
+    g = n.select(F.concat(F.lit("group_"), "n_nationkey").alias("group_id"), F.col("n_name").alias("name"))
+    s = table(spark, sf, "supplier").join(n.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey") % 3
+    gid = F.when(k == 0, F.concat(F.lit("group_"), "s_nationkey")).when(k == 1, F.concat(F.lit("  "), F.lower("n_name"))).otherwise(F.concat(F.lit("group_"), (F.col("s_nationkey") + 20).cast("string")))
+    fixed = refine.repair_ids(s.select(F.col("s_suppkey").alias("ord"), gid.alias("group_id")), g)
+    bad = refine.unknown_groups(fixed, g).select("ord", "reason")
+    return fixed.join(bad, "ord", "left").select("ord", "group_id", "repaired", "reason")
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS "group", 'f' || o_custkey AS path FROM orders), k AS (SELECT 'f' || c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN 'Handler' ELSE 'Utility' END AS role, (c_custkey % 10) / 10.0 AS risk FROM customer WHERE c_custkey % 3 <> 0)
+SELECT "group", count(*) AS n_files, count(role) AS n_known, count(*) FILTER (coalesce(role, 'Utility') = 'Utility') AS n_utility, round(CAST(sum(coalesce(risk, 0)) AS DOUBLE) / count(*), 6) AS risk FROM m LEFT JOIN k USING (path) GROUP BY 1""")
+def manifest_import(spark, sf):
+    m = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("group"), F.concat(F.lit("f"), "o_custkey").alias("path"))
+    k = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("f"), "c_custkey").alias("path"), F.when(F.col("c_custkey") % 2 == 0, "Handler").otherwise("Utility").alias("role"), ((F.col("c_custkey") % 10) / 10).alias("risk"))
+    return refine.import_manifest(m, k)
+
+
+# --- evaluation -------------------------------------------------------------------
+
+_METRICS_SQL = """e AS (SELECT label AS target, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE vec_id % 37 END AS group_id, vec_id AS path FROM embeddings),
+p AS (SELECT target, group_id, count(*) AS n FROM e GROUP BY ALL),
+mt AS (SELECT target, CAST(sum(n) AS BIGINT) AS total_files, count(group_id) AS total_groups, CAST(coalesce(sum(n) FILTER (group_id IS NULL), 0) AS BIGINT) AS infra_files, count(*) FILTER (group_id IS NOT NULL AND n = 1) AS singleton_groups,
+  coalesce(max(n) FILTER (group_id IS NOT NULL), 0) AS max_group_size, coalesce(sum(n) FILTER (group_id IS NOT NULL), 0) AS grouped FROM p GROUP BY target),
+mm AS (SELECT target, total_files, total_groups, infra_files, singleton_groups, max_group_size, CASE WHEN total_groups = 0 THEN 0 ELSE grouped::DOUBLE / total_groups END AS avg_group_size, infra_files::DOUBLE / total_files AS infra_ratio,
+  CASE WHEN total_groups = 0 THEN 0 ELSE singleton_groups::DOUBLE / total_groups END AS singleton_ratio, total_groups::DOUBLE / total_files * 1000 AS groups_per_1000_files, TRUE AS files_accounted FROM mt)"""
+
+
+def _metric_files(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("label").alias("target"), F.when(F.col("vec_id") % 4 != 0, F.col("vec_id") % 37).alias("group_id"), F.col("vec_id").alias("path"))
+
+
+@query(f"WITH {_METRICS_SQL} SELECT * FROM mm")
+def repo_metrics(spark, sf):
+    return evaluate.metrics(_metric_files(spark, sf))
+
+
+@query(f"""WITH {_METRICS_SQL}, s AS (SELECT target, CASE WHEN total_groups <= 20 THEN 1.0 ELSE greatest(0, least(1, 20.0 / total_groups)) END::DOUBLE AS gc, CASE WHEN infra_ratio <= 0.2 THEN 1.0 ELSE greatest(0, least(1, 1 - (infra_ratio - 0.2) / 0.8)) END::DOUBLE AS i,
+  CASE WHEN singleton_ratio <= 0.3 THEN 1.0 ELSE greatest(0, least(1, 1 - (singleton_ratio - 0.3) / 0.7)) END::DOUBLE AS sg, CASE WHEN groups_per_1000_files <= 400 THEN 1.0 ELSE 0.0 END::DOUBLE AS dn FROM mm)
+SELECT target, round(gc, 6) AS group_count_score, round(i, 6) AS infra_score, round(sg, 6) AS singleton_score, 1.0::DOUBLE AS accounting_score, dn AS density_score, round(0.2 * gc + 0.2 * dn + 0.2 * i + 0.2 * sg + 0.2, 6) AS overall FROM s""")
+def repo_scores(spark, sf):
+    m = evaluate.metrics(_metric_files(spark, sf))
+    limits = {"max_groups": 20, "max_infra_ratio": 0.2, "max_singleton_ratio": 0.3, "max_groups_per_1000_files": 400}
+    return evaluate.score(m, limits).select("target", "group_count_score", "infra_score", "singleton_score", "accounting_score", "density_score", "overall")
+
+
+@query("""WITH loc AS (SELECT doc_id AS path, quality * 2 + toxic AS place FROM labels), c AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS check_id, CASE WHEN floor(doc_id / 5) % 2 = 0 THEN 'same' ELSE 'separate' END AS kind, doc_id AS path FROM documents WHERE doc_id % 5 < 2)
+SELECT check_id, kind, count(*) AS members, count(*) FILTER (place IS NULL) AS missing, count(DISTINCT place) AS places, count(*) FILTER (place IS NULL) = 0 AND CASE WHEN kind = 'same' THEN count(DISTINCT place) = 1 ELSE count(DISTINCT place) = count(*) END AS satisfied FROM c LEFT JOIN loc USING (path) GROUP BY 1, 2""")
+def golden_checks(spark, sf):
+    loc = table(spark, sf, "labels").select(F.col("doc_id").alias("path"), (F.col("quality") * 2 + F.col("toxic")).alias("place"))
+    k = F.floor(F.col("doc_id") / 5)
+    c = table(spark, sf, "documents").where("doc_id % 5 < 2").select(k.alias("check_id"), F.when(k % 2 == 0, "same").otherwise("separate").alias("kind"), F.col("doc_id").alias("path"))
+    return evaluate.golden_checks(loc, c)
+
+
+@query("""WITH s AS (SELECT source AS target, avg(n_chars % 100) / 100 AS coherence, avg(doc_id % 10) / 10 AS entrypoints, avg(doc_id % 7) / 7 AS ordering, avg(doc_id % 3) / 3 AS risk, count(DISTINCT lang) / 4.0 AS languages, 1.0 AS accounting FROM documents GROUP BY 1)
+SELECT target, round(CAST(0.25 * coherence + 0.2 * entrypoints + 0.15 * ordering + 0.15 * risk + 0.15 * languages + 0.1 * accounting AS DOUBLE), 6) AS overall FROM s""")
+def eval_scores(spark, sf):
+    d = table(spark, sf, "documents")
+    s = d.groupBy(F.col("source").alias("target")).agg(
+        (F.avg(F.col("n_chars") % 100) / 100).alias("coherence"), (F.avg(F.col("doc_id") % 10) / 10).alias("entrypoints"), (F.avg(F.col("doc_id") % 7) / 7).alias("ordering"),
+        (F.avg(F.col("doc_id") % 3) / 3).alias("risk"), (F.count_distinct("lang") / 4).alias("languages"), F.lit(1.0).alias("accounting"))
+    return evaluate.overall_eval(s).select("target", "overall")
+
+
+@query("""WITH h AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS run, round(avg(o_totalprice) / 1000000, 6) AS score FROM orders GROUP BY 1, 2)
+SELECT series, run, score, lag(score) OVER w AS previous, coalesce(lag(score) OVER w - score > 0.005, FALSE) AS regressed FROM h WINDOW w AS (PARTITION BY series ORDER BY run)""")
+def regression_check(spark, sf):
+    h = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("run")).agg(F.round(F.avg("o_totalprice") / 1000000, 6).alias("score"))
+    return evaluate.regressions(h, "series", "run", "score", 0.005)
+
+
+@query("SELECT source, doc_id, n_chars, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS kept_bytes, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS UNBOUNDED PRECEDING) > 20000 AS evicted FROM documents")
+def lru_eviction(spark, sf):
+    from ..sources.caches import evictions
+
+    return evictions(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 20000)
+
+
+# --- streams ----------------------------------------------------------------------
+
+@query("""WITH j AS (SELECT conv_id, turn, role, turn >= 3 AS terminal FROM conversations)
+SELECT conv_id, turn, role FROM (SELECT *, coalesce(sum(CAST(terminal AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM j) WHERE ended = 0""")
+def job_log_terminal(spark, sf):
+    from ..streaming.activity import until_terminal
+
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", (F.col("turn") >= 3).alias("terminal"))
+    return until_terminal(c, "conv_id", "turn", "terminal").select("conv_id", "turn", "role")
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows_tumbling(spark, sf):
+    from ..streaming.windows import counts
+
+    return counts(table(spark, sf, "events"), "1 hour")
+
+
+@query("""SELECT s AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS s FROM events) GROUP BY 1, 2""")
+def event_windows_sliding(spark, sf):
+    from ..streaming.windows import counts
+
+    return counts(table(spark, sf, "events"), "1 hour", "30 minutes")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '2 hours' THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_windows_session(spark, sf):
+    from ..streaming.windows import sessions
+
+    return sessions(table(spark, sf, "events"), "2 hours")
+
+
+# --- output -----------------------------------------------------------------------
+
+@query("""WITH g AS (SELECT c_nationkey AS group_id, count(*) AS n_files, CAST(sum(CAST(c_acctbal > 0 AS INT)) AS BIGINT) AS positive FROM customer GROUP BY 1)
+SELECT n_regionkey AS diff_id, count(*) AS total_groups, CAST(sum(n_files) AS BIGINT) AS total_files, string_agg(n_name || ':' || n_files, ',' ORDER BY n_name) AS listing FROM g JOIN nation ON n_nationkey = group_id GROUP BY 1""")
+def nested_output(spark, sf):
+    from ..operators.output import summarize
+
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n_files"))
+    g = c.join(table(spark, sf, "nation"), "n_nationkey").select(F.col("n_regionkey").alias("diff_id"), F.col("n_name").alias("name"), "n_files")
+    return summarize(g)
+
+
+@query()
+def parse_facts(spark, sf):
+    """Facts of small sources made for each part: rows only."""
+    from ..sources.parse import parse
+
+    p = table(spark, sf, "part")
+    body = F.concat(F.lit("import os\nfrom app."), F.lower("p_brand"), F.lit(" import load as fetch\n\nclass Part"), F.col("p_partkey").cast("string"),
+                    F.lit("(Base):\n    def run(self):\n        x = fetch(self.name)\n        return os.path.join(x)\n"))
+    facts = parse(p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("source")))
+    return facts.select("path", "language", "parse_tier", F.size("definitions").alias("definitions"), F.size("imports").alias("imports"), F.size("call_sites").alias("calls"), F.size("assignments").alias("assignments"))
