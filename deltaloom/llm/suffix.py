@@ -319,7 +319,8 @@ def _remove(length: int):
 def covered_spans(docs: DataFrame, length: int, block_segments: int) -> tuple[DataFrame, DataFrame]:
     """``(rid, s, e)`` byte spans to remove, and ``(rid, z)`` texts that may have some."""
     segs = materialize(docs.select("rid", "text").mapInArrow(_winnow(length), "rid long, at long, anchor long"))
-    twice = segs.groupBy(F.col("anchor").alias("again")).count().where("count > 1").select("again")
+    # written out, so that the join below reads two plain exchanges and its hot anchors can be split
+    twice = materialize(segs.groupBy(F.col("anchor").alias("again")).count().where("count > 1").select("again"))
     listed = (
         segs.join(twice, F.col("anchor") == F.col("again")).groupBy(F.col("rid").alias("l_rid"))
         .agg(F.collect_list(F.struct("at", "anchor")).alias("l"))  # bounded by the text's own length
@@ -333,7 +334,7 @@ def covered_spans(docs: DataFrame, length: int, block_segments: int) -> tuple[Da
     s = F.shiftright("at", 8)
     whole = rows.join(copies, (F.col("anchor") == F.col("c")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).select(
         "rid", s.alias("s"), (s + F.col("at").bitwiseAND(255) + (length - 1)).alias("e"))
-    mixed = distinct.groupBy(F.col("anchor").alias("m")).agg(F.count("*").alias("k")).where("k > 1")
+    mixed = materialize(distinct.groupBy(F.col("anchor").alias("m")).agg(F.count("*").alias("k")).where("k > 1"))
     reps = (
         distinct.join(mixed, F.col("anchor") == F.col("m"))
         .groupBy(F.col("first.rid").alias("r_rid"))
