@@ -15,13 +15,14 @@ from .common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
+    # written out: the joins below then read two plain exchanges each, and a hub's rows can be split
+    least = materialize(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m")))
     return both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")))
     near = down.join(least, F.col("u") == F.col("c"))
     return (
         near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

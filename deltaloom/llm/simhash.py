@@ -197,7 +197,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     roots = components(edges)
     ids = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    least = ids.groupBy(F.col("root").alias("least_root")).agg(F.min("first_id").alias("component_id"))
+    least = materialize(ids.groupBy(F.col("root").alias("least_root")).agg(F.min("first_id").alias("component_id")))
     classes = ids.join(least, F.col("root") == F.col("least_root")).select(F.col("fp").alias("class_fp"), "root", "component_id")
     return fps.join(classes, F.col("fp") == F.col("class_fp")).select("rid", "doc_id", "fp", "root", "component_id")
 
