@@ -41,7 +41,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.simhash_classes(docs)
+    """Groups at a similarity of 0.8 of five-word shingle sets."""
+    classes = simhash.near_classes(docs)
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
     return _with_rows(docs, first.select(F.col("first.rid").alias("keep_rid")))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaloom.llm import chat, components, decontam, linededup, queries, secrets, warc
+from deltaloom.llm import chat, components, decontam, linededup, queries, secrets, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -261,6 +261,68 @@ def test_warc_odd(spark):
     assert warc.digests(warc.records(df.where("false"))).collect() == []
 
 
+# --- the wide fingerprint of the pipeline's near-duplicate stage ---
+
+def brute_near_kept(rows):
+    """Least id of each group of links: few differing bits in all, and an anchor that is home to one and in reach of the other."""
+    x = np.stack([simhash.wide_fingerprint(t or "") for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    home, reach = [set() for _ in rows], [set() for _ in rows]
+    for w in range(simhash.WIDE):
+        for i, k, h in zip(*(a.tolist() for a in simhash.anchors(x[:, w].view(np.int64)))):
+            reach[i].add((w, k))
+            if h:
+                home[i].add((w, k))
+    for i in range(len(rows)):
+        near = np.bitwise_count(x ^ x[i]).sum(axis=1) <= simhash.wide_threshold(0.8)
+        near[near] = [bool(home[i] & reach[j] or home[j] & reach[i]) for j in np.flatnonzero(near).tolist()]
+        for j in np.flatnonzero(near).tolist():
+            p, q = find(i), find(j)
+            root[max(p, q)] = min(p, q)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return set(least.values())
+
+
+def test_near_classes_catch_edited_copies(spark, docs):
+    rng = random.Random(8)
+    some = [r for r in docs.collect() if 150 <= len(r.text.split()) <= 2000 and "\n" not in r.text[:50]][:30]
+    made, pairs = [], []
+    for k, r in enumerate(some):
+        words = r.text.split()
+        made.append((2 * k, " ".join(words)))
+        made.append((2 * k + 1, " ".join(rng.choice(words) if rng.random() < 0.01 else w for w in words)))
+        a, b = ({tuple(t.lower().split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (made[-2][1], made[-1][1]))
+        pairs.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.root for r in simhash.near_classes(spark.createDataFrame(made, "doc_id long, text string").coalesce(1)).collect()}
+    close = [k for k, j in enumerate(pairs) if j >= 0.9]
+    assert len(close) > 5 and sum(got[2 * k] == got[2 * k + 1] for k in close) >= 0.95 * len(close)
+    texts = dict(made)
+    grams = {d: {tuple(t.lower().split()[i:i + 5]) for i in range(len(t.split()) - 4)} for d, t in texts.items()}
+    for a in got:
+        for b in got:
+            if a < b and got[a] == got[b]:
+                assert len(grams[a] & grams[b]) / len(grams[a] | grams[b]) > 0.4
+
+
+def test_near_classes_odd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOMES_PER_PART", 2)
+    df = odd(spark, [None, "", "a b", "A  b", "one two three four five six seven", "one two three four five six seven", "w " * 30_000]).coalesce(1)
+    got = simhash.near_classes(df).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(len, by.values())) == [1, 2, 2, 4]
+    assert simhash.near_classes(df.where("false")).collect() == []
+
+
 # --- pipeline -------------------------------------------------------------------
 
 def test_pipeline(spark, tmp_path):
@@ -279,12 +341,7 @@ def test_pipeline(spark, tmp_path):
     want = brute_lines([(r.doc_id, r.text) for r in good.collect()])
     assert {(d, t) for d, _, gone, t in want if not gone or t.strip(" \t\n\x0b\f\r")} == {(r.doc_id, r.text) for r in lined.collect()}
     assert all(r.n_chars == len(r.text) for r in lined.collect())
-    from deltaloom.llm import simhash
-
-    least = {}
-    for r in simhash.simhash_groups(lined).collect():
-        least.setdefault(r.component_id, r.component_id)
-    assert {r.doc_id for r in near.collect()} == set(least)
+    assert {r.doc_id for r in near.collect()} == brute_near_kept([(r.doc_id, r.text) for r in lined.collect()])
     found = brute_findings([(r.doc_id, r.text) for r in near.collect()], [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in near.collect()} - {k[0] for k in found}
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in clean.collect()}
