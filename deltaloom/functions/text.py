@@ -30,7 +30,7 @@ def truncate(text, budget: int) -> Column:
     note = f"\n\n... [truncated: input exceeded {budget} token budget]"
     head = _byte_prefix(t, limit)
     cut = F.when(F.contains(head, F.lit("\n")), F.regexp_extract(head, r"(?s)^(.*)\n[^\n]*$", 1)).otherwise(head)
-    return F.when(F.octet_length(t) <= limit, t).otherwise(F.concat(cut, F.lit(note)))
+    return F.when(t.isNull() | (F.octet_length(t) <= limit), t).otherwise(F.concat(cut, F.lit(note)))
 
 
 def _byte_prefix(t: Column, limit: int) -> Column:

@@ -43,7 +43,7 @@ IMPORTS = {
     "Scala": r"import\s+([\w.]+)", "C": r"#\s*include\s*[<\"]([^>\"]+)", "CSharp": r"using\s+(?:static\s+)?([\w.]+)\s*;",
 }
 LIKE = {"JavaScript": "TypeScript", "Cpp": "C", "CSharp": "Java"}
-KEYWORDS = ("if", "for", "while", "switch", "return", "catch", "function", "sizeof", "match", "def", "fn", "func", "elif", "when", "super", "new")
+KEYWORDS = ("if", "for", "while", "switch", "return", "catch", "function", "sizeof", "match", "def", "fn", "func", "elif", "when", "super", "new", "async", "await", "import", "using")
 _STRINGS = re.compile(r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?\*/|(?<![\w\"'])#(?!include|\s*include|!|\[)[^\n]*", re.S)
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*\(")
 _ASSIGN = re.compile(r"(?:(?:const|let|var|val|auto|final)\s+)?([A-Za-z_$][\w$]*)\s*(?::=|=)\s*(?:await\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*\(")

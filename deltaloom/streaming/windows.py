@@ -17,7 +17,8 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def distinct_events(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Each event id once while the watermark remembers it; a timestamp without zone is taken in the session's zone."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def watched(spark, folder: str, schema) -> DataFrame:
