@@ -18,49 +18,110 @@ single task.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, two_columns
-from .tokens import encoder
+from .tokens import encoder, encoder_with_offsets
 
 CAPACITY = 2048
-#: pre-tokens whose ids a worker keeps, about 100 MB
-CACHED_WORDS = 500_000
+#: pieces of pre-tokens whose ids a worker keeps, some 130 MB
+CACHED_PIECES = 700_000
+#: bytes of text that are split and looked up together; one text may be longer
+BLOCK_BYTES = 24 << 20
+#: tokens that are gathered together
+GATHERED = 1 << 20
 #: pieces that one part of a size class holds on average
 RANKED = 50_000
 
-_cache: dict[str, dict[bytes, bytes]] = {}
+# For ASCII text the vocabulary's own splitter, on lower case: what it gives are whole pieces of any pre-token.
+_FINE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
-def _pieces(path: str, capacity: int, end_id: int):
-    """Ids as little-endian 16- or 32-bit strings per pre-token, joined per document."""
+def _encode_words(words: list[bytes], path: str, joined: int = 256) -> list[bytes]:
+    """The ids of each word as little-endian 32-bit strings; many words to a call, parted by their offsets."""
+    texts = [w.decode() for w in words]
+    parts = [texts[i:i + joined] for i in range(0, len(texts), joined)]
+    out: list[bytes] = []
+    for part, (ids, offsets) in zip(parts, encoder_with_offsets(path)([" ".join(p) for p in parts])):
+        starts = np.cumsum([0] + [len(x) + 1 for x in part])
+        cut = (np.searchsorted(np.array([o for o, _ in offsets], np.int64), starts) * 4).tolist()
+        raw = np.array(ids, "<u4").tobytes()
+        out += [raw[a:b] for a, b in zip(cut, cut[1:])]
+    return out
+
 
+class _Words:
+    """The ids of the pieces of pre-tokens that a worker has met."""
+
+    def __init__(self, path: str):
+        self.path, self.pieces = path, {}
+        # only vocabularies that lower-case may be asked for lower-cased pieces
+        self.fine = encoder(path)(["AbC dE"]) == encoder(path)(["abc de"])
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each of these distinct words."""
+        known = self.pieces
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        if self.fine:
+            # special strings are matched before anything is split, so words that may hold one stay whole
+            parts = [(w.lower(),) if w.isalpha() else _FINE.findall(w.lower()) if w.isascii() and b"<|" not in w else (w,) for w in words]
+        else:
+            parts = [(w,) for w in words]
+        need = list(set(chain.from_iterable(parts)).difference(known))
+        for i in range(0, len(need), 8192):
+            known.update(zip(need[i:i + 8192], _encode_words(need[i:i + 8192], self.path)))
+        return [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
+
+    def documents(self, texts: pa.Array):
+        """The ids of each text as a 32-bit array."""
+        lists = pc.ascii_split_whitespace(texts)
+        ends = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        words = coded.indices.to_numpy()
+        ids = self.ids(coded.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        arena = np.frombuffer(b"".join(ids), "<u4")
+        base, doc = ends[0], 0
+        while doc < len(ends) - 1:
+            # documents whose words are few enough to gather at once, one at least
+            last = max(doc + 1, int(np.searchsorted(ends, ends[doc] + GATHERED // 4, "right")) - 1)
+            w = words[ends[doc] - base:ends[last] - base]
+            n = size[w]
+            upto = np.concatenate(([0], np.cumsum(n)))
+            tokens = arena[np.repeat(first[w] - upto[:-1], n) + np.arange(upto[-1])]
+            cut = upto[ends[doc:last + 1] - ends[doc]]
+            for a, b in zip(cut.tolist(), cut[1:].tolist()):
+                yield tokens[a:b]
+            doc = last
+
+
+_cache: dict[str, _Words] = {}
+
+
+def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        encode, known = encoder(path), _cache.setdefault(path, {})
+        known = _cache.get(path) or _cache.setdefault(path, _Words(path))
         end = end_id.to_bytes(4, "little")
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for at in range(0, b.num_rows, 200):
-                c = b.slice(at, 200)
-                texts = [t.split() for t in c.column(1).cast(pa.binary()).to_pylist()]
-                new = list(set().union(*texts).difference(known))
-                if new:
-                    if len(known) + len(new) > CACHED_WORDS:
-                        known.clear()
-                        new = list(set().union(*texts))
-                    for i in range(0, len(new), 5000):
-                        part = new[i:i + 5000]
-                        for w, ids in zip(part, encode([w.decode() for w in part])):
-                            known[w] = np.array(ids, "<u4").tobytes()
-                for doc, words in zip(c.column(0).to_pylist(), texts):
-                    ids = b"".join([known[w] for w in words]) + end
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[start:start + 4 * capacity]
+            docs = b.column(0).to_pylist()
+            block = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // BLOCK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                for doc, ids in zip(docs[at:to], known.documents(b.column(1).slice(at, to - at)) if to > at else ()):
+                    raw = ids.tobytes() + end
+                    for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
+                        cut = raw[start:start + 4 * capacity]
                         for col, v in zip(out, (doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut))):
                             col.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

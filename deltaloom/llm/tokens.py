@@ -54,6 +54,20 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def encoder_with_offsets(path: str):
+    """``list[str] -> list[(ids, offsets)]`` for a ``tokenizers`` .json file; one per process."""
+    key = (path, "offsets")
+    if key not in _encoders:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        _encoders[key] = lambda texts: [(e.ids, e.offsets) for e in t.encode_batch(texts, add_special_tokens=False)]
+    return _encoders[key]
+
+
 def _vocabulary(batches):
     held: Counter = Counter()
 
