@@ -89,3 +89,15 @@ def pattern(callee) -> Column:
 def edge_type(pattern_column) -> Column:
     pairs = [F.lit(x) for kv in EDGE_OF_PATTERN.items() for x in kv]
     return F.element_at(F.create_map(*pairs), _c(pattern_column))
+
+
+def frameworks(imports, dictionary):
+    """``imports(target, source)``, ``dictionary(pattern, name)`` -> distinct ``(target, name)``.
+
+    A pattern is the whole source, or goes before one of ``/ . : \\`` in it. The
+    source's prefixes at those places are exploded and met by equality.
+    """
+    cuts = F.filter(F.sequence(F.lit(1), F.length("source")), lambda i: F.substr("source", i, F.lit(1)).isin("/", ".", ":", "\\"))
+    heads = F.concat(F.array("source"), F.transform(cuts, lambda i: F.substr("source", F.lit(1), i - 1)))
+    spread = imports.where("source <> ''").select("target", F.explode(F.array_distinct(heads)).alias("pattern"))
+    return spread.join(dictionary.select("pattern", "name"), "pattern").select("target", "name").distinct()

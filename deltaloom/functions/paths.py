@@ -91,6 +91,9 @@ GENERIC_TOPICS = (
 )
 WORKSPACE_ROOTS = ("apps", "packages", "services", "workers", "libs", "modules", "crates")
 CONTAINERS = ("services", "workers", "libs", "modules", "packages", "features", "domains", "core", "shared", "ui")
+FALLBACK_DOCS = {"dir": ("documentation/docs/", "www/docs/", "content/docs/", "site/content/"), "at": ("docs/tutorial/", "docs/advanced/")}
+CODE_DOCS = {"has": ("/src/docs/", "/resources/mdtest/"), "dir": ("docs_src/",), "at": ("docs/tutorial/", "docs/advanced/", "docs/how-to/", "docs/guide/", "docs/guides/", "docs/reference/")}
+LOCALIZED_DOCS = r"^docs/[a-z-]{2,8}/docs/"
 PARTITION_NAMES = {
     "Infrastructure": "infrastructure", "Schema": "schema", "Script": "script", "Migration": "migration", "Deployment": "deployment",
     "Documentation": "documentation", "Lint": "lint", "TestUtil": "test-util", "Generated": "generated",
@@ -191,6 +194,25 @@ def is_top_level_doc(path) -> Column:
     return low.isin(*API_DOCS) | landing | root | file_name(low).isin(*ANY_DEPTH_DOCS)
 
 
+def is_root_docs_page(path) -> Column:
+    """A page directly under docs/, not localized and no landing page."""
+    low = F.lower(_c(path))
+    return ~is_top_level_doc(path) & ~low.rlike(LOCALIZED_DOCS) & low.rlike(r"^docs/[^/]*$") & F.substring_index(low, ".", -1).isin(*DOC_EXTENSIONS)
+
+
+def is_doc_fallback(path, root_docs: Column) -> Column:
+    """A document that describes code and may go to the largest group; ``root_docs`` counts the root pages of its change."""
+    low = F.lower(_c(path))
+    text = F.substring_index(low, ".", -1).isin(*DOC_EXTENSIONS) & ~is_top_level_doc(path) & ~low.rlike(LOCALIZED_DOCS)
+    return text & (matches(path, FALLBACK_DOCS) | (is_root_docs_page(path) & (root_docs >= 3)))
+
+
+def is_code_doc(path, root_docs: Column) -> Column:
+    low = F.lower(_c(path))
+    text = F.substring_index(low, ".", -1).isin(*DOC_EXTENSIONS) & ~is_top_level_doc(path) & ~low.rlike(LOCALIZED_DOCS)
+    return text & (matches(path, CODE_DOCS) | is_doc_fallback(path, root_docs))
+
+
 def role(path) -> Column:
     low = F.lower(_c(path))
     out = F.lit("Infrastructure")

@@ -125,3 +125,64 @@ def infra_groups(files: DataFrame) -> DataFrame:
 def partitions(files: DataFrame) -> DataFrame:
     """Partition key of each file of a very large change."""
     return files.select("diff_id", "path", *[c.alias(n) for n, c in paths.partition_key("path").items()])
+
+
+def exact_directory(files: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The group with the most files in the file's own directory, if no other has as many."""
+    count = grouped.withColumn("dir", paths.parent_dir("path")).groupBy("diff_id", "dir", "group_id").agg(F.count("*").alias("n"))
+    best = count.groupBy("diff_id", "dir").agg(F.max("n").alias("top"))
+    first = count.join(best, ["diff_id", "dir"]).where("n = top").groupBy("diff_id", "dir").agg(F.count("*").alias("ties"), F.min("group_id").alias("group_id")).where("ties = 1")
+    return files.withColumn("dir", paths.parent_dir("path")).join(first, ["diff_id", "dir"]).select("diff_id", "path", "group_id")
+
+
+def rescue(files: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``files(diff_id, path)`` that no entry point reached -> ``(diff_id, path, group_id)``, null: infrastructure.
+
+    Documentation goes by topic, else to the largest group (the last of
+    equals) if it describes code; schemas and generated code by topic; plain
+    source by the nearest directory, then by topic, native source at last by
+    its exact directory. The rest stays infrastructure.
+    """
+    docs = F.sum(paths.is_root_docs_page("path").cast("int")).over(Window.partitionBy("diff_id"))
+    f = files.select("diff_id", "path").distinct().withColumns({"kind": paths.category("path"), "like": paths.is_config_like("path"), "root_docs": docs})
+    f = f.withColumn("fallback", paths.is_doc_fallback("path", F.col("root_docs")))
+    near = nearest_directory(files, grouped).select("diff_id", "path", F.col("group_id").alias("near"))
+    topic = topic_affinity(files, grouped).select("diff_id", "path", F.col("group_id").alias("topic"))
+    same = exact_directory(files, grouped).select("diff_id", "path", F.col("group_id").alias("same"))
+    sizes = grouped.groupBy("diff_id", "group_id").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("diff_id").agg(F.max(F.struct("n", "group_id")).alias("b")).select("diff_id", F.col("b.group_id").alias("largest"))
+    j = f.join(near, ["diff_id", "path"], "left").join(topic, ["diff_id", "path"], "left").join(same, ["diff_id", "path"], "left").join(largest, "diff_id", "left")
+    native = F.lower(F.substring_index("path", ".", -1)).isin("c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx", "h++")
+    to = (
+        F.when(F.col("kind") == "Documentation", F.coalesce("topic", F.when(F.col("fallback"), F.col("largest"))))
+        .when(F.col("kind").isin("Schema", "Generated"), F.col("topic")).when((F.col("kind") != "Unclassified") | F.col("like"), None)
+        .otherwise(F.coalesce("near", "topic", F.when(native, F.col("same"))))
+    )
+    return j.select("diff_id", "path", to.alias("group_id"))
+
+
+def merge_by_stem(files: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """``(diff_id, group_id, path)``: groups are merged while a stem lies in exactly two of them, once as a test
+    and once not.
+
+    Merging never undoes such a pair, so the order of merges does not change
+    the outcome and all pairs of a round are merged at once, as components.
+    The larger group's id stays; of equals the implementation's.
+    """
+    from . import reach
+
+    now = materialize(files.select("diff_id", "group_id", "path", paths.bare_stem("path").alias("stem"), paths.is_test_file("path").alias("test")))
+    for _ in range(max_rounds):
+        s = now.where("stem <> ''").groupBy("diff_id", "stem").agg(
+            F.count_distinct("group_id").alias("groups"), F.min(F.when(F.col("test"), F.col("group_id"))).alias("t"), F.min(F.when(~F.col("test"), F.col("group_id"))).alias("i"))
+        pairs = materialize(s.where("groups = 2 and t is not null and i is not null and t <> i").select("diff_id", "t", "i").distinct())
+        if pairs.isEmpty():
+            break
+        node = lambda c: F.concat(F.col("diff_id").cast("string"), F.lit("/"), F.col(c).cast("string"))
+        nodes = now.select(node("group_id").alias("node")).distinct()
+        comp = reach.components(pairs.select(node("t").alias("src"), node("i").alias("dst")), nodes)
+        sizes = now.groupBy("diff_id", "group_id").agg(F.count("*").alias("n"), F.count_if(~F.col("test")).alias("impl")).withColumn("node", node("group_id"))
+        lead = sizes.join(comp, "node").groupBy("component").agg(F.max_by("group_id", F.struct("n", "impl", "node")).alias("to_group"))
+        to = comp.join(lead, "component").select("node", "to_group")
+        now = materialize(now.withColumn("node", node("group_id")).join(to, "node").select("diff_id", F.col("to_group").alias("group_id"), "path", "stem", "test"))
+    return now.select("diff_id", "group_id", "path")

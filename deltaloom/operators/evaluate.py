@@ -87,3 +87,56 @@ def regressions(history: DataFrame, series: str, order: str, value: str, toleran
 def judge_scores(answers: DataFrame) -> DataFrame:
     """Scores of 1 to 5 as 0 to 1."""
     return answers.withColumn("normalized", (F.col("score") - 1) / 4.0)
+
+
+def coherence(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per target the weighted best match of expected groups.
+
+    ``files(target, group_id, path)``, null group: infrastructure; ``expected(target,
+    exp_id, needle, must)``: what a group's paths should (or should not) contain.
+    """
+    met = files.join(expected, "target").where(F.contains("path", F.col("needle")))
+    hit = met.select("target", "exp_id", "group_id", "needle", "must").distinct()
+    total = expected.groupBy("target", "exp_id").agg(F.count_if("must").alias("want"), F.count_if(~F.col("must")).alias("avoid"))
+    per = hit.groupBy("target", "exp_id", "group_id").agg(F.count_if("must").alias("have"), F.count_if(~F.col("must")).alias("bad")).join(total, ["target", "exp_id"])
+    one = F.greatest(F.lit(0.0), ratio(F.col("have"), F.col("want")) - 0.5 * ratio(F.col("bad"), F.col("avoid")))
+    best = per.groupBy("target", "exp_id").agg(
+        F.max(F.when(F.col("group_id").isNotNull(), one)).alias("best"), F.max(F.when(F.col("group_id").isNull() & (F.col("have") > 0), F.col("have"))).alias("leaked"))
+    j = total.join(best, ["target", "exp_id"], "left")
+    value = F.when(F.col("want") == 0, 0.0).otherwise(F.coalesce("best", F.lit(0.0)))
+    capped = F.when(F.col("leaked").isNotNull(), F.least(value, 1.0 - F.col("leaked") / F.col("want"))).otherwise(value)
+    weight = F.greatest(F.col("want"), F.lit(1))
+    return j.groupBy("target").agg(F.round(F.sum(capped * weight) / F.sum(weight), 6).alias("coherence"))
+
+
+def entrypoint_accuracy(entrypoints: DataFrame, expected: DataFrame) -> DataFrame:
+    """``entrypoints(target, file, type)``, ``expected(target, exp_id, file_contains, type)`` -> matched share."""
+    found = expected.join(entrypoints.select("target", "type", "file"), ["target", "type"]).where(F.contains("file", F.col("file_contains"))).select("target", "exp_id").distinct().withColumn("ok", F.lit(1.0))
+    return expected.join(found, ["target", "exp_id"], "left").groupBy("target").agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("entrypoints"))
+
+
+def review_ordering(orders: DataFrame, constraints: DataFrame) -> DataFrame:
+    """``orders(target, path, review_order)``, ``constraints(target, c_id, higher, lower)`` -> satisfied share.
+
+    A missing lower file satisfies, a missing higher one does not.
+    """
+    c = constraints.join(orders.select("target", F.col("path").alias("higher"), F.col("review_order").alias("h")), ["target", "higher"], "left")
+    c = c.join(orders.select("target", F.col("path").alias("lower"), F.col("review_order").alias("l")), ["target", "lower"], "left")
+    ok = F.when(F.col("h").isNull(), 0.0).when(F.col("l").isNull() | (F.col("h") <= F.col("l")), 1.0).otherwise(0.0)
+    return c.groupBy("target").agg(F.round(F.avg(ok), 6).alias("ordering"))
+
+
+def risk_reasonableness(groups: DataFrame) -> DataFrame:
+    """``groups(target, group_id, risk, review_order, n_files)`` -> 1 less a quarter for each bad value and a tenth for equal orders."""
+    bad = F.sum(((F.col("risk") < 0) | (F.col("risk") > 1)).cast("int") + (F.col("review_order") < 1).cast("int") + (F.col("n_files") == 0).cast("int"))
+    return groups.groupBy("target").agg(F.round(F.greatest(F.lit(0.0), 1.0 - 0.25 * bad - F.when(F.count_distinct("review_order") < F.count("*"), 0.1).otherwise(0.0)), 6).alias("risk"))
+
+
+def language_recall(detected: DataFrame, expected: DataFrame) -> DataFrame:
+    found = expected.join(detected.select("target", "language").distinct().withColumn("ok", F.lit(1.0)), ["target", "language"], "left")
+    return found.groupBy("target").agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("languages"))
+
+
+def corpus_balance(targets: DataFrame, least: int) -> DataFrame:
+    """Languages with fewer targets than they need."""
+    return targets.groupBy("language").agg(F.count("*").alias("n")).where(F.col("n") < least)

@@ -353,6 +353,80 @@ def infra_groups(spark, sf):
     return cluster.infra_groups(changed_files(spark, sf))
 
 
+@query(f"""WITH {_SPLIT_SQL}, d AS (SELECT diff_id, CASE WHEN contains(path, '/') THEN {o.DIR} ELSE '.' END AS dir, group_id, count(*) AS n FROM gr GROUP BY ALL),
+t AS (SELECT *, rank() OVER (PARTITION BY diff_id, dir ORDER BY n DESC) AS rk FROM d), one AS (SELECT diff_id, dir, min(group_id) AS group_id FROM t WHERE rk = 1 GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT l.diff_id, l.path, one.group_id FROM (SELECT *, CASE WHEN contains(path, '/') THEN {o.DIR} ELSE '.' END AS dir FROM loose) l JOIN one ON one.diff_id = l.diff_id AND one.dir = l.dir""")
+def exact_directory(spark, sf):
+    return cluster.exact_directory(*_split(spark, sf))
+
+
+@query()
+def rescue_cascade(spark, sf):
+    return cluster.rescue(*_split(spark, sf))
+
+
+@query()
+def stem_merges(spark, sf):
+    return cluster.merge_by_stem(_split(spark, sf)[1])
+
+
+@query("""WITH d AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'HttpRoute' WHEN 1 THEN 'CliCommand' ELSE 'TestFile' END AS entrypoint_type, event_id % 7 AS detector FROM events)
+SELECT user_id AS file, event_type AS symbol, entrypoint_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY detector, event_id) AS n FROM d) WHERE n = 1""")
+def entrypoints_dedup(spark, sf):
+    e = table(spark, sf, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "HttpRoute").when(F.col("event_id") % 3 == 1, "CliCommand").otherwise("TestFile")
+    best = F.min(F.struct((F.col("event_id") % 7).alias("detector"), "event_id", kind.alias("entrypoint_type"))).alias("b")
+    return e.groupBy(F.col("user_id").alias("file"), F.col("event_type").alias("symbol")).agg(best).select("file", "symbol", "b.entrypoint_type")
+
+
+_DICTIONARY = (("src0/en", "A"), ("src1", "B"), ("src2/de", "C"), ("src", "D"), ("src3/fr/x1", "E"), ("src4", "F"))
+
+
+@query(f"""WITH dict(pattern, name) AS (VALUES {', '.join(map(str, _DICTIONARY))}), i AS (SELECT doc_id % 10 AS target, source || '/' || lang || '/x' || (doc_id % 3) AS source FROM documents)
+SELECT DISTINCT target, name FROM i JOIN dict ON source = pattern OR regexp_matches(source, '^' || pattern || '[/.:]')""")
+def frameworks(spark, sf):
+    i = table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("target"), F.concat_ws("/", "source", "lang", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string"))).alias("source"))
+    return call_rules.frameworks(i, spark.createDataFrame(_DICTIONARY, "pattern string, name string"))
+
+
+@query(f"""WITH {FILES_SQL}, f AS (SELECT diff_id AS target, path, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 4 END AS group_id FROM files),
+x(exp_id, needle, must) AS (VALUES (1, 'service', TRUE), (1, 'route', TRUE), (1, '.md', FALSE), (2, 'test', TRUE), (2, 'config', FALSE)),
+t AS (SELECT exp_id, count(*) FILTER (must) AS want, count(*) FILTER (NOT must) AS avoid FROM x GROUP BY 1), h AS (SELECT DISTINCT target, exp_id, group_id, needle, must FROM f JOIN x ON contains(path, needle)),
+p AS (SELECT target, exp_id, group_id, count(*) FILTER (must) AS have, count(*) FILTER (NOT must) AS bad FROM h GROUP BY ALL),
+b AS (SELECT target, exp_id, max(greatest(0, have::DOUBLE / want - 0.5 * bad / avoid)) FILTER (group_id IS NOT NULL) AS best, max(have) FILTER (group_id IS NULL AND have > 0) AS leaked FROM p JOIN t USING (exp_id) GROUP BY 1, 2),
+j AS (SELECT tg.target, t.exp_id, want, coalesce(best, 0) AS v, leaked FROM (SELECT DISTINCT target FROM f) tg CROSS JOIN t LEFT JOIN b ON b.target = tg.target AND b.exp_id = t.exp_id)
+SELECT target, round(CAST(sum(CASE WHEN leaked IS NULL THEN v ELSE least(v, 1 - leaked::DOUBLE / want) END * want) / sum(want) AS DOUBLE), 6) AS coherence FROM j GROUP BY 1""")
+def group_coherence(spark, sf):
+    f = changed_files(spark, sf).select(F.col("diff_id").alias("target"), "path", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 4).alias("group_id"))
+    x = F.array(*[F.struct(F.lit(e).alias("exp_id"), F.lit(n).alias("needle"), F.lit(m).alias("must")) for e, n, m in ((1, "service", True), (1, "route", True), (1, ".md", False), (2, "test", True), (2, "config", False))])
+    return evaluate.coherence(f, f.select("target").distinct().select("target", F.inline(x)))
+
+
+@query("""WITH o AS (SELECT n_regionkey AS target, n_name AS path, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS ro FROM nation),
+c AS (SELECT a.n_regionkey AS target, a.n_nationkey AS c_id, a.n_name AS higher, b.n_name AS lower FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 3) % 25)
+SELECT c.target, round(avg(CASE WHEN h.ro IS NULL THEN 0.0 WHEN l.ro IS NULL OR h.ro <= l.ro THEN 1.0 ELSE 0.0 END), 6) AS ordering FROM c LEFT JOIN o h ON h.target = c.target AND h.path = higher LEFT JOIN o l ON l.target = c.target AND l.path = lower GROUP BY 1""")
+def review_ordering(spark, sf):
+    n = table(spark, sf, "nation")
+    orders = n.select(F.col("n_regionkey").alias("target"), F.col("n_name").alias("path"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("n_nationkey"))).alias("review_order"))
+    other = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("lower"))
+    c = n.withColumn("k", F.col("n_nationkey") * 3 % 25).join(other, "k").select(F.col("n_regionkey").alias("target"), F.col("n_nationkey").alias("c_id"), F.col("n_name").alias("higher"), "lower")
+    return evaluate.review_ordering(orders, c)
+
+
+@query()
+def analyze(spark, sf):
+    """The engine from sources to ranked groups; a change for each part brand."""
+    from ..engine import Engine
+
+    p = table(spark, sf, "part").select(F.crc32("p_brand").alias("diff_id"), "p_partkey", "p_size")
+    k = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("src/routes/r"), k, F.lit(".ts"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("src/services/s"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("docs/d"), k, F.lit(".md")))
+    body = F.concat(F.lit("import { go } from '../services/s"), (F.col("p_partkey") + 1).cast("string"), F.lit("'\nexport function f"), k, F.lit("(a) {\n  return go(a)\n}\n"))
+    none = F.lit(None).cast("string")
+    changes = p.select("diff_id", none.alias("old_path"), path.alias("new_path"), none.alias("old_content"), body.alias("new_content"), F.col("p_size").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    return Engine().tables(changes)["groups"]
+
+
 # --- similarity -------------------------------------------------------------------
 
 @query(f"WITH {_PAIRS_SQL} SELECT a, b, round(s, 4) AS similarity FROM pairs")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the cluster names it; one of our own only where it is unset."""
@@ -16,12 +19,35 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean, spark)
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Written as Parquet in the shared folder and read back: no lineage behind it."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """``df`` written as Parquet in the shared folder and read back.
+
+    Cuts the lineage, so that an executor lost later costs a reread and not a
+    recomputation, and lets several consumers share one evaluation.
+    """
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _clean(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _made:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the session has ended already; whoever owns the folder cleans it
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -202,3 +202,20 @@ def test_activity(spark):
     assert {(r.job, r.seq) for r in activity.until_terminal(log, "job", "seq", "terminal").collect()} == {(1, 0), (1, 1), (2, 0)}
     lines = spark.createDataFrame([("j", 0, '{"type": "error", "message": "m"}'), ("j", 1, "plain")], "job_id string, seq long, line string")
     assert [(r.event_name, r.level, r.message) for r in activity.normalize_lines(lines).orderBy("seq").collect()] == [("error", "error", "m"), ("text", "info", "plain")]
+
+
+def test_stem_merges_and_rescue(spark):
+    g = spark.createDataFrame([(1, 1, "a/user.ts"), (1, 1, "a/x.ts"), (1, 2, "t/user.test.ts"), (1, 3, "t/pay.test.ts"), (1, 4, "b/pay.ts"), (1, 4, "b/cart.ts"), (1, 5, "t/cart.test.ts"), (1, 6, "c/index.ts"), (2, 2, "t/user.test.ts")], "diff_id long, group_id long, path string")
+    got = {(r.diff_id, r.path): r.group_id for r in cluster.merge_by_stem(g).collect()}
+    assert got[(1, "a/user.ts")] == got[(1, "t/user.test.ts")] == 1 and got[(1, "t/pay.test.ts")] == got[(1, "b/pay.ts")] == got[(1, "t/cart.test.ts")] == 4
+    assert got[(1, "c/index.ts")] == 6 and got[(2, "t/user.test.ts")] == 2 and len(got) == 9
+    grouped = spark.createDataFrame([(1, 1, "src/auth/login/a.ts"), (1, 1, "src/auth/login/b.ts"), (1, 2, "src/pay/card/x.ts")], "diff_id long, group_id long, path string")
+    loose = spark.createDataFrame([(1, p) for p in ("src/auth/other/z.ts", "package.json", "docs/tutorial/intro.md", "docs/x.md", "zzz/q.ts", "src/schemas/card_pay.ts", "README.md")], "diff_id long, path string")
+    to = {r.path: r.group_id for r in cluster.rescue(loose, grouped).collect()}
+    assert to == {"src/auth/other/z.ts": 1, "package.json": None, "docs/tutorial/intro.md": 1, "docs/x.md": None, "zzz/q.ts": None, "src/schemas/card_pay.ts": 2, "README.md": None}
+
+
+def test_comments(spark):
+    c = spark.createDataFrame([("h", "2", "code", "g", "a.ts", 1, 3, "x = 1", "why\nso", "t2"), ("h", "1", "group", "g", None, None, None, None, "all", "t1")],
+                              "analysis string, id string, type string, group_id string, file_path string, start_line int, end_line int, selected_code string, text string, created_at string")
+    assert caches.export_comments(c).first().export == "g\n> all\n\na.ts:1-3\n```\nx = 1\n```\n> why\n> so"
