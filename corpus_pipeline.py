@@ -10,14 +10,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import decontam, linededup, packing, quality, simhash
-from deltaloom.llm.common import shared_dir, table
+from deltaloom.llm.common import shared_path, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -69,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = shared_path(spark)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -1,62 +1,16 @@
-"""Shared helpers: lineage cuts in the shared folder, column handling, paths."""
+"""Shared helpers: column handling, and the library's cuts in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: bytes of an ASCII white-space separated word, as the query contracts state it
-WORD = r"[^\x20\x09-\x0D]+"
-
-_made: list = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it.
-
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (single-machine tests) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage, so that an executor lost later costs a reread and not a
-    recomputation, and lets several consumers share one evaluation. The files
-    go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean, spark)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import materialize, shared_dir, shared_path, table
 
+__all__ = ["WORD", "materialize", "shared_dir", "shared_path", "table", "two_columns"]
 
-def _clean(spark: SparkSession) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _made:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the session is gone already; its owner cleans the folder
-        pass
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: a word, as the query contracts state it
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def two_columns(df: DataFrame, id_col: str, text_col: str, null_text: str | None = "") -> DataFrame:

@@ -24,32 +24,46 @@ FANOUT = 16
 LEVELS = 3
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_pages: int = ARCHIVE_PAGES) -> DataFrame:
-    """``(archive, seq, page_id, offset, length, record)``; ``record`` is the bytes of a WARC/1.1 response.
+def stored(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_pages: int = ARCHIVE_PAGES) -> DataFrame:
+    """``(archive, page_id, url, length, record)``; ``record`` is the bytes of a WARC/1.1 response.
 
     A null url or html is empty; pages without an id are dealt by a hash of
     their url and html to archives of negative numbers. Repeated rows are
-    records of their own. Ties of the id go by url, then html.
+    records of their own.
     """
     url, html = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (url_col, html_col))
     page = F.col(id_col).cast("long")
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), html)
     rows = pages.select(
-        F.coalesce(F.floor(page / archive_pages), -1 - F.pmod(F.xxhash64(url, html), F.lit(1 << 16))).cast("long").alias("archive"),
-        page.alias("page_id"), url.alias("u"), html.alias("h"),
+        F.coalesce(F.floor(page / archive_pages), -1 - F.pmod(F.xxhash64(url, html), F.lit(1 << 16))).cast("long").alias("archive"), page.alias("page_id"), url.alias("url"),
         F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page.cast("string"), F.lit("-")),
                  F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "),
                  F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    order = Window.partitionBy("archive").orderBy("page_id", "u", "h")
+    return rows.withColumn("length", F.octet_length("record").cast("long"))
+
+
+def _placed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Adds the place in the archive; ties of the id go by url, then digest."""
+    order = Window.partitionBy("archive").orderBy("page_id", "url", "sha256")
     return rows.select(
         "archive", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id",
-        F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "record")
+        F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", *keep)
+
 
+def records(pages: DataFrame, **columns) -> DataFrame:
+    """``(archive, seq, page_id, offset, length, record)``: what is written, in order."""
+    return _placed(stored(pages, **columns).withColumn("sha256", F.sha2("record", 256)), "record")
 
-def digests(recs: DataFrame) -> DataFrame:
-    """``(archive, seq, page_id, offset, length, sha256)`` of records as they are stored."""
-    return recs.select("archive", "seq", "page_id", "offset", "length", F.sha2("record", 256).alias("sha256"))
+
+def digests(rows: DataFrame) -> DataFrame:
+    """``(archive, seq, page_id, offset, length, sha256)`` of what ``stored`` or ``records`` gives.
+
+    Digests are taken where the records lie; only they and the lengths move.
+    """
+    rows = rows.withColumn("sha256", F.sha2("record", 256))
+    if "offset" in rows.columns:
+        return rows.select("archive", "seq", "page_id", "offset", "length", "sha256")
+    return _placed(rows.drop("record"), "sha256")
 
 
 def _gathered(nodes: DataFrame, keys: list, at: str) -> DataFrame:
