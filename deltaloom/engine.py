@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import paths
-from .operators import cluster, entrypoints, graph, output, rank, reach
+from .operators import cluster, entrypoints, evaluate, graph, output, rank, reach
 from .sources import config as conf
 from .sources.parse import parse
 from .sources.shared import materialize
@@ -67,24 +67,57 @@ class Engine:
         near = near.withColumn("diff_id", F.substring_index("entry", "/", 1).cast("long")).select("diff_id", "entry", F.col("node").alias("path"), "distance")
         assigned = materialize(cluster.assign(near))
         own = F.expr("substring(path, instr(path, '/') + 1)")
-        # what no entry point reaches goes by directory, or to infrastructure
-        rest = marked.select("diff_id", "path").join(assigned.select("diff_id", "path"), ["diff_id", "path"], "left_anti").withColumn("own", own)
-        kind, like = paths.category("own"), paths.is_config_like("own")
-        rest = materialize(rest.withColumn("infra", (kind != "Unclassified") | like))
-        loose = rest.where("not infra").select("diff_id", "path", F.concat(F.lit("dir:"), paths.parent_dir("own")).alias("entry"), F.lit(0).cast("long").alias("distance"))
-        placed = cluster.positions(assigned.select("diff_id", "path", "entry", "distance").unionByName(loose))
-        names = starts.select("diff_id", F.col("entry").alias("n_entry"), paths.group_name("entry", "symbol", "entrypoint_type").alias("entry_name"))
-        named = placed.join(names.withColumnRenamed("diff_id", "n_diff"), (F.col("diff_id") == F.col("n_diff")) & (F.col("entry") == F.col("n_entry")), "left").withColumn("name", F.coalesce("entry_name", F.expr("substring(entry, 5)")))
-        ids = named.select("diff_id", "entry", "name").distinct().withColumn("n", F.row_number().over(Window.partitionBy("diff_id").orderBy("entry")))
-        ids = materialize(ids.select("diff_id", "entry", "name", F.concat(F.lit("group_"), F.col("n").cast("string")).alias("group_id")))
-        stats = marked.select(F.col("diff_id").alias("t_diff"), F.col("path").alias("t_path"), "additions", "deletions")
-        files = placed.join(ids, ["diff_id", "entry"]).join(stats, (F.col("diff_id") == F.col("t_diff")) & (F.col("path") == F.col("t_path"))).withColumn("own", own)
-        files = materialize(files.select("diff_id", "group_id", F.col("own").alias("path"), "flow_position", F.when(F.col("path") == F.col("entry"), "Entrypoint").otherwise(paths.role("own")).alias("role"), "additions", "deletions"))
+        rest = marked.select("diff_id", "path").join(assigned.select("diff_id", "path"), ["diff_id", "path"], "left_anti").select("diff_id", own.alias("path"))
+        rest = materialize(rest)
+        # groups of entry points, numbered within the change; tests go with what they test
+        ranked = assigned.select("diff_id", "entry").distinct().withColumn("group_no", F.row_number().over(Window.partitionBy("diff_id").orderBy("entry")).cast("long"))
+        ranked = materialize(ranked)
+        placed = materialize(assigned.join(ranked, ["diff_id", "entry"]).select("diff_id", F.col("group_no").alias("group_id"), own.alias("path"), "distance"))
+        moved = cluster.move_tests(placed.select("diff_id", "group_id", "path")).select("diff_id", "path", "group_id")
+        reached = materialize(placed.select("diff_id", "path", "distance").join(moved, ["diff_id", "path"]).withColumn("late", F.lit(0)))
+        # what no entry point reaches: by rescue where there are groups, else by directory
+        with_groups = ranked.select("diff_id").distinct()
+        saved = materialize(cluster.rescue(rest.join(with_groups, "diff_id", "left_semi"), reached.select("diff_id", "group_id", "path")))
+        alone = materialize(rest.join(with_groups, "diff_id", "left_anti").withColumn("infra", (paths.category("path") != "Unclassified") | paths.is_config_like("path")))
+        extra = saved.where("group_id is not null").select("diff_id", "path", F.lit(0).cast("long").alias("distance"), "group_id", F.lit(1).alias("late"))
+        names = starts.join(ranked, ["diff_id", "entry"]).select("diff_id", F.col("group_no").alias("group_id"), F.col("entry").alias("entry_key"), paths.group_name("entry", "symbol", "entrypoint_type").alias("name"))
+        members = reached.unionByName(extra)
+        if not alone.where("not infra").isEmpty():
+            d = cluster.directory_groups(alone.where("not infra"))
+            d = d.withColumn("grp", F.dense_rank().over(Window.partitionBy("diff_id").orderBy("name")).cast("long")).withColumn("has_entry", F.lit(False))
+            d = cluster.consolidate(d.select("diff_id", "grp", "name", "has_entry", "path"))
+            members = members.unionByName(d.select("diff_id", "path", F.lit(0).cast("long").alias("distance"), F.col("grp").alias("group_id"), F.lit(0).alias("late")))
+            names = names.unionByName(d.select("diff_id", F.col("grp").alias("group_id"), F.lit(None).cast("string").alias("entry_key"), "name").distinct())
+        members, names = materialize(members), materialize(names)
+        merged = cluster.merge_by_stem(members.select("diff_id", "group_id", "path"))
+        final = members.drop("group_id").join(merged, ["diff_id", "path"])
+        order = Window.partitionBy("diff_id", "group_id").orderBy("late", "distance", "path")
+        heads = names.where("entry_key is not null").select("diff_id", F.expr("substring(entry_key, instr(entry_key, '/') + 1)").alias("path"), F.lit(True).alias("is_entry"))
+        stats = facts.select("diff_id", "path", "additions", "deletions")
+        files = final.withColumn("flow_position", (F.row_number().over(order) - 1).cast("long")).join(stats, ["diff_id", "path"]).join(heads, ["diff_id", "path"], "left")
+        # a rescued file's role is not read from its path
+        role = F.when(F.col("is_entry"), "Entrypoint").when(F.col("late") == 1, "Infrastructure").otherwise(paths.role("path"))
+        group = F.concat(F.lit("group_"), F.col("group_id").cast("string"))
+        files = materialize(files.select("diff_id", group.alias("group_id"), "path", "flow_position", role.alias("role"), "additions", "deletions"))
+        ids = names.select("diff_id", group.alias("group_id"), "name")
+        infra_files = saved.where("group_id is null").select("diff_id", "path").unionByName(alone.where("infra").select("diff_id", "path"))
         feats = rank.group_features(files.withColumns(paths.risk_flags("path")), ["diff_id", "group_id"])
         groups = rank.rank_groups(feats, "diff_id", "group_id", self.config.get("ranking")).join(ids.select("diff_id", "group_id", "name"), ["diff_id", "group_id"])
         plain = edges.select(F.substring_index("src", "/", 1).cast("long").alias("diff_id"), F.expr("substring(src, instr(src, '/') + 1)").alias("src"), F.expr("substring(dst, instr(dst, '/') + 1)").alias("dst"), "edge_type")
         a = files.select("diff_id", F.col("path").alias("src"), "group_id")
         b = files.select("diff_id", F.col("path").alias("dst"), F.col("group_id").alias("g2"))
         inner = plain.join(a, ["diff_id", "src"]).join(b, ["diff_id", "dst"]).where("group_id = g2").select("diff_id", "group_id", "src", "dst", "edge_type")
-        infra = cluster.infra_groups(rest.where("infra").select("diff_id", F.col("own").alias("path")))
+        infra = cluster.infra_groups(infra_files)
         return {"facts": facts, "entrypoints": entries, "files": files, "groups": groups, "edges": inner, "infrastructure": infra}
+
+    def export_manifest(self, tables: dict[str, DataFrame]) -> DataFrame:
+        """One row a group, with its ordered files."""
+        files = tables["files"].select("diff_id", "group_id", "path")
+        groups = tables["groups"].select("diff_id", "group_id", "name", "review_order")
+        return files.join(groups, ["diff_id", "group_id"]).groupBy("diff_id", "group_id", "name", "review_order").agg(F.sort_array(F.collect_list("path")).alias("files"))
+
+    def evaluate(self, tables: dict[str, DataFrame], thresholds: dict | None = None) -> DataFrame:
+        """Metrics and scores of each change's grouping."""
+        placed = tables["files"].select(F.col("diff_id").alias("target"), "group_id", "path")
+        infra = tables["infrastructure"].select(F.col("diff_id").alias("target"), F.lit(None).cast("string").alias("group_id"), "path")
+        return evaluate.score(evaluate.metrics(placed.unionByName(infra)), thresholds)

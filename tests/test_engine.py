@@ -62,9 +62,11 @@ def test_analysis(spark, repo):
         one = {files[(k, p)].group_id for p in ("src/routes/users.ts", "src/services/user.ts", "src/repo/user.ts")}
         assert len(one) == 1 and files[(k, "src/routes/users.ts")].role == "Entrypoint" and files[(k, "src/repo/user.ts")].flow_position > 0
         assert infra[(k, "package.json")] == "Infrastructure" and infra[(k, "docs/guide.md")] == "Documentation"
-        assert files[(k, "src/other/lone.ts")].group_id not in one
+        assert infra[(k, "src/other/lone.ts")] == "Unclassified"
         # every file once
         assert sorted([p for i, p in files if i == k] + [p for i, p in infra if i == k]) == sorted(r.new_path for r in d.collect())
+    assert {r.files_accounted for r in Engine().evaluate(t).collect()} == {True}
+    assert sum(len(r.files) for r in Engine().export_manifest(t).collect()) == len(files)
     out = output.to_json(Engine().analyze(two)).collect()
     assert len(out) == 2 and "users" in out[0].json
     orders = t["groups"].where("diff_id = 1").orderBy("review_order").collect()
@@ -96,3 +98,13 @@ def test_config(spark, tmp_path):
     rows = [("dist/a/b.js",), ("x/y.lock",), ("y.lock",), ("src/web/a.ts",), (".deltaloom/c",)]
     got = spark.createDataFrame(rows, "p string").select(config.is_ignored(F.col("p"), c).alias("i"), config.layer(F.col("p"), c).alias("l")).collect()
     assert [r.i for r in got] == [True, True, True, False, True] and got[3].l == "api"
+
+
+def test_analysis_without_entry_points(spark):
+    rows = [(5, None, p, None, "x = 1", 1, 0) for p in ("lib/a/one.rs", "lib/a/two.rs", "lib/b/three.rs", "deep/x/y/z.rs", "Makefile", "lib/a/one_test.rs".replace("_test", "_more"))]
+    changes = spark.createDataFrame(rows, "diff_id long, old_path string, new_path string, old_content string, new_content string, additions long, deletions long")
+    t = Engine().tables(changes)
+    files = {r.path: r.group_id for r in t["files"].collect()}
+    assert len(files) == 5 and files["lib/a/one.rs"] == files["lib/a/two.rs"] == files["lib/a/one_more.rs"]
+    assert [r.path for r in t["infrastructure"].collect()] == ["Makefile"]
+    assert Engine().analyze(changes.where("false")).collect() == []
