@@ -20,7 +20,7 @@ SCHEMA = (
     "path string, language string, definitions array<struct<name:string,kind:string,start_line:int,end_line:int>>, "
     "imports array<struct<source:string,names:array<struct<name:string,alias:string>>,is_default:boolean,is_namespace:boolean,line:int>>, "
     "exports array<struct<name:string,is_default:boolean,is_reexport:boolean,source:string,line:int>>, "
-    "call_sites array<struct<callee:string,line:int,containing_function:string>>, "
+    "call_sites array<struct<callee:string,line:int,containing_function:string,arguments:array<string>>>, "
     "assignments array<struct<variable:string,callee:string,line:int,containing_function:string>>, parse_tier string, error string"
 )
 
@@ -49,6 +49,32 @@ _CALL = re.compile(r"(?<![\w.])([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)
 _ASSIGN = re.compile(r"(?:(?:const|let|var|val|auto|final)\s+)?([A-Za-z_$][\w$]*)\s*(?::=|=)\s*(?:await\s+)?([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*\(")
 
 
+def _arguments(line: str, clear: str, start: int) -> list[str]:
+    """Texts of a call's arguments as far as its line goes; ``clear`` is the line without strings."""
+    at, text = start, clear
+    if line[:start] == clear[:start]:
+        text = line  # no string before the call: its own text, strings included
+    depth, out, now, quote = 0, [], "", ""
+    for c in text[at:]:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'`":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            if depth == 0:
+                break
+            depth -= 1
+        elif c == "," and depth == 0:
+            out.append(now.strip())
+            now = ""
+            continue
+        now += c
+    out.append(now.strip())
+    return [a for a in out if a]
+
+
 def _empty(path, language, tier, error=None):
     return {"path": path, "language": language, "definitions": [], "imports": [], "exports": [], "call_sites": [], "assignments": [], "parse_tier": tier, "error": error}
 
@@ -78,7 +104,8 @@ def parse_python(path: str, source: str) -> dict:
                 names = [{"name": a.name, "alias": a.asname} for a in x.names]
                 out["imports"].append({"source": "." * x.level + (x.module or ""), "names": names, "is_default": False, "is_namespace": any(a.name == "*" for a in x.names), "line": x.lineno})
             elif isinstance(x, ast.Call):
-                out["call_sites"].append({"callee": ast.unparse(x.func), "line": x.lineno, "containing_function": owner})
+                arguments = [ast.unparse(a) for a in x.args] + [ast.unparse(k.value) for k in x.keywords]
+                out["call_sites"].append({"callee": ast.unparse(x.func), "line": x.lineno, "containing_function": owner, "arguments": arguments})
             elif isinstance(x, ast.Assign) and text(x.value) and len(x.targets) == 1 and isinstance(x.targets[0], ast.Name):
                 out["assignments"].append({"variable": x.targets[0].id, "callee": text(x.value), "line": x.lineno, "containing_function": owner})
             visit(x, inner)
@@ -113,10 +140,10 @@ def parse_lines(path: str, language: str, source: str) -> dict:
     spans = sorted((d for d in out["definitions"] if d["kind"] == "Function"), key=lambda d: d["end_line"] - d["start_line"])
     owner = lambda n: next((d["name"] for d in spans if d["start_line"] <= n <= d["end_line"]), None)
     starts = {(d["name"], d["start_line"]) for d in out["definitions"]}
-    for n, clear in enumerate(plain, 1):
+    for n, (line, clear) in enumerate(zip(lines, plain), 1):
         for m in _CALL.finditer(clear):
             if m[1] not in KEYWORDS and (m[1], n) not in starts:
-                out["call_sites"].append({"callee": m[1], "line": n, "containing_function": owner(n)})
+                out["call_sites"].append({"callee": m[1], "line": n, "containing_function": owner(n), "arguments": _arguments(line, clear, m.end())})
         for m in _ASSIGN.finditer(clear):
             out["assignments"].append({"variable": m[1], "callee": m[2], "line": n, "containing_function": owner(n)})
     return out
@@ -138,3 +165,21 @@ def parse(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([parse_one(*row) for row in zip(f["path"], f["language"], f["source"])], columns=[c.split()[0] for c in ("path", "language", "definitions", "imports", "exports", "call_sites", "assignments", "parse_tier", "error")])
 
     return files.select("path", paths.language("path").alias("language"), F.col("source")).mapInPandas(run, SCHEMA)
+
+
+def data_flow_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The assignments and calls of parsed files as ``operators.graph.data_flow`` takes them."""
+    a = parsed.select(F.col("path").alias("file"), F.inline("assignments")).select("file", F.col("containing_function").alias("scope"), "variable", "callee")
+    c = parsed.select(F.col("path").alias("file"), F.inline("call_sites")).select("file", F.col("containing_function").alias("scope"), "callee", "arguments", "line")
+    return a, c
+
+
+def symbols(parsed: DataFrame) -> DataFrame:
+    """Definitions as rows, by kind: functions, types, constants."""
+    d = parsed.select("path", F.posexplode("definitions").alias("pos", "d")).select("path", "pos", "d.*")
+    return d.withColumn("family", F.when(F.col("kind").isin("Function"), "function").when(F.col("kind") == "Constant", "constant").otherwise("type")).withColumn("lines", F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0)) + 1)
+
+
+def outline(parsed: DataFrame) -> DataFrame:
+    """Symbols in the order of a file."""
+    return symbols(parsed).orderBy("path", "start_line", "pos")

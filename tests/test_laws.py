@@ -219,3 +219,11 @@ def test_comments(spark):
     c = spark.createDataFrame([("h", "2", "code", "g", "a.ts", 1, 3, "x = 1", "why\nso", "t2"), ("h", "1", "group", "g", None, None, None, None, "all", "t1")],
                               "analysis string, id string, type string, group_id string, file_path string, start_line int, end_line int, selected_code string, text string, created_at string")
     assert caches.export_comments(c).first().export == "g\n> all\n\na.ts:1-3\n```\nx = 1\n```\n> why\n> so"
+
+
+def test_data_flow_of_parsed_files(spark):
+    src = [("a.py", "def f():\n    x = load(1)\n    y = save(x, key=x)\n    done(y)\n"), ("b.ts", "function g() {\n  const r = fetchIt(id, 'a,b')\n  go(r, [1, 2])\n}\n")]
+    p = parse.parse(spark.createDataFrame(src, "path string, source string"))
+    got = {(r.file, r.producer, r.consumer, r.via) for r in graph.data_flow(*parse.data_flow_tables(p)).collect()}
+    assert got == {("a.py", "load", "save", "x"), ("a.py", "save", "done", "y"), ("b.ts", "fetchIt", "go", "r")}
+    assert {(r.path, r.name, r.family) for r in parse.symbols(p).collect()} == {("a.py", "f", "function"), ("b.ts", "g", "function"), ("b.ts", "r", "constant")}
