@@ -30,6 +30,7 @@ from .components import components
 THRESHOLD = 4
 SHINGLE = 4
 HOMES_PER_PART = 4096
+HOT_ANCHORS = 100_000
 #: (first bit, bits) of the three blocks
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 
@@ -170,6 +171,28 @@ def _links(threshold: int):
     return run
 
 
+def _in_parts(spread: DataFrame, key: str, *more: str) -> DataFrame:
+    """Adds ``part``: the homes of a hot anchor are dealt over parts, and its replicas go to each.
+
+    There is at most one hot anchor for ``HOMES_PER_PART`` homes. They are
+    counted before they are broadcast; more than ``HOT_ANCHORS`` are joined.
+    """
+    hot = materialize(
+        spread.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES_PER_PART)
+        .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / HOMES_PER_PART).cast("int").alias("parts")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return spread.select("anchor", F.lit(0).alias("part"), key, "home", *more)
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    own = F.pmod(F.xxhash64(key), parts).cast("int")
+    return (
+        spread.join(F.broadcast(hot) if n_hot <= HOT_ANCHORS else hot, F.col("anchor") == F.col("hot_anchor"), "left")
+        # a replica meets the homes of each part; a home is compared in its own part and stands as a replica in the others
+        .select("anchor", key, "home", *more, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        .select("anchor", "part", key, (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), *more)
+    )
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``(rid, doc_id, fp, root, component_id)``: the groups with each row's place; see ``simhash_groups``."""
     if not 0 <= threshold <= THRESHOLD:
@@ -178,19 +201,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(base.mapInArrow(_fingerprints, "rid long, doc_id long, fp long"))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     spread = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    # anchors whose homes exceed one part; at most rows / HOMES_PER_PART of them
-    hot = (
-        spread.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES_PER_PART)
-        .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / HOMES_PER_PART).cast("int").alias("parts"))
-    )
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    dealt = (
-        spread.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
-        # a replica meets the homes of each part; a home is compared in its own part and stands as a replica in the others
-        .select("anchor", "fp", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        .select("anchor", "part", "fp", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"))
-    )
+    dealt = _in_parts(spread, "fp")
     edges = (
         dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
         .mapInArrow(_links(threshold), "u long, v long")
@@ -352,17 +363,7 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     fps = materialize(base.mapInArrow(_wide_fingerprints, f"rid long, doc_id long, {_WIDE_ROW}"))
     distinct = materialize(fps.groupBy(*_WIDE_COLUMNS).agg(F.min("rid").alias("node")).select("node", *_WIDE_COLUMNS))
     spread = distinct.mapInArrow(_wide_replicate, f"anchor long, node long, home boolean, {_WIDE_ROW}")
-    hot = (
-        spread.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOMES_PER_PART)
-        .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / HOMES_PER_PART).cast("int").alias("parts"))
-    )
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = (
-        spread.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
-        .select("anchor", "node", "home", own.alias("own"), *_WIDE_COLUMNS, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        .select("anchor", "part", "node", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), *_WIDE_COLUMNS)
-    )
+    dealt = _in_parts(spread, "node", *_WIDE_COLUMNS)
     edges = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_wide_links(wide_threshold(similarity)), "u long, v long")
     roots = components(edges).withColumnRenamed("node", "linked")
     of = distinct.join(roots, F.col("node") == F.col("linked"), "left").select(*[F.col(c).alias(f"d_{c}") for c in _WIDE_COLUMNS], F.coalesce("root", "node").alias("root"))
