@@ -227,3 +227,48 @@ def test_data_flow_of_parsed_files(spark):
     got = {(r.file, r.producer, r.consumer, r.via) for r in graph.data_flow(*parse.data_flow_tables(p)).collect()}
     assert got == {("a.py", "load", "save", "x"), ("a.py", "save", "done", "y"), ("b.ts", "fetchIt", "go", "r")}
     assert {(r.path, r.name, r.family) for r in parse.symbols(p).collect()} == {("a.py", "f", "function"), ("b.ts", "g", "function"), ("b.ts", "r", "constant")}
+
+
+def test_workspace_and_files(spark, tmp_path):
+    from deltaloom.sources import files
+
+    tree = {"packages/a/package.json": '{"name": "@m/a", "main": "./lib/x.js"}', "packages/a/lib/x.js": "x", "packages/b/package.json": '{"name": "@m/b"}', "packages/b/src/index.ts": "y",
+            "other/package.json": '{"name": "o"}', "other/index.ts": "z", "broken/package.json": "{"}
+    for p, t in tree.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t)
+    (tmp_path / "bin.dat").write_bytes(b"\0\1")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
+    got = files.source_files(spark, str(tmp_path))
+    assert {r.path: r.source for r in got.collect()} == tree
+    assert {tuple(r) for r in files.workspace_packages(got).collect()} == {("@m/a", "packages/a/lib/x.js"), ("@m/b", "packages/b/src/index.ts"), ("o", "other/index.ts")}
+    assert {r.package for r in files.workspace_packages(got, ["packages/*"]).collect()} == {"@m/a", "@m/b"}
+
+
+def test_stored_graph_and_targets(spark, tmp_path):
+    from deltaloom.sources import files
+
+    v = spark.createDataFrame([("a",), ("b",)], "id string")
+    e = spark.createDataFrame([("a", "b", "Calls"), ("a", "b", "Calls"), ("a", "c", "Calls")], "src string, dst string, edge_type string")
+    files.save_graph(v, e, str(tmp_path / "g"))
+    assert files.load_graph(spark, str(tmp_path / "g"))[1].count() == 2
+    (tmp_path / "more").mkdir()
+    (tmp_path / "t.toml").write_text('include_dir = "more"\n[[repos]]\nname = "one"\nlanguage = "go"\n')
+    (tmp_path / "more/b.toml").write_text('[[repos]]\nname = "two"\n')
+    assert [r.name for r in files.targets(spark, str(tmp_path / "t.toml")).collect()] == ["one", "two"]
+    (tmp_path / "more/c.toml").write_text('[[repos]]\nname = "two"\n')
+    with pytest.raises(ValueError):
+        files.targets(spark, str(tmp_path / "t.toml"))
+
+
+def test_review(spark):
+    from deltaloom.operators import review
+
+    a = spark.createDataFrame([(1, c, 4, 4.0) for c in "abcde"] + [(2, "a", 6, 2.0)], "answer_id int, criterion string, score int, overall double")
+    assert {(r.answer_id, r.problem) for r in review.judge_problems(a).collect()} == {(2, "score out of range"), (2, "criterion missing"), (2, "overall off the mean")}
+    b = spark.createDataFrame([(1, "a", "g1"), (1, "b", "g1")], "diff_id long, path string, group_id string")
+    c = spark.createDataFrame([(1, "a", "g1"), (1, "b", "g2"), (1, "c", "g2")], "diff_id long, path string, group_id string")
+    assert {(r.path, r.from_group, r.to_group) for r in review.moved_files(b, c).collect()} == {("b", "g1", "g2"), ("c", None, "g2")}
+    g = spark.createDataFrame([(1, "g1", "n", 1)], "diff_id long, group_id string, name string, review_order long")
+    out = json.loads(review.refinement_request(g, b, b.where("false")).first().request)
+    assert out["groups"][0]["files"] == ["a", "b"] and out["infrastructure"] == []
