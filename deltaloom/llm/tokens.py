@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, two_columns
 
-HEAD_WORDS = 1 << 17
+HEAD_WORDS = 1 << 18
 HEAD_BYTES = 16 << 20
 #: distinct pre-tokens that a task holds before it hands on its partial counts
 HELD_WORDS = 400_000
@@ -108,8 +108,9 @@ def _frequencies(head):
                 rest = Counter([w for w, k in zip(words, known) if k is None]) if None in known else ()
                 m = max(1, len(rest))
                 cols[0] += [rid] * m
-                cols[1] += [doc] * m
-                cols[2] += [len(t)] * m
+                # what a document has once stands in its first row; elsewhere nothing, which packs better
+                cols[1] += [doc] + [None] * (m - 1)
+                cols[2] += [len(t)] + [0] * (m - 1)
                 cols[3] += [sum(filter(None, known))] + [0] * (m - 1)
                 # a key with a space is no pre-token and spreads the documents that need no join
                 cols[4] += rest or [b" %d" % rid]
@@ -158,8 +159,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
     rare = vocabulary.where(F.col("n") < least).select(F.col("word").alias("v_word"), "pieces")
     joined = rows.join(rare, F.col("word") == F.col("v_word"), "left")
     return (
-        joined.groupBy("rid", "doc_id", "n_bytes")
-        .agg(F.sum(F.col("known") + F.col("freq") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
+        joined.groupBy("rid").agg(
+            F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("known") + F.col("freq") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
 
