@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trimmed
 
 ROLES = ("system", "user", "assistant")
 STATES = tuple((r, first) for r in ROLES for first in (True, False))
@@ -125,7 +125,7 @@ def labelled_lines(turns: DataFrame) -> DataFrame:
                     blank = not line.strip()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in (kinds, rows, cols, values)], ["kind", "row", "col", "value"])
 
-    return turns.mapInArrow(run, "kind int, row int, col int, value int").groupBy("kind", "row", "col", "value").count()
+    return turns.mapInArrow(trimmed(run), "kind int, row int, col int, value int").groupBy("kind", "row", "col", "value").count()
 
 
 def fit(turns: DataFrame) -> Model:
@@ -240,10 +240,10 @@ def parse(transcripts: DataFrame, model: Model, conv_col: str = "conv_id", turn_
                  pa.array([STATES[s][0] for s in path]), pa.array([STATES[s][1] for s in path]), pa.array(texts, pa.string())],
                 ["conv_id", "chunk", "line", "role", "starts_turn", "text"])
 
-    best = materialize(_chunks(rows).mapInArrow(summaries, "conv_id long, chunk long, best array<double>"))
-    bounds = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(ends, "e_conv long, e_chunk long, first int, last int")
+    best = materialize(_chunks(rows).mapInArrow(trimmed(summaries), "conv_id long, chunk long, best array<double>"))
+    bounds = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(trimmed(ends), "e_conv long, e_chunk long, first int, last int")
     known = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk"))).select("conv_id", "chunk", "turn", "text", "first", "last")
-    return _chunks(known).mapInArrow(decode, "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
+    return _chunks(known).mapInArrow(trimmed(decode), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
 
 
 def render(lines: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def render(lines: DataFrame) -> DataFrame:
                 ["conv_id", "chunk", "line", "role", "starts_turn", "text"])
 
     parts = lines.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "line").mapInArrow(
-        run, "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
+        trimmed(run), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
     text = F.trim("text")
     return parts.select("conv_id", "chunk", "line", "role", "starts_turn", text.alias("text"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), text).alias("rendered"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, shared_dir, shared_path, table
 
-__all__ = ["WORD", "materialize", "shared_dir", "shared_path", "table", "two_columns"]
+__all__ = ["WORD", "materialize", "shared_dir", "shared_path", "table", "trimmed", "two_columns"]
 
 #: a word, as the query contracts state it
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,3 +26,20 @@ def two_columns(df: DataFrame, id_col: str, text_col: str, null_text: str | None
     if null_text is not None:
         text = F.coalesce(text, F.lit(null_text))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+
+
+def trimmed(run):
+    """A function over Arrow batches that gives memory back when its partition is done.
+
+    Workers are kept for further tasks and stages; what allocators hold back
+    would count against the executor all that time.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole

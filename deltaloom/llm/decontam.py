@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, two_columns
+from .common import materialize, trimmed, two_columns
 
 SEED = 5
 COVERAGE = 0.8
@@ -211,16 +211,16 @@ def _findings(
     size = tests.agg(F.sum(F.char_length("text"))).first()[0] or 0
     if size // 2 <= broadcast_seeds:
         items = spark.sparkContext.broadcast(_Items([(r.doc_id, tokenize(r.text)) for r in tests.collect()]))
-        return base.mapInArrow(_scan(items, coverage), out)
-    wanted = materialize(tests.mapInArrow(_seed_rows, "rid long, seed long")).withColumnRenamed("rid", "t_rid").withColumnRenamed("seed", "t_seed")
+        return base.mapInArrow(trimmed(_scan(items, coverage)), out)
+    wanted = materialize(tests.mapInArrow(trimmed(_seed_rows), "rid long, seed long")).withColumnRenamed("rid", "t_rid").withColumnRenamed("seed", "t_seed")
     pairs = (
-        base.mapInArrow(_seed_rows, "rid long, seed long").join(wanted, F.col("seed") == F.col("t_seed"))
+        base.mapInArrow(trimmed(_seed_rows), "rid long, seed long").join(wanted, F.col("seed") == F.col("t_seed"))
         .select(F.col("rid").alias("p_rid"), "t_rid").distinct()
     )
     texts = tests.select(F.col("rid").alias("i_rid"), F.col("doc_id").alias("item_id"), F.col("text").alias("item_text"))
     return (
         pairs.join(texts, F.col("t_rid") == F.col("i_rid")).join(base, F.col("p_rid") == F.col("rid"))
-        .select("rid", "doc_id", "item_id", "text", "item_text").mapInArrow(_tile_pairs(coverage), out)
+        .select("rid", "doc_id", "item_id", "text", "item_text").mapInArrow(trimmed(_tile_pairs(coverage)), out)
     )
 
 

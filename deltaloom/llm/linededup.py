@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, two_columns
+from .common import materialize, trimmed, two_columns
 
 SEED_CHARS = 20
 BLOCK_CHARS = 100
@@ -128,7 +128,7 @@ def _delete(batches):
 
 def common_blocks(base: DataFrame, seed_chars: int, block_chars: int) -> DataFrame:
     """``(b_rid, s, e)``: line ranges to delete; ``base`` has rid, doc_id, text."""
-    rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(_hash_lines, _ROWS))
+    rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(trimmed(_hash_lines), _ROWS))
     held = (
         rows.select("rid", "doc_id", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
         .where(F.col("x.sizes") >= seed_chars).select("rid", "doc_id", F.col("x.lines").alias("line")).distinct()
@@ -143,7 +143,7 @@ def common_blocks(base: DataFrame, seed_chars: int, block_chars: int) -> DataFra
     later = rows.select(F.col("rid").alias("l_rid"), F.col("lines").alias("l_lines"), "sizes")
     return (
         pairs.join(early, F.col("f_rid") == F.col("e_rid")).join(later, F.col("b_rid") == F.col("l_rid"))
-        .select("b_rid", "e_lines", "l_lines", "sizes").mapInArrow(_align(block_chars), "b_rid long, s int, e int")
+        .select("b_rid", "e_lines", "l_lines", "sizes").mapInArrow(trimmed(_align(block_chars)), "b_rid long, s int, e int")
     )
 
 
@@ -168,4 +168,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = whole.join(blocks, F.col("rid") == F.col("b_rid"), "left").select(
         "rid", "doc_id", "text", "blocks", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "rest")
     out = joined.select("rid", "doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_removed"), "rest").schema
-    return joined.mapInArrow(_delete, out)
+    return joined.mapInArrow(trimmed(_delete), out)

@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, two_columns
+from .common import materialize, trimmed, two_columns
 from .tokens import encoder, encoder_with_offsets
 
 CAPACITY = 2048
-#: pieces of pre-tokens whose ids a worker keeps, some 130 MB
-CACHED_PIECES = 700_000
+#: pieces of pre-tokens whose ids a worker keeps, some 90 MB
+CACHED_PIECES = 500_000
 #: bytes of text that are split and looked up together; one text may be longer
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 20 << 20
 #: tokens that are gathered together
 GATHERED = 1 << 20
 #: pieces that one part of a size class holds on average
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     spark = docs.sparkSession
     pieces = materialize(
         two_columns(docs, id_col, text_col)
-        .mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        .mapInArrow(trimmed(_pieces(tokenizer_path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
     )
     sizes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     placed = spark.sparkContext.broadcast(plan(sizes, capacity))
@@ -202,4 +202,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 off[here] = offset[i]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

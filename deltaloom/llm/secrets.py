@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import two_columns
+from .common import trimmed, two_columns
 
 FIT_ROWS = 20_000
 TREES, DEPTH, SEED = 32, 8, 7
@@ -247,4 +247,4 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
                 ["doc_id", "rule", "start", "end", "value_sha256", "probability", "secret"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, rule string, start long, end long, value_sha256 string, probability double, secret boolean")
+        trimmed(run), "doc_id long, rule string, start long, end long, value_sha256 string, probability double, secret boolean")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, two_columns
+from .common import materialize, trimmed, two_columns
 from .components import components
 
 THRESHOLD = 4
@@ -198,13 +198,13 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the covering holds for thresholds of 0 to 4")
     base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    fps = materialize(base.mapInArrow(_fingerprints, "rid long, doc_id long, fp long"))
+    fps = materialize(base.mapInArrow(trimmed(_fingerprints), "rid long, doc_id long, fp long"))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    spread = distinct.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    spread = distinct.select("fp").mapInArrow(trimmed(_replicate), "anchor long, fp long, home boolean")
     dealt = _in_parts(spread, "fp")
     edges = (
         dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-        .mapInArrow(_links(threshold), "u long, v long")
+        .mapInArrow(trimmed(_links(threshold)), "u long, v long")
     )
     roots = components(edges)
     ids = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
@@ -360,11 +360,11 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     group; rows, ids and nulls are treated as in ``simhash_groups``.
     """
     base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    fps = materialize(base.mapInArrow(_wide_fingerprints, f"rid long, doc_id long, {_WIDE_ROW}"))
+    fps = materialize(base.mapInArrow(trimmed(_wide_fingerprints), f"rid long, doc_id long, {_WIDE_ROW}"))
     distinct = materialize(fps.groupBy(*_WIDE_COLUMNS).agg(F.min("rid").alias("node")).select("node", *_WIDE_COLUMNS))
-    spread = distinct.mapInArrow(_wide_replicate, f"anchor long, node long, home boolean, {_WIDE_ROW}")
+    spread = distinct.mapInArrow(trimmed(_wide_replicate), f"anchor long, node long, home boolean, {_WIDE_ROW}")
     dealt = _in_parts(spread, "node", *_WIDE_COLUMNS)
-    edges = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_wide_links(wide_threshold(similarity)), "u long, v long")
+    edges = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(trimmed(_wide_links(wide_threshold(similarity))), "u long, v long")
     roots = components(edges).withColumnRenamed("node", "linked")
     of = distinct.join(roots, F.col("node") == F.col("linked"), "left").select(*[F.col(c).alias(f"d_{c}") for c in _WIDE_COLUMNS], F.coalesce("root", "node").alias("root"))
     same = [F.col(c) == F.col(f"d_{c}") for c in _WIDE_COLUMNS]

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, two_columns
+from .common import materialize, trimmed, two_columns
 
 LENGTH = 200
 GRAM = 64
@@ -318,7 +318,7 @@ def _remove(length: int):
 
 def covered_spans(docs: DataFrame, length: int, block_segments: int) -> tuple[DataFrame, DataFrame]:
     """``(rid, s, e)`` byte spans to remove, and ``(rid, z)`` texts that may have some."""
-    segs = materialize(docs.select("rid", "text").mapInArrow(_winnow(length), "rid long, at long, anchor long"))
+    segs = materialize(docs.select("rid", "text").mapInArrow(trimmed(_winnow(length)), "rid long, at long, anchor long"))
     # written out, so that the join below reads two plain exchanges and its hot anchors can be split
     twice = materialize(segs.groupBy(F.col("anchor").alias("again")).count().where("count > 1").select("again"))
     listed = (
@@ -326,9 +326,9 @@ def covered_spans(docs: DataFrame, length: int, block_segments: int) -> tuple[Da
         .agg(F.collect_list(F.struct("at", "anchor")).alias("l"))  # bounded by the text's own length
         .select("l_rid", F.col("l.at").alias("at"), F.col("l.anchor").alias("anchor"))
     )
-    packed = docs.select("rid", "text").mapInArrow(_compress, "rid long, z binary")
+    packed = docs.select("rid", "text").mapInArrow(trimmed(_compress), "rid long, z binary")
     texts = materialize(packed.join(listed, F.col("rid") == F.col("l_rid")).select("rid", "z", "at", "anchor"))
-    rows = materialize(texts.mapInArrow(_digests(length), "anchor long, d1 long, d2 long, rid long, at long"))
+    rows = materialize(texts.mapInArrow(trimmed(_digests(length)), "anchor long, d1 long, d2 long, rid long, at long"))
     distinct = materialize(rows.groupBy("anchor", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
     copies = distinct.where("n > 1").select(F.col("anchor").alias("c"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
     s = F.shiftright("at", 8)
@@ -341,13 +341,13 @@ def covered_spans(docs: DataFrame, length: int, block_segments: int) -> tuple[Da
         .agg(F.collect_list(F.struct("anchor", (F.col("k") > block_segments).alias("hot"), (F.col("n") == 1).alias("single"), F.col("first.at").alias("at"))).alias("reps"))
     )
     cut = materialize(texts.join(reps, F.col("rid") == F.col("r_rid")).select("rid", "z", "reps").mapInArrow(
-        _cut_out(length), "anchor long, hot boolean, single boolean, rid long, at long, bytes binary"))
+        trimmed(_cut_out(length)), "anchor long, hot boolean, single boolean, rid long, at long, bytes binary"))
     columns = ["anchor", "single", "rid", "at", "bytes"]
     matched = (
         cut.where("not hot").select(*columns).repartition("anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_expand(length), "rid long, s long, e long")
+        .mapInArrow(trimmed(_expand(length)), "rid long, s long, e long")
     )
-    windows = cut.where("hot").select(*columns).mapInArrow(_windows(length), "w1 long, w2 long, rid long, pos long, single boolean")
+    windows = cut.where("hot").select(*columns).mapInArrow(trimmed(_windows(length)), "w1 long, w2 long, rid long, pos long, single boolean")
     again = windows.groupBy(F.col("w1").alias("a1"), F.col("w2").alias("a2")).count().where("count > 1").select("a1", "a2")
     exact = windows.where("single").join(again, (F.col("w1") == F.col("a1")) & (F.col("w2") == F.col("a2"))).select(
         "rid", F.col("pos").alias("s"), (F.col("pos") + length).alias("e"))
@@ -371,7 +371,7 @@ def remove_repeats(
     spans, held = covered_spans(base, length, block_segments)
     merged = spans.groupBy(F.col("rid").alias("m_rid")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # bounded by the text's own length
     done = held.join(merged, F.col("rid") == F.col("m_rid")).select("rid", "z", "spans").mapInArrow(
-        _remove(length), "cut_rid long, cut_bytes long, cut_runs long, kept binary")
+        trimmed(_remove(length)), "cut_rid long, cut_bytes long, cut_runs long, kept binary")
     done = done.withColumn("cut_sha", F.sha2("kept", 256))
     done = done if texts else done.drop("kept")
     whole = base.select("rid", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"),

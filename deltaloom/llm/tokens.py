@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, two_columns
+from .common import materialize, trimmed, two_columns
 
 HEAD_WORDS = 1 << 18
 HEAD_BYTES = 16 << 20
@@ -150,12 +150,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
         return count_tokens_whole(docs, tokenizer_path, limit, id_col, text_col)
     spark = docs.sparkSession
     base = two_columns(docs, id_col, text_col)
-    totals = base.mapInArrow(_vocabulary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = materialize(totals.mapInArrow(_count_pieces(tokenizer_path), "word binary, n long, pieces long"))
+    totals = base.mapInArrow(trimmed(_vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = materialize(totals.mapInArrow(trimmed(_count_pieces(tokenizer_path)), "word binary, n long, pieces long"))
     least, known = _head(vocabulary)
     head = spark.sparkContext.broadcast(known)
     rows = base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(
-        _frequencies(head), "rid long, doc_id long, n_bytes long, known long, word binary, freq long")
+        trimmed(_frequencies(head)), "rid long, doc_id long, n_bytes long, known long, word binary, freq long")
     rare = vocabulary.where(F.col("n") < least).select(F.col("word").alias("v_word"), "pieces")
     joined = rows.join(rare, F.col("word") == F.col("v_word"), "left")
     return (
@@ -180,5 +180,5 @@ def count_tokens_whole(docs: DataFrame, tokenizer_path: str, limit: int = 2048,
                 size = [len(t) for t in c.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(size, pa.int64()), pa.array(map(len, ids), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    out = two_columns(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
