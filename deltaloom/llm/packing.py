@@ -32,10 +32,10 @@ from .common import materialize, trimmed, two_columns
 from .tokens import encoder, encoder_with_offsets
 
 CAPACITY = 2048
-#: pieces of pre-tokens whose ids a worker keeps, some 90 MB
-CACHED_PIECES = 500_000
+#: pieces of pre-tokens whose ids a worker keeps, some 140 MB
+CACHED_PIECES = 800_000
 #: bytes of text that are split and looked up together; one text may be longer
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 24 << 20
 #: tokens that are gathered together
 GATHERED = 1 << 20
 #: pieces that one part of a size class holds on average
