@@ -4,8 +4,11 @@ Lines are hashed to 128 bits. A line of at least ``SEED_CHARS`` characters that
 several documents hold links each of them to the first of its holders (the
 least ``(doc_id, row)``), and not to each other: the number of pairs grows with
 the number of lines, however common a line is, so that a line need not be
-below some count to serve as a seed. Shorter lines occur by chance and seed
-nothing. Each pair is aligned by patience diff: lines that occur once in both,
+below some count to serve as a seed. So do runs of adjacent lines, of whatever
+length, that reach ``BLOCK_CHARS`` together: the shortest one from each line on
+and the shortest one up to each line. Whatever block a document shares with any
+earlier one is covered by such runs, and the first holder of each has it whole.
+Each pair is aligned by patience diff: lines that occur once in both,
 their longest increasing run, and the same again between those; equal ends
 first. Aligned common blocks of at least ``BLOCK_CHARS`` characters are
 deleted from the later document. All is judged on the input: a block may be
@@ -14,7 +17,8 @@ deleted in favour of a document that loses it to a yet earlier one.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +100,30 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     return [tuple(z) for z in blocks]
 
 
+def _runs(block_chars: int):
+    """The shortest runs of lines from and up to each line that reach ``block_chars``, once a document, where they first stand."""
+
+    def run(batches):
+        digest = xxhash.xxh3_128_digest
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for rid, doc_id, lines, sizes in zip(*(b.column(i).to_pylist() for i in range(4))):
+                to = list(accumulate(sizes, initial=0))
+                n = len(lines)
+                spans = {(s, bisect_left(to, to[s] + block_chars)) for s in range(n)} | {(bisect_right(to, to[e] - block_chars) - 1, e) for e in range(1, n + 1)}
+                seen: set = set()
+                for s, e in sorted(x for x in spans if 0 <= x[0] < x[1] <= n):
+                    key = digest(b"".join(lines[s:e]))
+                    if key not in seen:
+                        seen.add(key)
+                        for c, v in zip(out, (rid, doc_id, key, s, e)):
+                            c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rid", "doc_id", "line", "s", "e"])
+
+    return run
+
+
 def _align(block_chars: int):
     def run(batches):
         for b in batches:
@@ -126,6 +154,13 @@ def _delete(batches):
         yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "text", "n_lines", "n_removed", "rest"])
 
 
+def _to_first(held: DataFrame, *more: str) -> DataFrame:
+    """``(f_rid, b_rid, ..)``: each later holder of a ``line`` and its first one."""
+    # written out, so that the join below reads two plain exchanges and a common line's rows can be split
+    firsts = materialize(held.groupBy(F.col("line").alias("f_line")).agg(F.min(F.struct("doc_id", "rid")).alias("f"), F.count("*").alias("n")).where("n > 1"))
+    return held.join(firsts, F.col("line") == F.col("f_line")).where("f.rid <> rid").select(F.col("f.rid").alias("f_rid"), F.col("rid").alias("b_rid"), *more)
+
+
 def common_blocks(base: DataFrame, seed_chars: int, block_chars: int) -> DataFrame:
     """``(b_rid, s, e)``: line ranges to delete; ``base`` has rid, doc_id, text."""
     rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(trimmed(_hash_lines), _ROWS))
@@ -133,12 +168,8 @@ def common_blocks(base: DataFrame, seed_chars: int, block_chars: int) -> DataFra
         rows.select("rid", "doc_id", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
         .where(F.col("x.sizes") >= seed_chars).select("rid", "doc_id", F.col("x.lines").alias("line")).distinct()
     )
-    # written out, so that the join below reads two plain exchanges and a common line's rows can be split
-    firsts = materialize(held.groupBy(F.col("line").alias("f_line")).agg(F.min(F.struct("doc_id", "rid")).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    pairs = (
-        held.join(firsts, F.col("line") == F.col("f_line")).where("f.rid <> rid")
-        .select(F.col("f.rid").alias("f_rid"), F.col("rid").alias("b_rid")).distinct()
-    )
+    runs = rows.mapInArrow(trimmed(_runs(block_chars)), "rid long, doc_id long, line binary, s int, e int")
+    pairs = _to_first(held).unionByName(_to_first(runs)).distinct()
     early = rows.select(F.col("rid").alias("e_rid"), F.col("lines").alias("e_lines"))
     later = rows.select(F.col("rid").alias("l_rid"), F.col("lines").alias("l_lines"), "sizes")
     return (

@@ -76,6 +76,36 @@ def test_line_dedup_odd(spark):
     assert linededup.line_dedup(df.where("false")).collect() == []
 
 
+def brute_common(texts):
+    """Lines of each text that lie in a block of ``BLOCK_CHARS`` which any earlier text holds."""
+    split = [[x.strip().encode() for x in t.split("\n")] for t in texts]
+    out = []
+    for i, b in enumerate(split):
+        gone = set()
+        for a in split[:i]:
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if sum(map(len, b[y:y + n])) >= linededup.BLOCK_CHARS:
+                        gone.update(range(y, y + n))
+        out.append(gone)
+    return out
+
+
+def lines_removed(spark, texts):
+    got = linededup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    return [r.n_removed for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_line_dedup_block_whose_lines_have_other_first_holders(spark):
+    """The first holders of the block's lines lack the block, an earlier document has it."""
+    p = [f"line {i} of a passage that two documents share" for i in range(5)]
+    texts = [*(f"{x}\nand more of document {i}" for i, x in enumerate(p)), "\n".join(["one start", *p, "one end"]), "\n".join(["another start", *p])]
+    assert lines_removed(spark, texts) == [len(x) for x in brute_common(texts)] == [0, 0, 0, 0, 0, 0, 5]
+
+
 # --- components -----------------------------------------------------------------
 
 def test_components(spark):
