@@ -7,10 +7,11 @@ the number of lines, however common a line is, so that a line need not be
 below some count to serve as a seed. So do runs of adjacent lines, of whatever
 length, that reach ``BLOCK_CHARS`` together: the shortest one from each line on
 and the shortest one up to each line. Whatever block a document shares with any
-earlier one is covered by such runs, and the first holder of each has it whole.
-Each pair is aligned by patience diff: lines that occur once in both,
+earlier one is covered by such runs, and the first holder of each has it whole;
+where it first stands in a document, a run that an earlier document holds is
+itself a common block, wherever it stands there. Each pair is aligned by patience diff: lines that occur once in both,
 their longest increasing run, and the same again between those; equal ends
-first. Aligned common blocks of at least ``BLOCK_CHARS`` characters are
+first, and where no line occurs once in both, the longest common run. Aligned common blocks of at least ``BLOCK_CHARS`` characters are
 deleted from the later document. All is judged on the input: a block may be
 deleted in favour of a document that loses it to a yet earlier one.
 """
@@ -46,8 +47,55 @@ def _hash_lines(batches):
             ["rid", "doc_id", "lines", "sizes"])
 
 
-def patience(a: list, b: list) -> list[tuple[int, int, int]]:
-    """Common blocks ``(start in a, start in b, length)`` of a patience diff, in order."""
+def _longest(a: list, b: list, i: int, m: int, j: int, n: int) -> tuple[int, int, int]:
+    """Longest common run of ``a[i:m]`` and ``b[j:n]``, the first of them in b: ``(start in a, start in b, length)``.
+
+    By the suffix automaton of ``a[i:m]``, in time linear in both.
+    """
+    step: list[dict] = [{}]
+    link, length, end = [-1], [0], [i]
+    last = 0
+    for x in range(i, m):
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(x + 1)
+        p = last
+        while p >= 0 and a[x] not in step[p]:
+            step[p][a[x]] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][a[x]]
+            if length[q] > length[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and step[p].get(a[x]) == q:
+                    step[p][a[x]] = twin
+                    p = link[p]
+                link[q] = q = twin
+            link[new] = q
+        last = new
+    best, state, k = (i, j, 0), 0, 0
+    for y in range(j, n):
+        while state and b[y] not in step[state]:
+            state = link[state]
+            k = length[state]
+        if b[y] in step[state]:
+            state, k = step[state][b[y]], k + 1
+        if k > best[2]:
+            best = (end[state] - k, y + 1 - k, k)
+    return best
+
+
+def patience(a: list, b: list, sizes: list | None = None, least: int = 0) -> list[tuple[int, int, int]]:
+    """Common blocks ``(start in a, start in b, length)`` of a patience diff, in order.
+
+    With the ``sizes`` of b's lines, blocks that don't reach ``least`` may be left out.
+    """
     pairs: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -69,6 +117,12 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
                 seen[b[y]] = -1 if b[y] in seen else y
         shared = [(once[k], y) for k, y in seen.items() if y >= 0]  # by place in b
         if not shared:
+            # the equal ends are gone, so that a block in here doesn't go on outside
+            if sizes is None or sum(sizes[y] for y in range(j, n) if b[y] in once) >= least:
+                x, y, k = _longest(a, b, i, m, j, n)
+                if k:
+                    pairs += [(x + z, y + z) for z in range(k)]
+                    todo += [(i, x, j, y), (x + k, m, y + k, n)]
             continue
         tops: list[int] = []
         ends: list[int] = []
@@ -130,7 +184,7 @@ def _align(block_chars: int):
             out: list[list] = [[], [], []]
             for i in range(b.num_rows):
                 first, lines, sizes = b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py()
-                whole = [(0, 0, len(lines))] if first == lines else patience(first, lines)
+                whole = [(0, 0, len(lines))] if first == lines else patience(first, lines, sizes, block_chars)
                 for _, s, n in whole:
                     if sum(sizes[s:s + n]) >= block_chars:
                         for c, v in zip(out, (b.column(0)[i].as_py(), s, s + n)):
@@ -169,13 +223,15 @@ def common_blocks(base: DataFrame, seed_chars: int, block_chars: int) -> DataFra
         .where(F.col("x.sizes") >= seed_chars).select("rid", "doc_id", F.col("x.lines").alias("line")).distinct()
     )
     runs = rows.mapInArrow(trimmed(_runs(block_chars)), "rid long, doc_id long, line binary, s int, e int")
-    pairs = _to_first(held).unionByName(_to_first(runs)).distinct()
+    shared = materialize(_to_first(runs, "s", "e"))
+    pairs = _to_first(held).unionByName(shared.select("f_rid", "b_rid")).distinct()
     early = rows.select(F.col("rid").alias("e_rid"), F.col("lines").alias("e_lines"))
     later = rows.select(F.col("rid").alias("l_rid"), F.col("lines").alias("l_lines"), "sizes")
-    return (
+    aligned = (
         pairs.join(early, F.col("f_rid") == F.col("e_rid")).join(later, F.col("b_rid") == F.col("l_rid"))
         .select("b_rid", "e_lines", "l_lines", "sizes").mapInArrow(trimmed(_align(block_chars)), "b_rid long, s int, e int")
     )
+    return aligned.unionByName(shared.select("b_rid", "s", "e"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_chars: int = SEED_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -106,6 +106,23 @@ def test_line_dedup_block_whose_lines_have_other_first_holders(spark):
     assert lines_removed(spark, texts) == [len(x) for x in brute_common(texts)] == [0, 0, 0, 0, 0, 0, 5]
 
 
+def test_patience_without_a_unique_line():
+    assert linededup.patience(list("XPQYPQ"), list("ZPQW")) == [(1, 1, 2)]
+    random.seed(5)
+    for _ in range(1500):
+        a, b = ([random.randint(0, 3) for _ in range(random.randint(1, 12))] for _ in range(2))
+        x, y, n = linededup._longest(a, b, 0, len(a), 0, len(b))
+        runs = {tuple(a[s:e]) for s in range(len(a)) for e in range(s, len(a) + 1)}
+        found = [(e - s, -s) for s in range(len(b)) for e in range(s, len(b) + 1) if tuple(b[s:e]) in runs]
+        assert a[x:x + n] == b[y:y + n] and n == max(found)[0] and (not n or -y == max(found)[1])
+
+
+def test_line_dedup_repeated_and_moved_passages(spark):
+    p, q = (["\n".join(f"line {i} of passage {k}, which is hot and long" for i in range(3)) for k in "pq"])
+    texts = [f"x\n{p}\ny\n{p}\n{q}", f"z\n{p}\nw", f"{p}\nanother end", f"{q}\nbetween\n{p}"]
+    assert lines_removed(spark, texts) == [len(x) for x in brute_common(texts)] == [0, 3, 3, 6]
+
+
 # --- components -----------------------------------------------------------------
 
 def test_components(spark):
