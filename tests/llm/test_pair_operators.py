@@ -123,6 +123,13 @@ def test_line_dedup_repeated_and_moved_passages(spark):
     assert lines_removed(spark, texts) == [len(x) for x in brute_common(texts)] == [0, 3, 3, 6]
 
 
+def test_line_dedup_block_of_short_lines(spark):
+    """No line reaches ``SEED_CHARS``; the whole text, and a part of another."""
+    verse = [f"short line no. {i}" for i in range(12)]
+    texts = ["\n".join(verse), "\n".join(verse), "\n".join(["one", *verse[3:], "two"]), "\n".join(verse[:4])]
+    assert lines_removed(spark, texts) == [len(x) for x in brute_common(texts)] == [0, 12, 9, 0]
+
+
 # --- components -----------------------------------------------------------------
 
 def test_components(spark):
