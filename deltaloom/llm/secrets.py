@@ -41,14 +41,14 @@ RULES = (
     ("slack_token", ("xox",), r"(?<!\w)(xox[abprs]-[0-9A-Za-z-]{10,})"),
     ("jwt", ("eyJ",), r"(?<!\w)(eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*)"),
     ("private_key", ("-----BEGIN ",), r"(-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----)"),
-    ("url_password", ("://",), r"://[^\s/:@]{1,64}:([^\s/:@]{3,128})@"),
+    ("url_password", ("://",), r"://[^\s/:@]+:([^\s/:@]{3,})@"),
     (
         "assignment",
         ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "accesskey", "auth", "credential"),
-        r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access_?key|auth|credential)[\w.-]{0,40}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;]{6,200})",
+        r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access_?key|auth|credential)[\w.-]{0,40}[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;]{6,})",
     ),
-    ("hex", None, r"(?<!\w)([0-9a-f]{32,128})(?!\w)"),
-    ("base64", None, r"(?<![\w+/=-])([\w+/-]{32,200}={0,2})(?![\w+/=-])"),
+    ("hex", None, r"(?<!\w)([0-9a-f]{32,})(?!\w)"),
+    ("base64", None, r"(?<![\w+/=-])([\w+/-]{32,}={0,2})(?![\w+/=-])"),
 )
 LONG = 32
 _RULES = [(i, starts, re.compile(p, re.ASCII)) for i, (_, starts, p) in enumerate(RULES)]

@@ -288,6 +288,15 @@ def test_secrets_in_documents(spark):
     assert want and got == want
 
 
+def test_secrets_of_any_length():
+    key = "Ab3+" * 400
+    for rule, before, value, after in (
+        ("base64", "blob ", key + "==", " end"), ("hex", "digest ", "0a1b" * 100, " end"), ("assignment", "password=", "x7" * 400, " end"),
+        ("url_password", "postgres://" + "user" * 30 + ":", "p4ss" * 100, "@host"),
+    ):
+        assert [(secrets.RULES[i][0], s, e) for i, s, e in secrets.candidates(before + value + after)] == [(rule, len(before), len(before) + len(value))]
+
+
 # --- WARC -----------------------------------------------------------------------
 
 def test_warc_offsets_and_audit(spark):
