@@ -10,7 +10,7 @@ by one. Viterbi recovers the roles; canonical turns are rendered from them.
 
 A transcript may be of any length: it is cut into chunks of ``CHUNK_TURNS`` source
 rows. Pass one reduces each chunk to a matrix of best scores from each entry
-to each exit state; pass two runs Viterbi over a transcript's matrices, one small row for a
+to each exit state, for either kind of line before it; pass two runs Viterbi over a transcript's matrices, one small row for a
 chunk; pass three decodes every chunk between its now known end states. The
 result is that of one Viterbi over the whole.
 """
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, trimmed
@@ -195,16 +195,22 @@ def parse(transcripts: DataFrame, model: Model, conv_col: str = "conv_id", turn_
         for (conv, chunk), group in _groups(batches, 2):
             lines = lines_of(group)
             through = _through(m.scores(lines), m.move)
-            # whether the line before the chunk was blank is not known here, and counts as it does at a start
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([through.ravel().tolist()])], ["conv_id", "chunk", "best"])
+            # whether the line before the chunk was blank is not known here; it moves the first line's scores alone
+            other = m.scores(lines[:1], False)[0] - m.scores(lines[:1])[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([through.ravel().tolist()]), pa.array([other.tolist()]), pa.array([not lines[-1].strip()])],
+                ["conv_id", "chunk", "best", "other", "blank"])
 
     def ends(batches):
         m = shared.value
         n = len(STATES)
         for (conv,), group in _groups(batches, 1):
-            now, backs, entries = None, [], []
+            now, backs, entries, blanks = None, [], [], [True]
             for row in group:
                 best = np.array(row[2]).reshape(n, n)
+                if not blanks[-1]:
+                    best = best + np.array(row[3])[:, None]
+                blanks.append(row[4])
                 entry = m.start[:, None] + best if now is None else None
                 if entry is None:
                     into = now[:, None] + m.move  # last state before, first state of the chunk
@@ -216,33 +222,33 @@ def parse(transcripts: DataFrame, model: Model, conv_col: str = "conv_id", turn_
                 now = entry.max(axis=0)
             last = int(now.argmax())
             out = []
-            for row, back, entry in zip(group[::-1], backs[::-1], entries[::-1]):
+            for row, back, entry, blank in zip(group[::-1], backs[::-1], entries[::-1], blanks[-2::-1]):
                 first = int(back[last])
-                out.append((conv, row[1], first, last))
+                out.append((conv, row[1], first, last, blank))
                 last = int(entry[first]) if entry is not None else last
             cols = list(zip(*out[::-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["e_conv", "e_chunk", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_())], ["e_conv", "e_chunk", "first", "last", "blank"])
 
     def decode(batches):
         m = shared.value
         for (conv, chunk), group in _groups(batches, 2):
             lines = lines_of(group)
-            first, last = group[0][4], group[0][5]
+            first, last, blank = group[0][4:7]
             entry = np.full(len(STATES), -np.inf)
             entry[first] = 0.0
-            path = _viterbi(m.scores(lines), m.move, entry, last)[1]
+            path = _viterbi(m.scores(lines, blank), m.move, entry, last)[1]
             texts = []
             for i, x in enumerate(lines):
-                texts.append(x[features(x, i == 0 or not lines[i - 1].strip())[1]:] if STATES[path[i]][1] else x)
+                texts.append(x[features(x, blank if i == 0 else not lines[i - 1].strip())[1]:] if STATES[path[i]][1] else x)
             k = len(lines)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([conv] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()),
                  pa.array([STATES[s][0] for s in path]), pa.array([STATES[s][1] for s in path]), pa.array(texts, pa.string())],
                 ["conv_id", "chunk", "line", "role", "starts_turn", "text"])
 
-    best = materialize(_chunks(rows).mapInArrow(trimmed(summaries), "conv_id long, chunk long, best array<double>"))
-    bounds = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(trimmed(ends), "e_conv long, e_chunk long, first int, last int")
-    known = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk"))).select("conv_id", "chunk", "turn", "text", "first", "last")
+    best = materialize(_chunks(rows).mapInArrow(trimmed(summaries), "conv_id long, chunk long, best array<double>, other array<double>, blank boolean"))
+    bounds = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(trimmed(ends), "e_conv long, e_chunk long, first int, last int, blank boolean")
+    known = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk"))).select("conv_id", "chunk", "turn", "text", "first", "last", "blank")
     return _chunks(known).mapInArrow(trimmed(decode), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
 
 
@@ -267,10 +273,24 @@ def render(lines: DataFrame) -> DataFrame:
                  pa.array([t[1] for t in turns]), pa.array([t[2] for t in turns]), pa.array(texts, pa.string())],
                 ["conv_id", "chunk", "line", "role", "starts_turn", "text"])
 
-    parts = lines.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "line").mapInArrow(
-        trimmed(run), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
-    text = F.trim("text")
-    return parts.select("conv_id", "chunk", "line", "role", "starts_turn", text.alias("text"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), text).alias("rendered"))
+    parts = materialize(lines.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "line").mapInArrow(
+        trimmed(run), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string"))
+    # a chunk's leading lines go to the last turn that starts in a chunk before it, one small row for a chunk
+    starts = parts.groupBy("conv_id", "chunk").agg(F.max(F.when(F.col("starts_turn"), F.col("line"))).alias("line"))
+    earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = starts.select(
+        F.col("conv_id").alias("b_conv"), F.col("chunk").alias("b_chunk"),
+        F.last(F.when(F.col("line").isNotNull(), F.struct("chunk", "line")), ignorenulls=True).over(earlier).alias("turn"))
+    same = F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("chunk") == F.col("b_chunk"))
+    own = F.struct("chunk", "line")
+    turns = (
+        parts.where("starts_turn").withColumn("turn", own)
+        .unionByName(parts.where("not starts_turn").join(before, same).select(*parts.columns, F.coalesce("turn", own).alias("turn")))
+        .groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("chunk", "line", "role", "starts_turn", "text"))).alias("p"))
+    )
+    text = F.trim(F.array_join("p.text", "\n"))
+    head = [F.col("p")[0][c].alias(c) for c in ("chunk", "line", "role", "starts_turn")]
+    return turns.select("conv_id", *head, text.alias("text"), F.concat(F.lit("<|"), F.col("p")[0]["role"], F.lit("|>\n"), text).alias("rendered"))
 
 
 #: how the query writes speakers into transcripts, by style: text before a turn, for user, assistant and system

@@ -234,6 +234,29 @@ def test_viterbi_in_chunks_is_viterbi(spark, monkeypatch):
         assert abs(mine - best) < 1e-6
 
 
+def test_chat_over_chunk_borders(spark):
+    """One Viterbi over all lines, and its turns, wherever the chunks end."""
+    raw = chat.transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
+    model = chat.fit(chat.labelled(raw))
+    rng = random.Random(4)
+    kinds = ("User: a question of some length?", "Assistant: an answer", "a line that goes on, and on for a while", "", "is that so?", "note")
+    talk = [rng.choice(kinds) for _ in range(64 * 12)]
+    talk[60:200] = ["Assistant: a turn over three chunks", *["more of it, without a marker"] * 139]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(talk)], "conv_id long, turn long, text string")
+    path = chat._viterbi(model.scores(talk), model.move, model.start)[1]
+    lines = chat.parse(df, model)
+    got = lines.orderBy("chunk", "line").collect()
+    assert [2 * chat.ROLES.index(r.role) + (not r.starts_turn) for r in got] == path
+    turns = []
+    for i, r in enumerate(got):
+        if r.starts_turn or not i:
+            turns.append((r.role, []))
+        turns[-1][1].append(r.text)
+    out = chat.render(lines).orderBy("chunk", "line").collect()
+    assert [(r.role, r.text) for r in out] == [(r, "\n".join(t).strip(" ")) for r, t in turns]
+    assert all(r.rendered == f"<|{r.role}|>\n{r.text}" for r in out)
+
+
 def test_chat_held_out(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     raw = chat.transcripts(turns)
