@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed, two_columns
+from .common import materialize, numbered, trimmed, two_columns
 
 SEED = 5
 COVERAGE = 0.8
@@ -201,17 +201,20 @@ def _tile_pairs(coverage: float):
 
 def _findings(
     docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS,
+    item_id_col: str = "item_id", item_text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS, written: bool = False,
 ) -> DataFrame:
+    """Findings with the row number; ``written``: ``docs`` is what ``numbered`` gave, so that the numbers mean something outside."""
     spark = docs.sparkSession
-    base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    tests = two_columns(benchmark, item_id_col, item_text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    tests = two_columns(benchmark, item_id_col, item_text_col)
     out = ", ".join(f"{c} long" for c in _FOUND)
     # no more seeds than half the characters: a bound that needs no Python
     size = tests.agg(F.sum(F.char_length("text"))).first()[0] or 0
     if size // 2 <= broadcast_seeds:
         items = spark.sparkContext.broadcast(_Items([(r.doc_id, tokenize(r.text)) for r in tests.collect()]))
-        return base.mapInArrow(trimmed(_scan(items, coverage)), out)
+        base = docs if written else two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+        return base.select("rid", "doc_id", "text").mapInArrow(trimmed(_scan(items, coverage)), out)
+    tests = numbered(tests, "doc_id", "text")
+    base = docs.select("rid", "doc_id", "text") if written else numbered(docs, id_col, text_col)
     wanted = materialize(tests.mapInArrow(trimmed(_seed_rows), "rid long, seed long")).withColumnRenamed("rid", "t_rid").withColumnRenamed("seed", "t_seed")
     pairs = (
         base.mapInArrow(trimmed(_seed_rows), "rid long, seed long").join(wanted, F.col("seed") == F.col("t_seed"))
@@ -239,9 +242,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a test item, all columns as they are.
 
-    Null and empty texts stay. ``docs`` is a table read from files: its rows
-    keep their order when read again.
+    Null and empty texts stay; so do all rows if ``benchmark`` is empty. Of
+    repeated rows all go or none. Options as for ``contaminated``.
     """
-    found = _findings(docs, benchmark, **options).select(F.col("rid").alias("found_rid")).distinct()
-    placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    placed = numbered(docs, options.pop("id_col", "doc_id"), options.pop("text_col", "text"), rest=True)
+    found = _findings(placed, benchmark, written=True, **options).select(F.col("rid").alias("found_rid")).distinct()
     return placed.join(found, F.col("rid") == F.col("found_rid"), "left_anti").select("row.*")

@@ -1,19 +1,25 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Lines are hashed to 128 bits. A line of at least ``SEED_CHARS`` characters that
-several documents hold links each of them to the first of its holders (the
-least ``(doc_id, row)``), and not to each other: the number of pairs grows with
-the number of lines, however common a line is, so that a line need not be
-below some count to serve as a seed. So do runs of adjacent lines, of whatever
-length, that reach ``BLOCK_CHARS`` together: the shortest one from each line on
-and the shortest one up to each line. Whatever block a document shares with any
-earlier one is covered by such runs, and the first holder of each has it whole;
-where it first stands in a document, a run that an earlier document holds is
-itself a common block, wherever it stands there. Each pair is aligned by patience diff: lines that occur once in both,
-their longest increasing run, and the same again between those; equal ends
-first, and where no line occurs once in both, the longest common run. Aligned common blocks of at least ``BLOCK_CHARS`` characters are
-deleted from the later document. All is judged on the input: a block may be
-deleted in favour of a document that loses it to a yet earlier one.
+Lines are hashed to 128 bits. Seeds are hashes of adjacent lines, joined until
+they reach ``BLOCK_CHARS`` characters (a long line is a seed by itself): the
+shortest run from each line on, and the shortest one up to each line. A seed
+links each document that holds it to the first that does, the one with the
+least ``(doc_id, row)``. That is enough, however common or rare a seed is:
+any block of ``BLOCK_CHARS`` that a document shares with an earlier one is
+covered by such seeds, and the first holder of each seed holds it as well. So
+the pairs grow with the number of seeds and not with the square of a group.
+
+Each pair is aligned by patience diff: lines that occur once in both, their
+longest increasing run, and the same again between those; equal ends first,
+and where no line occurs once in both, the longest common run. Then the seeds
+that the order of the alignment left out, as their passage was moved or stands
+in the later document several times, are matched wherever they stand. Common
+blocks of at least ``BLOCK_CHARS`` characters are deleted from the later document.
+
+So a line goes if and only if it stands in a run of adjacent lines of at least
+``BLOCK_CHARS`` characters that an earlier document holds too. All is judged on
+the input: a block may be deleted in favour of a document that loses it to a
+yet earlier one.
 """
 
 from __future__ import annotations
@@ -27,9 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed, two_columns
+from .common import materialize, numbered, trimmed
 
-SEED_CHARS = 20
 BLOCK_CHARS = 100
 _ROWS = "rid long, doc_id long, lines array<binary>, sizes array<int>"
 
@@ -154,41 +159,65 @@ def patience(a: list, b: list, sizes: list | None = None, least: int = 0) -> lis
     return [tuple(z) for z in blocks]
 
 
-def _runs(block_chars: int):
-    """The shortest runs of lines from and up to each line that reach ``block_chars``, once a document, where they first stand."""
+def _spans(sizes: list[int], block_chars: int) -> list[tuple[int, int]]:
+    """The shortest runs of lines from and up to each line that reach ``block_chars``."""
+    to, n = list(accumulate(sizes, initial=0)), len(sizes)
+    spans = {(s, bisect_left(to, to[s] + block_chars)) for s in range(n)} | {(bisect_right(to, to[e] - block_chars) - 1, e) for e in range(1, n + 1)}
+    return sorted(x for x in spans if 0 <= x[0] < x[1] <= n)
+
+
+def _seeds(block_chars: int):
+    """``(rid, doc_id, seed, s, e)``: each seed of a document once, where it first stands."""
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for rid, doc_id, lines, sizes in zip(*(b.column(i).to_pylist() for i in range(4))):
-                to = list(accumulate(sizes, initial=0))
-                n = len(lines)
-                spans = {(s, bisect_left(to, to[s] + block_chars)) for s in range(n)} | {(bisect_right(to, to[e] - block_chars) - 1, e) for e in range(1, n + 1)}
                 seen: set = set()
-                for s, e in sorted(x for x in spans if 0 <= x[0] < x[1] <= n):
-                    key = digest(b"".join(lines[s:e]))
-                    if key not in seen:
-                        seen.add(key)
-                        for c, v in zip(out, (rid, doc_id, key, s, e)):
+                for s, e in _spans(sizes, block_chars):
+                    seed = digest(b"".join(lines[s:e]))
+                    if seed not in seen:
+                        seen.add(seed)
+                        for c, v in zip(out, (rid, doc_id, seed, s, e)):
                             c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rid", "doc_id", "line", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["rid", "doc_id", "seed", "s", "e"])
 
     return run
 
 
+def common(a: list, b: list, sizes: list, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Line ranges of ``b``, which may overlap, that a pair's alignment finds in ``a``.
+
+    ``seeds`` are ranges of b that a is known to hold; ``sizes`` those of b's lines.
+    """
+    if a == b:
+        return [(0, len(b))] if sum(sizes) >= least else []
+    found = [(s, s + n) for _, s, n in patience(a, b, sizes, least) if sum(sizes[s:s + n]) >= least]
+    free = np.ones(len(b) + 1, bool)
+    for s, e in found:
+        free[s:e] = False
+    where: dict = {}
+    for y, x in enumerate(b):
+        where.setdefault(x, []).append(y)
+    for s, e in seeds:
+        n = e - s
+        for y in where[b[s]]:
+            if free[y:y + n].any() and b[y:y + n] == b[s:e]:
+                found.append((y, y + n))
+    return found
+
+
 def _align(block_chars: int):
     def run(batches):
         for b in batches:
             out: list[list] = [[], [], []]
             for i in range(b.num_rows):
-                first, lines, sizes = b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py()
-                whole = [(0, 0, len(lines))] if first == lines else patience(first, lines, sizes, block_chars)
-                for _, s, n in whole:
-                    if sum(sizes[s:s + n]) >= block_chars:
-                        for c, v in zip(out, (b.column(0)[i].as_py(), s, s + n)):
-                            c.append(v)
+                rid, first, lines, sizes, seeds = (b.column(c)[i].as_py() for c in range(5))
+                for s, e in common(first, lines, sizes, [(x["s"], x["e"]) for x in seeds], block_chars):
+                    for c, v in zip(out, (rid, s, e)):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["b_rid", "s", "e"])
 
     return run
@@ -204,55 +233,46 @@ def _delete(batches):
                 keep[x["s"]:x["e"]] = False
             texts.append("\n".join([x for x, k in zip(own, keep) if k]) if blocks else t)
             gone.append(int((~keep).sum()))
-        cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(4), pa.array(gone, pa.int64()), b.column(5)]
-        yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "text", "n_lines", "n_removed", "rest"])
-
-
-def _to_first(held: DataFrame, *more: str) -> DataFrame:
-    """``(f_rid, b_rid, ..)``: each later holder of a ``line`` and its first one."""
-    # written out, so that the join below reads two plain exchanges and a common line's rows can be split
-    firsts = materialize(held.groupBy(F.col("line").alias("f_line")).agg(F.min(F.struct("doc_id", "rid")).alias("f"), F.count("*").alias("n")).where("n > 1"))
-    return held.join(firsts, F.col("line") == F.col("f_line")).where("f.rid <> rid").select(F.col("f.rid").alias("f_rid"), F.col("rid").alias("b_rid"), *more)
+        cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(4), pa.array(gone, pa.int64()), *b.columns[5:]]
+        yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "text", "n_lines", "n_removed", "row"][:len(cols)])
 
 
-def common_blocks(base: DataFrame, seed_chars: int, block_chars: int) -> DataFrame:
-    """``(b_rid, s, e)``: line ranges to delete; ``base`` has rid, doc_id, text."""
+def common_blocks(base: DataFrame, block_chars: int) -> DataFrame:
+    """``(b_rid, s, e)``: line ranges to delete; ``base`` has rid, doc_id, text and is written."""
     rows = materialize(base.select("rid", "doc_id", "text").mapInArrow(trimmed(_hash_lines), _ROWS))
-    held = (
-        rows.select("rid", "doc_id", F.explode(F.arrays_zip("lines", "sizes")).alias("x"))
-        .where(F.col("x.sizes") >= seed_chars).select("rid", "doc_id", F.col("x.lines").alias("line")).distinct()
+    seeds = rows.mapInArrow(trimmed(_seeds(block_chars)), "rid long, doc_id long, seed binary, s int, e int")
+    # written out, so that the join below reads two plain exchanges and a common seed's rows can be split
+    firsts = materialize(
+        seeds.groupBy(F.col("seed").alias("f_seed")).agg(F.min(F.struct("doc_id", "rid")).alias("f"), F.count("*").alias("n"))
+        .where("n > 1").select("f_seed", F.col("f.rid").alias("f_rid")))
+    # a pair's seeds are no more than twice the later document's lines
+    pairs = (
+        seeds.join(firsts, F.col("seed") == F.col("f_seed")).where("f_rid <> rid").select("f_rid", F.col("rid").alias("b_rid"), "s", "e")
+        .groupBy("f_rid", "b_rid").agg(F.collect_list(F.struct("s", "e")).alias("seeds"))
     )
-    runs = rows.mapInArrow(trimmed(_runs(block_chars)), "rid long, doc_id long, line binary, s int, e int")
-    shared = materialize(_to_first(runs, "s", "e"))
-    pairs = _to_first(held).unionByName(shared.select("f_rid", "b_rid")).distinct()
+    pairs = materialize(pairs)
     early = rows.select(F.col("rid").alias("e_rid"), F.col("lines").alias("e_lines"))
     later = rows.select(F.col("rid").alias("l_rid"), F.col("lines").alias("l_lines"), "sizes")
-    aligned = (
-        pairs.join(early, F.col("f_rid") == F.col("e_rid")).join(later, F.col("b_rid") == F.col("l_rid"))
-        .select("b_rid", "e_lines", "l_lines", "sizes").mapInArrow(trimmed(_align(block_chars)), "b_rid long, s int, e int")
+    return (
+        pairs.join(later, F.col("b_rid") == F.col("l_rid")).join(early, F.col("f_rid") == F.col("e_rid"))
+        .select("b_rid", "e_lines", "l_lines", "sizes", "seeds").mapInArrow(trimmed(_align(block_chars)), "b_rid long, s int, e int")
     )
-    return aligned.unionByName(shared.select("b_rid", "s", "e"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_chars: int = SEED_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(rid, doc_id, text, n_lines, n_removed, rest)``, one row for each input row.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, rows: bool = False) -> DataFrame:
+    """``(rid, doc_id, text, n_lines, n_removed)``, one row for each input row.
 
-    ``text`` is without the deleted lines; ``rest`` holds the input's other
-    columns, whatever their names. ``rid`` is the row's place. ``n_lines``
-    counts what ``\\n`` parts, so an empty or null text is one empty line,
-    which is never deleted; null texts come back empty. Lines are compared
-    without white space at their ends. Of repeated rows the first stays, the
-    others lose all blocks of ``block_chars``. A null id is earlier than any
-    other. An empty table gives an empty table. ``docs`` is a table read from
-    files: its rows keep their order when read again.
+    ``text`` is without the deleted lines; with ``rows`` also ``row``, the
+    input's columns as a struct, whatever their names. ``rid`` is the number
+    that the row got. ``n_lines`` counts what ``\\n`` parts, so an empty or null
+    text is one empty line, which is never deleted; null texts come back empty.
+    Lines are compared without white space at their ends. Of repeated rows the
+    first stays, the others lose all blocks of ``block_chars``. A null id is
+    earlier than any other. An empty table gives an empty table.
     """
-    row_id = F.monotonically_increasing_id().alias("rid")
-    base = two_columns(docs, id_col, text_col).select(row_id, "doc_id", "text")
-    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (id_col.lower(), text_col.lower())]
-    rest = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
-    whole = docs.select(row_id, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    blocks = common_blocks(base, seed_chars, block_chars).groupBy("b_rid").agg(F.collect_list(F.struct("s", "e")).alias("blocks"))
-    joined = whole.join(blocks, F.col("rid") == F.col("b_rid"), "left").select(
-        "rid", "doc_id", "text", "blocks", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), "rest")
-    out = joined.select("rid", "doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_removed"), "rest").schema
+    base = numbered(docs, id_col, text_col, rows)
+    blocks = common_blocks(base, block_chars).groupBy("b_rid").agg(F.collect_list(F.struct("s", "e")).alias("blocks"))
+    joined = base.join(blocks, F.col("rid") == F.col("b_rid"), "left").select(
+        "rid", "doc_id", "text", "blocks", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), *["row"] * rows)
+    out = joined.select("rid", "doc_id", "text", "n_lines", F.lit(0).cast("long").alias("n_removed"), *["row"] * rows).schema
     return joined.mapInArrow(trimmed(_delete), out)

@@ -11,9 +11,14 @@ anchors in the ball are home to no point near enough. Then, per anchor, its
 home fingerprints are compared in all 64 bits with the replicas. Any linked
 pair meets at the home of either of them.
 
-An anchor with many homes is cut into parts of at most ``HOMES_PER_PART``; its
-replicas go to each part. Each part returns a spanning forest of its links and
-not the links, so a family of near copies yields rows in proportion to its size.
+An anchor with many homes is cut into parts of some ``HOMES_PER_PART``; its
+replicas go to each part, where only the homes are held and the replicas
+stream by. Each part returns spanning forests of its links and not the links,
+so a family of near copies yields rows in proportion to its size.
+
+``near_groups`` and ``near_dedup`` link by the similarity of five-word shingle
+sets instead: wider fingerprints meet at anchors in the same way, a looser
+number of bits makes candidates, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed, two_columns
+from .common import materialize, numbered, trimmed, two_columns
 from .components import components
 
 THRESHOLD = 4
@@ -59,12 +64,12 @@ def _fingerprints(batches):
     for b in batches:
         seen: dict[str, int] = {}
         out = []
-        for t in b.column(2).to_pylist():
+        for t in b.column(1).to_pylist():
             if (x := seen.get(t)) is None:
                 x = fingerprint(t)
                 seen[t] = x = x - (1 << 64) if x >> 63 else x
             out.append(x)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["rid", "doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
 
 def _syndrome(x: np.ndarray, bits: int) -> np.ndarray:
@@ -136,43 +141,65 @@ def _forest(homes: np.ndarray, others: np.ndarray, threshold: int):
     return nodes[linked], nodes[label[linked]]
 
 
-def _links(threshold: int):
+def _by_anchor(compare, finish=None):
+    """Runs over rows ``(anchor, part, home, ..)`` sorted so that a group's homes come first.
+
+    ``compare(homes, rows)`` gets a group's homes with some of its rows, the
+    homes themselves in the first call; only the homes are held while the
+    others stream by. ``finish()`` follows a group's last rows. Both may return
+    a record batch.
+    """
+
     def run(batches):
-        held: list = []
+        held: list = []  # rows of the last group, as long as all of them are homes
+        homes, key = None, None
 
-        def flush(cols):
-            anchor, part, fp, home = cols
-            cut = np.nonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))[0] + 1
-            u, v = [], []
-            for s, e in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(fp)]))):
-                if e - s > 1:
-                    x, h = fp[s:e], home[s:e]
-                    if h.any():
-                        a, b = _forest(x[h], x, threshold)
-                        u.append(a)
-                        v.append(b)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+        def ready(result):
+            return (result,) if result is not None and result.num_rows else ()
+
+        def end():
+            nonlocal homes, key
+            closed, homes, key = homes is not None, None, None
+            return ready(finish()) if closed and finish else ()
 
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
             if not len(cols[0]):
                 continue
-            held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            a, p = held[0], held[1]
-            if a[0] == a[-1] and p[0] == p[-1]:
-                continue
-            last = int(np.nonzero((a != a[-1]) | (p != p[-1]))[0][-1]) + 1  # the last group may go on
-            yield from flush([x[:last] for x in held])
-            held = [x[last:] for x in held]
-        if held and len(held[0]):
-            yield from flush(held)
+            cols, held = [np.concatenate(x) for x in zip(held, cols)] if held else cols, []
+            anchor, part, home = cols[:3]
+            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
+            bounds = [0, *cut.tolist(), len(anchor)]
+            for s, e in zip(bounds, bounds[1:]):
+                rows = [x[s:e] for x in cols[2:]]
+                if key != (anchor[s], part[s]):
+                    yield from end()
+                    if e == len(anchor) and rows[0].all():
+                        held = [x[s:] for x in cols]
+                        break
+                    if e - s == 1 or not rows[0][0]:
+                        continue
+                    key, homes = (anchor[s], part[s]), [x[rows[0]] for x in rows]
+                yield from ready(compare(homes, rows))
+        if held and len(held[0]) > 1:
+            yield from end()
+            homes = held[2:]
+            yield from ready(compare(homes, homes))
+        yield from end()
 
     return run
 
 
+def _links(threshold: int):
+    def compare(homes, rows):
+        u, v = _forest(homes[1], rows[1], threshold)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return _by_anchor(compare)
+
+
 def _in_parts(spread: DataFrame, key: str, *more: str) -> DataFrame:
-    """Adds ``part``: the homes of a hot anchor are dealt over parts, and its replicas go to each.
+    """``(anchor, part, home, key, ..)``: the homes of a hot anchor are dealt over parts, and its replicas go to each.
 
     There is at most one hot anchor for ``HOMES_PER_PART`` homes. They are
     counted before they are broadcast; more than ``HOT_ANCHORS`` are joined.
@@ -182,35 +209,35 @@ def _in_parts(spread: DataFrame, key: str, *more: str) -> DataFrame:
         .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / HOMES_PER_PART).cast("int").alias("parts")))
     n_hot = hot.count()
     if n_hot == 0:
-        return spread.select("anchor", F.lit(0).alias("part"), key, "home", *more)
+        return spread.select("anchor", F.lit(0).alias("part"), "home", key, *more)
     parts = F.coalesce(F.col("parts"), F.lit(1))
     own = F.pmod(F.xxhash64(key), parts).cast("int")
     return (
         spread.join(F.broadcast(hot) if n_hot <= HOT_ANCHORS else hot, F.col("anchor") == F.col("hot_anchor"), "left")
         # a replica meets the homes of each part; a home is compared in its own part and stands as a replica in the others
-        .select("anchor", key, "home", *more, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        .select("anchor", "part", key, (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), *more)
+        .select("anchor", "home", key, *more, own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        .select("anchor", "part", (F.col("home") & (F.col("own") == F.col("part"))).alias("home"), key, *more)
     )
 
 
+def _grouped(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", F.desc("home"))
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``(rid, doc_id, fp, root, component_id)``: the groups with each row's place; see ``simhash_groups``."""
+    """``(doc_id, fp, root, component_id)``: the groups with their fingerprints; see ``simhash_groups``."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("the covering holds for thresholds of 0 to 4")
-    base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    fps = materialize(base.mapInArrow(trimmed(_fingerprints), "rid long, doc_id long, fp long"))
+    fps = materialize(two_columns(docs, id_col, text_col).mapInArrow(trimmed(_fingerprints), "doc_id long, fp long"))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     spread = distinct.select("fp").mapInArrow(trimmed(_replicate), "anchor long, fp long, home boolean")
     dealt = _in_parts(spread, "fp")
-    edges = (
-        dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-        .mapInArrow(trimmed(_links(threshold)), "u long, v long")
-    )
+    edges = _grouped(dealt).mapInArrow(trimmed(_links(threshold)), "u long, v long")
     roots = components(edges)
     ids = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = materialize(ids.groupBy(F.col("root").alias("least_root")).agg(F.min("first_id").alias("component_id")))
     classes = ids.join(least, F.col("root") == F.col("least_root")).select(F.col("fp").alias("class_fp"), "root", "component_id")
-    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("rid", "doc_id", "fp", "root", "component_id")
+    return fps.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -221,39 +248,47 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (4 or less) differing bits. A null or wordless text has fingerprint zero,
     which is linked like any other. A null doc_id keeps its row and counts in
     no minimum; where a component has only null ids, ``component_id`` is null.
-    Repeated rows and ids stay as they are. Extra columns are pruned. ``docs``
-    is a table read from files: its rows keep their order when read again.
+    Repeated rows and ids stay as they are. Extra columns are pruned.
     """
     return simhash_classes(docs, id_col, text_col, threshold).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-# --- the wide fingerprint: a similarity of shingle sets instead of a number of bits ---
+# --- the wide fingerprint: candidates for a similarity of shingle sets ---
 
 #: 64-bit words of the wide fingerprint, and words of its shingles
 WIDE, WIDE_SHINGLE = 4, 5
+SIMILARITY = 0.8
+#: nearest candidates that a document has verified in the first round; in each later one GROWTH times as many
+NEAREST, GROWTH = 4, 8
+#: deviations beyond the mean number of differing bits at the similarity that still make a candidate
+DEVIATIONS = 3.0
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def wide_threshold(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Bits in which two fingerprints differ at this Jaccard similarity of equally large sets: the mean and one deviation."""
+    """Differing bits of a candidate: the mean at this Jaccard similarity of equally large sets, and ``DEVIATIONS`` more."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(np.ceil(bits * p + (bits * p * (1 - p)) ** 0.5))
+    return int(np.ceil(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5))
 
 
-def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """``WIDE`` words of 64 bits over the distinct shingles of a text."""
+def shingle_set(text: str, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; fewer words: of the whole sequence; none: empty."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:n - 1] + 1)).tolist()
     stops = ends[min(shingle, len(words)) - 1:].tolist()
     digest = xxhash.xxh64_digest
-    h = np.unique(np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, stops)]), ">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(b"".join([digest(joined[s:e], 42) for s, e in zip(starts, stops)]), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """``WIDE`` words of 64 bits over a shingle set."""
     ones = np.zeros(64 * WIDE, np.int64)
     for a in range(0, len(h), 1 << 13):
         x = h[a:a + (1 << 13), None] * _MIX[None, :]
@@ -269,103 +304,165 @@ _WIDE_ROW = ", ".join(f"{c} long" for c in _WIDE_COLUMNS)
 
 
 def _wide_fingerprints(batches):
+    """(rid, doc_id, s1, s2, words..): s1 and s2 are the 128-bit digest of the shingle set."""
     for b in batches:
-        out = [wide_fingerprint(t) for t in b.column(2).to_pylist()]
-        x = (np.stack(out) if out else np.zeros((0, WIDE), np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x[:, i]) for i in range(WIDE)]], ["rid", "doc_id", *_WIDE_COLUMNS])
+        seen: dict[str, tuple] = {}
+        out = []
+        for t in b.column(2).to_pylist():
+            if (x := seen.get(t)) is None:
+                h = shingle_set(t)
+                seen[t] = x = (*np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist(), *wide_fingerprint(h).view(np.int64).tolist())
+            out.append(x)
+        cols = list(zip(*out)) or [()] * (2 + WIDE)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols]], ["rid", "doc_id", "s1", "s2", *_WIDE_COLUMNS])
 
 
 def _wide_replicate(batches):
-    """(anchor, node, home, words..): each word's blocks have anchors of their own."""
+    """(anchor, home, node, label, words..): each word's blocks have anchors of their own."""
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             c = b.slice(at, 1000)
-            node = c.column(0).to_numpy(zero_copy_only=False)
-            x = np.stack([c.column(1 + i).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1)
+            node, label = (c.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x = np.stack([c.column(2 + i).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1)
             for w in range(WIDE):
                 r, k, h = anchors(x[:, w])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k | (w << 24)), pa.array(node[r]), pa.array(h), *[pa.array(x[r, i]) for i in range(WIDE)]], ["anchor", "node", "home", *_WIDE_COLUMNS])
-
-
-def _wide_forest(node: np.ndarray, x: np.ndarray, home: np.ndarray, threshold: int):
-    """Spanning forest over the rows of one anchor: (node, least node of its tree)."""
-    label = np.arange(len(node))
-    homes = np.flatnonzero(home)
-    step = max(1, (1 << 19) // len(node))
-    for s in range(0, len(homes), step):
-        some = homes[s:s + step]
-        differ = np.zeros((len(some), len(node)), np.int64)
-        for w in range(WIDE):
-            differ += np.bitwise_count(x[some, w][:, None] ^ x[:, w][None, :])
-        i, j = np.nonzero(differ <= threshold)
-        i = some[i]
-        while True:
-            p, q = label[i], label[j]
-            apart = p != q
-            if not apart.any():
-                break
-            i, j, p, q = i[apart], j[apart], p[apart], q[apart]
-            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-            while not np.array_equal(up := label[label], label):
-                label = up
-    moved = np.flatnonzero(label != np.arange(len(node)))
-    return node[moved], node[label[moved]]
-
+                    [pa.array(k | (w << 24)), pa.array(h), pa.array(node[r]), pa.array(label[r]), *[pa.array(x[r, i]) for i in range(WIDE)]],
+                    ["anchor", "home", "node", "label", *_WIDE_COLUMNS])
+
+
+def _nearest_outside(threshold: int, k: int):
+    """(u, v, more): each home's ``k`` nearest candidates of other labels; ``more`` if it has yet more of them."""
+    best: list = []  # bits, nodes and the number of candidates of each home of the group so far
+
+    def compare(homes, rows):
+        node, label, x = homes[1], homes[2], np.stack(homes[3:], axis=1).view(np.uint64)
+        others, its, y = rows[1], rows[2], np.stack(rows[3:], axis=1).view(np.uint64)
+        if not best:
+            best.extend((node, {}))
+        step = max(1, (1 << 19) // max(1, len(others)))
+        for s in range(0, len(node), step):
+            differ = np.zeros((len(node[s:s + step]), len(others)), np.int16)
+            for w in range(WIDE):
+                differ += np.bitwise_count(x[s:s + step, w][:, None] ^ y[:, w][None, :])
+            i, j = np.nonzero(differ <= threshold)
+            apart = label[s + i] != its[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            bits = differ[i, j]
+            for h in np.unique(i).tolist():
+                mine = i == h
+                held_bits, held, n = best[1].get(s + h, (np.zeros(0, np.int16), np.zeros(0, np.int64), 0))
+                all_bits, all_nodes = np.concatenate((held_bits, bits[mine])), np.concatenate((held, others[j[mine]]))
+                top = np.lexsort((all_nodes, all_bits))[:k]
+                best[1][s + h] = (all_bits[top], all_nodes[top], n + int(mine.sum()))
+
+    def finish():
+        u, v, more = [], [], []
+        for h, (_, nodes, n) in best[1].items():
+            u.append(np.full(len(nodes), best[0][h]))
+            v.append(nodes)
+            more.append(np.full(len(nodes), n > k))
+        best.clear()
+        if u:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.array(np.concatenate(more))], ["u", "v", "more"])
+
+    return _by_anchor(compare, finish)
+
+
+def _sets(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
-def _wide_links(threshold: int):
-    def run(batches):
-        held: list = []
 
-        def flush(cols):
-            anchor, part, node, home = cols[:4]
-            x = np.stack(cols[4:], axis=1).view(np.uint64)
-            cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
-            bounds = np.concatenate(([0], cut, [len(node)]))
-            u, v = [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if e - s > 1 and home[s:e].any():
-                    a, b = _wide_forest(node[s:e], x[s:e], home[s:e], threshold)
-                    if len(a):
-                        u.append(a)
-                        v.append(b)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+def _similar(similarity: float):
+    """(u, v) of the pairs whose sets have at least this Jaccard similarity."""
 
+    def run(batches):
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4 + WIDE)]
-            if not len(cols[0]):
-                continue
-            held = [np.concatenate(c) for c in zip(held, cols)] if held else cols
-            a, p = held[0], held[1]
-            if a[0] == a[-1] and p[0] == p[-1]:
-                continue
-            last = int(np.flatnonzero((a != a[-1]) | (p != p[-1]))[-1]) + 1
-            yield from flush([c[:last] for c in held])
-            held = [c[last:] for c in held]
-        if held and len(held[0]):
-            yield from flush(held)
+            u, v = [], []
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both >= similarity * (len(x) + len(y) - both):
+                        u.append(b.column(0)[i].as_py())
+                        v.append(b.column(1)[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(rid, doc_id, root)`` for a table ``(rid, doc_id, text)`` as ``numbered`` gives it.
+
+    Documents with equal shingle sets are one node. Nodes meet at anchors of
+    their wide fingerprints; those at most ``wide_threshold(similarity)`` bits
+    apart are candidates, and a candidate is a link if its sets' Jaccard
+    similarity reaches the limit. A round verifies each node's nearest
+    candidates among the nodes that are not yet of its class; rounds go on,
+    each with ``GROWTH`` times as many, until no node has a candidate left, so
+    every candidate is verified, or its ends are linked already, and a family
+    of near copies costs in proportion to its size and not to its pairs.
+    """
+    prints = materialize(base.select("rid", "doc_id", "text").mapInArrow(trimmed(_wide_fingerprints), f"rid long, doc_id long, s1 long, s2 long, {_WIDE_ROW}"))
+    nodes = materialize(prints.groupBy("s1", "s2", *_WIDE_COLUMNS).agg(F.min("rid").alias("node")))
+    now, k = nodes.select("node", F.col("node").alias("label"), *_WIDE_COLUMNS), NEAREST
+    spark = base.sparkSession
+    edges = tested = spark.createDataFrame([], "u long, v long")
+    sets = spark.createDataFrame([], "node long, set binary")
+    roots = spark.createDataFrame([], "node long, root long")
+    while True:
+        spread = now.mapInArrow(trimmed(_wide_replicate), f"anchor long, home boolean, node long, label long, {_WIDE_ROW}")
+        found = materialize(_grouped(_in_parts(spread, "node", "label", *_WIDE_COLUMNS)).mapInArrow(
+            trimmed(_nearest_outside(wide_threshold(similarity), k)), "u long, v long, more boolean"))
+        pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        pairs = materialize(pairs.join(tested, ["u", "v"], "left_anti"))
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        # written out: few ends are broadcast by their size, and then no text moves
+        ends = materialize(ends.join(sets, "node", "left_anti"))
+        sets = sets.unionByName(materialize(
+            base.join(ends, F.col("rid") == F.col("node"), "left_semi").select("rid", "text").mapInArrow(trimmed(_sets), "node long, set binary")))
+        a, b = (sets.select(F.col("node").alias(f"{x}_node"), F.col("set").alias(f"{x}_set")) for x in "ab")
+        linked = materialize(
+            pairs.join(b, F.col("v") == F.col("b_node")).select("u", "v", "b_set").join(a, F.col("u") == F.col("a_node"))
+            .select("u", "v", "a_set", "b_set").mapInArrow(trimmed(_similar(similarity)), "u long, v long"))
+        edges, tested = edges.unionByName(linked), tested.unionByName(pairs)
+        roots = components(edges)
+        if found.where("more").isEmpty():
+            break
+        met = found.select(F.col("u").alias("met")).union(found.select("v")).distinct()
+        classes = roots.select(F.col("node").alias("r_node"), "root")
+        now = materialize(
+            nodes.join(met, F.col("node") == F.col("met"), "left_semi").join(classes, F.col("node") == F.col("r_node"), "left")
+            .select("node", F.coalesce("root", "node").alias("label"), *_WIDE_COLUMNS))
+        k *= GROWTH
+    of = nodes.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").select(
+        F.col("s1").alias("n1"), F.col("s2").alias("n2"), F.coalesce("root", "node").alias("root"))
+    return prints.join(of, (F.col("s1") == F.col("n1")) & (F.col("s2") == F.col("n2"))).select("rid", "doc_id", "root")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(rid, doc_id, root)``: groups of documents whose five-word shingle sets are similar.
 
-    The fingerprint has ``64 * WIDE`` bits over the distinct shingles; two
-    documents are linked if it differs in at most ``wide_threshold(similarity)``
-    bits and they meet at an anchor, as they do at least where one of its
-    ``3 * WIDE`` blocks differs in no more than one bit. At a similarity of 0.8 four pairs of five meet, at 0.9
-    ninety-nine of a hundred. Equal texts are always linked. ``root`` names the
-    group; rows, ids and nulls are treated as in ``simhash_groups``.
+    ``root`` is the least ``rid`` of the group. Equal texts are always linked;
+    null and wordless texts are equal, a text of one to four words has itself as its only
+    shingle. Repeated rows and null ids keep their rows. An empty table gives
+    an empty table. Extra columns are pruned.
+    """
+    return near_classes(numbered(docs, id_col, text_col), similarity)
+
+
+def near_dedup(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``near_groups``: the one with the least id, null ids last, all columns as they are.
+
+    Of rows with the same least id the first stays.
     """
-    base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    fps = materialize(base.mapInArrow(trimmed(_wide_fingerprints), f"rid long, doc_id long, {_WIDE_ROW}"))
-    distinct = materialize(fps.groupBy(*_WIDE_COLUMNS).agg(F.min("rid").alias("node")).select("node", *_WIDE_COLUMNS))
-    spread = distinct.mapInArrow(trimmed(_wide_replicate), f"anchor long, node long, home boolean, {_WIDE_ROW}")
-    dealt = _in_parts(spread, "node", *_WIDE_COLUMNS)
-    edges = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(trimmed(_wide_links(wide_threshold(similarity))), "u long, v long")
-    roots = components(edges).withColumnRenamed("node", "linked")
-    of = distinct.join(roots, F.col("node") == F.col("linked"), "left").select(*[F.col(c).alias(f"d_{c}") for c in _WIDE_COLUMNS], F.coalesce("root", "node").alias("root"))
-    same = [F.col(c) == F.col(f"d_{c}") for c in _WIDE_COLUMNS]
-    return fps.join(of, same).select("rid", "doc_id", "root")
+    placed = numbered(docs, id_col, text_col, rest=True)
+    classes = near_classes(placed, similarity)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    first = classes.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("first_rid"))
+    # written out: what goes is less than what stays, and is broadcast by its size if there is little of it
+    gone = materialize(classes.join(first, F.col("rid") == F.col("first_rid"), "left_anti").select(F.col("rid").alias("gone_rid")))
+    return placed.join(gone, F.col("rid") == F.col("gone_rid"), "left_anti").select("row.*")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trimmed, two_columns
+from .common import materialize, numbered, trimmed
 
 LENGTH = 200
 GRAM = 64
@@ -348,7 +348,8 @@ def covered_spans(docs: DataFrame, length: int, block_segments: int) -> tuple[Da
         .mapInArrow(trimmed(_expand(length)), "rid long, s long, e long")
     )
     windows = cut.where("hot").select(*columns).mapInArrow(trimmed(_windows(length)), "w1 long, w2 long, rid long, pos long, single boolean")
-    again = windows.groupBy(F.col("w1").alias("a1"), F.col("w2").alias("a2")).count().where("count > 1").select("a1", "a2")
+    windows = materialize(windows)
+    again = materialize(windows.groupBy(F.col("w1").alias("a1"), F.col("w2").alias("a2")).count().where("count > 1").select("a1", "a2"))
     exact = windows.where("single").join(again, (F.col("w1") == F.col("a1")) & (F.col("w2") == F.col("a2"))).select(
         "rid", F.col("pos").alias("s"), (F.col("pos") + length).alias("e"))
     return whole.unionByName(matched).unionByName(exact), texts.select("rid", "z")
@@ -363,11 +364,10 @@ def remove_repeats(
     part a character). A null text is empty: nothing is removed. Repeated rows
     are copies of one another like any other two rows, so if long enough they
     lose all. An empty table gives an empty table. Extra columns are pruned.
-    ``docs`` is a table read from files: its rows keep their order when read again.
     """
-    if not GRAM + 8 <= length <= GRAM + 255:
-        raise ValueError(f"length from {GRAM + 8} to {GRAM + 255}")
-    base = two_columns(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    if not GRAM + 8 <= length <= GRAM + 254:  # a segment's windows are counted in eight bits
+        raise ValueError(f"length from {GRAM + 8} to {GRAM + 254}")
+    base = numbered(docs, id_col, text_col)
     spans, held = covered_spans(base, length, block_segments)
     merged = spans.groupBy(F.col("rid").alias("m_rid")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # bounded by the text's own length
     done = held.join(merged, F.col("rid") == F.col("m_rid")).select("rid", "z", "spans").mapInArrow(
