@@ -1,24 +1,20 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio.
 
-Character n-grams at word bounds (a word's first three and last three) are hashed into ``BUCKETS`` buckets. Unlike whole words they
-recur in all documents of a language, so a text is not held to be odd because
-its rare words are, or because thousands of copies of it are. Two multinomials
-are counted: of the raw corpus (every document), and of the trusted target (the
-documents labelled good, of which at most ``TARGET_DOCUMENTS``, those with the
-least hash of their id; a bound on the fit, not on the scoring). Every document
-counts, but those of one family of copies (equal least word-pair hash) share
-one document's weight, or a family with a third of all rows would be the
-corpus. Only the ``FAMILIES`` largest need this: no other can hold more than
-that part of the rows. The target is
-smoothed towards the corpus with ``PSEUDO`` counts a bucket, so that a bucket
-seen a few times says next to nothing, in the target or not. A document's
-score is the mean log ratio of its n-grams, summed in 2**-20 units as integers
-so that neither the order of rows nor the partitioning can change a verdict.
-It is kept if the base rules pass and the score is at least ``THRESHOLD``.
-
-All of it is DataFrame and SQL functions. Only the weight table (``BUCKETS``
-rows), the ids of the target (``TARGET_DOCUMENTS`` rows) and the sizes of the
-largest families (``FAMILIES`` rows) are broadcast.
+Words and pairs of adjacent words, letter case kept, are hashed into
+``BUCKETS`` buckets. Two multinomials are counted: of the raw corpus (every
+n-gram of every document) and of the trusted target (the documents labelled
+good and not toxic, of which at most ``TARGET_DOCUMENTS``, those with the least hash
+of their id; a bound on the fit, not on the scoring). The target is smoothed
+towards the corpus with ``PSEUDO`` counts a bucket, so that a bucket seen a few
+times says next to nothing, in the target or not. A document's score is the
+mean log ratio of its n-grams, summed in 2**-20 units as integers so that
+neither the order of rows nor the partitioning can change a verdict. It is
+kept if the base rules pass and the score is at least ``THRESHOLD``.
+
+All of it is DataFrame and SQL functions. Counting explodes the n-grams into
+``BUCKETS`` sums; scoring is done within each row, on a literal array of
+``BUCKETS`` weights, so that no row is exploded or joined and the verdict is a
+plain column of the document.
 """
 
 from __future__ import annotations
@@ -30,9 +26,8 @@ from .common import WORD, materialize, two_columns
 
 BUCKETS = 1 << 16
 TARGET_DOCUMENTS = 20_000
-FAMILIES = 1 << 16
 PSEUDO = 10.0
-THRESHOLD = -0.75
+THRESHOLD = -0.1
 UNIT = 1 << 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = "[" + WORD[2:]
@@ -84,74 +79,70 @@ def _bucket(*parts):
     return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
 
 
-def _head(word: str = "word"):
-    return _bucket(F.lit("^"), F.left(word, F.lit(3)))
+def _grams(words: str = "words"):
+    """Buckets of the words, and of the pairs of adjacent words."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: _bucket(F.get(words, i), F.get(words, i + 1)))
+    return F.concat(F.transform(words, lambda w: _bucket(w)), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
 
 
-def _tail(word: str = "word"):
-    return _bucket(F.lit("$"), F.right(word, F.lit(3)))
-
-
-def _family():
-    """The least hash of a document's word pairs: copies and most near copies share it."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))
-    return F.when(F.size("words") > 1, F.array_min(pairs)).otherwise(F.xxhash64("words"))
-
-
-def weights(docs: DataFrame, labels: DataFrame, good: str = "quality") -> DataFrame:
+def weights(docs: DataFrame, labels: DataFrame, good: str = "quality", bad: str = "toxic") -> DataFrame:
     """``(bucket, weight long)``: the log ratio of target to corpus, in units of 2**-20.
 
-    ``docs`` has doc_id and text. No good label in ``labels``: an empty table,
-    so that every score is zero.
+    ``docs`` has doc_id and text. A bucket that no document has gives no row.
+    No trusted document: an empty table, so that every score is zero.
     """
+    trusted = (F.col(good).cast("int") == 1) & (F.coalesce(F.col(bad).cast("int"), F.lit(0)) == 0)
     target = (
-        labels.where(F.col(good).cast("int") == 1).select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
-        .orderBy(F.xxhash64("good_id"), "good_id").limit(TARGET_DOCUMENTS).withColumn("good", F.lit(1))
-    )
-    known = _barrier(_barrier(docs.select("doc_id", "text"), words=_words()), family=_family()).select("doc_id", "words", "family")
-    large = (
-        known.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
-        .orderBy(F.desc("members"), "family").limit(FAMILIES).withColumnRenamed("family", "large")
+        labels.where(trusted).select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
+        .orderBy(F.xxhash64("good_id"), "good_id").limit(TARGET_DOCUMENTS)
     )
-    share = F.floor(F.lit(UNIT) / F.coalesce("members", F.lit(1)))
     counted = (
-        known.join(F.broadcast(target), F.col("doc_id") == F.col("good_id"), "left")
-        .join(F.broadcast(large), F.col("family") == F.col("large"), "left")
-        .select(share.alias("share"), F.when(F.col("good") == 1, share).otherwise(0).alias("hit"), F.explode("words").alias("word"))
-        .select("share", "hit", F.explode(F.array(_head(), _tail())).alias("bucket"))
-        .groupBy("bucket").agg((F.sum("share") / UNIT).alias("raw"), (F.sum("hit") / UNIT).alias("hit"))
+        docs.join(F.broadcast(target), F.col("doc_id") == F.col("good_id"), "left")
+        .select(F.col("good_id").isNotNull().cast("long").alias("good"), _words().alias("words"))
+        .select("good", F.explode(_grams()).alias("bucket"))
+        .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("hit"))
     )
     counts = materialize(counted)  # at most BUCKETS rows
-    raw, hit = counts.agg(F.sum(F.round("raw", 6).cast("decimal(38,6)")).cast("double"), F.sum(F.round("hit", 6).cast("decimal(38,6)")).cast("double")).first()
+    raw, hit = counts.agg(F.sum("raw"), F.sum("hit")).first()
     if not hit:
         return counts.where("false").select("bucket", F.lit(0).cast("long").alias("weight"))
-    expected = F.col("raw") * F.lit(hit / raw)
-    ratio = F.log((F.col("hit") + PSEUDO) / (expected + PSEUDO))
+    ratio = F.log((F.col("hit") + PSEUDO) / (F.col("raw") * F.lit(hit / raw) + PSEUDO))
     return counts.select("bucket", F.round(ratio * UNIT).cast("long").alias("weight"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _literal(table: DataFrame):
+    """The weights as one constant array; at most ``BUCKETS`` rows come to the driver."""
+    values = [0] * BUCKETS
+    for bucket, weight in table.collect():
+        values[bucket] = weight
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", rows: bool = False
+) -> DataFrame:
     """Counts, score and verdict, one row for each input row.
 
-    ``(rid, doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score, kept)``. A null text has no words, so
-    the base rules reject it. Repeated rows and null ids are judged each on
-    their own. An empty table gives an empty table; without good labels the
-    base rules alone decide. Extra columns are pruned.
+    ``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, score, kept)``; with ``rows`` also ``row``, the input's columns
+    as a struct, whatever their names. A null text has no words, so the base
+    rules reject it. Repeated rows and null ids are judged each on their own.
+    An empty table gives an empty table; without trusted documents the base
+    rules alone decide. A null label is no label.
     """
-    base = two_columns(docs, id_col, text_col)
-    table = weights(base, labels)
-    counted = base_counts(base.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"))
-    grams = counted.select("rid", "doc_id", *BASE, F.explode_outer("words").alias("word"))
-    heads, tails = (F.broadcast(table.select(F.col("bucket").alias(f"{x}_bucket"), F.col("weight").alias(x))) for x in ("head", "tail"))
-    scored = (
-        grams.join(heads, _head() == F.col("head_bucket"), "left").join(tails, _tail() == F.col("tail_bucket"), "left")
-        .groupBy("rid", "doc_id", *BASE)
-        .agg(F.sum(F.coalesce("head", F.lit(0)) + F.coalesce("tail", F.lit(0))).alias("total"))
-        .withColumn("grams", F.greatest(2 * F.col("n_words"), F.lit(1)))
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    weight = _literal(weights(two_columns(docs, id_col, text_col), labels))
+    counted = base_counts(docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *own))
+    total = F.aggregate(_grams(), F.lit(0).cast("long"), lambda acc, b: acc + F.get(weight, b))
+    scored = _barrier(counted.drop("text"), total=total, grams=F.greatest(2 * F.col("n_words") - 1, F.lit(1).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(
-        "rid", "doc_id", *BASE, failed.alias("base_failed"), (F.col("total") / F.col("grams") / UNIT).alias("score"),
-        (~failed & (F.col("total") >= F.lit(round(threshold * UNIT)) * F.col("grams"))).alias("kept"),
+        "doc_id", *BASE, failed.alias("base_failed"), (F.col("total") / F.col("grams") / UNIT).alias("score"),
+        (~failed & (F.col("total") >= F.lit(round(threshold * UNIT)) * F.col("grams"))).alias("kept"), *["row"] * rows,
     )
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, all columns as they are."""
+    return quality(docs, labels, rows=True, **options).where("kept").select("row.*")
