@@ -20,36 +20,31 @@ from deltaloom.llm.common import shared_path, table
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _with_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents whose place is in ``rows(keep_rid)``, with their own columns."""
-    placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return placed.join(rows, F.col("rid") == F.col("keep_rid"), "left_semi").select("row.*")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.quality(docs, table(spark, sf_dir, "labels"))
-    return _with_rows(docs, judged.where("kept").select(F.col("rid").alias("keep_rid")))
+    """Null texts have no words and go; repeated rows are judged alike."""
+    return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that loses nothing stays as it is, also if it is empty."""
-    out = linededup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.length(F.translate("text", " \t\n\x0b\f\r", "")) > 0))
-    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    return out.select([own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+    """A document that loses nothing stays as it is, also if it is empty; one that is left with white space only goes."""
+    out = linededup.line_dedup(docs, rows=True).where((F.col("n_removed") == 0) | (F.length(F.translate("text", " \t\n\x0b\f\r", "")) > 0))
+    cut = F.col("n_removed") > 0
+    own = {"text": F.when(cut, F.col("text")), "n_chars": F.when(cut, F.char_length("text").cast("long"))}
+    return out.select([F.coalesce(own[c], F.col(f"row.`{c}`")).alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups at a similarity of 0.8 of five-word shingle sets."""
-    classes = simhash.near_classes(docs)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"))
-    return _with_rows(docs, first.select(F.col("first.rid").alias("keep_rid")))
+    """Of each group at a similarity of 0.8 of five-word shingle sets the document with the least id stays."""
+    return simhash.near_dedup(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go; null and empty texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all that is left; a null text is one end token."""
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
