@@ -8,8 +8,10 @@ mark, and its length class. Transition and emission tables are counted from
 labelled lines (every one of them; the tables have a fixed size) and smoothed
 by one. Viterbi recovers the roles; canonical turns are rendered from them.
 
-A transcript may be of any length: it is cut into chunks of ``CHUNK_TURNS`` source
-rows. Pass one reduces each chunk to a matrix of best scores from each entry
+A transcript may be of any length: rows are numbered once, in the order of the
+turn and then of the table, and cut into chunks of ``CHUNK_TURNS`` turns. Where a chunk
+has over ``CHUNK_ROWS`` rows (a turn number that repeats, rows without one) it is
+cut further, by turn and by the rows' numbers. Pass one reduces each chunk to a matrix of best scores from each entry
 to each exit state, for either kind of line before it; pass two runs Viterbi over a transcript's matrices, one small row for a
 chunk; pass three decodes every chunk between its now known end states. The
 result is that of one Viterbi over the whole.
@@ -29,6 +31,10 @@ from .common import materialize, trimmed
 ROLES = ("system", "user", "assistant")
 STATES = tuple((r, first) for r in ROLES for first in (True, False))
 CHUNK_TURNS = 64
+CHUNK_ROWS = 1024
+_NO_TURN = -(1 << 60)
+#: the part of ``cut`` that a row number takes
+_ROW_BITS = 50
 
 # fixed values: names by which transcripts mark their speakers
 SPEAKERS = {
@@ -129,7 +135,12 @@ def labelled_lines(turns: DataFrame) -> DataFrame:
 
 
 def fit(turns: DataFrame) -> Model:
-    """``turns(role, before, text, after_blank)``, ``before`` the role of the turn before or null."""
+    """Count the tables over ``turns(role, before, text, after_blank)``, ``before`` the role of the turn before or null.
+
+    Rows of a null or other role are left out; a null text is an empty line, a
+    null ``after_blank`` false. Repeated rows count each. No row leaves the
+    tables as the smoothing has them.
+    """
     n = len(STATES)
     start, move, emit = np.ones(n), np.ones((n, n)), np.zeros((n, len(SIZES), max(SIZES)))
     for j, size in enumerate(SIZES):
@@ -153,7 +164,7 @@ def fit(turns: DataFrame) -> Model:
 
 def _chunks(rows: DataFrame) -> DataFrame:
     """Rows with their chunk, sorted, each chunk within one partition."""
-    return rows.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "text")
+    return rows.repartition("conv_id", "chunk", "cut").sortWithinPartitions("conv_id", "chunk", "cut", "turn", "rid")
 
 
 def _groups(batches, keys: int):
@@ -171,69 +182,83 @@ def _groups(batches, keys: int):
 
 
 def parse(transcripts: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """``(conv_id, line, role, starts_turn, text)`` for each line of the transcripts.
+    """``(conv_id, chunk, cut, line, role, starts_turn, text)`` for each line of the transcripts.
 
     ``transcripts`` holds pieces of raw transcript text in the order of
-    ``turn_col``; how they are cut into rows has no influence on roles beyond
-    the line breaks between rows. ``line`` numbers lines within a chunk and is
-    ordered by ``(chunk, line)``. Null texts are empty lines; pieces without a
-    conversation or turn keep their rows, nulls being one conversation, or
-    turn, of their own that comes first. Repeated rows are lines like any other.
+    ``turn_col``, those of one turn in the order of the table; how they are cut
+    into rows has no influence on roles beyond the line breaks between rows.
+    ``line`` numbers lines within a chunk; lines are ordered by ``(chunk, cut,
+    line)``. Null texts are empty lines; pieces without a conversation or turn
+    keep their rows, nulls being one conversation, or turn, of their own that
+    comes first. Repeated rows are lines like any other. Extra columns are
+    pruned; an empty table gives an empty table.
     """
     spark = transcripts.sparkSession
-    turn = F.col(turn_col).cast("long").alias("turn")
-    rows = transcripts.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.coalesce(F.floor(F.col(turn_col) / CHUNK_TURNS), F.lit(-1)).cast("long").alias("chunk"),
-        turn, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    turn = F.col(turn_col).cast("long")
+    rows = materialize(transcripts.select(
+        F.col(conv_col).cast("long").alias("conv_id"), F.coalesce(F.floor(turn / CHUNK_TURNS), F.lit(_NO_TURN)).cast("long").alias("chunk"),
+        turn.alias("turn"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    # written out: its size tells whether it is broadcast
+    full = materialize(
+        rows.groupBy(F.col("conv_id").alias("f_conv"), F.col("chunk").alias("f_chunk")).count().where(F.col("count") > CHUNK_ROWS).select("f_conv", "f_chunk"))
+    within = F.coalesce(F.col("turn") - F.col("chunk") * CHUNK_TURNS, F.lit(0))
+    cut = F.when(F.col("f_chunk").isNotNull(), F.shiftleft(within, _ROW_BITS) + F.floor(F.col("rid") / CHUNK_ROWS)).otherwise(0)
+    rows = rows.join(full, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("chunk") == F.col("f_chunk")), "left").select(
+        "conv_id", "chunk", cut.cast("long").alias("cut"), "turn", "rid", "text")
     shared = spark.sparkContext.broadcast(model)
 
     def lines_of(group):
-        return [x for row in group for x in row[3].split("\n")]
+        return [x for row in group for x in row[5].split("\n")]
 
     def summaries(batches):
         m = shared.value
-        for (conv, chunk), group in _groups(batches, 2):
+        for (conv, chunk, at), group in _groups(batches, 3):
             lines = lines_of(group)
             through = _through(m.scores(lines), m.move)
             # whether the line before the chunk was blank is not known here; it moves the first line's scores alone
             other = m.scores(lines[:1], False)[0] - m.scores(lines[:1])[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([through.ravel().tolist()]), pa.array([other.tolist()]), pa.array([not lines[-1].strip()])],
-                ["conv_id", "chunk", "best", "other", "blank"])
+                [pa.array([conv], pa.int64()), pa.array([chunk], pa.int64()), pa.array([at], pa.int64()), pa.array([through.ravel().tolist()]), pa.array([other.tolist()]),
+                 pa.array([not lines[-1].strip()])],
+                ["conv_id", "chunk", "cut", "best", "other", "blank"])
 
     def ends(batches):
         m = shared.value
         n = len(STATES)
-        for (conv,), group in _groups(batches, 1):
-            now, backs, entries, blanks = None, [], [], [True]
-            for row in group:
-                best = np.array(row[2]).reshape(n, n)
-                if not blanks[-1]:
-                    best = best + np.array(row[3])[:, None]
-                blanks.append(row[4])
-                entry = m.start[:, None] + best if now is None else None
-                if entry is None:
-                    into = now[:, None] + m.move  # last state before, first state of the chunk
-                    entries.append(into.argmax(axis=0))
-                    entry = into.max(axis=0)[:, None] + best
-                else:
-                    entries.append(None)
-                backs.append(entry.argmax(axis=0))
-                now = entry.max(axis=0)
-            last = int(now.argmax())
-            out = []
-            for row, back, entry, blank in zip(group[::-1], backs[::-1], entries[::-1], blanks[-2::-1]):
+        names = ["e_conv", "e_chunk", "e_cut", "first", "last", "blank"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        conv, now, blank = None, None, True
+        path: list = []  # chunk, cut, blank before it, and two small tables of back pointers
+
+        def traced():
+            last, out = int(now.argmax()), []
+            for chunk, at, before, back, entry in reversed(path):
                 first = int(back[last])
-                out.append((conv, row[1], first, last, blank))
+                out.append((conv, chunk, at, first, last, before))
                 last = int(entry[first]) if entry is not None else last
-            cols = list(zip(*out[::-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_())], ["e_conv", "e_chunk", "first", "last", "blank"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[::-1]), kinds)], names)
+
+        for b in batches:
+            for key, chunk, at, best, other, empty in zip(*(c.to_pylist() for c in b.columns)):
+                if path and key != conv:
+                    yield traced()
+                    path, now, blank = [], None, True
+                conv = key
+                best = np.array(best).reshape(n, n)
+                if not blank:
+                    best = best + np.array(other)[:, None]
+                into = None if now is None else now[:, None] + m.move  # last state before, first state of the chunk
+                entry = m.start[:, None] + best if into is None else into.max(axis=0)[:, None] + best
+                path.append((chunk, at, blank, entry.argmax(axis=0).astype(np.int8), None if into is None else into.argmax(axis=0).astype(np.int8)))
+                now, blank = entry.max(axis=0), empty
+        if path:
+            yield traced()
 
     def decode(batches):
         m = shared.value
-        for (conv, chunk), group in _groups(batches, 2):
+        for (conv, chunk, at), group in _groups(batches, 3):
             lines = lines_of(group)
-            first, last, blank = group[0][4:7]
+            first, last, blank = group[0][6:9]
             entry = np.full(len(STATES), -np.inf)
             entry[first] = 0.0
             path = _viterbi(m.scores(lines, blank), m.move, entry, last)[1]
@@ -242,54 +267,58 @@ def parse(transcripts: DataFrame, model: Model, conv_col: str = "conv_id", turn_
                 texts.append(x[features(x, blank if i == 0 else not lines[i - 1].strip())[1]:] if STATES[path[i]][1] else x)
             k = len(lines)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array(range(k), pa.int32()),
+                [pa.array([conv] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array([at] * k, pa.int64()), pa.array(range(k), pa.int32()),
                  pa.array([STATES[s][0] for s in path]), pa.array([STATES[s][1] for s in path]), pa.array(texts, pa.string())],
-                ["conv_id", "chunk", "line", "role", "starts_turn", "text"])
+                ["conv_id", "chunk", "cut", "line", "role", "starts_turn", "text"])
 
-    best = materialize(_chunks(rows).mapInArrow(trimmed(summaries), "conv_id long, chunk long, best array<double>, other array<double>, blank boolean"))
-    bounds = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(trimmed(ends), "e_conv long, e_chunk long, first int, last int, blank boolean")
-    known = rows.join(bounds, F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk"))).select("conv_id", "chunk", "turn", "text", "first", "last", "blank")
-    return _chunks(known).mapInArrow(trimmed(decode), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string")
+    place = "conv_id long, chunk long, cut long"
+    best = materialize(_chunks(rows).mapInArrow(trimmed(summaries), f"{place}, best array<double>, other array<double>, blank boolean"))
+    bounds = best.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "cut").mapInArrow(
+        trimmed(ends), "e_conv long, e_chunk long, e_cut long, first int, last int, blank boolean")
+    same = F.col("conv_id").eqNullSafe(F.col("e_conv")) & (F.col("chunk") == F.col("e_chunk")) & (F.col("cut") == F.col("e_cut"))
+    known = rows.join(bounds, same).select("conv_id", "chunk", "cut", "turn", "rid", "text", "first", "last", "blank")
+    return _chunks(known).mapInArrow(trimmed(decode), f"{place}, line int, role string, starts_turn boolean, text string")
 
 
 def render(lines: DataFrame) -> DataFrame:
-    """``(conv_id, turn_no, role, text)``: the lines gathered to canonical turns.
+    """``(conv_id, chunk, cut, line, role, starts_turn, text, rendered)``: the lines of ``parse`` gathered to canonical turns.
 
-    A turn's rows are its lines joined by ``\\n`` without white space at the
-    ends; ``rendered`` is the turn as ``<|role|>`` and its text.
+    A turn's text is its lines joined by ``\\n`` without white space at the
+    ends; ``rendered`` is the turn as ``<|role|>`` and its text; the place is
+    that of its first line. Null texts are skipped. No lines give an empty table.
     """
 
     def run(batches):
-        for (conv, chunk), group in _groups(batches, 2):
+        for (conv, chunk, at), group in _groups(batches, 3):
             turns: list[list] = []
-            for _, _, line, role, starts, text in group:
+            for _, _, _, line, role, starts, text in group:
                 if starts or not turns:
                     turns.append([line, role, bool(starts), []])
-                turns[-1][3].append(text)
+                turns[-1][3].append(text or "")
             k = len(turns)
             texts = ["\n".join(t[3]) for t in turns]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array([t[0] for t in turns], pa.int32()),
+                [pa.array([conv] * k, pa.int64()), pa.array([chunk] * k, pa.int64()), pa.array([at] * k, pa.int64()), pa.array([t[0] for t in turns], pa.int32()),
                  pa.array([t[1] for t in turns]), pa.array([t[2] for t in turns]), pa.array(texts, pa.string())],
-                ["conv_id", "chunk", "line", "role", "starts_turn", "text"])
+                ["conv_id", "chunk", "cut", "line", "role", "starts_turn", "text"])
 
-    parts = materialize(lines.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "line").mapInArrow(
-        trimmed(run), "conv_id long, chunk long, line int, role string, starts_turn boolean, text string"))
+    parts = materialize(lines.repartition("conv_id", "chunk", "cut").sortWithinPartitions("conv_id", "chunk", "cut", "line").mapInArrow(
+        trimmed(run), "conv_id long, chunk long, cut long, line int, role string, starts_turn boolean, text string"))
     # a chunk's leading lines go to the last turn that starts in a chunk before it, one small row for a chunk
-    starts = parts.groupBy("conv_id", "chunk").agg(F.max(F.when(F.col("starts_turn"), F.col("line"))).alias("line"))
-    earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("conv_id", "chunk", "cut").agg(F.max(F.when(F.col("starts_turn"), F.col("line"))).alias("line"))
+    earlier = Window.partitionBy("conv_id").orderBy("chunk", "cut").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct("chunk", "cut", "line")
     before = starts.select(
-        F.col("conv_id").alias("b_conv"), F.col("chunk").alias("b_chunk"),
-        F.last(F.when(F.col("line").isNotNull(), F.struct("chunk", "line")), ignorenulls=True).over(earlier).alias("turn"))
-    same = F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("chunk") == F.col("b_chunk"))
-    own = F.struct("chunk", "line")
+        F.col("conv_id").alias("b_conv"), F.col("chunk").alias("b_chunk"), F.col("cut").alias("b_cut"),
+        F.last(F.when(F.col("line").isNotNull(), own), ignorenulls=True).over(earlier).alias("turn"))
+    same = F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("chunk") == F.col("b_chunk")) & (F.col("cut") == F.col("b_cut"))
     turns = (
         parts.where("starts_turn").withColumn("turn", own)
         .unionByName(parts.where("not starts_turn").join(before, same).select(*parts.columns, F.coalesce("turn", own).alias("turn")))
-        .groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("chunk", "line", "role", "starts_turn", "text"))).alias("p"))
+        .groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("chunk", "cut", "line", "role", "starts_turn", "text"))).alias("p"))
     )
-    text = F.trim(F.array_join("p.text", "\n"))
-    head = [F.col("p")[0][c].alias(c) for c in ("chunk", "line", "role", "starts_turn")]
+    text = F.btrim(F.array_join("p.text", "\n"), F.lit(" \t\n\x0b\f\r"))
+    head = [F.col("p")[0][c].alias(c) for c in ("chunk", "cut", "line", "role", "starts_turn")]
     return turns.select("conv_id", *head, text.alias("text"), F.concat(F.lit("<|"), F.col("p")[0]["role"], F.lit("|>\n"), text).alias("rendered"))
 
 

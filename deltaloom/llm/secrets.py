@@ -2,7 +2,8 @@
 
 Candidates are what the patterns below find in the whole text. Each gets
 numeric features: its length, the rates of change between character classes,
-entropy, coverage by dictionary words, what kind of path or assignment it
+entropy, coverage by dictionary words (those of a vocabulary file, which is
+read and not kept here), what kind of path or assignment it
 stands in, and whether neighbouring words speak of secrets or of digests and
 placeholders. A random forest trained on labelled findings gives the
 probability that a candidate is a live secret.
@@ -16,10 +17,12 @@ input; ``example_findings`` makes a set of them from the public formats.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
 import string
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +60,8 @@ SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "credenti
 DIGEST_WORDS = ("sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "revision", "etag", "uuid", "integrity", "fingerprint")
 PLACEHOLDERS = ("example", "changeme", "your", "xxxx", "dummy", "placeholder", "sample", "test", "todo", "redacted", "none", "null", "insert", "****", "1234")
 _COMMON = ("the", "and", "for", "that", "with", "this", "from", "have", "not", "are", "was", "you", "all", "can", "use", "get", "set", "value", "name", "user", "data", "file", "path", "config", "environment", "variable", "string", "return", "function", "default", "here", "some", "word")
-_DICTIONARY = frozenset(_COMMON + SECRET_WORDS + DIGEST_WORDS + PLACEHOLDERS)
+#: letters of a dictionary word; shorter ones turn up in random strings
+WORD_LETTERS = range(4, 16)
 FEATURES = (
     "rule", "length", "to_digit", "to_lower", "to_upper", "to_other", "digits", "uppers", "entropy", "distinct", "dictionary", "longest_letters",
     "placeholder", "secret_near", "digest_near", "quoted", "in_path", "in_url",
@@ -70,9 +74,29 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def dictionary(vocabulary_path: str) -> frozenset:
+    """Whole words of letters in a ``tokenizers`` .json vocabulary, which bounds their number."""
+    with open(vocabulary_path, encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    pieces = pieces if isinstance(pieces, dict) else [p for p, _ in pieces]
+    words = (p.removesuffix("</w>").lstrip("\u0120\u2581").lower() for p in pieces if p.endswith("</w>") or p[:1] in "\u0120\u2581")
+    return frozenset(w for w in words if len(w) in WORD_LETTERS and w.isascii() and w.isalpha()) | {w for w in PLACEHOLDERS if w.isalpha()}
+
+
+def covered_letters(value: str, words: frozenset) -> int:
+    """Characters of ``value`` (lower case) in dictionary words, the longest word at each place first."""
+    total = 0
+    for run in re.findall(r"[a-z]{4,}", value):
+        i = 0
+        while i <= len(run) - WORD_LETTERS[0]:
+            k = next((k for k in range(min(WORD_LETTERS[-1], len(run) - i), WORD_LETTERS[0] - 1, -1) if run[i:i + k] in words), 0)
+            total, i = total + k, i + max(k, 1)
+    return total
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(rule index, start, end) by start; of those that overlap, the one of the earlier rule."""
-    found: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int]] = []  # start, end, rule
     low = _lower(text)
     long = None
     for i, starts, pattern in _RULES:
@@ -92,12 +116,14 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
                         spans.append(m.span(1))
                     at = where.find(x, at + 1)
         for a, e in spans:
-            if not any(a < f and s < e for _, s, f in found):
-                found.append((i, a, e))
-    return sorted(found, key=lambda x: x[1:])
+            # what was found before is apart and in order, so only the neighbours can overlap
+            k = bisect_left(found, (a, e))
+            if (k == 0 or found[k - 1][1] <= a) and (k == len(found) or e <= found[k][0]):
+                insort(found, (a, e, i))
+    return [(i, a, e) for a, e, i in found]
 
 
-def describe(rule: int, value: str, before: str, after: str) -> list[float]:
+def describe(rule: int, value: str, before: str, after: str, words: frozenset) -> list[float]:
     """The features of one candidate in its surroundings."""
     n = len(value)
     kind = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in value]
@@ -109,15 +135,14 @@ def describe(rule: int, value: str, before: str, after: str) -> list[float]:
     for c in value:
         count[c] = count.get(c, 0) + 1
     low = value.lower()
-    words = re.findall(r"[a-z]{3,}", low)
-    covered = sum(len(w) for w in words if w in _DICTIONARY)
+    letters = re.findall(r"[a-z]{3,}", low)
     near = (before[-NEAR:] + " " + after[:NEAR]).lower()
     around = set(re.findall(r"[a-z0-9]+", near.replace("_", " ")))
     last = re.search(r"\S*$", before)[0]
     return [
         float(rule), float(n), *(change[k] / max(1, n - 1) for k in "dluo"), kind.count("d") / max(1, n), kind.count("u") / max(1, n),
-        -sum(c / n * math.log2(c / n) for c in count.values()) if n else 0.0, len(count) / max(1, n), covered / max(1, n),
-        float(max((len(w) for w in words), default=0)), float(any(p in low for p in PLACEHOLDERS)), float(sum(w in around for w in SECRET_WORDS)),
+        -sum(c / n * math.log2(c / n) for c in count.values()) if n else 0.0, len(count) / max(1, n), covered_letters(low, words) / max(1, n),
+        float(max((len(w) for w in letters), default=0)), float(any(p in low for p in PLACEHOLDERS)), float(sum(w in around for w in SECRET_WORDS)),
         float(sum(w in around for w in DIGEST_WORDS)), float(before[-1:] in "\"'" and before != ""), float("/" in last and "://" not in last), float("://" in last),
     ]
 
@@ -168,10 +193,10 @@ def example_findings(spark: SparkSession, n: int = 4000, seed: int = SEED) -> Da
 
 
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), threshold, left, right, probability."""
+    """Trees as arrays: feature (-1 at a leaf), threshold, left, right, probability; and the dictionary they were fitted with."""
 
-    def __init__(self, trees):
-        self.trees = trees
+    def __init__(self, trees, words):
+        self.trees, self.words = trees, words
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -184,8 +209,12 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def fit(findings: DataFrame) -> Forest:
-    """Train on ``(rule, value, before, after, label)``; rows with a null value or label are left out."""
+def fit(findings: DataFrame, words: frozenset) -> Forest:
+    """Train on ``(rule, value, before, after, label)``.
+
+    Rows with a null rule, value or label are left out, other nulls are empty; repeated rows count each.
+    Rows of one label alone raise an error.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors
 
@@ -197,7 +226,7 @@ def fit(findings: DataFrame) -> Forest:
     if len({r.label for r in rows}) < 2:
         raise ValueError("findings of both labels are needed")
     data = spark.createDataFrame(
-        [(float(r.label), Vectors.dense(describe(r.rule, r.value, r.before or "", r.after or ""))) for r in rows], ["label", "features"]).coalesce(1)
+        [(float(r.label), Vectors.dense(describe(r.rule, r.value, r.before or "", r.after or "", words))) for r in rows], ["label", "features"]).coalesce(1)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3).fit(data)
     trees = []
     for tree in model.trees:
@@ -218,7 +247,7 @@ def fit(findings: DataFrame) -> Forest:
 
         walk(tree._call_java("rootNode"))
         trees.append(tuple(np.array(c) for c in cols))
-    return Forest(trees)
+    return Forest(trees, words)
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,7 +266,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
             x = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for rule, s, e in candidates(text):
-                    x.append(describe(rule, text[s:e], text[max(0, s - 2 * NEAR):s], text[e:e + 2 * NEAR]))
+                    x.append(describe(rule, text[s:e], text[max(0, s - 2 * NEAR):s], text[e:e + 2 * NEAR], shared.value.words))
                     for c, v in zip(out, (doc_id, RULES[rule][0], s, e, hashlib.sha256(text[s:e].encode()).hexdigest())):
                         c.append(v)
             p = np.round(shared.value(np.array(x)), 6) if x else np.zeros(0)

@@ -173,7 +173,7 @@ def _suffix_array(x: np.ndarray) -> np.ndarray:
         key = (key << 9) | padded[i:i + n]
     h = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         new = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
         if new[-1] == n - 1:
@@ -201,7 +201,7 @@ def repeated_starts(x: np.ndarray, length: int) -> np.ndarray:
     if n < 3:
         return flags[:-1]
     sa = _suffix_array(x)
-    bwt = x[sa - 1]
+    bwt = x[sa - 1].astype(np.uint16)
     by = np.argsort(bwt, kind="stable")
     lf = np.empty(n, np.int64)
     lf[by] = np.arange(n)

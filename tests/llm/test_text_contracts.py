@@ -92,6 +92,44 @@ def test_packing(which, request):
     assert len(seqs) <= 1.05 * total / 2048 + 2
 
 
+def least_bins(sizes, room):
+    """The least number of bins, by trying all ways."""
+    best = len(sizes)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(sizes):
+            best = len(bins)
+            return
+        for r in {b for b in bins if b >= sizes[i]}:
+            k = bins.index(r)
+            go(i + 1, bins[:k] + [r - sizes[i]] + bins[k + 1:])
+        go(i + 1, [*bins, room - sizes[i]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_plan_is_near_the_optimum():
+    """On small inputs against all ways of packing: most often the least number, never over 11/9 of it and one."""
+    rng = np.random.default_rng(11)
+    same = 0
+    for _ in range(150):
+        sizes = sorted((int(x) for x in rng.integers(1, 21, int(rng.integers(1, 10)))), reverse=True)
+        placed = packing.plan(Counter(sizes), 20)
+        used = set()
+        for size, (rank, first, offset) in placed.items():
+            for r in range(sizes.count(size)):
+                i = int(np.searchsorted(rank, r, "right")) - 1
+                used.add(int(first[i] + r - rank[i]))
+        least = least_bins(sizes, 20)
+        assert least <= len(used) <= 11 * least / 9 + 1
+        same += len(used) == least
+    assert same >= 0.9 * 150
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -115,6 +153,43 @@ def test_quality_base(which, request, spark):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def brute_kept(rows, labels):
+    """Scores of words and word pairs in plain Python, with the hash that Spark's function chains over its arguments."""
+    def bucket(*parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        return (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS
+
+    grams = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams.append([bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:])])
+    good = {d for d, q, x in labels if q == 1 and not x}
+    raw, hit = Counter(), Counter()
+    for (d, _), g in zip(rows, grams):
+        raw.update(g)
+        if d in good:
+            hit.update(g)
+    part = sum(hit.values()) / sum(raw.values())
+    weight = {b: round(float(np.log((hit[b] + quality.PSEUDO) / (n * part + quality.PSEUDO))) * quality.UNIT) for b, n in raw.items()}
+    out = []
+    for (_, t), g in zip(rows, grams):
+        score = sum(weight[b] for b in g) / max(1, len(g)) / quality.UNIT
+        out.append((score, not brute_quality(t)[5] and score >= quality.THRESHOLD))
+    return out
+
+
+def test_quality_verdict(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    want = brute_kept(texts_of(d), [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()])
+    got = {r.doc_id: (r.score, r.kept) for r in quality.quality(d, labels).collect()}
+    for (doc, _), (score, kept) in zip(texts_of(d), want):
+        assert abs(got[doc][0] - score) < 1e-5 and (got[doc][1] == kept or abs(score - quality.THRESHOLD) < 1e-5)
+    assert 0 < sum(k for _, k in want) < len(want)
+
+
 def test_quality_held_out(spark):
     """Fit on half of the labels, judge the other half."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -136,7 +211,7 @@ def test_quality_keeps_copied_clean_documents(spark):
 
 
 def test_quality_without_labels(spark, docs):
-    none = spark.createDataFrame([], "doc_id long, quality int")
+    none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     got = rows(quality.quality(docs, none))
     assert len(got) == docs.count() and all(r.kept != r.base_failed for r in got)
 
@@ -201,7 +276,7 @@ def test_simhash_links_of_a_chain_in_parts(spark, monkeypatch):
 
 class _Given:
     def __init__(self, spark, s):
-        self.df = spark.createDataFrame([(i, i, x) for i, x in enumerate(s)], "rid long, doc_id long, fp long")
+        self.df = spark.createDataFrame([(i, i, x) for i, x in enumerate(s)], "rid long, doc_id long, fp long").drop("rid")
 
     def select(self, *_):
         return self
@@ -253,6 +328,6 @@ def test_suffix_array_kept_bytes(spark, docs):
 
 def test_empty_tables(spark, docs):
     none = docs.where("false")
-    labels = spark.createDataFrame([], "doc_id long, quality int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (tokens.count_tokens(none, PATH), packing.pack(none, PATH), quality.quality(none, labels), simhash.simhash_groups(none), suffix.remove_repeats(none)):
         assert rows(out) == []
