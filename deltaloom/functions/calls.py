@@ -101,3 +101,29 @@ def frameworks(imports, dictionary):
     heads = F.concat(F.array("source"), F.transform(cuts, lambda i: F.substr("source", F.lit(1), i - 1)))
     spread = imports.where("source <> ''").select("target", F.explode(F.array_distinct(heads)).alias("pattern"))
     return spread.join(dictionary.select("pattern", "name"), "pattern").select("target", "name").distinct()
+
+
+# fixed values: frameworks and the import sources that show them. An analysis may be given a longer table instead.
+_FRAMEWORKS = {
+    "Express": ("express",), "Fastify": ("fastify",), "Next.js": ("next",), "React": ("react", "react-dom"), "Vue": ("vue",), "Angular": ("@angular/core",), "Svelte": ("svelte",),
+    "NestJS": ("@nestjs/common", "@nestjs/core"), "Hono": ("hono",), "Koa": ("koa",), "Effect.ts": ("@effect", "effect"), "Prisma": ("prisma", "@prisma/client"), "TypeORM": ("typeorm",),
+    "Sequelize": ("sequelize",), "Mongoose": ("mongoose",), "Drizzle": ("drizzle-orm",), "tRPC": ("@trpc/server", "@trpc/client"), "GraphQL": ("graphql",),
+    "Apollo": ("@apollo/server", "@apollo/client"), "Tailwind CSS": ("tailwindcss",), "Redux": ("redux", "@reduxjs/toolkit"), "Zustand": ("zustand",), "Zod": ("zod",), "Vitest": ("vitest",), "Jest": ("jest",),
+    "FastAPI": ("fastapi",), "Flask": ("flask",), "Django": ("django",), "SQLAlchemy": ("sqlalchemy",), "Pydantic": ("pydantic",), "Celery": ("celery",), "pytest": ("pytest",), "Alembic": ("alembic",),
+    "Tortoise ORM": ("tortoise",), "Starlette": ("starlette",), "aiohttp": ("aiohttp",), "httpx": ("httpx",), "Uvicorn": ("uvicorn",),
+    "Go net/http": ("net/http",), "Gin": ("github.com/gin-gonic/gin",), "Echo": ("github.com/labstack/echo",), "Chi": ("github.com/go-chi/chi",), "Fiber": ("github.com/gofiber/fiber",),
+    "Gorilla Mux": ("github.com/gorilla/mux",), "gRPC": ("google.golang.org/grpc",), "Cobra": ("github.com/spf13/cobra",), "Viper": ("github.com/spf13/viper",), "GORM": ("gorm.io/gorm",),
+    "Go database/sql": ("database/sql",), "Testify": ("github.com/stretchr/testify",),
+    "Actix-web": ("actix_web", "actix-web"), "Axum": ("axum",), "Rocket": ("rocket",), "Warp": ("warp",), "Hyper": ("hyper",), "Tokio": ("tokio",), "Diesel": ("diesel",), "SQLx": ("sqlx",),
+    "SeaORM": ("sea_orm", "sea-orm"), "Clap": ("clap",), "Tauri": ("tauri",), "Serde": ("serde",), "Tower": ("tower",), "Tonic": ("tonic",), "Tracing": ("tracing",),
+    "Spring Boot": ("org.springframework.boot", "org.springframework.stereotype", "org.springframework.beans", "org.springframework.context"), "Spring MVC": ("org.springframework.web",),
+    "Spring Data": ("org.springframework.data",), "Spring Security": ("org.springframework.security",), "JPA": ("jakarta.persistence", "javax.persistence"), "JAX-RS": ("jakarta.ws.rs", "javax.ws.rs"),
+    "Servlet": ("jakarta.servlet", "javax.servlet"), "Hibernate": ("org.hibernate",), "JUnit": ("org.junit",), "Mockito": ("org.mockito",), "Micronaut": ("io.micronaut",), "Quarkus": ("io.quarkus",),
+    "ASP.NET Core": ("Microsoft.AspNetCore",), "ASP.NET Core MVC": ("Microsoft.AspNetCore.Mvc",), "Entity Framework Core": ("Microsoft.EntityFrameworkCore",), "xUnit": ("Xunit",), "MediatR": ("MediatR",), "Dapper": ("Dapper",),
+    "Laravel": ("Illuminate", "Laravel"), "Symfony": ("Symfony",), "Doctrine ORM": ("Doctrine\\ORM",), "Guzzle": ("GuzzleHttp",), "PHPUnit": ("PHPUnit",),
+    "Rails": ("rails", "action_controller", "active_support", "action_view", "action_mailer"), "Rails ActiveRecord": ("active_record",), "Sinatra": ("sinatra",), "Rack": ("rack",), "Grape": ("grape",),
+    "Hanami": ("hanami",), "RSpec": ("rspec",), "Sidekiq": ("sidekiq",), "Roda": ("roda",),
+    "Ktor": ("io.ktor",), "Exposed": ("org.jetbrains.exposed",), "Kotlin Coroutines": ("kotlinx.coroutines",), "Vapor": ("Vapor",), "SwiftUI": ("SwiftUI",), "UIKit": ("UIKit",), "XCTest": ("XCTest",),
+    "Play Framework": ("play.api.mvc", "play.mvc"), "Akka": ("akka.actor",), "Akka HTTP": ("akka.http",), "ScalaTest": ("org.scalatest",), "http4s": ("org.http4s",), "Cats": ("cats",), "ZIO": ("zio",),
+}
+FRAMEWORKS = [(pattern, name) for name, patterns in _FRAMEWORKS.items() for pattern in patterns]

@@ -316,3 +316,38 @@ def group_name(file, symbol, kind) -> Column:
     stem, symbol = file_stem(file), _c(symbol)
     label = F.when((symbol == stem) | symbol.isin("default", "module"), stem).otherwise(F.concat(symbol, F.lit(" ("), stem, F.lit(")")))
     return F.concat_ws(" ", label, _lookup(_c(kind), GROUP_SUFFIXES, ""))
+
+
+# fixed values: extensions of sources within fixture trees, and what counts as source elsewhere besides
+FIXTURE_SOURCES = ("go", "rs", "ts", "tsx", "js", "jsx", "py", "java", "kt", "rb", "php", "cs", "swift", "scala", "vue", "svelte", "astro", "c", "h", "cc", "cpp", "cxx", "hh", "hpp")
+SOURCES = tuple(e for e in FIXTURE_SOURCES if e != "astro") + ("tmpl", "html", "css", "scss", "md", "mdx", "rst")
+FIXTURE_PROJECT_FILES = (".gitignore", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "turbo.json")
+
+
+def _extension(path) -> Column:
+    return F.lower(F.substring_index(_c(path), ".", -1))
+
+
+def has_source_extension(path) -> Column:
+    return _extension(path).isin(*SOURCES)
+
+
+def fixture_root(path) -> Column:
+    """The directory below the first ``fixtures`` directory, or that directory itself for files right in it; null outside."""
+    p = _c(path)
+    head = F.regexp_extract(p, r"(?i)^((?:.*?/)?fixtures/)", 1)
+    rest = F.substr(p, F.length(head) + 1)
+    segment = F.substring_index(rest, "/", 1)
+    inner = F.when(segment != "", F.concat(head, segment))
+    own = F.when(rest != "", F.substr(head, F.lit(1), F.length(head) - 1))
+    return F.when(head != "", F.when(F.contains(rest, F.lit("/")), inner).otherwise(own))
+
+
+def is_fixture_source(path) -> Column:
+    return fixture_root(path).isNotNull() & _extension(path).isin(*FIXTURE_SOURCES)
+
+
+def is_fixture_project(path) -> Column:
+    """Project files of a fixture tree."""
+    name = F.lower(file_name(path))
+    return fixture_root(path).isNotNull() & (name.isin(*FIXTURE_PROJECT_FILES) | (name.startswith("tsconfig") & name.endswith(".json")))

@@ -15,11 +15,24 @@ def estimate_tokens(text) -> Column:
     return F.ceil(F.octet_length(_c(text)) / 4).cast("long")
 
 
+_KEY = r"[\p{L}\p{N}_-]"
+#: letters from which on a string with a key's prefix is taken for a key
+KEY_LETTERS = 10
+
+
 def redact(text) -> Column:
-    """The first 500 characters with key-like tokens of ten characters or more replaced."""
-    out = F.substring(_c(text), 1, 500)
+    """The first 500 bytes (whole characters) with key-like tokens of ten letters or more replaced.
+
+    Prefix after prefix; where a token with the prefix is too short to be a
+    key, what stands from there on is left alone for that prefix.
+    """
+    out = F.when(F.octet_length(_c(text)) <= 500, _c(text)).otherwise(_byte_prefix(_c(text), 500))
     for prefix, name in KEY_PREFIXES:
-        out = F.regexp_replace(out, prefix + r"[\p{L}\p{N}_-]{" + str(10 - len(prefix)) + ",}", F.lit(name))
+        rest = KEY_LETTERS - len(prefix)
+        short = rf"{prefix}{_KEY}{{0,{rest - 1}}}(?!{_KEY})"
+        head = F.regexp_extract(out, rf"(?s)^(.*?)(?:{short}.*)?$", 1)
+        tail = F.substr(out, F.length(head) + 1)
+        out = F.concat(F.regexp_replace(head, rf"{prefix}{_KEY}{{{rest},}}", F.lit(name)), tail)
     return out
 
 
@@ -50,9 +63,15 @@ def _lines(text: Column) -> Column:
 
 
 def line_diff(old, new) -> dict[str, Column]:
-    """``added``: the new lines that the old text has nowhere, in order and repeated; ``removed``: how many the other way."""
+    """``added``: the new lines that the old text has nowhere, in order and repeated; ``removed``: how many the other way.
+
+    A line is found by sorting both sides' distinct lines once (``array_except``), and counted by their sizes.
+    """
     a, b = _lines(_c(old)), _lines(_c(new))
-    return {"added": F.filter(b, lambda x: ~F.array_contains(a, x)), "removed": F.size(F.filter(a, lambda x: ~F.array_contains(b, x))).cast("long")}
+    fresh, gone = F.array_except(b, a), F.array_except(a, b)
+    added = F.when(F.size(fresh) == 0, F.array().cast("array<string>")).when(F.size(F.array_intersect(a, b)) == 0, b).otherwise(F.filter(b, lambda x: F.array_contains(fresh, x)))
+    removed = F.when(F.size(gone) == 0, 0).when(F.size(F.array_intersect(a, b)) == 0, F.size(a)).otherwise(F.size(F.filter(a, lambda x: F.array_contains(gone, x))))
+    return {"added": added, "removed": removed.cast("long")}
 
 
 def html_escape(text) -> Column:

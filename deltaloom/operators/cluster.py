@@ -5,7 +5,7 @@ All tables carry a ``diff_id``, so one job clusters any number of changes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -112,14 +112,83 @@ def move_tests(grouped: DataFrame) -> DataFrame:
     return j.select("diff_id", "path", "is_test", F.when(F.col("is_test"), F.coalesce("to_stem", "to_bare", "group_id")).otherwise(F.col("group_id")).alias("group_id"))
 
 
-def infra_groups(files: DataFrame) -> DataFrame:
-    """``(diff_id, path)`` -> ``category`` and ``sub_group``: by category, then by directory of two or more, then the rest."""
+def common_prefix(files: DataFrame, keys: list[str]) -> DataFrame:
+    """The longest path of directories that all files of a key share, with a slash at its end; ``Mixed`` for none.
+
+    The least and the greatest path share what all of them share.
+    """
+    ends = files.groupBy(*keys).agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+    lo, hi = F.split("lo", "/"), F.split("hi", "/")
+    depth = F.aggregate(
+        F.sequence(F.lit(0), F.size(lo) - 1), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, i: F.struct((s.n + F.when(s.on & (F.get(lo, i) == F.coalesce(F.get(hi, i), F.lit(""))) & (i < F.size(lo) - 1) & (i < F.size(hi) - 1), 1).otherwise(0)).alias("n"),
+                              (s.on & (F.get(lo, i) == F.coalesce(F.get(hi, i), F.lit("")))).alias("on")), lambda s: s.n)
+    shared = F.array_join(F.slice(lo, F.lit(1), depth), "/")
+    return ends.select(*keys, F.when(depth > 0, F.concat(shared, F.lit("/"))).otherwise("Mixed").alias("prefix"))
+
+
+def infra_groups(files: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """``(diff_id, path)`` -> ``category`` and ``sub_group``: by category; then files that ``edges(diff_id, src,
+    dst)`` of files connect, named by their common directory; then by directory of two or more; then the rest."""
+    from . import reach
+
     f = files.select("diff_id", "path").distinct().withColumn("category", paths.category("path")).withColumn("dir", paths.parent_dir("path"))
     titles = F.create_map(*[F.lit(x) for kv in paths.CATEGORY_TITLES.items() for x in kv])
-    count = f.where("category = 'Unclassified'").groupBy("diff_id", "dir").agg(F.count("*").alias("n")).where("n >= 2")
+    f = f.withColumn("prefix", F.lit(None).cast("string"))
+    if edges is not None:
+        open_ = f.where("category = 'Unclassified'").select("diff_id", "path")
+        node = lambda c: F.concat(F.col("diff_id").cast("string"), F.lit("/"), F.col(c))
+        inner = edges.select("diff_id", F.col("src").alias("path"), "dst").join(open_, ["diff_id", "path"], "left_semi")
+        inner = inner.select("diff_id", F.col("path").alias("src"), F.col("dst").alias("path")).join(open_, ["diff_id", "path"], "left_semi").where("src <> path")
+        links = materialize(inner.select(node("src").alias("src"), node("path").alias("dst")).distinct())
+        if not links.isEmpty():
+            comp = reach.components(links, links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+            joined = open_.withColumn("node", node("path")).join(comp, "node").select("diff_id", "component", "path")
+            named = joined.join(common_prefix(joined, ["diff_id", "component"]), ["diff_id", "component"]).select("diff_id", "path", F.col("prefix").alias("by_edge"))
+            f = f.drop("prefix").join(named, ["diff_id", "path"], "left").withColumnRenamed("by_edge", "prefix")
+    rest = (F.col("category") == "Unclassified") & F.col("prefix").isNull()
+    count = f.where(rest).groupBy("diff_id", "dir").agg(F.count("*").alias("n")).where("n >= 2")
     j = f.join(count, ["diff_id", "dir"], "left")
-    shared = (F.col("category") == "Unclassified") & F.col("n").isNotNull()
-    return j.select("diff_id", "path", F.when(shared, "DirectoryGroup").otherwise(F.col("category")).alias("category"), F.when(shared, F.col("dir")).otherwise(F.element_at(titles, F.col("category"))).alias("sub_group"))
+    shared = rest & F.col("n").isNotNull()
+    grouped = shared | F.col("prefix").isNotNull()
+    return j.select(
+        "diff_id", "path", F.when(grouped, "DirectoryGroup").otherwise(F.col("category")).alias("category"),
+        F.when(F.col("prefix").isNotNull(), F.col("prefix")).when(shared, F.col("dir")).otherwise(F.element_at(titles, F.col("category"))).alias("sub_group"))
+
+
+def late_tests(files: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Test files that were left over -> the group of an implementation with their stem, the last one that has it."""
+    impl = grouped.where(~paths.is_test_file("path")).select("diff_id", "group_id", paths.test_impl_stem("path").alias("stem"))
+    last = impl.groupBy("diff_id", "stem").agg(F.max("group_id").alias("group_id"))
+    open_ = files.where(paths.is_test_file("path") & paths.category("path").isin("Unclassified", "DirectoryGroup"))
+    return open_.select("diff_id", "path", paths.test_impl_stem("path").alias("stem")).join(last, ["diff_id", "stem"]).select("diff_id", "path", "group_id")
+
+
+def is_source(path: str = "path") -> Column:
+    """Whether a file counts as source where a change has no entry point."""
+    kind, like = paths.category(path), paths.is_config_like(path)
+    soft = ~kind.isin("Infrastructure", "Unclassified", "DirectoryGroup")
+    plain = kind.isin("Unclassified", "DirectoryGroup")
+    return paths.is_fixture_source(path) | (~like & (plain | (soft & paths.has_source_extension(path) & ~paths.is_top_level_doc(path))))
+
+
+def connected_groups(near: DataFrame, files: DataFrame) -> DataFrame:
+    """Files of changes without entry points that reach one another: ``(diff_id, path, component, name)``.
+
+    ``near(diff_id, path, other)``: what each file reaches, either way; groups of one file don't appear.
+    """
+    from . import reach
+
+    node = lambda c: F.concat(F.col("diff_id").cast("string"), F.lit("/"), F.col(c))
+    both = near.join(files.select("diff_id", "path"), ["diff_id", "path"], "left_semi").join(files.select("diff_id", F.col("path").alias("other")), ["diff_id", "other"], "left_semi")
+    links = materialize(both.where("path <> other").select(node("path").alias("src"), node("other").alias("dst")).distinct())
+    if links.isEmpty():
+        return files.where("false").select("diff_id", "path", F.lit("").alias("component"), F.lit("").alias("name"))
+    comp = reach.components(links, links.select(F.col("src").alias("node")).union(links.select("dst")).distinct())
+    member = files.withColumn("node", node("path")).join(comp, "node").select("diff_id", "path", "component")
+    first = member.groupBy("diff_id", "component").agg(F.min("path").alias("first"))
+    label = F.when(F.contains("first", F.lit("/")), paths.file_name(paths.directory("first"))).otherwise("root")
+    return member.join(first, ["diff_id", "component"]).select("diff_id", "path", "component", F.concat(label, F.lit(" (connected)")).alias("name"))
 
 
 def partitions(files: DataFrame) -> DataFrame:
@@ -138,7 +207,10 @@ def exact_directory(files: DataFrame, grouped: DataFrame) -> DataFrame:
 def rescue(files: DataFrame, grouped: DataFrame) -> DataFrame:
     """``files(diff_id, path)`` that no entry point reached -> ``(diff_id, path, group_id)``, null: infrastructure.
 
-    Documentation goes by topic, else to the largest group (the last of
+    Sources under a fixture root go together: to the group with the most of the root's
+    sources, if no other has as many, else to the nearest directory of the
+    first of them, else to the largest group; a fixture's project files
+    follow. Documentation goes by topic, else to the largest group (the last of
     equals) if it describes code; schemas and generated code by topic; plain
     source by the nearest directory, then by topic, native source at last by
     its exact directory. The rest stays infrastructure.
@@ -152,18 +224,48 @@ def rescue(files: DataFrame, grouped: DataFrame) -> DataFrame:
     sizes = grouped.groupBy("diff_id", "group_id").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("diff_id").agg(F.max(F.struct("n", "group_id")).alias("b")).select("diff_id", F.col("b.group_id").alias("largest"))
     j = f.join(near, ["diff_id", "path"], "left").join(topic, ["diff_id", "path"], "left").join(same, ["diff_id", "path"], "left").join(largest, "diff_id", "left")
+    j = j.withColumns({"root": paths.fixture_root("path"), "fixture": paths.is_fixture_source("path"), "project": paths.is_fixture_project("path")})
+    held = grouped.where(paths.is_fixture_source("path")).groupBy("diff_id", paths.fixture_root("path").alias("root"), "group_id").agg(F.count("*").alias("n"))
+    top = held.groupBy("diff_id", "root").agg(F.max("n").alias("n"))
+    by_root = held.join(top, ["diff_id", "root", "n"]).groupBy("diff_id", "root").agg(F.count("*").alias("ties"), F.min("group_id").alias("by_root")).where("ties = 1").drop("ties")
+    first = j.where("fixture").groupBy("diff_id", "root").agg(F.min_by(F.coalesce("near", "largest"), "path").alias("by_first"))
+    j = j.join(by_root, ["diff_id", "root"], "left").join(first, ["diff_id", "root"], "left")
     native = F.lower(F.substring_index("path", ".", -1)).isin("c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx", "h++")
     to = (
-        F.when(F.col("kind") == "Documentation", F.coalesce("topic", F.when(F.col("fallback"), F.col("largest"))))
+        F.when(F.col("fixture"), F.coalesce("by_root", "by_first"))
+        .when(F.col("project") & (F.col("by_root").isNotNull() | F.col("by_first").isNotNull()), F.coalesce("by_root", "by_first"))
+        .when(F.col("kind") == "Documentation", F.coalesce("topic", F.when(F.col("fallback"), F.col("largest"))))
         .when(F.col("kind").isin("Schema", "Generated"), F.col("topic")).when((F.col("kind") != "Unclassified") | F.col("like"), None)
         .otherwise(F.coalesce("near", "topic", F.when(native, F.col("same"))))
     )
     return j.select("diff_id", "path", to.alias("group_id"))
 
 
+def merge_by_directory(files: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """``(diff_id, group_id, path)`` of groups without an entry point: the two first small groups that have files
+    of one directory are merged, under the first's id, until no directory has two.
+
+    A round makes all merges whose two groups have no earlier one to wait for.
+    """
+    now = files.select("diff_id", "group_id", "path")
+    for _ in range(max_rounds):
+        small = now.groupBy("diff_id", "group_id").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL_GROUP).select("diff_id", "group_id")
+        held = now.where(F.contains("path", F.lit("/"))).join(small, ["diff_id", "group_id"], "left_semi").select("diff_id", paths.directory("path").alias("dir"), "group_id").distinct()
+        order = F.row_number().over(Window.partitionBy("diff_id", "dir").orderBy("group_id"))
+        two = held.withColumn("nth", order).where("nth <= 2").groupBy("diff_id", "dir").agg(F.min("group_id").alias("a"), F.max("group_id").alias("b")).where("a <> b").select("diff_id", "a", "b").distinct()
+        ends = two.select("diff_id", F.explode(F.array("a", "b")).alias("g"), F.struct("a", "b").alias("pair")).groupBy("diff_id", "g").agg(F.min("pair").alias("first"))
+        one = lambda c: ends.select("diff_id", F.col("g").alias(c), F.col("first").alias(f"{c}_first"))
+        pairs = materialize(two.join(one("a"), ["diff_id", "a"]).join(one("b"), ["diff_id", "b"]).where("a_first = struct(a, b) and b_first = struct(a, b)").select(
+            "diff_id", F.col("b").alias("group_id"), F.col("a").alias("into")))
+        if pairs.isEmpty():
+            return now
+        now = materialize(now.join(pairs, ["diff_id", "group_id"], "left").select("diff_id", F.coalesce("into", "group_id").alias("group_id"), "path"))
+    raise RuntimeError(f"not settled after {max_rounds} rounds")
+
+
 def merge_by_stem(files: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(diff_id, group_id, path)``: groups are merged while a stem lies in exactly two of them, once as a test
-    and once not.
+    and once not. ``merge_by_directory`` is the rule for groups without an entry point.
 
     Merging never undoes such a pair, so the order of merges does not change
     the outcome and all pairs of a round are merged at once, as components.

@@ -77,20 +77,90 @@ def known_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 def call_edges(calls_: DataFrame, imported: DataFrame, vertices: DataFrame) -> DataFrame:
     """``calls(file, caller, callee)`` -> Calls edges.
 
-    An imported name ends the search, even if no edge comes of it; then
-    ``receiver.method`` through an imported module; then a symbol of the file.
+    A caller that is no vertex stands for its module. An imported name ends the
+    search, even if no edge comes of it; then what stands before the first dot,
+    if it is imported: the member of that module, else the module; then a
+    symbol of the file. A member that is the caller itself goes on to the next step.
     """
     known = vertices.select(F.col("id").alias("k"))
-    caller = F.when(F.col("caller").isNotNull(), F.concat_ws("::", "file", "caller")).otherwise(F.col("file"))
-    dotted = F.contains("callee", F.lit("."))
-    base = calls_.select("file", caller.alias("src"), "callee", F.when(dotted, F.substring_index("callee", ".", 1)).alias("receiver"), F.substring_index("callee", ".", -1).alias("method"))
+    own_caller = F.concat_ws("::", "file", "caller")
+    dot = F.instr("callee", ".")
+    base = calls_.select(
+        "file", F.when(F.col("caller").isNotNull(), own_caller).alias("named"), "callee",
+        F.when(dot > 0, F.substring_index("callee", ".", 1)).alias("receiver"), F.substr("callee", dot + 1).alias("method"))
     names = imported.select("file", F.col("local").alias("callee"), F.col("target").alias("direct"))
     modules = imported.select("file", F.col("local").alias("receiver"), F.col("target").alias("module"))
     j = base.join(names, ["file", "callee"], "left").join(modules, ["file", "receiver"], "left")
     j = j.withColumns({"via": F.concat_ws("::", "module", "method"), "own": F.concat_ws("::", "file", "callee")})
-    j = j.join(known.withColumnRenamed("k", "k1"), F.col("via") == F.col("k1"), "left").join(known.withColumnRenamed("k", "k2"), F.col("own") == F.col("k2"), "left")
-    dst = F.when(F.col("direct").isNotNull(), F.col("direct")).when(F.col("module").isNotNull(), F.coalesce("k1", "module")).otherwise(F.col("k2"))
-    return known_edges(j.select("src", dst.alias("dst"), F.lit("Calls").alias("edge_type")).where("dst is not null"), vertices)
+    for k, column in (("k0", "named"), ("k1", "via"), ("k2", "own"), ("k3", "module"), ("k4", "direct")):
+        j = j.join(known.withColumnRenamed("k", k), F.col(column) == F.col(k), "left")
+    src = F.coalesce("k0", "file")
+    other = lambda c: F.when(F.col(c) != src, F.col(c))
+    dst = F.when(F.col("direct").isNotNull(), F.col("k4")).otherwise(F.coalesce(other("k1"), F.when(F.col("module").isNotNull(), other("k3")), other("k2")))
+    return known_edges(j.select(src.alias("src"), dst.alias("dst"), F.lit("Calls").alias("edge_type")).where("dst is not null"), vertices)
+
+
+def import_edges(names: DataFrame, resolved: DataFrame, reexports: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``names(importer, source, name, whole)`` -> Imports edges from a module; ``name`` null: imported for its effect.
+
+    A symbol of the target; else, for default and namespace imports (``whole``), the
+    target itself; else the symbol where the target re-exports it from,
+    one step on. ``resolved(importer, source, target)`` covers re-exports too;
+    ``reexports(file, name, source)``. Repeated imports give repeated edges.
+    """
+    known = vertices.select(F.col("id").alias("k"))
+    met = resolved.where("target is not null")
+    j = names.join(met, ["importer", "source"])
+    j = j.withColumn("symbol", F.when(F.col("name").isNotNull(), F.concat_ws("::", "target", "name")))
+    j = j.join(known, F.col("symbol") == F.col("k"), "left")
+    onward = reexports.select(F.col("file").alias("importer"), "name", "source").join(met, ["importer", "source"]).select(
+        F.col("importer").alias("r_file"), F.col("name").alias("r_name"), F.concat_ws("::", "target", "name").alias("beyond")).distinct()
+    direct = F.when(F.col("k").isNotNull(), F.col("k")).when(F.col("name").isNull() | F.col("whole"), F.col("target"))
+    first = j.select(F.col("importer").alias("src"), direct.alias("dst"), "target", "name")
+    second = first.where("dst is null").join(onward, (F.col("target") == F.col("r_file")) & (F.col("name") == F.col("r_name"))).select("src", F.col("beyond").alias("dst"))
+    edges = first.where("dst is not null").select("src", "dst").unionByName(second).withColumn("edge_type", F.lit("Imports"))
+    return known_edges(edges, vertices)
+
+
+def extends_edges(bases: DataFrame, imported: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``bases(file, type, base)`` -> Extends edges to an imported base, else to one of the same file."""
+    j = bases.join(imported.select("file", F.col("local").alias("base"), F.col("target").alias("far")), ["file", "base"], "left")
+    dst = F.coalesce("far", F.concat_ws("::", "file", "base"))
+    return known_edges(j.select(F.concat_ws("::", "file", "type").alias("src"), dst.alias("dst"), F.lit("Extends").alias("edge_type")), vertices)
+
+
+def build(parsed: DataFrame, packages: DataFrame | None = None, extends: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Parsed files, with paths unique over all changes -> the symbol graph: ``vertices(id, name, file, kind)``
+    and ``edges(src, dst, edge_type)``: Imports, Calls and what the call patterns add; with ``extends`` also Extends.
+
+    Files of different changes don't see each other: the first part of a path is the change's.
+    """
+    spark = parsed.sparkSession
+    definitions = parsed.select("path", F.posexplode("definitions").alias("pos", "d")).select("path", "pos", "d.name", "d.kind")
+    vertices = nodes(parsed, definitions)
+    statements = parsed.select(F.col("path").alias("importer"), F.posexplode("imports").alias("import_pos", "i")).select("importer", "import_pos", "i.*")
+    exports = parsed.select(F.col("path").alias("file"), F.explode("exports").alias("e")).select("file", "e.*")
+    again = exports.where("is_reexport and source is not null").select("file", "name", "source")
+    sources = statements.select("importer", "source").union(again.select("file", "source")).distinct()
+    if packages is None:
+        packages = spark.createDataFrame([], "package string, entry string")
+    resolved = resolve_imports(sources, parsed.select("path"), packages)
+    resolved = resolved.where(F.substring_index("importer", "/", 1) == F.substring_index("target", "/", 1))
+    whole = F.col("is_default") | F.col("is_namespace")
+    names = statements.select("importer", "import_pos", "source", whole.alias("whole"), "is_default", "is_namespace", F.posexplode_outer("names").alias("name_pos", "n")).select(
+        "importer", "import_pos", "source", "whole", "is_default", "is_namespace", "name_pos", F.col("n.name").alias("name"), F.col("n.alias").alias("alias"))
+    defined = definitions.select(F.col("path").alias("target"), "name", F.lit(True).alias("defined")).distinct()
+    bound = names.where("name is not null").join(resolved, ["importer", "source"]).join(defined, ["target", "name"], "left")
+    symbol = F.concat_ws("::", "target", "name")
+    target = F.when(F.col("is_namespace"), F.col("target")).when(F.col("defined"), symbol).when(F.col("is_default"), F.col("target")).otherwise(symbol)
+    imported = import_map(bound.select(F.col("importer").alias("file"), F.coalesce("alias", "name").alias("local"), target.alias("target"), "import_pos", "name_pos"))
+    sites = parsed.select(F.col("path").alias("file"), F.explode("call_sites").alias("c")).select("file", F.col("c.containing_function").alias("caller"), "c.callee", "c.line")
+    edges = import_edges(names.select("importer", "source", "name", "whole"), resolved, again, vertices).unionByName(call_edges(sites, imported, vertices)).unionByName(
+        enrich(heuristic_edges(sites), vertices))
+    if extends:
+        bases = parsed.select(F.col("path").alias("file"), F.explode("bases").alias("b")).select("file", F.col("b.type").alias("type"), F.col("b.base").alias("base"))
+        edges = edges.unionByName(extends_edges(bases, imported, vertices))
+    return vertices, edges
 
 
 def heuristic_edges(call_sites: DataFrame) -> DataFrame:

@@ -24,17 +24,19 @@ def cosine(a: str, b: str):
 
 
 def _unit(vectors) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+    x = np.asarray(vectors, np.float64)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", n_rows: int | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", top: int | None = None) -> DataFrame:
     """``(a, b, similarity)`` with ``a < b`` of all pairs of at least ``threshold``; null vectors pair with nothing.
 
+    With ``top`` only so many of each pair of blocks, the most similar ones.
+
     Vectors have one length. Repeated ids are compared with others and not with each other.
     """
-    n = vectors.count() if n_rows is None else n_rows
+    n = vectors.count()
     blocks = max(1, -(-n // BLOCK))
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -43,13 +45,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     spread = spread.select("id", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(batches):
-        held, key = [], None
+        held, key = ([], [], []), None
 
         def out(group):
-            ids = np.array([r[0] for r in group], np.int64)
-            own = np.array([r[2] for r in group])
-            i, j = group[0][3], group[0][4]
-            x = _unit([r[1] for r in group])
+            ids, own = np.concatenate(group[0]), np.concatenate(group[2])
+            i, j = key
+            x = _unit(np.concatenate(group[1]))
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 return None
@@ -58,16 +59,25 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
             a, b, s = ids[left[p]], ids[right[q]], s[p, q]
             keep = (a < b) if i == j else (a != b)
             a, b, s = a[keep], b[keep], s[keep]
+            if top is not None and len(s) > top:
+                order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -s))[:top]
+                a, b, s = a[order], b[order], s[order]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "similarity"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[3:5] != key:
-                    if held and (r := out(held)) is not None:
+            if not batch.num_rows:
+                continue
+            ids, own, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2, 3, 4))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            cut = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(ids)]
+            for s, e in zip(cut, cut[1:]):
+                if (i[s], j[s]) != key:
+                    if held[0] and (r := out(held)) is not None:
                         yield r
-                    held, key = [], row[3:5]
-                held.append(row)
-        if held and (r := out(held)) is not None:
+                    held, key = ([], [], []), (i[s], j[s])
+                for c, v in zip(held, (ids[s:e], x[s:e], own[s:e])):
+                    c.append(v)
+        if held[0] and (r := out(held)) is not None:
             yield r
 
     return spread.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(compare, "a long, b long, similarity double")
@@ -77,6 +87,11 @@ def top_pairs(pairs: DataFrame, k: int = 20) -> DataFrame:
     return pairs.orderBy(F.desc("similarity"), "a", "b").limit(k)
 
 
+def nearest_pairs(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The ``k`` most similar pairs of all; every pair of blocks hands on its own ``k`` and no more."""
+    return top_pairs(similar_pairs(vectors, -1.0, id_col, vector_col, top=k), k)
+
+
 def centroids(vectors: DataFrame, group_col: str, vector_col: str = "embedding") -> DataFrame:
     """Mean vector of each group as ``(group, pos, mean)`` rows; null vectors don't count."""
     return vectors.select(F.col(group_col).alias("grp"), F.posexplode(vector_col)).groupBy("grp", "pos").agg(F.avg(F.col("col").cast("double")).alias("mean"))

@@ -9,6 +9,7 @@ from ..functions import calls as call_rules
 from ..functions import paths, text
 from ..operators import cluster, evaluate, graph, rank, reach, refine, similarity
 from ..sources.shared import materialize, table
+from . import fixtures
 from . import oracles as o
 from .adapters import CALLS_SQL, FILES_SQL, GRAPH_SQL, call_sites, changed_files, keys_graph
 
@@ -222,57 +223,56 @@ def internal_edges(spark, sf):
 
 # --- reachability -----------------------------------------------------------------
 
-_STEPS_SQL = """step AS (SELECT DISTINCT 'u' || (a.user_id % 400) AS src, 'u' || ((a.user_id * 7 + a.event_id) % 400) AS dst FROM events a WHERE event_type = 'purchase'),
-start AS (SELECT 'u' || i AS entry FROM range(0, 400, 100) t(i))"""
+# each part's number leads to half of it, so every part has a way to the first one; parts of size 1 are entry points
+_STEPS_SQL = """step AS (SELECT 'p' || p_partkey AS src, 'p' || (p_partkey // 2) AS dst FROM part WHERE p_partkey > 1),
+start AS (SELECT 'p' || p_partkey AS entry FROM part)"""
 
 
 def _steps(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'purchase'")
-    src = F.concat(F.lit("u"), (F.col("user_id") % 400).cast("string"))
-    dst = F.concat(F.lit("u"), ((F.col("user_id") * 7 + F.col("event_id")) % 400).cast("string"))
-    steps = e.select(src.alias("src"), dst.alias("dst"), F.lit("Calls").alias("edge_type")).distinct()
-    start = spark.range(0, 400, 100).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("entry"))
-    return steps, start.select("entry", F.col("entry").alias("node"))
+    p = table(spark, sf, "part")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    steps = p.where("p_partkey > 1").select(name(F.col("p_partkey")).alias("src"), name(F.floor(F.col("p_partkey") / 2)).alias("dst"), F.lit("Calls").alias("edge_type"))
+    start = p.select(name(F.col("p_partkey")).alias("entry"), "p_size")
+    return steps, start.select("entry", F.col("entry").alias("node"), "p_size")
 
 
-def _walk(src: str, dst: str, cost: int) -> str:
-    return f"""w(entry, node, d) AS (SELECT entry, entry, 0::BIGINT FROM start UNION SELECT w.entry, step.{dst}, w.d + {cost} FROM w JOIN step ON step.{src} = w.node WHERE w.d < {6 * cost})"""
+def _walk(name: str, src: str, dst: str, cost: int, start: str = "start") -> str:
+    return f"""{name}(entry, node, d) AS (SELECT entry, entry, 0::BIGINT FROM {start} UNION SELECT {name}.entry, step.{dst}, {name}.d + {cost} FROM {name} JOIN step ON step.{src} = {name}.node)"""
 
 
-@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('src', 'dst', 1)} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('w', 'src', 'dst', 1)} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2")
 def reachability_forward(spark, sf):
     steps, start = _steps(spark, sf)
-    return reach.distances(steps, start, max_hops=6)
+    return reach.distances(steps, start)
 
 
-@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('dst', 'src', 2)} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('w', 'dst', 'src', 2)} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2")
 def reachability_reverse(spark, sf):
     steps, start = _steps(spark, sf)
-    return reach.distances(steps, start, 2, True, max_hops=6)
+    return reach.distances(steps, start, 2, True)
 
 
-_MERGED_SQL = f"""{_STEPS_SQL}, {_walk('src', 'dst', 1)},
-x(entry, node, d) AS (SELECT entry, entry, 0::BIGINT FROM start UNION SELECT x.entry, step.src, x.d + 2 FROM x JOIN step ON step.dst = x.node WHERE x.d < 12),
+_MERGED_SQL = f"""{_STEPS_SQL}, one AS (SELECT 'p' || p_partkey AS entry FROM part WHERE p_size = 1), {_walk('w', 'src', 'dst', 1, 'one')}, {_walk('x', 'dst', 'src', 2, 'one')},
 m AS (SELECT entry, node, min(d) AS distance FROM (SELECT * FROM w UNION ALL SELECT * FROM x) GROUP BY 1, 2)"""
 
 
 @query(f"WITH RECURSIVE {_MERGED_SQL} SELECT * FROM m")
 def reachability_merged(spark, sf):
     steps, start = _steps(spark, sf)
-    return reach.reachability(steps, start, max_hops=6)
+    return reach.reachability(steps, start.where("p_size = 1"))
 
 
-@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('src', 'dst', 1).replace('w.d < 6', 'w.d < 3')} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
+@query(f"WITH RECURSIVE {_STEPS_SQL}, {_walk('w', 'src', 'dst', 1).replace('= w.node', '= w.node WHERE w.d < 10')} SELECT entry, node, min(d) AS distance FROM w GROUP BY 1, 2 HAVING min(d) > 0")
 def call_chain_depth(spark, sf):
     steps, start = _steps(spark, sf)
-    return reach.call_chain(steps, start, 3)
+    return reach.call_chain(steps, start)
 
 
 @query(f"""WITH RECURSIVE {_MERGED_SQL}, a AS (SELECT node AS path, entry, distance, row_number() OVER (PARTITION BY node ORDER BY distance, entry) AS n FROM m)
 SELECT path, entry, distance, row_number() OVER (PARTITION BY entry ORDER BY distance, path) - 1 AS flow_position FROM a WHERE n = 1""")
 def assign_argmin(spark, sf):
     steps, start = _steps(spark, sf)
-    near = reach.reachability(steps, start, max_hops=6).select(F.lit(1).alias("diff_id"), "entry", F.col("node").alias("path"), "distance")
+    near = reach.reachability(steps, start.where("p_size = 1")).select(F.lit(1).alias("diff_id"), "entry", F.col("node").alias("path"), "distance")
     return cluster.positions(cluster.assign(near)).select("path", "entry", "distance", "flow_position")
 
 
@@ -370,23 +370,44 @@ def stem_merges(spark, sf):
     return cluster.merge_by_stem(_split(spark, sf)[1])
 
 
-@query("""WITH d AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'HttpRoute' WHEN 1 THEN 'CliCommand' ELSE 'TestFile' END AS entrypoint_type, event_id % 7 AS detector FROM events)
-SELECT user_id AS file, event_type AS symbol, entrypoint_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY detector, event_id) AS n FROM d) WHERE n = 1""")
+# a file for each user whose functions are the types of the user's events; what the rules find follows from the path alone
+@query("""WITH f AS (SELECT DISTINCT user_id, event_type FROM events), p AS (SELECT user_id, event_type, CASE user_id % 4 WHEN 0 THEN 'app/src/routes/u' || user_id || '.ts' WHEN 1 THEN 'tools/u' || user_id || '.go' WHEN 2 THEN 'tests/test_u' || user_id || '.py' ELSE 'web/pages/u' || user_id || '.tsx' END AS file FROM f)
+SELECT file, event_type AS symbol, 'HttpRoute' AS entrypoint_type FROM p WHERE user_id % 4 = 0 UNION ALL SELECT DISTINCT file, 'main', 'CliCommand' FROM p WHERE user_id % 4 = 1
+UNION ALL SELECT file, 'test_' || event_type, 'TestFile' FROM p WHERE user_id % 4 = 2 UNION ALL SELECT DISTINCT file, 'Page', 'HttpRoute' FROM p WHERE user_id % 4 = 3""")
 def entrypoints_dedup(spark, sf):
-    e = table(spark, sf, "events")
-    kind = F.when(F.col("event_id") % 3 == 0, "HttpRoute").when(F.col("event_id") % 3 == 1, "CliCommand").otherwise("TestFile")
-    best = F.min(F.struct((F.col("event_id") % 7).alias("detector"), "event_id", kind.alias("entrypoint_type"))).alias("b")
-    return e.groupBy(F.col("user_id").alias("file"), F.col("event_type").alias("symbol")).agg(best).select("file", "symbol", "b.entrypoint_type")
+    from ..operators import entrypoints
+
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("names"))
+    kind, u = F.col("user_id") % 4, F.col("user_id").cast("string")
+    path = F.when(kind == 0, F.concat(F.lit("app/src/routes/u"), u, F.lit(".ts"))).when(kind == 1, F.concat(F.lit("tools/u"), u, F.lit(".go"))).when(
+        kind == 2, F.concat(F.lit("tests/test_u"), u, F.lit(".py"))).otherwise(F.concat(F.lit("web/pages/u"), u, F.lit(".tsx")))
+    named = F.transform("names", lambda n: F.when(kind == 1, F.lit("main")).when(kind == 2, F.concat(F.lit("test_"), n)).otherwise(n))
+    line = F.lit(1).alias("line")
+    none = F.lit(None).cast("string")
+    facts = e.select(
+        path.alias("path"), paths.language(path).alias("language"),
+        F.transform(named, lambda n: F.struct(n.alias("name"), F.lit("Function").alias("kind"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))).alias("definitions"),
+        F.array().cast("array<struct<source:string,names:array<struct<name:string,alias:string>>,is_default:boolean,is_namespace:boolean,line:int>>").alias("imports"),
+        F.when(kind == 3, F.array(F.struct(F.lit("Page").alias("name"), F.lit(True).alias("is_default"), F.lit(False).alias("is_reexport"), none.alias("source"), line)))
+        .otherwise(F.array().cast("array<struct<name:string,is_default:boolean,is_reexport:boolean,source:string,line:int>>")).alias("exports"),
+        F.array().cast("array<struct<callee:string,line:int,containing_function:string,arguments:array<string>>>").alias("call_sites"))
+    # pages are judged by their default export; their functions are no entry points
+    return entrypoints.detect(facts)
 
 
-_DICTIONARY = (("src0/en", "A"), ("src1", "B"), ("src2/de", "C"), ("src", "D"), ("src3/fr/x1", "E"), ("src4", "F"))
+_IMPORTS = ("express", "next/router", "nextcloud", "org.springframework.web.bind", "org.springframework", "Illuminate\\Http\\Request", "github.com/gin-gonic/gin", "actix_web::App", "react-domain", "@effect/platform", "django.db", "Microsoft.AspNetCore.Mvc")
 
 
-@query(f"""WITH dict(pattern, name) AS (VALUES {', '.join(map(str, _DICTIONARY))}), i AS (SELECT doc_id % 10 AS target, source || '/' || lang || '/x' || (doc_id % 3) AS source FROM documents)
-SELECT DISTINCT target, name FROM i JOIN dict ON source = pattern OR regexp_matches(source, '^' || pattern || '[/.:]')""")
+# every document imports three of these; a pattern is the whole source, or goes on with a separator
+@query(f"""WITH dict(pattern, name) AS (VALUES {', '.join('(' + o.q(a) + ', ' + o.q(b) + ')' for a, b in call_rules.FRAMEWORKS)}), s(i, source) AS (VALUES {', '.join(f'({i}, {o.q(x)})' for i, x in enumerate(_IMPORTS))}),
+d AS (SELECT DISTINCT source AS target, (doc_id * m) % {len(_IMPORTS)} AS i FROM documents, (VALUES (1), (2), (5)) k(m) WHERE lang <> 'es' OR doc_id % {len(_IMPORTS)} < 3)
+SELECT DISTINCT target, name FROM d JOIN s USING (i) JOIN dict ON s.source = pattern OR (starts_with(s.source, pattern) AND substr(s.source, length(pattern) + 1, 1) IN ('/', '.', ':', chr(92)))""")
 def frameworks(spark, sf):
-    i = table(spark, sf, "documents").select((F.col("doc_id") % 10).alias("target"), F.concat_ws("/", "source", "lang", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string"))).alias("source"))
-    return call_rules.frameworks(i, spark.createDataFrame(_DICTIONARY, "pattern string, name string"))
+    names = F.array(*[F.lit(x) for x in _IMPORTS])
+    d = table(spark, sf, "documents").where((F.col("lang") != "es") | (F.col("doc_id") % len(_IMPORTS) < 3))
+    d = d.select(F.col("source").alias("target"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("m"), "doc_id")
+    i = d.select("target", F.get(names, (F.col("doc_id") * F.col("m") % len(_IMPORTS)).cast("int")).alias("source")).distinct()
+    return call_rules.frameworks(i, spark.createDataFrame(call_rules.FRAMEWORKS, "pattern string, name string"))
 
 
 @query(f"""WITH {FILES_SQL}, f AS (SELECT diff_id AS target, path, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 4 END AS group_id FROM files),
@@ -435,9 +456,9 @@ def similar_pairs(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.2 ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 20""")
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 4) AS similarity FROM v a JOIN v b ON a.vec_id < b.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, 1, 2 LIMIT 20""")
 def pairwise_topk(spark, sf):
-    return similarity.top_pairs(similarity.similar_pairs(table(spark, sf, "embeddings"), 0.2)).withColumn("similarity", F.round("similarity", 4))
+    return similarity.nearest_pairs(table(spark, sf, "embeddings"), 20).withColumn("similarity", F.round("similarity", 4))
 
 
 @query("SELECT label AS grp, CAST(pos - 1 AS INT) AS pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")
@@ -453,17 +474,33 @@ def greedy_merge(spark, sf):
 
 # --- text -------------------------------------------------------------------------
 
-@query("SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, CASE WHEN strlen(text) <= 4000 THEN 0 ELSE 1 END AS cut FROM documents")
+@query("""WITH n AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 4000 THEN NULL ELSE list_max(list_filter(range(0, 4001), lambda k: strlen(substr(text, 1, k)) <= 4000)) END AS n FROM documents),
+h AS (SELECT doc_id, text, n, substr(text, 1, CAST(n AS INT)) AS head FROM n)
+SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, sha256(CASE WHEN n IS NULL THEN text ELSE CASE WHEN contains(head, chr(10)) THEN regexp_extract(head, '^(.*)\n[^\n]*$', 1, 's') ELSE head END
+  || chr(10) || chr(10) || '... [truncated: input exceeded 1000 token budget]' END) AS cut_sha256 FROM h""")
 def token_budget(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", text.estimate_tokens("text").alias("tokens"), F.when(text.truncate("text", 1000) == F.col("text"), 0).otherwise(1).alias("cut"))
+    return d.select("doc_id", text.estimate_tokens("text").alias("tokens"), F.sha2(text.truncate("text", 1000), 256).alias("cut_sha256"))
+
 
+def _redacted_sql(i: int, prefix: str, name: str) -> str:
+    """One prefix: what stands before the first token too short for a key is replaced, the rest stays."""
+    rest = text.KEY_LETTERS - len(prefix)
+    word = r"[\p{L}\p{N}_-]"
+    return f"""h{i} AS (SELECT doc_id, x, regexp_matches(x, '{prefix}{word}{{0,{rest - 1}}}([^\\p{{L}}\\p{{N}}_-]|$)') AS has, regexp_extract(x, '^(.*?){prefix}{word}{{0,{rest - 1}}}([^\\p{{L}}\\p{{N}}_-].*)?$', 1, 's') AS head FROM t{i}),
+t{i + 1} AS (SELECT doc_id, regexp_replace(CASE WHEN has THEN head ELSE x END, '{prefix}{word}{{{rest},}}', '{name}', 'g') || CASE WHEN has THEN substr(x, length(head) + 1) ELSE '' END AS x FROM h{i})""".replace("\\\\", "\\")
 
-@query(r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'key sk-ant-abcdef12345 and ' WHEN 1 THEN 'sk-proj-ABCdef_99 sk-short ' WHEN 2 THEN 'AIzaSyA1234567 ' ELSE '' END || left(text, 600) AS x FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(left(x, 500), 'sk-ant-[\p{L}\p{N}_-]{3,}', '[REDACTED_ANTHROPIC_KEY]', 'g'), 'sk-proj-[\p{L}\p{N}_-]{2,}', '[REDACTED_OPENAI_KEY]', 'g'), 'sk-[\p{L}\p{N}_-]{7,}', '[REDACTED_API_KEY]', 'g'), 'AIza[\p{L}\p{N}_-]{6,}', '[REDACTED_GEMINI_KEY]', 'g') AS redacted FROM t""")
+
+_LEADS = ("key sk-ant-abcdef12345 and ", "sk-proj-ABCdef_99 sk-short sk-later-than-that ", "AIzaSyA1234567 ", "")
+
+
+@query(f"""WITH w AS (SELECT doc_id, CASE doc_id % 4 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LEADS))} END || text AS x FROM documents),
+b AS (SELECT doc_id, x, CASE WHEN strlen(x) <= 500 THEN length(x) ELSE list_max(list_filter(range(0, 501), lambda k: strlen(substr(x, 1, k)) <= 500)) END AS n FROM w),
+t0 AS (SELECT doc_id, substr(x, 1, CAST(n AS INT)) AS x FROM b), {', '.join(_redacted_sql(i, p, n) for i, (p, n) in enumerate(text.KEY_PREFIXES))}
+SELECT doc_id, x AS redacted FROM t{len(text.KEY_PREFIXES)}""")
 def redaction(spark, sf):
-    lead = F.when(F.col("doc_id") % 4 == 0, "key sk-ant-abcdef12345 and ").when(F.col("doc_id") % 4 == 1, "sk-proj-ABCdef_99 sk-short ").when(F.col("doc_id") % 4 == 2, "AIzaSyA1234567 ").otherwise("")
-    return table(spark, sf, "documents").select("doc_id", text.redact(F.concat(lead, F.substring("text", 1, 600))).alias("redacted"))
+    lead = F.get(F.array(*[F.lit(x) for x in _LEADS]), (F.col("doc_id") % 4).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", text.redact(F.concat(lead, "text")).alias("redacted"))
 
 
 @query(r"""WITH p AS (SELECT a.doc_id, string_split(regexp_replace(a.text, '\n$', ''), chr(10)) AS old, string_split(regexp_replace(b.text, '\n$', ''), chr(10)) AS new FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
@@ -581,12 +618,12 @@ def repo_scores(spark, sf):
     return evaluate.score(m, limits).select("target", "group_count_score", "infra_score", "singleton_score", "accounting_score", "density_score", "overall")
 
 
-@query("""WITH loc AS (SELECT doc_id AS path, quality * 2 + toxic AS place FROM labels), c AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS check_id, CASE WHEN floor(doc_id / 5) % 2 = 0 THEN 'same' ELSE 'separate' END AS kind, doc_id AS path FROM documents WHERE doc_id % 5 < 2)
+@query("""WITH loc AS (SELECT doc_id AS path, quality * 2 + toxic AS place FROM labels), c AS (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS check_id, CASE WHEN floor(doc_id / 5) % 2 = 0 THEN 'same' ELSE 'separate' END AS kind, doc_id AS path FROM documents)
 SELECT check_id, kind, count(*) AS members, count(*) FILTER (place IS NULL) AS missing, count(DISTINCT place) AS places, count(*) FILTER (place IS NULL) = 0 AND CASE WHEN kind = 'same' THEN count(DISTINCT place) = 1 ELSE count(DISTINCT place) = count(*) END AS satisfied FROM c LEFT JOIN loc USING (path) GROUP BY 1, 2""")
 def golden_checks(spark, sf):
     loc = table(spark, sf, "labels").select(F.col("doc_id").alias("path"), (F.col("quality") * 2 + F.col("toxic")).alias("place"))
     k = F.floor(F.col("doc_id") / 5)
-    c = table(spark, sf, "documents").where("doc_id % 5 < 2").select(k.alias("check_id"), F.when(k % 2 == 0, "same").otherwise("separate").alias("kind"), F.col("doc_id").alias("path"))
+    c = table(spark, sf, "documents").select(k.alias("check_id"), F.when(k % 2 == 0, "same").otherwise("separate").alias("kind"), F.col("doc_id").alias("path"))
     return evaluate.golden_checks(loc, c)
 
 
@@ -670,3 +707,62 @@ def parse_facts(spark, sf):
                     F.lit("(Base):\n    def run(self):\n        x = fetch(self.name)\n        return os.path.join(x)\n"))
     facts = parse(p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("source")))
     return facts.select("path", "language", "parse_tier", F.size("definitions").alias("definitions"), F.size("imports").alias("imports"), F.size("call_sites").alias("calls"), F.size("assignments").alias("assignments"))
+
+
+# --- fixtures with stated results ---------------------------------------------------
+
+def _facts(spark):
+    from ..sources.parse import parse
+
+    return parse(fixtures.sources(spark))
+
+
+@query(fixtures.values(fixtures.rows(fixtures.DEFINITIONS), "path VARCHAR, name VARCHAR, kind VARCHAR, start_line INTEGER, end_line INTEGER"))
+def parse_definitions(spark, sf):
+    return _facts(spark).select("path", F.inline("definitions"))
+
+
+@query(fixtures.values(fixtures.rows(fixtures.IMPORTS), "path VARCHAR, source VARCHAR, named VARCHAR, is_default BOOLEAN, is_namespace BOOLEAN, line INTEGER"))
+def parse_imports(spark, sf):
+    i = _facts(spark).select("path", F.inline("imports"))
+    named = F.array_join(F.transform("names", lambda n: F.concat(n["name"], F.coalesce(F.concat(F.lit(" as "), n["alias"]), F.lit("")))), ", ")
+    return i.select("path", "source", named.alias("named"), "is_default", "is_namespace", "line")
+
+
+@query(fixtures.values(fixtures.rows(fixtures.EXPORTS), "path VARCHAR, name VARCHAR, is_default BOOLEAN, source VARCHAR, line INTEGER"))
+def parse_exports(spark, sf):
+    return _facts(spark).select("path", F.inline("exports")).select("path", "name", "is_default", "source", "line")
+
+
+@query(fixtures.values(fixtures.rows(fixtures.CALLS), "path VARCHAR, callee VARCHAR, line INTEGER, containing_function VARCHAR, args VARCHAR"))
+def parse_calls(spark, sf):
+    return _facts(spark).select("path", F.inline("call_sites")).select("path", "callee", "line", "containing_function", F.array_join("arguments", "; ").alias("args"))
+
+
+@query(fixtures.values(fixtures.rows(fixtures.ASSIGNMENTS), "path VARCHAR, variable VARCHAR, callee VARCHAR, line INTEGER, containing_function VARCHAR"))
+def parse_assignments(spark, sf):
+    return _facts(spark).select("path", F.inline("assignments")).select("path", "variable", "callee", "line", "containing_function")
+
+
+@query(fixtures.values(fixtures.rows(fixtures.BASES), "path VARCHAR, type VARCHAR, base VARCHAR"))
+def class_bases(spark, sf):
+    return _facts(spark).select("path", F.inline("bases")).select("path", "type", "base")
+
+
+@query(fixtures.values(fixtures.ANALYSIS, "diff_id VARCHAR, kind VARCHAR, subject VARCHAR, said VARCHAR"))
+def analyze_fixtures(spark, sf):
+    """The engine over the small changes: all that it says of them, in rows of text."""
+    from ..engine import Engine
+
+    t = Engine().tables(fixtures.changes(spark))
+
+    def rows(df, kind, subject, *said):
+        parts = [F.lit(x[1:]) if x[:1] == "'" else F.col(x).cast("string") for x in said]
+        return df.select("diff_id", F.lit(kind).alias("kind"), subject.alias("subject"), F.concat(*parts).alias("said"))
+
+    out = rows(t["summary"].withColumn("found", F.array_join("frameworks", ", ")), "summary", F.array_join("languages", ", "), "total_files", "' files; ", "found")
+    out = out.unionByName(rows(t["entrypoints"], "entry", F.concat_ws("::", "path", "symbol"), "entrypoint_type"))
+    out = out.unionByName(rows(t["groups"], "group", F.col("group_id"), "name", "'; ", "review_order", "'; ", "score"))
+    out = out.unionByName(rows(t["files"], "file", F.col("path"), "group_id", "'; ", "flow_position", "'; ", "role", "'; +", "additions", "' -", "deletions"))
+    out = out.unionByName(rows(t["edges"], "edge", F.concat_ws(" -> ", "src", "dst"), "edge_type"))
+    return out.unionByName(rows(t["infrastructure"], "infra", F.col("path"), "sub_group"))
