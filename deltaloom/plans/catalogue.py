@@ -766,3 +766,17 @@ def analyze_fixtures(spark, sf):
     out = out.unionByName(rows(t["files"], "file", F.col("path"), "group_id", "'; ", "flow_position", "'; ", "role", "'; +", "additions", "' -", "deletions"))
     out = out.unionByName(rows(t["edges"], "edge", F.concat_ws(" -> ", "src", "dst"), "edge_type"))
     return out.unionByName(rows(t["infrastructure"], "infra", F.col("path"), "sub_group"))
+
+
+@query(fixtures.values(fixtures.REFINED, "kind VARCHAR, subject VARCHAR, said VARCHAR"))
+def refine_lenient(spark, sf):
+    """A review's operations, repaired, checked and applied in order, with the warnings."""
+    out, warnings = refine.apply_lenient(*fixtures.refinement(spark))
+
+    def rows(df, kind, subject, *said):
+        return df.select(F.lit(kind).alias("kind"), subject.alias("subject"), F.concat_ws("; ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in said]).alias("said"))
+
+    found = rows(warnings, "warning", F.concat_ws(" ", "op", F.col("ord").cast("string")), "reason")
+    found = found.unionByName(rows(out["groups"], "group", F.col("group_id"), "name", "entry_file", "risk", "review_order"))
+    found = found.unionByName(rows(out["files"], "file", F.col("path"), "group_id", "flow_position", "role", "additions", "deletions"))
+    return found.unionByName(rows(out["edges"], "edge", F.concat_ws(" -> ", "src", "dst"), "group_id", "edge_type"))

@@ -413,3 +413,52 @@ ANALYSIS = [
     ("links", "edge", "src/control.ts::stop -> src/control.ts::helper", "Calls"), ("links", "edge", "src/control.ts::helper -> src/control.ts", "Writes"),
     ("lib", "infra", "package.json", "Infrastructure"),
 ]
+
+
+# --- edits of a grouping --------------------------------------------------------------
+
+#: group, name, file of the entry point, risk, order
+REFINE_GROUPS = [("group_1", "Users", "a/route.ts", 0.5, 1), ("group_2", "Orders", "b/route.ts", 0.4, 2), ("group_3", "Jobs", None, 0.3, 3), ("group_4", "Mail", "d/mail.ts", 0.2, 4)]
+#: group, path, position, role, additions, deletions
+REFINE_FILES = [
+    ("group_1", "a/route.ts", 0, "Entrypoint", 3, 1), ("group_1", "a/service.ts", 1, "Service", 2, 0), ("group_1", "a/repo.ts", 2, "Repository", 1, 0),
+    ("group_2", "b/route.ts", 0, "Entrypoint", 5, 0), ("group_2", "b/util.ts", 1, "Utility", 1, 1),
+    ("group_3", "c/job.ts", 0, "Utility", 4, 0), ("group_4", "d/mail.ts", 0, "Entrypoint", 2, 2), ("group_4", "d/text.ts", 1, "Utility", 1, 0),
+    ("infrastructure", "ci.yml", 0, "Infrastructure", 0, 0), ("infrastructure", "c/late.ts", 1, "Infrastructure", 0, 0),
+]
+REFINE_EDGES = [("group_1", "a/route.ts", "a/service.ts", "Imports"), ("group_2", "b/route.ts", "b/util.ts", "Calls"), ("group_4", "d/mail.ts", "d/text.ts", "Imports")]
+#: the operations of a review; some name groups by name, some can't be applied
+REFINE_SPLITS = [(0, "Users", 0, "User routes", 0, "a/route.ts"), (0, "Users", 0, "User routes", 1, "a/service.ts"), (0, "Users", 1, "User store", 0, "a/repo.ts"), (1, "group_4", 0, "Half", 0, "d/mail.ts"), (2, "group_9", 0, "None", 0, "x.ts")]
+REFINE_MERGES = [(0, 0, "group_4", "Post"), (0, 1, " JOBS ", "Post"), (1, 0, "group_2", "No"), (1, 1, "group_8", "No")]
+REFINE_RANKS = [(0, "group_2", 1), (1, "group_7", 1)]
+REFINE_MOVES = [(0, "b/util.ts", "group_2", "Jobs"), (1, "c/late.ts", "infrastructure", "group_3"), (2, "d/text.ts", "group_4", "infrastructure"), (3, "b/util.ts", "group_2", "group_4"), (4, "no.ts", "group_1", "group_2"), (5, "ci.yml", "infrastructure", "group_6")]
+#: kind of row, what it is about, what is said of it
+REFINED = [
+    # the repaired and the dropped
+    ("warning", "Split 0", "source Users -> group_1"), ("warning", "Merge 0", "group_id  JOBS  -> group_3"), ("warning", "Reclassify 0", "to_group Jobs -> group_3"),
+    ("warning", "Split 1", "split of group_4 leaves out: d/text.ts"), ("warning", "Split 2", "unknown source_group_id group_9"), ("warning", "Merge 1", "merge names an unknown group: group_8"),
+    ("warning", "ReRank 1", "re-rank names an unknown group: group_7"), ("warning", "Reclassify 4", "reclassify: no.ts is not in group_1"), ("warning", "Reclassify 5", "reclassify to an unknown group: group_6"),
+    # the new groups and the merged one stand at 0, group_2 was asked to 1
+    ("group", "group_4", "Post; d/mail.ts; 0.0; 1"), ("group", "group_refined_1", "User routes; a/route.ts; 0.5; 2"), ("group", "group_refined_2", "User store; -; 0.5; 3"), ("group", "group_2", "Orders; b/route.ts; 0.4; 4"),
+    ("file", "a/route.ts", "group_refined_1; 0; Entrypoint; 3; 1"), ("file", "a/service.ts", "group_refined_1; 1; Service; 2; 0"), ("file", "a/repo.ts", "group_refined_2; 0; Repository; 1; 0"),
+    ("file", "b/route.ts", "group_2; 0; Entrypoint; 5; 0"),
+    # the third group's files come before the fourth's; what was moved in stands behind
+    ("file", "c/job.ts", "group_4; 0; Utility; 4; 0"), ("file", "b/util.ts", "group_4; 1; Utility; 1; 1"), ("file", "c/late.ts", "group_4; 2; Infrastructure; 0; 0"), ("file", "d/mail.ts", "group_4; 3; Entrypoint; 2; 2"),
+    ("file", "ci.yml", "infrastructure; 0; Infrastructure; 0; 0"), ("file", "d/text.ts", "infrastructure; 1; Infrastructure; 0; 0"),
+    ("edge", "b/route.ts -> b/util.ts", "group_2; Calls"), ("edge", "d/mail.ts -> d/text.ts", "group_4; Imports"),
+]
+
+
+def refinement(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    def made(rows, types):
+        return spark.createDataFrame([("d", *r) for r in rows], f"diff_id string, {types}")
+
+    ops = {
+        "splits": made(REFINE_SPLITS, "ord int, source string, new_pos int, new_name string, file_pos int, path string"), "merges": made(REFINE_MERGES, "ord int, pos int, group_id string, merged_name string"),
+        "ranks": made(REFINE_RANKS, "ord int, group_id string, new_position long"), "moves": made(REFINE_MOVES, "ord int, path string, from_group string, to_group string"),
+    }
+    return (
+        made(REFINE_GROUPS, "group_id string, name string, entry_file string, risk double, review_order long"),
+        made(REFINE_FILES, "group_id string, path string, flow_position long, role string, additions long, deletions long"),
+        made(REFINE_EDGES, "group_id string, src string, dst string, edge_type string"), ops,
+    )
