@@ -86,6 +86,18 @@ def pattern(callee) -> Column:
     )
 
 
+# fixed values: words of mappers, and of receivers that are stores
+MAPPERS = ("prisma", "sequelize", "typeorm", "mongoose", "sqlalchemy", "drizzle")
+STORE_RECEIVERS = ("db", "repo", "model", "store", "dao", "collection")
+
+
+def confidence(callee) -> Column:
+    """How sure it is that a call that looks like a store's is one: a mapper's, a store's by its first name, a statement's, or some method's."""
+    low = F.lower(_c(callee))
+    first = F.lower(F.substring_index(_c(callee), ".", 1))
+    return F.when(_has(low, MAPPERS), 0.95).when(_has(first, STORE_RECEIVERS), 0.9).when(_has(low, (*SQL_WRITES, *SQL_READS)), 0.95).otherwise(0.7)
+
+
 def edge_type(pattern_column) -> Column:
     pairs = [F.lit(x) for kv in EDGE_OF_PATTERN.items() for x in kv]
     return F.element_at(F.create_map(*pairs), _c(pattern_column))

@@ -87,3 +87,44 @@ def json_in(text) -> Column:
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
     bare = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
     return F.when(fenced != "", fenced).when(bare != "", bare)
+
+
+# fixed values: characters that a plain command does not have
+SHELL_CHARACTERS = ("`", "$", "|", ";", "&", "<", ">")
+#: bytes of an answer that are read
+ANSWER_BYTES = 10 << 20
+
+
+def is_plain_command(command) -> Column:
+    """Whether a command that fetches a key has no character that a shell reads."""
+    out = F.lit(True)
+    for x in SHELL_CHARACTERS:
+        out = out & ~F.contains(_c(command), F.lit(x))
+    return out
+
+
+def fits(answer) -> Column:
+    return F.octet_length(_c(answer)) <= ANSWER_BYTES
+
+
+def flat_schema(schema: dict) -> dict:
+    """A JSON schema with its ``$defs`` put where they are referred to, and no property beyond those named.
+
+    A definition that refers to itself raises an error.
+    """
+    defs = schema.get("$defs") or schema.get("definitions") or {}
+
+    def walk(node, within=()):
+        if isinstance(node, list):
+            return [walk(x, within) for x in node]
+        if not isinstance(node, dict):
+            return node
+        if "$ref" in node:
+            name = node["$ref"].rsplit("/", 1)[-1]
+            if name in within:
+                raise ValueError(f"{name} refers to itself")
+            return walk(defs[name] | {k: v for k, v in node.items() if k != "$ref"}, (*within, name))
+        out = {k: walk(v, within) for k, v in node.items() if k not in ("$defs", "definitions")}
+        return out | {"additionalProperties": False} if out.get("type") == "object" and "properties" in out else out
+
+    return walk(schema)

@@ -27,7 +27,7 @@ from .common import WORD, materialize, two_columns
 BUCKETS = 1 << 16
 TARGET_DOCUMENTS = 20_000
 PSEUDO = 10.0
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 UNIT = 1 << 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = "[" + WORD[2:]
@@ -40,49 +40,50 @@ def _barrier(df: DataFrame, **columns) -> DataFrame:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds ``words`` and the five base counts to a table with ``text``.
+    """Adds ``hashes``, a 64-bit hash of each word, and the five base counts to a table with ``text``.
 
-    ``n_repeat_words``: the three-word windows are hashed to 64 bits and sorted
-    with their places; neighbours of one hash are repeats, and the union of
-    their words is counted. n log n in the document's length.
+    ``n_repeat_words``: the three-word windows are hashed to 64 bits. Where two
+    are equal they are sorted with their places; neighbours of one hash are
+    repeats, and the union of their words is counted. n log n in the document's length.
     """
     out = _barrier(docs, words=_words(), lines=F.split("text", "\n"))
     out = _barrier(
-        out,
-        n=F.size("words"),
-        worded=F.filter("lines", lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0),
-        grams=F.when(
-            F.size("words") > 2,
-            F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i"))),
-        ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-    )
-    out = _barrier(out, ordered=F.when(F.size(F.array_distinct("grams.h")) < F.size("grams"), F.sort_array("grams")).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    out = _barrier(out, repeats=F.sort_array(F.filter(
-        "ordered", lambda x, j: (x.h == F.get("ordered", j - 1).h) | (F.coalesce(F.get("ordered", j + 1).h == x.h, F.lit(False)))).i))
+        out, hashes=F.transform("words", lambda w: F.xxhash64(w)), word_chars=F.char_length(F.array_join("words", "")),
+        worded=F.filter("lines", lambda x: x.rlike(WORD[:-1])))
+    out = _barrier(out.drop("words", "lines"), n=F.size("hashes"), grams=F.when(F.size("hashes") > 2, _windows(3)).otherwise(F.array().cast("array<bigint>")))
+    placed = F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = _barrier(out, ordered=F.when(F.size(F.array_distinct("grams")) < F.size("grams"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    repeats = F.sort_array(F.filter(
+        "ordered", lambda x, j: (x.h == F.get("ordered", j - 1).h) | (F.coalesce(F.get("ordered", j + 1).h == x.h, F.lit(False)))).i)
     covered = F.aggregate(
-        "repeats", F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")),
+        repeats, F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")),
         lambda s, i: F.struct((i + 3).alias("end"), (s.total + i + 3 - F.greatest(i, s.end)).alias("total")), lambda s: s.total)
+    plain = F.col("text")
+    for x in "#*$%&|<>":
+        plain = F.replace(plain, F.lit(x), F.lit(""))
     return out.select(
-        *docs.columns, "words", F.col("n").cast("long").alias("n_words"),
-        F.char_length(F.translate("text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        *docs.columns, "hashes", F.col("n").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
+        (F.octet_length("text") - F.octet_length(plain)).cast("long").alias("n_symbols"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        F.when(F.size("ordered") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
     )
 
 
+def _windows(size: int, hashes: str = "hashes"):
+    """Hashes of all runs of ``size`` words."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))
+
+
 def _words():
     return F.filter(F.split("text", _SPACE), lambda w: w != "")
 
 
-def _bucket(*parts):
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+def _bucket(h):
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
 
-def _grams(words: str = "words"):
-    """Buckets of the words, and of the pairs of adjacent words."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: _bucket(F.get(words, i), F.get(words, i + 1)))
-    return F.concat(F.transform(words, lambda w: _bucket(w)), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<int>")))
+def _pairs(hashes: str = "hashes"):
+    return F.when(F.size(hashes) > 1, _windows(2, hashes)).otherwise(F.array().cast("array<bigint>"))
 
 
 def weights(docs: DataFrame, labels: DataFrame, good: str = "quality", bad: str = "toxic") -> DataFrame:
@@ -96,10 +97,13 @@ def weights(docs: DataFrame, labels: DataFrame, good: str = "quality", bad: str
         labels.where(trusted).select(F.col("doc_id").cast("long").alias("good_id")).where("good_id is not null").distinct()
         .orderBy(F.xxhash64("good_id"), "good_id").limit(TARGET_DOCUMENTS)
     )
-    counted = (
+    known = (
         docs.join(F.broadcast(target), F.col("doc_id") == F.col("good_id"), "left")
         .select(F.col("good_id").isNotNull().cast("long").alias("good"), _words().alias("words"))
-        .select("good", F.explode(_grams()).alias("bucket"))
+    )
+    hashed = _barrier(known, hashes=F.transform("words", lambda w: F.xxhash64(w)))
+    counted = (
+        hashed.select("good", F.explode(F.concat("hashes", _pairs())).alias("h")).select("good", _bucket(F.col("h")).alias("bucket"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("hit"))
     )
     counts = materialize(counted)  # at most BUCKETS rows
@@ -134,7 +138,8 @@ def quality(
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
     weight = _literal(weights(two_columns(docs, id_col, text_col), labels))
     counted = base_counts(docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *own))
-    total = F.aggregate(_grams(), F.lit(0).cast("long"), lambda acc, b: acc + F.get(weight, b))
+    summed = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.get(weight, _bucket(h)))
+    total = summed("hashes") + summed(_pairs())
     scored = _barrier(counted.drop("text"), total=total, grams=F.greatest(2 * F.col("n_words") - 1, F.lit(1).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(

@@ -95,7 +95,16 @@ RULES = (
     {"type": "EventHandler", "needs": r"^(events|eventemitter3|mitt|rxjs|socket\.io|ws)(/.*)?$", "calls": r"\.(addEventListener|on|addListener|once|subscribe)$"},
     {"type": "HttpRoute", "lang": JS, "needs": r"^(@effect/platform|effect)", "calls": r"^HttpRouter\.(get|post|put|delete|patch)$|^HttpApi\w*\.\w+$"},
     {"type": "CliCommand", "lang": JS, "needs": r"^@effect/cli", "calls": r"^Command\.(make|run)$"},
+    {"type": "QueueConsumer", "lang": JS, "needs": r"^effect/(Queue|PubSub)$", "calls": r"^(Queue\.(take|poll|dequeue|takeBetween|takeAll|takeUpTo)|PubSub\.(subscribe|subscribeScopedWith))$"},
+    {"type": "QueueConsumer", "lang": JS, "needs": r"^effect$", "named": r"^(Queue|PubSub)$", "calls": r"^(Queue\.(take|poll|dequeue|takeBetween|takeAll|takeUpTo)|PubSub\.(subscribe|subscribeScopedWith))$"},
+    {"type": "CronJob", "lang": JS, "needs": r"^(@effect/cron(/.*)?|effect/Schedule)$", "calls": r"^(Schedule\.(cron|fixed|spaced|recurring|forever|once|dayOfWeek|hourOfDay)|Cron\.(make|parse|match))$"},
+    {"type": "CronJob", "lang": JS, "needs": r"^effect$", "named": r"^Schedule$", "calls": r"^(Schedule\.(cron|fixed|spaced|recurring|forever|once|dayOfWeek|hourOfDay)|Cron\.(make|parse|match))$"},
+    {"type": "TestFile", "lang": JS, "needs": r"^@effect/vitest(/.*)?$", "calls": r"^it\.(effect|scoped|live|flakyTest)$"},
+    {"type": "EventHandler", "lang": JS, "needs": r"^effect/(Stream|Hub)$", "calls": r"^(Stream\.run(|ForEach|Collect|Drain|Fold|Scoped)|Hub\.(subscribe|publishAll))$"},
+    {"type": "EventHandler", "lang": JS, "needs": r"^effect$", "named": r"^(Stream|Hub)$", "calls": r"^(Stream\.run(|ForEach|Collect|Drain|Fold|Scoped)|Hub\.(subscribe|publishAll))$"},
     {"type": "EffectService", "lang": JS, "needs": r"^(effect|@effect/)", "calls": r"^(Context\.Tag|Context\.GenericTag|Effect\.Service|Layer\.\w+)$"},
+    {"type": "CliCommand", "lang": ("Rust",), "low": r"/(modules|commands|plugins|handlers|subcommands|cmds|configs)/", "not_low": r"/mod\.rs$", "file": True},
+    {"type": "CliCommand", "lang": ("Rust",), "low": r"(^|/)(main|lib)\.rs$", "file": True, "with_definitions": True},
 )
 # --- end of fixed values ----------------------------------------------------------
 
@@ -131,6 +140,8 @@ def _symbols(ord_: int, rule: dict) -> Column:
         ok = ok & some
     if rule.get("without_main"):
         ok = ok & ~F.exists("definitions", lambda d: d["name"] == "main")
+    if rule.get("with_definitions"):
+        ok = ok & (F.size("definitions") > 0)
     parts = []
     if "calls" in rule:
         hit = F.filter("call_sites", lambda c: c.callee.rlike(rule["calls"]))

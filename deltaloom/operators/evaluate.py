@@ -140,3 +140,66 @@ def language_recall(detected: DataFrame, expected: DataFrame) -> DataFrame:
 def corpus_balance(targets: DataFrame, least: int) -> DataFrame:
     """Languages with fewer targets than they need."""
     return targets.groupBy("language").agg(F.count("*").alias("n")).where(F.col("n") < least)
+
+
+def file_locations(files: DataFrame, infra: DataFrame, key: str = "target") -> DataFrame:
+    """``(target, path, place, is_infra)``: the group of a file, else ``infra:n:name`` of its n-th sub-group by name, else ``infra``.
+
+    ``files(target, group_id, path)``, ``infra(target, path, sub_group)``.
+    """
+    order = F.dense_rank().over(Window.partitionBy(key).orderBy("sub_group")) - 1
+    subs = infra.where("sub_group is not null").withColumn("place", F.concat(F.lit("infra:"), order.cast("string"), F.lit(":"), "sub_group"))
+    both = subs.select(key, "path", "place").unionByName(infra.where("sub_group is null").select(key, "path", F.lit("infra").alias("place")))
+    # what a sub-group names counts before the bare list
+    both = both.groupBy(key, "path").agg(F.max("place").alias("place"))
+    return files.select(key, "path", F.col("group_id").cast("string").alias("place"), F.lit(False).alias("is_infra")).unionByName(both.withColumn("is_infra", F.lit(True)))
+
+
+def destinations(locations: DataFrame, key: str = "target") -> DataFrame:
+    """``(target, groups, destinations)``: groups, and groups with the parts of the infrastructure."""
+    return locations.groupBy(key).agg(
+        F.count_distinct(F.when(~F.col("is_infra"), F.col("place"))).alias("groups"), F.count_distinct("place").alias("destinations"))
+
+
+def accounting(locations: DataFrame, expected: DataFrame, key: str = "target") -> DataFrame:
+    """``expected(target, total_files, expected_files, min_groups, max_groups)`` -> ``(target, accounting)``: 1, less a
+    half for a wrong number of files, a half for files that lie nowhere, a quarter for a number of groups out of range."""
+    n = locations.groupBy(key).agg(F.count("*").alias("held"), F.count_distinct(F.when(~F.col("is_infra"), F.col("place"))).alias("n_groups"))
+    j = expected.join(n, key, "left").na.fill(0, ["held", "n_groups"])
+    off = lambda c, w: F.when(c, w).otherwise(0.0)
+    lost = off(F.col("total_files") != F.col("expected_files"), 0.5) + off(F.col("held") != F.col("total_files"), 0.5) + off(~F.col("n_groups").between(F.col("min_groups"), F.col("max_groups")), 0.25)
+    return j.select(key, F.greatest(F.lit(0.0), 1.0 - lost).alias("accounting"))
+
+
+def expectations(locations: DataFrame, deleted: DataFrame, wanted: DataFrame, bounds: DataFrame, key: str = "target") -> DataFrame:
+    """``(target, kind, check_id, satisfied)`` of each check of a target.
+
+    ``wanted(target, kind, check_id, path)``: ``same_group``: all in one place that has a name; ``separate_group``:
+    all in different places; ``infrastructure``, ``non_infrastructure``: of one path each, or it is in ``deleted(target, path)``.
+    ``bounds(target, kind, value)``: ``group_count_min`` holds for all destinations, ``group_count_max`` for groups. A path that lies nowhere fails.
+    """
+    j = wanted.join(locations, [key, "path"], "left").join(deleted.select(key, "path").distinct().withColumn("deleted", F.lit(True)), [key, "path"], "left")
+    agg = j.groupBy(key, "kind", "check_id").agg(
+        F.count("*").alias("n"), F.count("place").alias("found"), F.count_distinct("place").alias("places"), F.count_if("is_infra").alias("infra"),
+        F.count_if(F.col("place") == "infra").alias("bare"), F.count("deleted").alias("gone"))
+    whole = F.col("found") == F.col("n")
+    ok = (
+        F.when(F.col("kind") == "same_group", whole & (F.col("places") == 1) & (F.col("bare") == 0)).when(F.col("kind") == "separate_group", whole & (F.col("places") == F.col("n")))
+        .when(F.col("kind") == "infrastructure", (F.col("infra") == F.col("n")) | (F.col("gone") > 0))
+        .otherwise((whole & (F.col("infra") == 0)) | ((F.col("found") == 0) & (F.col("gone") > 0)))
+    )
+    counted = bounds.join(destinations(locations, key), key, "left").na.fill(0, ["groups", "destinations"])
+    held = F.when(F.col("kind") == "group_count_min", F.col("destinations") >= F.col("value")).otherwise(F.col("groups") <= F.col("value"))
+    return agg.select(key, "kind", "check_id", ok.alias("satisfied")).unionByName(counted.select(key, "kind", F.lit(None).cast(agg.schema["check_id"].dataType).alias("check_id"), held.alias("satisfied")))
+
+
+def uncovered(changed: DataFrame, locations: DataFrame, deleted: DataFrame | None = None, key: str = "target") -> DataFrame:
+    """Changed files that lie in no place, deleted ones aside."""
+    out = changed.select(key, "path").distinct().join(locations, [key, "path"], "left_anti")
+    return out if deleted is None else out.join(deleted, [key, "path"], "left_anti")
+
+
+def deleted_paths(changes: DataFrame) -> DataFrame:
+    """``(diff_id, path)`` of deleted files: by status, or without a new path."""
+    gone = (F.col("status") == "Deleted") | F.col("new_path").isNull() if "status" in changes.columns else F.col("new_path").isNull()
+    return changes.where(gone & F.col("old_path").isNotNull()).select("diff_id", F.col("old_path").alias("path")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def normalize_name(c):
     return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
@@ -127,7 +129,7 @@ def repair(groups: DataFrame, ops: dict[str, DataFrame]) -> tuple[dict[str, Data
 
 def sanitize(groups: DataFrame, files: DataFrame, ops: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Operations without those that can't be applied, and a warning for each that went."""
-    bad = problems(groups, files, ops)
+    bad = materialize(problems(groups, files, ops))
     return {k: df.join(bad.where(F.col("op") == _KINDS[k]).select("diff_id", "ord"), ["diff_id", "ord"], "left_anti") for k, df in ops.items()}, bad
 
 
@@ -169,6 +171,7 @@ def apply(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str,
     split_files = parts.select("diff_id", "source", "new_id", "path", "file_pos").join(own, ["diff_id", "source", "path"], "left").select(
         "diff_id", F.col("new_id").alias("group_id"), "path", F.coalesce("role", F.lit("Infrastructure")).alias("role"), F.coalesce("additions", F.lit(0).cast("long")).alias("additions"),
         F.coalesce("deletions", F.lit(0).cast("long")).alias("deletions"), F.col("file_pos").cast("long").alias("at"))
+    now, alive, applied, split_files = (materialize(x) for x in (now, alive, applied, split_files))
     sources = applied.select("diff_id", F.col("source").alias("group_id")).distinct()
     zero = F.lit(0).cast("long").alias("review_order")
     made = heads.join(entry, ["diff_id", "new_id"]).select(
@@ -192,7 +195,7 @@ def apply(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str,
     out = merged.select(
         "diff_id", F.col("to_id").alias("group_id"), F.coalesce("to_name", "g.name").alias("name"), "entry_file", F.when(is_new, F.lit(0.0)).otherwise(F.col("g.risk")).alias("risk"),
         F.when(is_new, F.lit(0)).otherwise(F.col("g.review_order")).cast("long").alias("review_order"))
-    route = to.select("diff_id", "group_id", "to_id", "key")
+    route = materialize(to.select("diff_id", "group_id", "to_id", "key"))
     grouped = now.where(~infra).join(route, ["diff_id", "group_id"]).select("diff_id", F.col("to_id").alias("group_id"), "path", "role", "additions", "deletions", "key", "at")
     left = now.where(infra).select("diff_id", "group_id", "path", "role", "additions", "deletions", F.array().cast("array<bigint>").alias("key"), F.lit(0).cast("long").alias("at")).distinct()
     grouped = grouped.unionByName(left)
@@ -210,7 +213,10 @@ def apply(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str,
 def apply_lenient(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
     """Repaired and without what can't be applied, then ``apply``; with the warnings ``(diff_id, op, ord, reason)`` of both."""
     ops, repaired = repair(groups, ops)
+    # each step reads the operations several times over
+    ops, repaired = {k: materialize(df) for k, df in ops.items()}, materialize(repaired)
     ops, dropped = sanitize(groups, files, ops)
+    ops, dropped = {k: materialize(df) for k, df in ops.items()}, materialize(dropped)
     return apply(groups, files, edges, ops), repaired.unionByName(dropped)
 
 

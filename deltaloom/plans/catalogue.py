@@ -627,14 +627,96 @@ def golden_checks(spark, sf):
     return evaluate.golden_checks(loc, c)
 
 
-@query("""WITH s AS (SELECT source AS target, avg(n_chars % 100) / 100 AS coherence, avg(doc_id % 10) / 10 AS entrypoints, avg(doc_id % 7) / 7 AS ordering, avg(doc_id % 3) / 3 AS risk, count(DISTINCT lang) / 4.0 AS languages, 1.0 AS accounting FROM documents GROUP BY 1)
-SELECT target, round(CAST(0.25 * coherence + 0.2 * entrypoints + 0.15 * ordering + 0.15 * risk + 0.15 * languages + 0.1 * accounting AS DOUBLE), 6) AS overall FROM s""")
+# a target for each change; each of the five scorers over its files, then the weighted mean
+_SCORES_SQL = f"""{FILES_SQL}, u AS (SELECT DISTINCT diff_id AS target, path FROM files), t AS (SELECT DISTINCT target FROM u),
+e AS (SELECT DISTINCT diff_id AS target, path AS file, CASE doc_id % 3 WHEN 0 THEN 'HttpRoute' WHEN 1 THEN 'CliCommand' ELSE 'TestFile' END AS type FROM files),
+ex(exp_id, part, type) AS (VALUES (1, 'routes', 'HttpRoute'), (2, 'main', 'CliCommand'), (3, 'test', 'TestFile')),
+s1 AS (SELECT target, avg(CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.target = t.target AND e.type = ex.type AND contains(e.file, ex.part)) THEN 1.0 ELSE 0.0 END) AS entrypoints FROM t CROSS JOIN ex GROUP BY 1),
+o AS (SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY path DESC) AS ro FROM u), c(higher, lower) AS (VALUES ('README.md', 'Makefile'), ('CHANGELOG.md', 'README.md'), ('Dockerfile', 'src/none.ts')),
+s2 AS (SELECT t.target, avg(CASE WHEN h.ro IS NULL THEN 0.0 WHEN l.ro IS NULL OR h.ro <= l.ro THEN 1.0 ELSE 0.0 END) AS ordering FROM t CROSS JOIN c LEFT JOIN o h ON h.target = t.target AND h.path = higher LEFT JOIN o l ON l.target = t.target AND l.path = lower GROUP BY 1),
+g AS (SELECT diff_id AS target, length(path) % 4 AS group_id, avg(additions) / 50 AS risk, count(*) AS n FROM files GROUP BY 1, 2), gr AS (SELECT *, CASE WHEN group_id = 3 THEN 0 ELSE group_id + 1 END AS ro FROM g),
+s3 AS (SELECT target, greatest(0, 1 - 0.25 * sum(CAST(risk < 0 OR risk > 1 AS INT) + CAST(ro < 1 AS INT)) - CASE WHEN count(DISTINCT ro) < count(*) THEN 0.1 ELSE 0 END) AS risk FROM gr GROUP BY 1),
+la AS (SELECT DISTINCT target, {o.LANGUAGE} AS language FROM u), le(language) AS (VALUES ('TypeScript'), ('Python'), ('Go'), ('Ruby')),
+s4 AS (SELECT t.target, avg(CASE WHEN la.language IS NULL THEN 0.0 ELSE 1.0 END) AS languages FROM t CROSS JOIN le LEFT JOIN la ON la.target = t.target AND la.language = le.language GROUP BY 1),
+f AS (SELECT diff_id AS target, path, doc_id % 4 AS group_id FROM files), x(needle) AS (VALUES ('service'), ('route')), h AS (SELECT target, group_id, count(DISTINCT needle) AS have FROM f JOIN x ON contains(path, needle) GROUP BY ALL),
+s5 AS (SELECT t.target, coalesce(max(have), 0) / 2.0 AS coherence FROM t LEFT JOIN h USING (target) GROUP BY 1)"""
+
+
+@query(f"""WITH {_SCORES_SQL} SELECT target, round(CAST(0.25 * round(coherence, 6) + 0.2 * round(entrypoints, 6) + 0.15 * round(ordering, 6) + 0.15 * round(risk, 6) + 0.15 * round(languages, 6) + 0.1 AS DOUBLE), 6) AS overall
+FROM s1 JOIN s2 USING (target) JOIN s3 USING (target) JOIN s4 USING (target) JOIN s5 USING (target)""")
 def eval_scores(spark, sf):
-    d = table(spark, sf, "documents")
-    s = d.groupBy(F.col("source").alias("target")).agg(
-        (F.avg(F.col("n_chars") % 100) / 100).alias("coherence"), (F.avg(F.col("doc_id") % 10) / 10).alias("entrypoints"), (F.avg(F.col("doc_id") % 7) / 7).alias("ordering"),
-        (F.avg(F.col("doc_id") % 3) / 3).alias("risk"), (F.count_distinct("lang") / 4).alias("languages"), F.lit(1.0).alias("accounting"))
-    return evaluate.overall_eval(s).select("target", "overall")
+    files = materialize(changed_files(spark, sf).withColumnRenamed("diff_id", "target"))
+    u = files.select("target", "path").distinct()
+    targets = u.select("target").distinct()
+
+    def each(*values, names):
+        return targets.select("target", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(v, names)]) for v in values])))
+
+    kind = F.when(F.col("doc_id") % 3 == 0, "HttpRoute").when(F.col("doc_id") % 3 == 1, "CliCommand").otherwise("TestFile")
+    s = evaluate.entrypoint_accuracy(files.select("target", F.col("path").alias("file"), kind.alias("type")), each((1, "routes", "HttpRoute"), (2, "main", "CliCommand"), (3, "test", "TestFile"), names=("exp_id", "file_contains", "type")))
+    orders = u.withColumn("review_order", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("path"))))
+    s = s.join(evaluate.review_ordering(orders, each((1, "README.md", "Makefile"), (2, "CHANGELOG.md", "README.md"), (3, "Dockerfile", "src/none.ts"), names=("c_id", "higher", "lower"))), "target")
+    g = files.groupBy("target", (F.char_length("path") % 4).alias("group_id")).agg((F.avg("additions") / 50).alias("risk"), F.count("*").alias("n_files"))
+    s = s.join(evaluate.risk_reasonableness(g.withColumn("review_order", F.when(F.col("group_id") == 3, 0).otherwise(F.col("group_id") + 1))), "target")
+    s = s.join(evaluate.language_recall(u.select("target", paths.language("path").alias("language")), each(("TypeScript",), ("Python",), ("Go",), ("Ruby",), names=("language",))), "target")
+    grouped = files.select("target", "path", (F.col("doc_id") % 4).alias("group_id"))
+    s = s.join(evaluate.coherence(grouped, each((1, "service", True), (1, "route", True), names=("exp_id", "needle", "must"))), "target")
+    return evaluate.overall_eval(s.withColumn("accounting", F.lit(1.0))).select("target", "overall")
+
+
+# groups by the length of a path, a fifth of the files in the infrastructure, checks of neighbours in the order of paths
+_PLACED_SQL = f"""{FILES_SQL}, u AS (SELECT DISTINCT diff_id AS target, path, {o.CATEGORY} AS category FROM files),
+n AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY path) - 1 AS rn FROM u), infra AS (SELECT target, path, CASE WHEN category <> 'Unclassified' THEN category END AS sub_group FROM u WHERE length(path) % 5 = 0),
+sub AS (SELECT target, path, 'infra:' || (dense_rank() OVER (PARTITION BY target ORDER BY sub_group) - 1) || ':' || sub_group AS place FROM infra WHERE sub_group IS NOT NULL),
+loc AS (SELECT target, path, 'g' || (length(path) % 3) AS place, FALSE AS is_infra FROM u WHERE length(path) % 5 <> 0 AND rn_of(path) UNION ALL SELECT target, path, place, TRUE FROM sub UNION ALL SELECT target, path, 'infra', TRUE FROM infra WHERE sub_group IS NULL)""".replace(" AND rn_of(path)", " AND length(path) % 7 <> 0")
+
+
+def _placed(spark, sf):
+    u = changed_files(spark, sf).select(F.col("diff_id").alias("target"), "path").distinct().withColumn("n", F.char_length("path"))
+    kind = paths.category("path")
+    infra = u.where("n % 5 = 0").select("target", "path", F.when(kind != "Unclassified", kind).alias("sub_group"))
+    files = u.where("n % 5 <> 0 and n % 7 <> 0").select("target", F.concat(F.lit("g"), (F.col("n") % 3).cast("string")).alias("group_id"), "path")
+    return u, evaluate.file_locations(files, infra)
+
+
+@query(f"WITH {_PLACED_SQL} SELECT * FROM loc")
+def file_locations(spark, sf):
+    return _placed(spark, sf)[1]
+
+
+@query(f"WITH {_PLACED_SQL} SELECT target, count(DISTINCT place) FILTER (NOT is_infra) AS groups, count(DISTINCT place) AS destinations FROM loc GROUP BY 1")
+def review_destinations(spark, sf):
+    return evaluate.destinations(_placed(spark, sf)[1])
+
+
+@query(f"WITH {_PLACED_SQL} SELECT target, path FROM u WHERE (target, path) NOT IN (SELECT target, path FROM loc) AND path NOT LIKE '%.md'")
+def uncovered_files(spark, sf):
+    u, loc = _placed(spark, sf)
+    return evaluate.uncovered(u, loc, u.where("path like '%.md'"))
+
+
+@query(f"""WITH {_PLACED_SQL}, e AS (SELECT target, count(*) AS total FROM u GROUP BY 1), h AS (SELECT target, count(*) AS held, count(DISTINCT place) FILTER (NOT is_infra) AS g FROM loc GROUP BY 1)
+SELECT target, CAST(greatest(0, 1 - CASE WHEN target % 2 = 1 THEN 0.5 ELSE 0 END - CASE WHEN coalesce(held, 0) <> total THEN 0.5 ELSE 0 END - CASE WHEN coalesce(g, 0) BETWEEN 1 AND 2 THEN 0 ELSE 0.25 END) AS DOUBLE) AS accounting FROM e LEFT JOIN h USING (target)""")
+def file_accounting(spark, sf):
+    u, loc = _placed(spark, sf)
+    n = u.groupBy("target").agg(F.count("*").alias("total_files"))
+    return evaluate.accounting(loc, n.select("target", "total_files", (F.col("total_files") - F.col("target") % 2).alias("expected_files"), F.lit(1).alias("min_groups"), F.lit(2).alias("max_groups")))
+
+
+@query(f"""WITH {_PLACED_SQL}, k AS (SELECT target, CASE (rn // 2) % 4 WHEN 0 THEN 'same_group' WHEN 1 THEN 'separate_group' WHEN 2 THEN 'infrastructure' ELSE 'non_infrastructure' END AS kind, rn // 2 AS check_id, path, rn FROM n),
+w AS (SELECT target, kind, check_id, path FROM k WHERE kind LIKE '%group' OR rn % 2 = 0), d AS (SELECT target, path FROM n WHERE rn % 3 = 0),
+j AS (SELECT w.*, loc.place, loc.is_infra, d.path IS NOT NULL AS gone FROM w LEFT JOIN loc USING (target, path) LEFT JOIN d USING (target, path)),
+a AS (SELECT target, kind, check_id, count(*) AS n, count(place) AS found, count(DISTINCT place) AS places, count(*) FILTER (is_infra) AS infra, count(*) FILTER (place = 'infra') AS bare, count(*) FILTER (gone) AS gone FROM j GROUP BY ALL),
+b AS (SELECT t.target, count(DISTINCT place) FILTER (NOT is_infra) AS g, count(DISTINCT place) AS dest FROM (SELECT DISTINCT target FROM u) t LEFT JOIN loc USING (target) GROUP BY 1)
+SELECT target, kind, check_id, CASE kind WHEN 'same_group' THEN found = n AND places = 1 AND bare = 0 WHEN 'separate_group' THEN found = n AND places = n WHEN 'infrastructure' THEN infra = n OR gone > 0 ELSE (found = n AND infra = 0) OR (found = 0 AND gone > 0) END AS satisfied FROM a
+UNION ALL SELECT target, 'group_count_min', NULL, dest >= 5 FROM b UNION ALL SELECT target, 'group_count_max', NULL, g <= 2 FROM b""")
+def golden_expectations(spark, sf):
+    u, loc = _placed(spark, sf)
+    n = u.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("path")) - 1).withColumn("check_id", F.floor(F.col("rn") / 2))
+    kind = F.get(F.array(*[F.lit(x) for x in ("same_group", "separate_group", "infrastructure", "non_infrastructure")]), (F.col("check_id") % 4).cast("int"))
+    wanted = n.withColumn("kind", kind).where(F.col("kind").endswith("group") | (F.col("rn") % 2 == 0))
+    bounds = u.select("target").distinct().select("target", F.inline(F.array(F.struct(F.lit("group_count_min").alias("kind"), F.lit(5).alias("value")), F.struct(F.lit("group_count_max").alias("kind"), F.lit(2).alias("value")))))
+    return evaluate.expectations(loc, n.where("rn % 3 = 0"), wanted, bounds)
 
 
 @query("""WITH h AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS run, round(avg(o_totalprice) / 1000000, 6) AS score FROM orders GROUP BY 1, 2)
@@ -780,3 +862,83 @@ def refine_lenient(spark, sf):
     found = found.unionByName(rows(out["groups"], "group", F.col("group_id"), "name", "entry_file", "risk", "review_order"))
     found = found.unionByName(rows(out["files"], "file", F.col("path"), "group_id", "flow_position", "role", "additions", "deletions"))
     return found.unionByName(rows(out["edges"], "edge", F.concat_ws(" -> ", "src", "dst"), "group_id", "edge_type"))
+
+
+# --- calls, imports, reports --------------------------------------------------------
+
+@query(f"""WITH {CALLS_SQL} SELECT DISTINCT callee, CAST(CASE WHEN regexp_matches(lower(callee), '{'|'.join(call_rules.MAPPERS)}') THEN 0.95 WHEN regexp_matches(lower(string_split(callee, '.')[1]), '{'|'.join(call_rules.STORE_RECEIVERS)}') THEN 0.9
+WHEN {o._SQLW} OR {o._SQLR} THEN 0.95 ELSE 0.7 END AS DOUBLE) AS confidence FROM calls""")
+def db_confidence(spark, sf):
+    return call_sites(spark, sf).select("callee").distinct().select("callee", call_rules.confidence("callee").alias("confidence"))
+
+
+@query(fixtures.values(fixtures.imported(), "path VARCHAR, source VARCHAR, kind VARCHAR, local VARCHAR, remote VARCHAR, line INTEGER"))
+def imported_names(spark, sf):
+    from ..functions import ir
+
+    return ir.imported_names(_facts(spark))
+
+
+@query(fixtures.values(fixtures.rows(fixtures.DEFINITIONS), "path VARCHAR, name VARCHAR, kind VARCHAR, start_line INTEGER, end_line INTEGER"))
+def ir_round_trip(spark, sf):
+    from ..functions import ir
+
+    return ir.from_ir(ir.to_ir(_facts(spark))).select("path", F.inline("definitions"))
+
+
+@query(fixtures.values(fixtures.ENTRYPOINTS, "file VARCHAR, symbol VARCHAR, entrypoint_type VARCHAR"))
+def entrypoint_rules(spark, sf):
+    from ..operators import entrypoints
+    from ..sources.parse import parse
+
+    made = spark.createDataFrame(list(fixtures.ENTRY_SOURCES.items()), "path string, source string")
+    return entrypoints.detect(parse(made))
+
+
+@query("""SELECT conv_id AS job_id, turn AS seq, 'id: ' || turn || chr(10) || 'event: ' || e || chr(10) || 'data: {"role":"' || role || '","n":' || length(text) || '}' || chr(10) || chr(10) AS wire, e = 'completed' AS terminal
+FROM (SELECT *, CASE role WHEN 'system' THEN 'job_started' WHEN 'user' THEN 'activity' ELSE 'completed' END AS e FROM conversations)""")
+def sse_events(spark, sf):
+    from ..operators import report
+
+    name = F.when(F.col("role") == "system", "job_started").when(F.col("role") == "user", "activity").otherwise("completed")
+    return report.sse(table(spark, sf, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), name.alias("event_name"), "role", F.char_length("text").alias("n")))
+
+
+@query(f"WITH {FILES_SQL} SELECT diff_id, lang_of.k AS kind, CAST(greatest(sum(additions + deletions), 1) AS BIGINT) AS weight FROM files, LATERAL (SELECT {o.CATEGORY} AS k) lang_of GROUP BY 1, 2")
+def group_weights(spark, sf):
+    from ..operators import report
+
+    return report.weights(changed_files(spark, sf).withColumn("kind", paths.category("path")), ["diff_id", "kind"])
+
+
+@query("""WITH s AS (SELECT source AS target, round(avg(n_chars % 100) / 100, 4) AS overall, count(*) AS n FROM documents GROUP BY 1), l AS (SELECT row_number() OVER (ORDER BY overall DESC, target) - 1 AS k,
+  target || ' ' || printf('%.4f', overall) || ' ' || CASE WHEN overall >= 0.8 THEN 'good' WHEN overall >= 0.6 THEN 'fair' ELSE 'poor' END || ' n=' || printf('%.2f', n::DOUBLE) AS line FROM s)
+SELECT CAST(k AS INT) AS line_no, line FROM l UNION ALL SELECT CAST(count(*) AS INT), 'mean ' || printf('%.4f', avg(overall)) || ' of ' || count(*) FROM s""")
+def score_report(spark, sf):
+    from ..operators import report
+
+    s = table(spark, sf, "documents").groupBy(F.col("source").alias("target")).agg(F.round(F.avg(F.col("n_chars") % 100) / 100, 4).alias("overall"), F.count("*").alias("n"))
+    return report.text_report(s)
+
+
+@query("""WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), g AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS o FROM nation)
+SELECT n_regionkey AS diff_id, 'Say in a few sentences what this change does, group by group.' || chr(10) || string_agg(o || '. ' || n_name || ' (g' || n_nationkey || ', ' || coalesce(n, 0) || ' files)', chr(10) ORDER BY o) AS prompt FROM g LEFT JOIN n ON c_nationkey = n_nationkey GROUP BY 1""")
+def overview_prompts(spark, sf):
+    from ..operators import report
+
+    g = table(spark, sf, "nation").select(F.col("n_regionkey").alias("diff_id"), F.concat(F.lit("g"), F.col("n_nationkey").cast("string")).alias("group_id"), F.col("n_name").alias("name"),
+                                          F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).alias("review_order"))
+    files = table(spark, sf, "customer").select(F.concat(F.lit("g"), F.col("c_nationkey").cast("string")).alias("group_id"), F.col("c_custkey").alias("path")).join(g.select("diff_id", "group_id"), "group_id")
+    return report.overview_prompt(g, files)
+
+
+@query("""SELECT doc_id % 50 AS k, count(*) AS asked, count(*) FILTER (doc_id % 3 = 0) AS held FROM documents GROUP BY 1""")
+def vector_cache(spark, sf):
+    """Documents whose text is in the store of vectors, and the others."""
+    from ..sources.caches import cached_vectors, vector_keys
+
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("|"), F.col("doc_id").cast("string")).alias("text"))
+    store = vector_keys(d.where("doc_id % 3 = 0")).select("key", F.array(F.lit(1.0)).alias("vector"))
+    held, missing = cached_vectors(d, store)
+    both = held.select("doc_id", F.lit(1).alias("held")).unionByName(missing.select(F.substring_index("text", "|", -1).cast("long").alias("doc_id"), F.lit(0).alias("held")))
+    return both.groupBy((F.col("doc_id") % 50).alias("k")).agg(F.count("*").alias("asked"), F.sum("held").alias("held"))

@@ -355,6 +355,43 @@ BASES = {
 }
 
 
+def imported() -> list[tuple]:
+    """A row for each imported name: path, source, kind, local and remote name, line."""
+    out = []
+    for path, source, names, default, namespace, line in rows(IMPORTS):
+        if not names:
+            out.append((path, source, "SideEffect", None, None, line))
+        for i, name in enumerate(names.split(", ") if names else ()):
+            remote, _, local = name.partition(" as ")
+            kind = "Namespace" if namespace else "Default" if default and i == 0 else "Named"
+            out.append((path, source, kind, local or remote, "default" if kind == "Default" else remote, line))
+    return out
+
+
+#: path -> text; files that one rule or another takes for the start of something
+ENTRY_SOURCES = {
+    "src/jobs/mail.ts": 'import { Queue } from "effect";\nexport const drain = () => { return Queue.take(q); };\n',
+    "src/jobs/night.ts": 'import * as Schedule from "effect/Schedule";\nconst plan = Schedule.cron("0 0 * * *");\n',
+    "src/stream.ts": 'import { Stream } from "effect";\nfunction pump() { Stream.runForEach(s, f); }\n',
+    "src/check.ts": 'import { it } from "@effect/vitest";\nit.effect("works", () => run());\n',
+    "src/idle.ts": 'import { Effect } from "effect";\nfunction idle() { Queue.take(q); }\n',
+    "app/modules/git.rs": "pub fn run() {}\n",
+    "app/modules/mod.rs": "pub mod git;\n",
+    "core/src/lib.rs": "pub struct Core;\n",
+    "cmd/tool/main.go": "package main\nfunc main() { run() }\n",
+    "web/api.go": 'package web\nimport "net/http"\nfunc Serve() { http.HandleFunc("/a", a) }\n',
+    "shop/views.py": "from flask import Flask\n\ndef index():\n    return 1\n\ndef _hidden():\n    return 2\n",
+    "src/main/java/a/UserController.java": "import org.springframework.web.bind.annotation.GetMapping;\npublic class UserController {\n  @GetMapping(\"/u\")\n  public String all() { return x; }\n}\n",
+    "tests/test_cart.py": "def test_sum():\n    assert True\n",
+    "src/Cart.test.ts": "const a = 1;\n",
+}
+ENTRYPOINTS = [
+    ("src/jobs/mail.ts", "drain", "QueueConsumer"), ("src/jobs/night.ts", "Schedule.cron", "CronJob"), ("src/stream.ts", "pump", "EventHandler"), ("src/check.ts", "it.effect", "TestFile"),
+    ("app/modules/git.rs", "git", "CliCommand"), ("core/src/lib.rs", "lib", "CliCommand"), ("cmd/tool/main.go", "main", "CliCommand"), ("web/api.go", "Serve", "HttpRoute"), ("shop/views.py", "index", "HttpRoute"),
+    ("src/main/java/a/UserController.java", "all", "HttpRoute"), ("tests/test_cart.py", "test_sum", "TestFile"), ("src/Cart.test.ts", "Cart", "TestFile"),
+]
+
+
 def values(rows, types: str) -> str:
     """Rows as a SQL relation with typed, named columns: ``name TYPE, ..``."""
     def literal(x):

@@ -40,6 +40,30 @@ def request_key(*parts) -> Column:
     return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
+def template_key(template: str) -> Column:
+    """The digest by which answers to an older wording of a prompt are told apart."""
+    return F.sha2(F.lit(template), 256)
+
+
+def recorded(requests: DataFrame, cassettes: DataFrame, answers: DataFrame, key: str = "key") -> DataFrame:
+    """The cassettes with the new ``answers(key, response)`` to requests that had none; what was recorded stays."""
+    new = misses(requests, cassettes, key).join(answers, key)
+    return cassettes.select(key, "response").unionByName(new.select(key, "response"))
+
+
+def vector_keys(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``key``, the digest under which a text's vector is stored; a null text has none."""
+    return texts.withColumn("key", F.sha2(F.col(text_col).cast("string"), 256))
+
+
+def cached_vectors(texts: DataFrame, store: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Texts whose vector ``store(key, vector)`` holds, with it, and the distinct texts still to be embedded."""
+    keyed = vector_keys(texts, text_col)
+    held = store.groupBy("key").agg(F.first("vector").alias("vector"))
+    missing = keyed.join(held, "key", "left_anti").where("key is not null").groupBy("key").agg(F.first(text_col).alias(text_col))
+    return keyed.join(held, "key"), missing
+
+
 def upsert(store: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """Store and changes, the last change of each key; changes with ``deleted`` take the key away."""
     both = store.withColumns({order: F.lit(-1).cast("long"), "deleted": F.lit(False)}).unionByName(changes)

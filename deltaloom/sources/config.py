@@ -72,6 +72,19 @@ def is_ignored(path: Column, config: dict, internal: str = ".deltaloom/") -> Col
     return out
 
 
+ENTRYPOINT_KINDS = ("http", "workers", "cli", "cron", "events")
+
+
+def is_entrypoint_file(path: Column, config: dict) -> Column:
+    """Whether a glob of the configured entry points covers the path."""
+    out = F.lit(False)
+    for kind in ENTRYPOINT_KINDS:
+        for glob in config.get("entrypoints", {}).get(kind, ()):
+            if regex := glob_regex(glob):
+                out = out | path.rlike(regex)
+    return out
+
+
 def layer(path: Column, config: dict) -> Column:
     """The first layer by name whose glob matches, null for none."""
     out = F.lit(None).cast("string")
