@@ -176,7 +176,7 @@ def expectations(locations: DataFrame, deleted: DataFrame, wanted: DataFrame, bo
 
     ``wanted(target, kind, check_id, path)``: ``same_group``: all in one place that has a name; ``separate_group``:
     all in different places; ``infrastructure``, ``non_infrastructure``: of one path each, or it is in ``deleted(target, path)``.
-    ``bounds(target, kind, value)``: ``group_count_min`` holds for all destinations, ``group_count_max`` for groups. A path that lies nowhere fails.
+    ``bounds(target, kind, value)``: ``group_count_min`` holds for all destinations, ``group_count_max`` for groups; their ``check_id`` is -1. A path that lies nowhere fails.
     """
     j = wanted.join(locations, [key, "path"], "left").join(deleted.select(key, "path").distinct().withColumn("deleted", F.lit(True)), [key, "path"], "left")
     agg = j.groupBy(key, "kind", "check_id").agg(
@@ -190,7 +190,7 @@ def expectations(locations: DataFrame, deleted: DataFrame, wanted: DataFrame, bo
     )
     counted = bounds.join(destinations(locations, key), key, "left").na.fill(0, ["groups", "destinations"])
     held = F.when(F.col("kind") == "group_count_min", F.col("destinations") >= F.col("value")).otherwise(F.col("groups") <= F.col("value"))
-    return agg.select(key, "kind", "check_id", ok.alias("satisfied")).unionByName(counted.select(key, "kind", F.lit(None).cast(agg.schema["check_id"].dataType).alias("check_id"), held.alias("satisfied")))
+    return agg.select(key, "kind", "check_id", ok.alias("satisfied")).unionByName(counted.select(key, "kind", F.lit(-1).cast(agg.schema["check_id"].dataType).alias("check_id"), held.alias("satisfied")))
 
 
 def uncovered(changed: DataFrame, locations: DataFrame, deleted: DataFrame | None = None, key: str = "target") -> DataFrame:

@@ -709,7 +709,7 @@ j AS (SELECT w.*, loc.place, loc.is_infra, d.path IS NOT NULL AS gone FROM w LEF
 a AS (SELECT target, kind, check_id, count(*) AS n, count(place) AS found, count(DISTINCT place) AS places, count(*) FILTER (is_infra) AS infra, count(*) FILTER (place = 'infra') AS bare, count(*) FILTER (gone) AS gone FROM j GROUP BY ALL),
 b AS (SELECT t.target, count(DISTINCT place) FILTER (NOT is_infra) AS g, count(DISTINCT place) AS dest FROM (SELECT DISTINCT target FROM u) t LEFT JOIN loc USING (target) GROUP BY 1)
 SELECT target, kind, check_id, CASE kind WHEN 'same_group' THEN found = n AND places = 1 AND bare = 0 WHEN 'separate_group' THEN found = n AND places = n WHEN 'infrastructure' THEN infra = n OR gone > 0 ELSE (found = n AND infra = 0) OR (found = 0 AND gone > 0) END AS satisfied FROM a
-UNION ALL SELECT target, 'group_count_min', NULL, dest >= 5 FROM b UNION ALL SELECT target, 'group_count_max', NULL, g <= 2 FROM b""")
+UNION ALL SELECT target, 'group_count_min', -1, dest >= 5 FROM b UNION ALL SELECT target, 'group_count_max', -1, g <= 2 FROM b""")
 def golden_expectations(spark, sf):
     u, loc = _placed(spark, sf)
     n = u.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("path")) - 1).withColumn("check_id", F.floor(F.col("rn") / 2))
