@@ -68,6 +68,18 @@ def test_token_counts_sentencepiece(spark, docs):
     assert Counter((r.doc_id, r.n_tokens) for r in rows(tokens.count_tokens(some, path))) == want
 
 
+def test_vocabularies_that_join_over_white_space(spark, docs):
+    """Their texts go to the library as a whole, in counting and in packing."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.splits_at_space(PATH) and not tokens.splits_at_space(path)
+    some = docs.select("doc_id", "text").limit(20).union(spark.createDataFrame([(7001, "a  b\n\n c"), (7002, None)], "doc_id long, text string"))
+    encode = tokens.encoder(path)
+    want = {d: encode([t or ""])[0] for d, t in texts_of(some)}
+    assert {r.doc_id: r.n_tokens for r in rows(tokens.count_tokens(some, path))} == {d: len(x) for d, x in want.items()}
+    first = {r.doc_id: r.ids_crc32 for r in rows(packing.pack(some, path)) if r.piece == 0}
+    assert first == {d: zlib.crc32(np.array([*x, 0][:2048], "<u4").tobytes()) for d, x in want.items()}
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(which, request):
     df = request.getfixturevalue(which)
@@ -156,9 +168,12 @@ def test_quality_base(which, request, spark):
 def brute_kept(rows, labels):
     """Scores of words and word pairs in plain Python, with the hash that Spark's function chains over its arguments."""
     def bucket(*parts):
-        h = 42
-        for x in parts:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+        h = hashes[0]
+        if len(parts) > 1:  # of a pair the hashes are hashed
+            h = 42
+            for x in hashes:
+                h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
         return (h - (1 << 64) if h >> 63 else h) % quality.BUCKETS
 
     grams = []
@@ -201,12 +216,13 @@ def test_quality_held_out(spark):
 
 
 def test_quality_keeps_copied_clean_documents(spark):
-    """Hundreds of copies of a clean document without a label are no evidence against it."""
+    """Hundreds of copies of a clean document, labelled as often as others are, stay."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    clean = d.join(labels.where("quality = 1"), "doc_id").where("lang = 'fr'").orderBy("doc_id").limit(1)
+    clean = d.join(labels.where("quality = 1 and toxic = 0"), "doc_id").where("lang = 'fr'").orderBy("doc_id").limit(1)
     copies = clean.selectExpr("explode(sequence(1000001, 1000400)) as doc_id", "text")
-    got = quality.quality(d.select("doc_id", "text").union(copies), labels.join(clean, "doc_id", "left_anti"))
+    named = copies.where("doc_id % 5 < 2").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = quality.quality(d.select("doc_id", "text").union(copies), labels.select("doc_id", "quality", "toxic").union(named))
     assert all(r.kept or r.base_failed for r in got.where("doc_id > 1000000").collect())
 
 
