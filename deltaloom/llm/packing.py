@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, trimmed, two_columns
-from .tokens import encoder, encoder_with_offsets
+from .tokens import encoder, encoder_with_offsets, splits_at_space
 
 CAPACITY = 2048
 #: pieces of pre-tokens whose ids a worker keeps, some 140 MB
@@ -58,6 +58,18 @@ def _encode_words(words: list[bytes], path: str, joined: int = 256) -> list[byte
     return out
 
 
+class _Whole:
+    """The ids of texts of a vocabulary whose pieces take in white space."""
+
+    def __init__(self, path: str):
+        self.encode = encoder(path)
+
+    def documents(self, texts: pa.Array):
+        for at in range(0, len(texts), 200):
+            for ids in self.encode(texts.slice(at, 200).to_pylist()):
+                yield np.array(ids, "<u4")
+
+
 class _Words:
     """The ids of the pieces of pre-tokens that a worker has met."""
 
@@ -105,12 +117,12 @@ class _Words:
             doc = last
 
 
-_cache: dict[str, _Words] = {}
+_cache: dict[str, _Words | _Whole] = {}
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        known = _cache.get(path) or _cache.setdefault(path, _Words(path))
+        known = _cache.get(path) or _cache.setdefault(path, _Words(path) if splits_at_space(path) else _Whole(path))
         end = end_id.to_bytes(4, "little")
         for b in batches:
             out: list[list] = [[], [], [], [], []]
@@ -169,22 +181,20 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     empty table gives an empty table. Extra columns are pruned.
     """
     spark = docs.sparkSession
-    pieces = materialize(
-        two_columns(docs, id_col, text_col)
-        .mapInArrow(trimmed(_pieces(tokenizer_path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    )
+    made = two_columns(docs, id_col, text_col).mapInArrow(trimmed(_pieces(tokenizer_path, capacity, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # numbered as it is written, so that rows that are equal in all else are dealt apart too
+    pieces = materialize(made.withColumn("row", F.monotonically_increasing_id()))
     sizes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     placed = spark.sparkContext.broadcast(plan(sizes, capacity))
     parts = max(1, -(-sum(sizes.values()) // RANKED))
-    order = ["doc_id", "piece", "ids_crc32"]
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     before = (
         dealt.groupBy("length", "part").count()
         .withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select(F.col("length").alias("c_length"), F.col("part").alias("c_part"), "before")
     )
     ranked = (
-        dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy(*order)) - 1)
+        dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1)
         .join(before, (F.col("length") == F.col("c_length")) & (F.col("part") == F.col("c_part")))
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
     )

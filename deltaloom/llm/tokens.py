@@ -68,6 +68,18 @@ def encoder_with_offsets(path: str):
     return _encoders[key]
 
 
+#: texts whose pieces tell whether a vocabulary joins over white space: words, digits, signs, line ends, runs of spaces, other scripts
+PROBES = ("the cat sat", "a  b", "1 2 3", "x\ny", "one,\ttwo .", "  lead", "tail ", "é ü", "日本 語", "don 't", "a\n\nb", "don't I'll", "( ) [ ]", "AB cd Ef")
+
+
+def splits_at_space(path: str) -> bool:
+    """Whether a text's pieces are those of its runs without white space, one after the other, as far as ``PROBES`` show."""
+    encode = encoder(path)
+    parts = [t.split() for t in PROBES]
+    alone = [sum(encode(p), []) for p in parts]
+    return [list(x) for x in encode(list(PROBES))] == alone
+
+
 def _vocabulary(batches):
     held: Counter = Counter()
 
@@ -142,11 +154,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
 
     A null text counts as empty (0 bytes, 0 tokens). Repeated rows and ids, and
     null ids, keep their own rows. An empty table gives an empty table. Extra
-    columns are pruned. ``tokenizer_path`` is a ``tokenizers`` .json file, or a
-    sentencepiece .model whose pieces do not cross white space differently from
-    the library's own reading of each pre-token (see ``count_tokens_whole``).
+    columns are pruned. ``tokenizer_path`` is a ``tokenizers`` .json file or a
+    sentencepiece .model; where its pieces take in white space
+    (``splits_at_space``), each text is given to the library as a whole.
     """
-    if tokenizer_path.endswith(".model"):
+    if tokenizer_path.endswith(".model") or not splits_at_space(tokenizer_path):
         return count_tokens_whole(docs, tokenizer_path, limit, id_col, text_col)
     spark = docs.sparkSession
     base = two_columns(docs, id_col, text_col)
