@@ -49,6 +49,11 @@ def test_git_sources(spark, repo):
     assert git.diff_merge_base(spark, repo, "main", "feature").count() == 7
     assert git.file_at(repo, "main", "README.md") == "# x\n" and git.file_at(repo, "main", "none") is None
     assert [(r.name, r.is_current) for r in git.branches(spark, repo).collect()] == [("feature", True), ("main", False)] and git.default_branch(repo) == "main"
+    patch = git.file_diff(d, "src/repo/user.ts")
+    assert patch.startswith("--- /dev/null\n+++ b/src/repo/user.ts\n@@ -0,0 +1,3 @@\n+export function find() {") and git.file_diff(d, "none") is None
+    assert rows["src/repo/user.ts"].hunks[0].new_lines == 3 and rows["src/repo/user.ts"].new_content.startswith("export function find")
+    assert git.current_branch(repo) == "feature" and git.workdir(repo).endswith(repo.rsplit("/", 1)[-1]) and not git.is_linked(repo)
+    assert [(r.branch, r.is_main) for r in git.worktrees(spark, repo).collect()] == [("feature", True)]
     assert git.diff_staged(spark, repo).count() == 0 and git.diff_unstaged(spark, repo).count() == 0
 
 
