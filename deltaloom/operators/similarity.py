@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+#: rows of a block, blocks as long as none exceeds LARGEST_BLOCK rows, and values of a product that are held at once
+BLOCK, BLOCKS, LARGEST_BLOCK, PRODUCT = 1024, 64, 1 << 16, 1 << 22
 
 
 def cosine(a: str, b: str):
@@ -37,7 +38,8 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     Vectors have one length. Repeated ids are compared with others and not with each other.
     """
     n = vectors.count()
-    blocks = max(1, -(-n // BLOCK))
+    # a row is copied to at most BLOCKS cells, as long as a block of that size can be held
+    blocks = max(1, -(-n // min(max(BLOCK, -(-n // BLOCKS)), LARGEST_BLOCK)))
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     # every block meets itself and each other block once
@@ -54,15 +56,20 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 return None
-            s = x[left] @ x[right].T
-            p, q = np.nonzero(s >= threshold - 1e-12)
-            a, b, s = ids[left[p]], ids[right[q]], s[p, q]
-            keep = (a < b) if i == j else (a != b)
-            a, b, s = a[keep], b[keep], s[keep]
-            if top is not None and len(s) > top:
-                order = np.lexsort((np.maximum(a, b), np.minimum(a, b), -s))[:top]
-                a, b, s = a[order], b[order], s[order]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(s)], ["a", "b", "similarity"])
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            step = max(1, PRODUCT // len(right))
+            for at in range(0, len(left), step):
+                some = left[at:at + step]
+                s = x[some] @ x[right].T
+                p, q = np.nonzero(s >= threshold - 1e-12)
+                a, b, s = ids[some[p]], ids[right[q]], s[p, q]
+                keep = (a < b) if i == j else (a != b)
+                a, b, s = a[keep], b[keep], s[keep]
+                best = tuple(np.concatenate(c) for c in zip(best, (np.minimum(a, b), np.maximum(a, b), s)))
+                if top is not None and len(best[2]) > top:
+                    order = np.lexsort((best[1], best[0], -best[2]))[:top]
+                    best = tuple(c[order] for c in best)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["a", "b", "similarity"])
 
         for batch in batches:
             if not batch.num_rows:
