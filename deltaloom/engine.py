@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import calls, paths
-from .operators import cluster, entrypoints, evaluate, graph, output, rank, reach
+from .operators import cluster, entrypoints, evaluate, graph, output, rank, reach, refine, review
 from .sources import config as conf
 from .sources.parse import parse
 from .sources.shared import materialize
@@ -169,6 +169,22 @@ class Engine:
         none = F.array().cast("array<string>")
         return facts.groupBy("diff_id").agg(F.count("*").alias("total_files"), languages.alias("languages")).join(found, "diff_id", "left").withColumn("frameworks", F.coalesce("frameworks", none))
 
+    def refine(self, tables: dict[str, DataFrame], provider) -> tuple[dict[str, DataFrame], DataFrame]:
+        """Asks a reviewer for edits of each change's groups and applies what can be applied: the new tables, and the warnings.
+
+        ``provider``: rows ``(key, prompt)`` to ``(key, response)``, see ``sources.providers``. A change without a usable answer stays as it is.
+        """
+        groups, infra = tables["groups"], tables["infrastructure"].select("diff_id", "path")
+        asked = review.refinement_request(groups, tables["files"], infra).select(F.col("diff_id").cast("string").alias("key"), F.col("request").alias("prompt"))
+        ids = groups.select("diff_id", F.col("diff_id").cast("string").alias("key")).distinct()
+        ops, _ = review.parse_refinement(materialize(provider(asked).join(ids, "key").select("diff_id", "response")))
+        entry = tables["files"].where("role = 'Entrypoint'").groupBy("diff_id", "group_id").agg(F.min_by("path", "flow_position").alias("entry_file"))
+        g = groups.join(entry, ["diff_id", "group_id"], "left").select("diff_id", "group_id", "name", "entry_file", F.col("score").alias("risk"), "review_order")
+        none = F.lit(0).cast("long")
+        files = tables["files"].select("diff_id", "group_id", "path", "flow_position", "role", "additions", "deletions").unionByName(
+            infra.select("diff_id", F.lit(refine.INFRASTRUCTURE).alias("group_id"), "path", none.alias("flow_position"), F.lit("Infrastructure").alias("role"), none.alias("additions"), none.alias("deletions")))
+        return refine.apply_lenient(g, files, tables["edges"], ops)
+
     def export_manifest(self, tables: dict[str, DataFrame]) -> DataFrame:
         """One row a group, with its ordered files."""
         files = tables["files"].select("diff_id", "group_id", "path")

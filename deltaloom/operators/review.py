@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 CRITERIA = 5
 
 
@@ -39,3 +41,40 @@ def moved_files(before: DataFrame, after: DataFrame) -> DataFrame:
 def activity_summary(entries: DataFrame) -> DataFrame:
     """Counts of a job's entries by level, with its last message."""
     return entries.groupBy("job_id").agg(F.count("*").alias("entries"), F.count_if(F.col("level") == "error").alias("errors"), F.max_by("message", "seq").alias("last_message"))
+
+
+#: the form of a reviewer's answer
+REFINEMENT = (
+    "splits array<struct<source_group_id:string,new_groups:array<struct<name:string,files:array<string>>>,reason:string>>, "
+    "merges array<struct<group_ids:array<string>,merged_name:string,reason:string>>, re_ranks array<struct<group_id:string,new_position:bigint,reason:string>>, "
+    "reclassifications array<struct<file:string,from_group_id:string,to_group_id:string,reason:string>>, reasoning string"
+)
+
+
+def parse_refinement(answers: DataFrame, response: str = "response") -> tuple[dict[str, DataFrame], DataFrame]:
+    """``answers(diff_id, response)`` -> the operations as ``refine.apply`` takes them, and ``(diff_id, response)`` of answers without a JSON object.
+
+    The object may stand in prose or in a code fence; what it lacks is empty.
+    """
+    read = answers.withColumn("r", F.from_json(text.json_in(response), REFINEMENT))
+    got = read.where("r is not null").select("diff_id", "r.*")
+    each = lambda c: got.select("diff_id", F.posexplode(c).alias("ord", "x"))
+    parts = each("splits").select("diff_id", "ord", F.col("x.source_group_id").alias("source"), F.posexplode("x.new_groups").alias("new_pos", "g"))
+    return {
+        "splits": parts.select("diff_id", "ord", "source", "new_pos", F.col("g.name").alias("new_name"), F.posexplode("g.files").alias("file_pos", "path")),
+        "merges": each("merges").select("diff_id", "ord", F.col("x.merged_name").alias("merged_name"), F.posexplode("x.group_ids").alias("pos", "group_id")).select("diff_id", "ord", "pos", "group_id", "merged_name"),
+        "ranks": each("re_ranks").select("diff_id", "ord", "x.group_id", "x.new_position"),
+        "moves": each("reclassifications").select("diff_id", "ord", F.col("x.file").alias("path"), F.col("x.from_group_id").alias("from_group"), F.col("x.to_group_id").alias("to_group")),
+    }, read.where("r is null").select("diff_id", response)
+
+
+def lint_expectations(wanted: DataFrame, changed: DataFrame, key: str = "target") -> DataFrame:
+    """``wanted(target, kind, check_id, path)`` against the files of a target -> ``(target, path, problem)``.
+
+    A path that did not change, one that should lie both in the infrastructure and not, and a check that names one file twice or alone.
+    """
+    w = wanted.select(key, "kind", "check_id", "path")
+    lost = w.select(key, "path").distinct().join(changed.select(key, "path"), [key, "path"], "left_anti").withColumn("problem", F.lit("not among the changed files"))
+    both = w.where(F.col("kind").endswith("infrastructure")).groupBy(key, "path").agg(F.count_distinct("kind").alias("n")).where("n > 1").select(key, "path", F.lit("infrastructure and not").alias("problem"))
+    pairs = w.where(F.col("kind").endswith("group")).groupBy(key, "kind", "check_id").agg(F.min("path").alias("path"), F.count("*").alias("n"), F.count_distinct("path").alias("d"))
+    return lost.unionByName(both).unionByName(pairs.where("d < n or d < 2").select(key, "path", F.lit("a check of fewer files than it names").alias("problem")).distinct())

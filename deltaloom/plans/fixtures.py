@@ -499,3 +499,15 @@ def refinement(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, di
         made(REFINE_FILES, "group_id string, path string, flow_position long, role string, additions long, deletions long"),
         made(REFINE_EDGES, "group_id string, src string, dst string, edge_type string"), ops,
     )
+
+
+#: what a reviewer may say of three changes: in a fence, bare, and not at all
+ANSWERS = [
+    ("a", 'Sure.\n```json\n{"splits": [{"source_group_id": "g1", "new_groups": [{"name": "x", "files": ["p", "q"]}, {"name": "y", "files": ["r"]}]}], "merges": [], "re_ranks": [{"group_id": "g2", "new_position": 1}]}\n```'),
+    ("b", '{"merges": [{"group_ids": ["g1", "g3"], "merged_name": "m"}], "reclassifications": [{"file": "f", "from_group_id": "g1", "to_group_id": "infrastructure", "reason": "ci"}]}'),
+    ("c", "I would leave it as it is."),
+]
+PARSED_ANSWERS = [
+    ("a", "splits", 0, "g1; 0; x; 0; p"), ("a", "splits", 0, "g1; 0; x; 1; q"), ("a", "splits", 0, "g1; 1; y; 0; r"), ("a", "ranks", 0, "g2; 1"),
+    ("b", "merges", 0, "0; g1; m"), ("b", "merges", 0, "1; g3; m"), ("b", "moves", 0, "f; g1; infrastructure"), ("c", "none", -1, "I would leave it as it is."),
+]

@@ -251,3 +251,24 @@ def corpus_balance(spark, sf):
     return evaluate.corpus_balance(table(spark, sf, "documents").select(F.col("lang").alias("language"), "source").distinct(), 21)
 
 
+
+
+@query(fixtures.values(fixtures.PARSED_ANSWERS, "diff_id VARCHAR, kind VARCHAR, ord INTEGER, said VARCHAR"))
+def parsed_answers(spark, sf):
+    ops, lost = review.parse_refinement(spark.createDataFrame(fixtures.ANSWERS, "diff_id string, response string"))
+    out = lost.select("diff_id", F.lit("none").alias("kind"), F.lit(-1).alias("ord"), F.col("response").alias("said"))
+    for kind, df in ops.items():
+        said = F.concat_ws("; ", *[F.col(c).cast("string") for c in df.columns if c not in ("diff_id", "ord")])
+        out = out.unionByName(df.select("diff_id", F.lit(kind).alias("kind"), "ord", said.alias("said")))
+    return out
+
+
+@query("""WITH w AS (SELECT n_regionkey AS target, CASE n_nationkey % 4 WHEN 0 THEN 'same_group' WHEN 1 THEN 'infrastructure' WHEN 2 THEN 'non_infrastructure' ELSE 'separate_group' END AS kind, n_nationkey // 8 AS check_id, substr(n_name, 1, 6) AS path FROM nation),
+c AS (SELECT n_regionkey AS target, substr(n_name, 1, 6) AS path FROM nation WHERE n_nationkey % 3 <> 0), p AS (SELECT target, kind, check_id, min(path) AS path, count(*) AS n, count(DISTINCT path) AS d FROM w WHERE kind LIKE '%group' GROUP BY 1, 2, 3)
+SELECT DISTINCT target, path, 'not among the changed files' AS problem FROM w WHERE (target, path) NOT IN (SELECT target, path FROM c) UNION ALL
+SELECT target, path, 'infrastructure and not' FROM w WHERE kind LIKE '%infrastructure' GROUP BY 1, 2 HAVING count(DISTINCT kind) > 1 UNION ALL SELECT DISTINCT target, path, 'a check of fewer files than it names' FROM p WHERE d < n OR d < 2""")
+def linted_expectations(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("target"), "n_nationkey", F.substring("n_name", 1, 6).alias("path"))
+    k = F.col("n_nationkey") % 4
+    kind = F.when(k == 0, "same_group").when(k == 1, "infrastructure").when(k == 2, "non_infrastructure").otherwise("separate_group")
+    return review.lint_expectations(n.select("target", kind.alias("kind"), F.floor(F.col("n_nationkey") / 8).alias("check_id"), "path"), n.where("n_nationkey % 3 <> 0").select("target", "path"))

@@ -1,5 +1,6 @@
 """A small repository from its commits to ranked groups."""
 
+import json
 import subprocess
 
 import pytest
@@ -113,3 +114,27 @@ def test_analysis_without_entry_points(spark):
     assert len(files) == 5 and files["lib/a/one.rs"] == files["lib/a/two.rs"] == files["lib/a/one_more.rs"]
     assert [r.path for r in t["infrastructure"].collect()] == ["Makefile"]
     assert Engine().analyze(changes.where("false")).collect() == []
+
+
+def test_review_of_an_analysis(spark, repo):
+    """A recorded answer splits a group; a change without an answer stays."""
+    from deltaloom.sources import providers
+
+    d = git.diff_refs(spark, repo, "main", "feature").withColumn("diff_id", F.lit(7).cast("long"))
+    engine = Engine()
+    t = engine.tables(d)
+    first = t["files"].where("group_id = 'group_1'").orderBy("flow_position").collect()
+    parts = [[first[0].path], [r.path for r in first[1:]]]
+    said = json.dumps({"splits": [{"source_group_id": t["groups"].where("group_id = 'group_1'").first()["name"], "new_groups": [{"name": f"part {i}", "files": x} for i, x in enumerate(parts)]}]})
+    out, warnings = engine.refine(t, providers.recorded(spark.createDataFrame([("7", said)], "key string, response string")))
+    got = {(r.group_id, r.path) for r in out["files"].collect() if r.group_id.startswith("group_refined")}
+    assert got == {("group_refined_1", parts[0][0]), *(("group_refined_2", p) for p in parts[1])}
+    assert [r.reason.split(" -> ")[-1] for r in warnings.collect()] == ["group_1"]
+    assert [r["name"] for r in out["groups"].orderBy("review_order").collect()][:2] == ["part 0", "part 1"]
+    asked = spark.createDataFrame([("a", "hello"), ("b", "x")], "key string, prompt string")
+    assert {r.key: r.response for r in providers.command("cat")(asked).collect()} == {"a": "hello", "b": "x"}
+    assert all(r.response is None and r.error for r in providers.command("no-such-program-here")(asked).collect())
+    with pytest.raises(ValueError):
+        providers.command("cat; rm x")
+    with pytest.raises(ValueError):
+        providers.create(providers.Settings("http"))
