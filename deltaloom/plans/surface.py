@@ -231,16 +231,6 @@ def late_tests(spark, sf):
     return cluster.late_tests(tests, impl)
 
 
-@query(fixtures.values([(p, "Python", "ast", 2, 2, 2, 1) for p in ("src/one.py", "src/two.py")], "path VARCHAR, language VARCHAR, parse_tier VARCHAR, definitions INTEGER, imports INTEGER, calls INTEGER, assignments INTEGER"))
-def parse_counts(spark, sf):
-    """The source that ``parse_facts`` repeats for each part, twice."""
-    from ..sources.parse import parse
-
-    body = "import os\nfrom app.x import load as fetch\n\nclass Part1(Base):\n    def run(self):\n        x = fetch(self.name)\n        return os.path.join(x)\n"
-    facts = parse(spark.createDataFrame([("src/one.py", body), ("src/two.py", body)], "path string, source string"))
-    return facts.select("path", "language", "parse_tier", *[F.size(c).alias(n) for n, c in (("definitions", "definitions"), ("imports", "imports"), ("calls", "call_sites"), ("assignments", "assignments"))])
-
-
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id, event_type FROM r WHERE n = 1""")
 def latest_events(spark, sf):
     return activity.latest_by_seq(table(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
