@@ -785,7 +785,7 @@ def parse_facts(spark, sf):
     from ..sources.parse import parse
 
     p = table(spark, sf, "part")
-    body = F.concat(F.lit("import os\nfrom app."), F.lower("p_brand"), F.lit(" import load as fetch\n\nclass Part"), F.col("p_partkey").cast("string"),
+    body = F.concat(F.lit("import os\nfrom app."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(" import load as fetch\n\nclass Part"), F.col("p_partkey").cast("string"),
                     F.lit("(Base):\n    def run(self):\n        x = fetch(self.name)\n        return os.path.join(x)\n"))
     facts = parse(p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("source")))
     return facts.select("path", "language", "parse_tier", F.size("definitions").alias("definitions"), F.size("imports").alias("imports"), F.size("call_sites").alias("calls"), F.size("assignments").alias("assignments"))
