@@ -434,17 +434,24 @@ def review_ordering(spark, sf):
     return evaluate.review_ordering(orders, c)
 
 
-@query()
+@query("""WITH r AS (SELECT p_partkey AS k, (p_partkey // 3) % 25 AS diff_id, 'src/routes/r' || p_partkey || '.ts' AS path FROM part WHERE p_partkey % 3 = 0),
+g AS (SELECT *, 'group_' || row_number() OVER (PARTITION BY diff_id ORDER BY path) AS group_id FROM r)
+SELECT diff_id, group_id, FALSE AS has_schema, TRUE AS has_api, FALSE AS has_auth, FALSE AS test_only, 0 AS additions, 0 AS deletions, 1 + (SELECT count(*) FROM part p WHERE p.p_partkey = k + 1) AS n_files,
+  0.25::DOUBLE AS risk, 0.5::DOUBLE AS centrality, 0.0::DOUBLE AS surface_area, 0.5::DOUBLE AS uncertainty, 0.3125::DOUBLE AS score, row_number() OVER (PARTITION BY diff_id ORDER BY group_id) AS review_order,
+  'f' || k || ' (r' || k || ') route' AS name FROM g""")
 def analyze(spark, sf):
-    """The engine from sources to ranked groups; a change for each part brand."""
+    """The engine from sources to ranked groups, 25 changes: every third part is a route that calls the next one's service; the third is a workflow."""
     from ..engine import Engine
 
-    p = table(spark, sf, "part").select(F.crc32("p_brand").alias("diff_id"), "p_partkey", "p_size")
-    k = F.col("p_partkey").cast("string")
-    path = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("src/routes/r"), k, F.lit(".ts"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("src/services/s"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("docs/d"), k, F.lit(".md")))
-    body = F.concat(F.lit("import { go } from '../services/s"), (F.col("p_partkey") + 1).cast("string"), F.lit("'\nexport function f"), k, F.lit("(a) {\n  return go(a)\n}\n"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    k, after, kind = F.col("k").cast("string"), (F.col("k") + 1).cast("string"), F.col("k") % 3
+    path = F.when(kind == 0, F.concat(F.lit("src/routes/r"), k, F.lit(".ts"))).when(kind == 1, F.concat(F.lit("src/services/s"), k, F.lit(".ts"))).otherwise(F.concat(F.lit(".github/workflows/w"), k, F.lit(".yml")))
+    route = F.concat(F.lit("import { f"), after, F.lit(" } from '../services/s"), after, F.lit("';\n\nexport function f"), k, F.lit("(a: string) {\n  return f"), after, F.lit("(a);\n}\n"))
+    service = F.concat(F.lit("export function f"), k, F.lit("(a: string) {\n  return a;\n}\n"))
+    body = F.when(kind == 0, route).when(kind == 1, service).otherwise("on: push\n")
     none = F.lit(None).cast("string")
-    changes = p.select("diff_id", none.alias("old_path"), path.alias("new_path"), none.alias("old_content"), body.alias("new_content"), F.col("p_size").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
+    changes = p.select((F.floor(F.col("k") / 3) % 25).alias("diff_id"), none.alias("old_path"), path.alias("new_path"), none.alias("old_content"), body.alias("new_content"),
+                       F.col("p_size").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
     return Engine().tables(changes)["groups"]
 
 
