@@ -116,15 +116,17 @@ def _replicate(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[r]), pa.array(h)], ["anchor", "fp", "home"])
 
 
-def _forest(homes: np.ndarray, others: np.ndarray, threshold: int):
-    """Spanning forest of the links between homes and others, as (u, v) pairs."""
+def _forest(homes: np.ndarray, others: np.ndarray, home_words: np.ndarray, other_words: np.ndarray, threshold: int):
+    """Spanning forest of the links between homes and others, as (u, v) pairs; the words are rows of fingerprints."""
     nodes, inv = np.unique(np.concatenate([homes, others]), return_inverse=True)
     h, o = inv[:len(homes)], inv[len(homes):]
     label = np.arange(len(nodes))
-    a, c = nodes[h].view(np.uint64), nodes[o].view(np.uint64)
-    step = max(1, (1 << 20) // max(1, len(c)))
-    for s in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[s:s + step, None] ^ c[None, :]) <= threshold)
+    step = max(1, (1 << 20) // max(1, len(o)))
+    for s in range(0, len(h), step):
+        differ = np.zeros((len(h[s:s + step]), len(o)), np.int16)
+        for w in range(home_words.shape[1]):
+            differ += np.bitwise_count(home_words[s:s + step, w][:, None] ^ other_words[:, w][None, :])
+        i, j = np.nonzero(differ <= threshold)
         i, j = h[s + i], o[j]
         keep = i != j
         i, j = i[keep], j[keep]
@@ -191,8 +193,11 @@ def _by_anchor(compare, finish=None):
 
 
 def _links(threshold: int):
+    """(u, v) of spanning forests; rows are ``(.., home, node, words..)``, the node of a bare fingerprint is itself."""
+
     def compare(homes, rows):
-        u, v = _forest(homes[1], rows[1], threshold)
+        words = [np.stack(x[2:] or x[1:2], axis=1).view(np.uint64) for x in (homes, rows)]
+        u, v = _forest(homes[1], rows[1], *words, threshold)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return _by_anchor(compare)
@@ -260,8 +265,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: 64-bit words of the wide fingerprint, and words of its shingles
 WIDE, WIDE_SHINGLE = 4, 5
 SIMILARITY = 0.8
-#: nearest candidates that a document has verified in the first round; in each later one GROWTH times as many
-NEAREST, GROWTH = 4, 8
+#: members of a family that one block of it holds, and blocks to which a larger family is cut as long as none exceeds LARGEST_BLOCK
+BLOCK, BLOCKS_IN_FAMILY, LARGEST_BLOCK = 1024, 16, 1 << 16
 #: deviations beyond the mean number of differing bits at the similarity that still make a candidate
 DEVIATIONS = 3.0
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -318,57 +323,16 @@ def _wide_fingerprints(batches):
 
 
 def _wide_replicate(batches):
-    """(anchor, home, node, label, words..): each word's blocks have anchors of their own."""
+    """(anchor, home, node, words..): each word's blocks have anchors of their own."""
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             c = b.slice(at, 1000)
-            node, label = (c.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            x = np.stack([c.column(2 + i).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1)
+            node = c.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([c.column(1 + i).to_numpy(zero_copy_only=False) for i in range(WIDE)], axis=1)
             for w in range(WIDE):
                 r, k, h = anchors(x[:, w])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k | (w << 24)), pa.array(h), pa.array(node[r]), pa.array(label[r]), *[pa.array(x[r, i]) for i in range(WIDE)]],
-                    ["anchor", "home", "node", "label", *_WIDE_COLUMNS])
-
-
-def _nearest_outside(threshold: int, k: int):
-    """(u, v, more): each home's ``k`` nearest candidates of other labels; ``more`` if it has yet more of them."""
-    best: list = []  # bits, nodes and the number of candidates of each home of the group so far
-
-    def compare(homes, rows):
-        node, label, x = homes[1], homes[2], np.stack(homes[3:], axis=1).view(np.uint64)
-        others, its, y = rows[1], rows[2], np.stack(rows[3:], axis=1).view(np.uint64)
-        if not best:
-            best.extend((node, {}))
-        step = max(1, (1 << 19) // max(1, len(others)))
-        for s in range(0, len(node), step):
-            differ = np.zeros((len(node[s:s + step]), len(others)), np.int16)
-            for w in range(WIDE):
-                differ += np.bitwise_count(x[s:s + step, w][:, None] ^ y[:, w][None, :])
-            i, j = np.nonzero(differ <= threshold)
-            apart = label[s + i] != its[j]
-            i, j = i[apart], j[apart]
-            if not len(i):
-                continue
-            bits = differ[i, j]
-            for h in np.unique(i).tolist():
-                mine = i == h
-                held_bits, held, n = best[1].get(s + h, (np.zeros(0, np.int16), np.zeros(0, np.int64), 0))
-                all_bits, all_nodes = np.concatenate((held_bits, bits[mine])), np.concatenate((held, others[j[mine]]))
-                top = np.lexsort((all_nodes, all_bits))[:k]
-                best[1][s + h] = (all_bits[top], all_nodes[top], n + int(mine.sum()))
-
-    def finish():
-        u, v, more = [], [], []
-        for h, (_, nodes, n) in best[1].items():
-            u.append(np.full(len(nodes), best[0][h]))
-            v.append(nodes)
-            more.append(np.full(len(nodes), n > k))
-        best.clear()
-        if u:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.array(np.concatenate(more))], ["u", "v", "more"])
-
-    return _by_anchor(compare, finish)
+                    [pa.array(k | (w << 24)), pa.array(h), pa.array(node[r]), *[pa.array(x[r, i]) for i in range(WIDE)]], ["anchor", "home", "node", *_WIDE_COLUMNS])
 
 
 def _sets(batches):
@@ -376,20 +340,76 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
 
 
-def _similar(similarity: float):
-    """(u, v) of the pairs whose sets have at least this Jaccard similarity."""
+def _verified(threshold: int, similarity: float):
+    """(u, v) of links that span the classes of a cell: two blocks ``i`` and ``j`` of a family, or one with itself.
+
+    Of pairs whose fingerprints differ in at most ``threshold`` bits, nearest
+    first, the sets are compared, unless the two are of one class already.
+    """
+
+    def cell(rows):
+        node, own = np.concatenate(rows["node"]), np.concatenate(rows["own"])
+        x = np.concatenate(rows["words"]).view(np.uint64)
+        sets = rows["set"]
+        i, j = rows["cell"][1:]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found: list = []
+        step = max(1, (1 << 20) // max(1, len(right)))
+        for s in range(0, len(left), step):
+            some = left[s:s + step]
+            differ = np.zeros((len(some), len(right)), np.int16)
+            for w in range(WIDE):
+                differ += np.bitwise_count(x[some, w][:, None] ^ x[right, w][None, :])
+            p, q = np.nonzero(differ <= threshold)
+            bits, p, q = differ[p, q], some[p], right[q]
+            keep = p < q if i == j else p != q
+            found.append((bits[keep], p[keep], q[keep]))
+        bits, p, q = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int16),) * 3
+        order = np.lexsort((q, p, bits))
+        label = list(range(len(node)))
+
+        def find(k):
+            while label[k] != k:
+                label[k] = label[label[k]]
+                k = label[k]
+            return k
+
+        u, v = [], []
+        for a, b in zip(p[order].tolist(), q[order].tolist()):
+            ra, rb = find(a), find(b)
+            if ra == rb:
+                continue
+            m, n = len(sets[a]), len(sets[b])
+            if min(m, n) >= similarity * max(m, n):
+                both = int(np.isin(sets[a], sets[b], assume_unique=True, kind="sort").sum()) if m <= n else int(np.isin(sets[b], sets[a], assume_unique=True, kind="sort").sum())
+                if both >= similarity * (m + n - both):
+                    label[max(ra, rb)] = min(ra, rb)
+                    u.append(int(node[a]))
+                    v.append(int(node[b]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
+        held: dict = {}
         for b in batches:
-            u, v = [], []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both >= similarity * (len(x) + len(y) - both):
-                        u.append(b.column(0)[i].as_py())
-                        v.append(b.column(1)[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            if not b.num_rows:
+                continue
+            fam, i, j, own, node = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            words = np.stack([b.column(5 + w).to_numpy(zero_copy_only=False) for w in range(WIDE)], axis=1)
+            sets = [np.frombuffer(t, np.uint64) for t in b.column(5 + WIDE).to_pylist()]
+            cut = np.flatnonzero((fam[1:] != fam[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            bounds = [0, *cut.tolist(), len(fam)]
+            for s, e in zip(bounds, bounds[1:]):
+                key = (int(fam[s]), int(i[s]), int(j[s]))
+                if held and held["cell"] != key:
+                    yield cell(held)
+                    held = {}
+                if not held:
+                    held = {"cell": key, "node": [], "own": [], "words": [], "set": []}
+                for c, value in (("node", node), ("own", own), ("words", words)):
+                    held[c].append(value[s:e])
+                held["set"] += sets[s:e]
+        if held:
+            yield cell(held)
 
     return run
 
@@ -399,46 +419,33 @@ def near_classes(base: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Documents with equal shingle sets are one node. Nodes meet at anchors of
     their wide fingerprints; those at most ``wide_threshold(similarity)`` bits
-    apart are candidates, and a candidate is a link if its sets' Jaccard
-    similarity reaches the limit. A round verifies each node's nearest
-    candidates among the nodes that are not yet of its class; rounds go on,
-    each with ``GROWTH`` times as many, until no node has a candidate left, so
-    every candidate is verified, or its ends are linked already, and a family
-    of near copies costs in proportion to its size and not to its pairs.
+    apart are candidates, of which an anchor returns a spanning forest. So
+    candidates fall into families. Within a family, cut into blocks that meet
+    two by two, every pair at most that many bits apart is a link if its sets'
+    Jaccard similarity reaches the limit; a cell returns links that span its
+    classes and skips pairs that are of one class already. Nothing here grows
+    with the pairs of a group but the comparisons of fingerprints.
     """
     prints = materialize(base.select("rid", "doc_id", "text").mapInArrow(trimmed(_wide_fingerprints), f"rid long, doc_id long, s1 long, s2 long, {_WIDE_ROW}"))
     nodes = materialize(prints.groupBy("s1", "s2", *_WIDE_COLUMNS).agg(F.min("rid").alias("node")))
-    now, k = nodes.select("node", F.col("node").alias("label"), *_WIDE_COLUMNS), NEAREST
-    spark = base.sparkSession
-    edges = tested = spark.createDataFrame([], "u long, v long")
-    sets = spark.createDataFrame([], "node long, set binary")
-    roots = spark.createDataFrame([], "node long, root long")
-    while True:
-        spread = now.mapInArrow(trimmed(_wide_replicate), f"anchor long, home boolean, node long, label long, {_WIDE_ROW}")
-        found = materialize(_grouped(_in_parts(spread, "node", "label", *_WIDE_COLUMNS)).mapInArrow(
-            trimmed(_nearest_outside(wide_threshold(similarity), k)), "u long, v long, more boolean"))
-        pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = materialize(pairs.join(tested, ["u", "v"], "left_anti"))
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        # written out: few ends are broadcast by their size, and then no text moves
-        ends = materialize(ends.join(sets, "node", "left_anti"))
-        sets = sets.unionByName(materialize(
-            base.join(ends, F.col("rid") == F.col("node"), "left_semi").select("rid", "text").mapInArrow(trimmed(_sets), "node long, set binary")))
-        a, b = (sets.select(F.col("node").alias(f"{x}_node"), F.col("set").alias(f"{x}_set")) for x in "ab")
-        linked = materialize(
-            pairs.join(b, F.col("v") == F.col("b_node")).select("u", "v", "b_set").join(a, F.col("u") == F.col("a_node"))
-            .select("u", "v", "a_set", "b_set").mapInArrow(trimmed(_similar(similarity)), "u long, v long"))
-        edges, tested = edges.unionByName(linked), tested.unionByName(pairs)
-        roots = components(edges)
-        if found.where("more").isEmpty():
-            break
-        met = found.select(F.col("u").alias("met")).union(found.select("v")).distinct()
-        classes = roots.select(F.col("node").alias("r_node"), "root")
-        now = materialize(
-            nodes.join(met, F.col("node") == F.col("met"), "left_semi").join(classes, F.col("node") == F.col("r_node"), "left")
-            .select("node", F.coalesce("root", "node").alias("label"), *_WIDE_COLUMNS))
-        k *= GROWTH
-    of = nodes.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("node") == F.col("r_node"), "left").select(
+    spread = nodes.select("node", *_WIDE_COLUMNS).mapInArrow(trimmed(_wide_replicate), f"anchor long, home boolean, node long, {_WIDE_ROW}")
+    limit = wide_threshold(similarity)
+    near = _grouped(_in_parts(spread, "node", *_WIDE_COLUMNS)).mapInArrow(trimmed(_links(limit)), "u long, v long")
+    families = components(near).select(F.col("node").alias("m_node"), F.col("root").alias("fam"))
+    # written out: the members' numbers are broadcast if they are few, and then no text moves
+    members = materialize(nodes.join(families, F.col("node") == F.col("m_node")).drop("m_node", "s1", "s2"))
+    sets = base.join(members.select("node"), F.col("rid") == F.col("node"), "left_semi").select("rid", "text").mapInArrow(trimmed(_sets), "s_node long, set binary")
+    n = F.col("n")
+    block = F.least(F.greatest(F.lit(BLOCK), F.ceil(n / BLOCKS_IN_FAMILY)), F.lit(LARGEST_BLOCK))
+    cut = materialize(members.groupBy(F.col("fam").alias("c_fam")).agg(F.count("*").alias("n")).select("c_fam", F.ceil(n / block).cast("int").alias("blocks")))
+    dealt = members.join(cut, F.col("fam") == F.col("c_fam")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = materialize(dealt.join(sets, F.col("node") == F.col("s_node")).select("fam", "blocks", "own", "node", *_WIDE_COLUMNS, "set"))
+    # every block meets itself and each other block once
+    cells = dealt.select("fam", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "node", *_WIDE_COLUMNS, "set").select(
+        "fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *_WIDE_COLUMNS, "set")
+    links = cells.repartition("fam", "i", "j").sortWithinPartitions("fam", "i", "j").mapInArrow(trimmed(_verified(limit, similarity)), "u long, v long")
+    roots = components(links).select(F.col("node").alias("r_node"), "root")
+    of = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select(
         F.col("s1").alias("n1"), F.col("s2").alias("n2"), F.coalesce("root", "node").alias("root"))
     return prints.join(of, (F.col("s1") == F.col("n1")) & (F.col("s2") == F.col("n2"))).select("rid", "doc_id", "root")
 

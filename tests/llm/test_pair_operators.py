@@ -481,9 +481,9 @@ def test_near_groups_catch_edited_copies(spark):
 
 
 def test_near_groups_of_a_large_family(spark, monkeypatch):
-    """Four hundred edited copies of one text meet in hot anchors and many rounds."""
+    """Four hundred edited copies of one text meet in hot anchors and in many blocks of a family."""
     monkeypatch.setattr(simhash, "HOMES_PER_PART", 16)
-    monkeypatch.setattr(simhash, "NEAREST", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 30)
     rng = random.Random(3)
     words = [f"w{rng.randrange(5000)}" for _ in range(200)]
     rows = [(i, " ".join(rng.choice(words) if rng.random() < 0.015 else w for w in words)) for i in range(400)]
