@@ -72,13 +72,15 @@ class Engine:
         placed = materialize(placed.unionByName(self._without_entries(open_.join(placed.select("unit").distinct(), "unit", "left_anti"), edges, vertices, max_hops)))
         # a group's number within its change: as the groups of a unit are numbered, or over all partitions by name
         member = placed.where("grp is not null").join(files.select("unit", "diff_id", "large", "path", "file"), ["unit", "path"])
-        heads = member.groupBy("diff_id", "unit", "large", "grp", "name").agg(F.min_by("path", F.struct("late", "distance", "path")).alias("first"), F.first("entry_file").alias("entry_file"))
+        heads = member.groupBy("diff_id", "unit", "large", "grp", "name").agg(F.min_by("path", F.struct("late", "distance", "path")).alias("first"),
+            F.first("entry_file").alias("entry_file"))
         number = F.row_number().over(Window.partitionBy("diff_id").orderBy(F.when(F.col("large"), F.col("name")), F.when(F.col("large"), F.col("first")), "unit", "grp"))
         heads = materialize(heads.withColumn("group_id", F.concat(F.lit("group_"), number.cast("string"))))
         order = Window.partitionBy("unit", "grp").orderBy("late", "distance", "path")
         member = member.drop("name", "entry_file").withColumn("flow_position", (F.row_number().over(order) - 1).cast("long"))
         member = member.join(heads.select("unit", "grp", "group_id", "name", "entry_file"), ["unit", "grp"])
-        role = F.when(F.col("path") == F.col("entry_file"), "Entrypoint").when(F.col("kind") == "rescued", "Infrastructure").when(F.col("kind") == "test", "Test").otherwise(paths.role("path"))
+        role = F.when(F.col("path") == F.col("entry_file"), "Entrypoint").when(F.col("kind") == "rescued",
+            "Infrastructure").when(F.col("kind") == "test", "Test").otherwise(paths.role("path"))
         stats = facts.select("file", "additions", "deletions")
         grouped = materialize(member.join(stats, "file").select("diff_id", "group_id", "path", "file", "flow_position", role.alias("role"), "additions", "deletions"))
         # lines are counted into the files after ranking, so that the score knows a group's paths alone
@@ -92,9 +94,11 @@ class Engine:
         own = lambda c: F.substr(c, F.instr(c, "/") + 1)
         inner = inner.where("group_id = g2 and diff_id = d2").select("diff_id", "group_id", own("src").alias("src"), own("dst").alias("dst"), "edge_type")
         left = files.where("infra").select("diff_id", "path").unionByName(placed.where("grp is null").join(files, ["unit", "path"]).select("diff_id", "path"))
-        near = of_files.join(keyed.select("diff_id", F.col("file").alias("src_file"), F.col("path").alias("a")), "src_file").join(keyed.select(F.col("file").alias("dst_file"), F.col("path").alias("b")), "dst_file")
+        near = of_files.join(keyed.select("diff_id", F.col("file").alias("src_file"), F.col("path").alias("a")),
+            "src_file").join(keyed.select(F.col("file").alias("dst_file"), F.col("path").alias("b")), "dst_file")
         infra = cluster.infra_groups(left, near.select("diff_id", F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-        return {"facts": facts, "entrypoints": entries, "files": grouped.drop("file"), "groups": groups, "edges": inner, "infrastructure": infra, "summary": self._summary(facts)}
+        return {"facts": facts, "entrypoints": entries, "files": grouped.drop("file"), "groups": groups, "edges": inner, "infrastructure": infra,
+            "summary": self._summary(facts)}
 
     def _reach(self, starts: DataFrame, edges: DataFrame, vertices: DataFrame, max_hops: int | None) -> DataFrame:
         """``starts(entry, node)`` -> least ``(entry, file, distance)`` of the files whose vertices are reached."""
@@ -114,10 +118,12 @@ class Engine:
         met = met.unionByName(own.select("unit", "path", F.lit(0).cast("long").alias("distance"), "nth"))
         near = met.groupBy("unit", "path").agg(F.min(F.struct("distance", "nth")).alias("b")).select("unit", "path", "b.*")
         near = materialize(near)
-        moved = cluster.move_tests(near.select(F.col("unit").alias("diff_id"), F.col("nth").alias("group_id"), "path")).select(F.col("diff_id").alias("unit"), "path", F.col("group_id").alias("nth"))
+        moved = cluster.move_tests(near.select(F.col("unit").alias("diff_id"), F.col("nth").alias("group_id"),
+            "path")).select(F.col("diff_id").alias("unit"), "path", F.col("group_id").alias("nth"))
         used = moved.select("unit", "nth").distinct().withColumn("grp", F.row_number().over(Window.partitionBy("unit").orderBy("nth")).cast("long"))
         reached = materialize(near.select("unit", "path", "distance").join(moved, ["unit", "path"]).join(used, ["unit", "nth"]).select("unit", "path", "grp", "distance"))
-        names = own.join(used, ["unit", "nth"]).select("unit", "grp", F.col("path").alias("entry_file"), paths.group_name("path", "symbol", "entrypoint_type").alias("name"))
+        names = own.join(used, ["unit", "nth"]).select("unit", "grp", F.col("path").alias("entry_file"),
+            paths.group_name("path", "symbol", "entrypoint_type").alias("name"))
         rest = files.select("unit", "path").join(own.select("unit").distinct(), "unit", "left_semi").join(reached, ["unit", "path"], "left_anti")
         groups = reached.select(F.col("unit").alias("diff_id"), F.col("grp").alias("group_id"), "path")
         saved = materialize(cluster.rescue(rest.select(F.col("unit").alias("diff_id"), "path"), groups))
@@ -132,7 +138,8 @@ class Engine:
         joined = joined.select(F.col("diff_id").alias("unit"), F.col("group_id").alias("to_grp"), "path")
         out = members.join(joined, ["unit", "path"], "left")
         # what comes from a merged group stands behind the files of the group that stays
-        out = out.withColumn("late", F.when(F.col("grp") == F.col("to_grp"), F.col("late")).otherwise(F.col("late") + 10 * F.col("grp"))).withColumn("grp", F.coalesce("to_grp", "grp"))
+        out = out.withColumn("late", F.when(F.col("grp") == F.col("to_grp"),
+            F.col("late")).otherwise(F.col("late") + 10 * F.col("grp"))).withColumn("grp", F.coalesce("to_grp", "grp"))
         return out.join(names, ["unit", "grp"], "left").select("unit", "path", "grp", "name", "entry_file", "distance", F.col("late").cast("long").alias("late"), "kind")
 
     def _without_entries(self, files: DataFrame, edges: DataFrame, vertices: DataFrame, max_hops: int | None) -> DataFrame:
@@ -143,7 +150,8 @@ class Engine:
         source = f.where("source")
         none = F.lit(None).cast("string")
         columns = [F.lit(0).cast("long").alias("distance"), F.lit(0).cast("long").alias("late")]
-        infra = f.where("not source").select("unit", "path", F.lit(None).cast("long").alias("grp"), none.alias("name"), none.alias("entry_file"), *columns, F.lit("reached").alias("kind"))
+        infra = f.where("not source").select("unit", "path", F.lit(None).cast("long").alias("grp"), none.alias("name"), none.alias("entry_file"),
+            *columns, F.lit("reached").alias("kind"))
         if source.isEmpty():
             return infra
         near = self._reach(source.select(F.col("file").alias("entry"), F.col("file").alias("node")), edges, vertices, max_hops)
@@ -154,11 +162,13 @@ class Engine:
         by_dir = cluster.directory_groups(alone)
         by_dir = by_dir.withColumn("grp", F.dense_rank().over(Window.partitionBy("diff_id").orderBy("name")).cast("long")).withColumn("has_entry", F.lit(False))
         by_dir = cluster.consolidate(by_dir.select("diff_id", "grp", "name", "has_entry", "path"))
-        both = linked.select("diff_id", F.concat(F.lit("c"), "component").alias("g"), "name", "path").unionByName(by_dir.select("diff_id", F.concat(F.lit("d"), F.col("grp").cast("string")).alias("g"), "name", "path"))
+        both = linked.select("diff_id", F.concat(F.lit("c"), "component").alias("g"), "name",
+            "path").unionByName(by_dir.select("diff_id", F.concat(F.lit("d"), F.col("grp").cast("string")).alias("g"), "name", "path"))
         first = both.groupBy("diff_id", "g", "name").agg(F.min("path").alias("first"))
         ranked = first.withColumn("grp", F.row_number().over(Window.partitionBy("diff_id").orderBy("first", "name")).cast("long"))
         grouped = both.join(ranked.select("diff_id", "g", "grp"), ["diff_id", "g"])
-        return infra.unionByName(grouped.select(F.col("diff_id").alias("unit"), "path", "grp", "name", none.alias("entry_file"), *columns, F.lit("reached").alias("kind")))
+        return infra.unionByName(grouped.select(F.col("diff_id").alias("unit"), "path", "grp", "name", none.alias("entry_file"), *columns,
+            F.lit("reached").alias("kind")))
 
     def _summary(self, facts: DataFrame) -> DataFrame:
         """``(diff_id, total_files, languages, frameworks)``."""
@@ -167,7 +177,8 @@ class Engine:
         found = found.groupBy(F.col("target").alias("diff_id")).agg(F.array_sort(F.collect_set("name")).alias("frameworks"))
         languages = F.array_sort(F.collect_set(F.when(F.col("language") != "Unknown", F.lower("language"))))
         none = F.array().cast("array<string>")
-        return facts.groupBy("diff_id").agg(F.count("*").alias("total_files"), languages.alias("languages")).join(found, "diff_id", "left").withColumn("frameworks", F.coalesce("frameworks", none))
+        return facts.groupBy("diff_id").agg(F.count("*").alias("total_files"), languages.alias("languages")).join(found, "diff_id",
+            "left").withColumn("frameworks", F.coalesce("frameworks", none))
 
     def refine(self, tables: dict[str, DataFrame], provider) -> tuple[dict[str, DataFrame], DataFrame]:
         """Asks a reviewer for edits of each change's groups and applies what can be applied: the new tables, and the warnings.
@@ -182,7 +193,8 @@ class Engine:
         g = groups.join(entry, ["diff_id", "group_id"], "left").select("diff_id", "group_id", "name", "entry_file", F.col("score").alias("risk"), "review_order")
         none = F.lit(0).cast("long")
         files = tables["files"].select("diff_id", "group_id", "path", "flow_position", "role", "additions", "deletions").unionByName(
-            infra.select("diff_id", F.lit(refine.INFRASTRUCTURE).alias("group_id"), "path", none.alias("flow_position"), F.lit("Infrastructure").alias("role"), none.alias("additions"), none.alias("deletions")))
+            infra.select("diff_id", F.lit(refine.INFRASTRUCTURE).alias("group_id"), "path", none.alias("flow_position"),
+                F.lit("Infrastructure").alias("role"), none.alias("additions"), none.alias("deletions")))
         return refine.apply_lenient(g, files, tables["edges"], ops)
 
     def export_manifest(self, tables: dict[str, DataFrame]) -> DataFrame:

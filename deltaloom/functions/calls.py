@@ -11,41 +11,53 @@ from .paths import _c
 
 # --- fixed values -----------------------------------------------------------------
 LOG_CALLS = (
-    "console.log", "console.error", "console.warn", "console.info", "console.debug", "console.trace", "logger.info", "logger.error", "logger.warn", "logger.debug", "logger.trace", "logger.fatal",
+    "console.log", "console.error", "console.warn", "console.info", "console.debug", "console.trace", "logger.info", "logger.error", "logger.warn",
+        "logger.debug", "logger.trace", "logger.fatal",
     "logging.info", "logging.error", "logging.warning", "logging.debug", "logging.critical", "log.info", "log.error", "log.warn", "log.debug",
 )
 CONFIG_ANY_SUFFIX = ("process.env", "os.environ")
 CONFIG_CALLS = ("process.env", "os.environ", "os.getenv", "config.get", "config.set", "dotenv", "Deno.env")
 HTTP_CALLS = (
-    "fetch", "axios.get", "axios.post", "axios.put", "axios.delete", "axios.patch", "axios.request", "requests.get", "requests.post", "requests.put", "requests.delete", "requests.patch",
+    "fetch", "axios.get", "axios.post", "axios.put", "axios.delete", "axios.patch", "axios.request", "requests.get", "requests.post", "requests.put",
+        "requests.delete", "requests.patch",
     "http.get", "http.post", "http.request", "urllib.request", "httpx.get", "httpx.post",
 )
 COLLECTION_METHODS = (
-    "push", "pop", "shift", "unshift", "splice", "slice", "concat", "join", "reverse", "sort", "fill", "copyWithin", "flat", "flatMap", "map", "filter", "reduce", "forEach", "some", "every",
-    "includes", "indexOf", "find", "findIndex", "append", "extend", "clear", "copy", "items", "len", "keys", "values", "entries", "toString", "toLocaleString", "has", "add",
-    "parse", "stringify", "assign", "from", "resolve", "reject", "now", "round", "floor", "ceil", "abs", "min", "max", "charAt", "charCodeAt", "trim", "split", "replace", "match",
+    "push", "pop", "shift", "unshift", "splice", "slice", "concat", "join", "reverse", "sort", "fill", "copyWithin", "flat", "flatMap", "map",
+        "filter", "reduce", "forEach", "some", "every",
+    "includes", "indexOf", "find", "findIndex", "append", "extend", "clear", "copy", "items", "len", "keys", "values", "entries", "toString",
+        "toLocaleString", "has", "add",
+    "parse", "stringify", "assign", "from", "resolve", "reject", "now", "round", "floor", "ceil", "abs", "min", "max", "charAt", "charCodeAt", "trim",
+        "split", "replace", "match",
     "startsWith", "endsWith", "padStart", "padEnd", "repeat", "toLowerCase", "toUpperCase",
 )
 PLAIN_CALLS = (
-    "JSON.parse", "JSON.stringify", "Object.create", "Object.assign", "Array.from", "Promise.resolve", "Promise.reject", "Date.now", "Math.round", "Math.floor", "Math.ceil", "Math.abs", "Math.min", "Math.max",
+    "JSON.parse", "JSON.stringify", "Object.create", "Object.assign", "Array.from", "Promise.resolve", "Promise.reject", "Date.now", "Math.round",
+        "Math.floor", "Math.ceil", "Math.abs", "Math.min", "Math.max",
 )
 EMIT_METHODS = ("emit", "publish", "send", "dispatch", "fire", "trigger", "broadcast", "notify", "produce", "enqueue")
 HANDLE_METHODS = ("on", "subscribe", "listen", "addEventListener", "addListener", "handle", "consume", "onMessage", "onEvent")
 WRITE_METHODS = (
-    "save", "insert", "create", "update", "delete", "remove", "upsert", "bulkCreate", "bulkInsert", "insertMany", "updateMany", "deleteMany", "findAndUpdate", "findOneAndUpdate",
+    "save", "insert", "create", "update", "delete", "remove", "upsert", "bulkCreate", "bulkInsert", "insertMany", "updateMany", "deleteMany",
+        "findAndUpdate", "findOneAndUpdate",
     "findOneAndDelete", "findOneAndRemove", "persist", "flush", "execute", "run",
 )
-READ_METHODS = ("find", "findOne", "findById", "findAll", "findMany", "findFirst", "findUnique", "query", "select", "get", "fetch", "count", "aggregate", "groupBy", "where")
+READ_METHODS = ("find", "findOne", "findById", "findAll", "findMany", "findFirst", "findUnique", "query", "select", "get", "fetch", "count",
+    "aggregate", "groupBy", "where")
 SQL_WRITES = ("insert into", "update ", "delete from", "drop table", "alter table", "create table", "truncate")
 SQL_READS = ("select ", "select\n")
 PLAIN_RECEIVERS = (
-    "array", "map", "set", "object", "string", "number", "promise", "json", "math", "date", "regexp", "cache", "localstorage", "sessionstorage", "window", "document", "navigator", "console",
-    "process", "os", "path", "fs", "http", "https", "url", "buffer", "stream", "crypto", "util", "events", "child_process", "cluster", "net", "tls", "dns", "axios", "requests", "fetch", "httpx",
-    "urllib", "list", "dict", "tuple", "frozenset", "deque", "defaultdict", "items", "result", "results", "data", "response", "request", "config", "env", "settings", "options", "args", "params",
+    "array", "map", "set", "object", "string", "number", "promise", "json", "math", "date", "regexp", "cache", "localstorage", "sessionstorage",
+        "window", "document", "navigator", "console",
+    "process", "os", "path", "fs", "http", "https", "url", "buffer", "stream", "crypto", "util", "events", "child_process", "cluster", "net", "tls",
+        "dns", "axios", "requests", "fetch", "httpx",
+    "urllib", "list", "dict", "tuple", "frozenset", "deque", "defaultdict", "items", "result", "results", "data", "response", "request", "config",
+        "env", "settings", "options", "args", "params",
     "logger", "log", "logging",
 )
 STORE_WORDS = (
-    "db", "database", "repo", "repository", "model", "store", "dao", "collection", "prisma", "sequelize", "typeorm", "mongoose", "drizzle", "session", "connection", "pool", "client", "table",
+    "db", "database", "repo", "repository", "model", "store", "dao", "collection", "prisma", "sequelize", "typeorm", "mongoose", "drizzle", "session",
+        "connection", "pool", "client", "table",
     "entity", "schema", "migration", "knex", "query", "sql",
 )
 #: pattern -> edge type; logging gives no edge
@@ -117,25 +129,39 @@ def frameworks(imports, dictionary):
 
 # fixed values: frameworks and the import sources that show them. An analysis may be given a longer table instead.
 _FRAMEWORKS = {
-    "Express": ("express",), "Fastify": ("fastify",), "Next.js": ("next",), "React": ("react", "react-dom"), "Vue": ("vue",), "Angular": ("@angular/core",), "Svelte": ("svelte",),
-    "NestJS": ("@nestjs/common", "@nestjs/core"), "Hono": ("hono",), "Koa": ("koa",), "Effect.ts": ("@effect", "effect"), "Prisma": ("prisma", "@prisma/client"), "TypeORM": ("typeorm",),
+    "Express": ("express",), "Fastify": ("fastify",), "Next.js": ("next",), "React": ("react", "react-dom"), "Vue": ("vue",),
+        "Angular": ("@angular/core",), "Svelte": ("svelte",),
+    "NestJS": ("@nestjs/common", "@nestjs/core"), "Hono": ("hono",), "Koa": ("koa",), "Effect.ts": ("@effect", "effect"),
+        "Prisma": ("prisma", "@prisma/client"), "TypeORM": ("typeorm",),
     "Sequelize": ("sequelize",), "Mongoose": ("mongoose",), "Drizzle": ("drizzle-orm",), "tRPC": ("@trpc/server", "@trpc/client"), "GraphQL": ("graphql",),
-    "Apollo": ("@apollo/server", "@apollo/client"), "Tailwind CSS": ("tailwindcss",), "Redux": ("redux", "@reduxjs/toolkit"), "Zustand": ("zustand",), "Zod": ("zod",), "Vitest": ("vitest",), "Jest": ("jest",),
-    "FastAPI": ("fastapi",), "Flask": ("flask",), "Django": ("django",), "SQLAlchemy": ("sqlalchemy",), "Pydantic": ("pydantic",), "Celery": ("celery",), "pytest": ("pytest",), "Alembic": ("alembic",),
+    "Apollo": ("@apollo/server", "@apollo/client"), "Tailwind CSS": ("tailwindcss",), "Redux": ("redux", "@reduxjs/toolkit"), "Zustand": ("zustand",),
+        "Zod": ("zod",), "Vitest": ("vitest",), "Jest": ("jest",),
+    "FastAPI": ("fastapi",), "Flask": ("flask",), "Django": ("django",), "SQLAlchemy": ("sqlalchemy",), "Pydantic": ("pydantic",),
+        "Celery": ("celery",), "pytest": ("pytest",), "Alembic": ("alembic",),
     "Tortoise ORM": ("tortoise",), "Starlette": ("starlette",), "aiohttp": ("aiohttp",), "httpx": ("httpx",), "Uvicorn": ("uvicorn",),
-    "Go net/http": ("net/http",), "Gin": ("github.com/gin-gonic/gin",), "Echo": ("github.com/labstack/echo",), "Chi": ("github.com/go-chi/chi",), "Fiber": ("github.com/gofiber/fiber",),
-    "Gorilla Mux": ("github.com/gorilla/mux",), "gRPC": ("google.golang.org/grpc",), "Cobra": ("github.com/spf13/cobra",), "Viper": ("github.com/spf13/viper",), "GORM": ("gorm.io/gorm",),
+    "Go net/http": ("net/http",), "Gin": ("github.com/gin-gonic/gin",), "Echo": ("github.com/labstack/echo",), "Chi": ("github.com/go-chi/chi",),
+        "Fiber": ("github.com/gofiber/fiber",),
+    "Gorilla Mux": ("github.com/gorilla/mux",), "gRPC": ("google.golang.org/grpc",), "Cobra": ("github.com/spf13/cobra",),
+        "Viper": ("github.com/spf13/viper",), "GORM": ("gorm.io/gorm",),
     "Go database/sql": ("database/sql",), "Testify": ("github.com/stretchr/testify",),
-    "Actix-web": ("actix_web", "actix-web"), "Axum": ("axum",), "Rocket": ("rocket",), "Warp": ("warp",), "Hyper": ("hyper",), "Tokio": ("tokio",), "Diesel": ("diesel",), "SQLx": ("sqlx",),
+    "Actix-web": ("actix_web", "actix-web"), "Axum": ("axum",), "Rocket": ("rocket",), "Warp": ("warp",), "Hyper": ("hyper",), "Tokio": ("tokio",),
+        "Diesel": ("diesel",), "SQLx": ("sqlx",),
     "SeaORM": ("sea_orm", "sea-orm"), "Clap": ("clap",), "Tauri": ("tauri",), "Serde": ("serde",), "Tower": ("tower",), "Tonic": ("tonic",), "Tracing": ("tracing",),
-    "Spring Boot": ("org.springframework.boot", "org.springframework.stereotype", "org.springframework.beans", "org.springframework.context"), "Spring MVC": ("org.springframework.web",),
-    "Spring Data": ("org.springframework.data",), "Spring Security": ("org.springframework.security",), "JPA": ("jakarta.persistence", "javax.persistence"), "JAX-RS": ("jakarta.ws.rs", "javax.ws.rs"),
-    "Servlet": ("jakarta.servlet", "javax.servlet"), "Hibernate": ("org.hibernate",), "JUnit": ("org.junit",), "Mockito": ("org.mockito",), "Micronaut": ("io.micronaut",), "Quarkus": ("io.quarkus",),
-    "ASP.NET Core": ("Microsoft.AspNetCore",), "ASP.NET Core MVC": ("Microsoft.AspNetCore.Mvc",), "Entity Framework Core": ("Microsoft.EntityFrameworkCore",), "xUnit": ("Xunit",), "MediatR": ("MediatR",), "Dapper": ("Dapper",),
+    "Spring Boot": ("org.springframework.boot", "org.springframework.stereotype", "org.springframework.beans", "org.springframework.context"),
+        "Spring MVC": ("org.springframework.web",),
+    "Spring Data": ("org.springframework.data",), "Spring Security": ("org.springframework.security",),
+        "JPA": ("jakarta.persistence", "javax.persistence"), "JAX-RS": ("jakarta.ws.rs", "javax.ws.rs"),
+    "Servlet": ("jakarta.servlet", "javax.servlet"), "Hibernate": ("org.hibernate",), "JUnit": ("org.junit",), "Mockito": ("org.mockito",),
+        "Micronaut": ("io.micronaut",), "Quarkus": ("io.quarkus",),
+    "ASP.NET Core": ("Microsoft.AspNetCore",), "ASP.NET Core MVC": ("Microsoft.AspNetCore.Mvc",),
+        "Entity Framework Core": ("Microsoft.EntityFrameworkCore",), "xUnit": ("Xunit",), "MediatR": ("MediatR",), "Dapper": ("Dapper",),
     "Laravel": ("Illuminate", "Laravel"), "Symfony": ("Symfony",), "Doctrine ORM": ("Doctrine\\ORM",), "Guzzle": ("GuzzleHttp",), "PHPUnit": ("PHPUnit",),
-    "Rails": ("rails", "action_controller", "active_support", "action_view", "action_mailer"), "Rails ActiveRecord": ("active_record",), "Sinatra": ("sinatra",), "Rack": ("rack",), "Grape": ("grape",),
+    "Rails": ("rails", "action_controller", "active_support", "action_view", "action_mailer"), "Rails ActiveRecord": ("active_record",),
+        "Sinatra": ("sinatra",), "Rack": ("rack",), "Grape": ("grape",),
     "Hanami": ("hanami",), "RSpec": ("rspec",), "Sidekiq": ("sidekiq",), "Roda": ("roda",),
-    "Ktor": ("io.ktor",), "Exposed": ("org.jetbrains.exposed",), "Kotlin Coroutines": ("kotlinx.coroutines",), "Vapor": ("Vapor",), "SwiftUI": ("SwiftUI",), "UIKit": ("UIKit",), "XCTest": ("XCTest",),
-    "Play Framework": ("play.api.mvc", "play.mvc"), "Akka": ("akka.actor",), "Akka HTTP": ("akka.http",), "ScalaTest": ("org.scalatest",), "http4s": ("org.http4s",), "Cats": ("cats",), "ZIO": ("zio",),
+    "Ktor": ("io.ktor",), "Exposed": ("org.jetbrains.exposed",), "Kotlin Coroutines": ("kotlinx.coroutines",), "Vapor": ("Vapor",),
+        "SwiftUI": ("SwiftUI",), "UIKit": ("UIKit",), "XCTest": ("XCTest",),
+    "Play Framework": ("play.api.mvc", "play.mvc"), "Akka": ("akka.actor",), "Akka HTTP": ("akka.http",), "ScalaTest": ("org.scalatest",),
+        "http4s": ("org.http4s",), "Cats": ("cats",), "ZIO": ("zio",),
 }
 FRAMEWORKS = [(pattern, name) for name, patterns in _FRAMEWORKS.items() for pattern in patterns]

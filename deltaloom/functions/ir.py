@@ -53,4 +53,5 @@ def from_ir(ir: DataFrame) -> DataFrame:
     """The inverse of ``to_ir``: definitions in the order of their lines, of one line functions before types before constants."""
     whole = F.concat("functions", "types", "constants")
     placed = F.transform(whole, lambda d, i: F.struct(d["start_line"].alias("at"), i.alias("i"), d.alias("d")))
-    return ir.select("path", "language", F.transform(F.array_sort(placed), lambda x: x["d"]).alias("definitions"), "imports", "exports", "call_sites", "assignments", "bases")
+    return ir.select("path", "language", F.transform(F.array_sort(placed), lambda x: x["d"]).alias("definitions"), "imports", "exports", "call_sites",
+        "assignments", "bases")

@@ -31,7 +31,8 @@ TRUE_INFRA = {
     "name_has": (".helmrelease.",),
     "name": (
         ".dockerignore", ".gitlab-ci.yml", "jenkinsfile", ".travis.yml", "azure-pipelines.yml", "bitbucket-pipelines.yml",
-        "package.json", "cargo.toml", "go.mod", "go.sum", "requirements.txt", "pipfile", "pyproject.toml", "gemfile", "pom.xml", "package.swift", "build.sbt", "composer.json",
+        "package.json", "cargo.toml", "go.mod", "go.sum", "requirements.txt", "pipfile", "pyproject.toml", "gemfile", "pom.xml", "package.swift",
+            "build.sbt", "composer.json",
         "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock", "gemfile.lock", "poetry.lock", "composer.lock",
         "makefile", "cmakelists.txt", "build.rs", ".mcp.json", ".tool-versions", ".nvmrc", ".node-version", ".python-version", ".ruby-version",
         ".gitignore", ".gitattributes", ".gitmodules", "codeowners",
@@ -60,13 +61,15 @@ CONFIG_LIKE = {
         "settings.py", "celeryconf.py", "urls.py", "wsgi.py", "asgi.py", "conftest.py", "manage.py", "setup.py", "setup.cfg",
         "rector.php", "phpstan.neon", "phpunit.xml", "phpunit.xml.dist",
         "version.go", "version.ts", "version.js", "version.py", "version.rb", "__version__.py", "version_current.go",
-        "config.ts", "config.js", "config.mjs", "config.py", "config.go", "config.rs", "config.rb", "config.php", "config.java", "config.kt", "config.cs", "config.swift", "config.scala",
+        "config.ts", "config.js", "config.mjs", "config.py", "config.go", "config.rs", "config.rb", "config.php", "config.java", "config.kt",
+            "config.cs", "config.swift", "config.scala",
         "settings.ts", "settings.js", "seed.ts", "seed.js", "biome.json", "build.ts", "build.js", "build.mjs",
     ),
     "name_at": ("zz_generated",), "name_has": (".config.",), "name_end": (".proto", ".pb.go"),
     "has": ("/swagger/", "/openapi/", "/migrations/"), "dir": ("pkg/brew/", "vendor/", "third_party/"), "at": ("scripts/", "node_modules/"),
 }
-ROOT_DOCS = ("readme.md", "changelog.md", "changelog.rst", "contributing.md", "license.md", "security.md", "authors.md", "code_of_conduct.md", "changes.rst", "history.md", "releases.md")
+ROOT_DOCS = ("readme.md", "changelog.md", "changelog.rst", "contributing.md", "license.md", "security.md", "authors.md", "code_of_conduct.md",
+    "changes.rst", "history.md", "releases.md")
 ANY_DEPTH_DOCS = ("readme.md", "changelog.md", "changelog.rst")
 API_DOCS = ("docs/api.md", "docs/api.mdx", "docs/api.rst", "docs/api.txt")
 LANDING_SECTIONS = ("docs/user/", "docs/community/")
@@ -92,7 +95,8 @@ GENERIC_TOPICS = (
 WORKSPACE_ROOTS = ("apps", "packages", "services", "workers", "libs", "modules", "crates")
 CONTAINERS = ("services", "workers", "libs", "modules", "packages", "features", "domains", "core", "shared", "ui")
 FALLBACK_DOCS = {"dir": ("documentation/docs/", "www/docs/", "content/docs/", "site/content/"), "at": ("docs/tutorial/", "docs/advanced/")}
-CODE_DOCS = {"has": ("/src/docs/", "/resources/mdtest/"), "dir": ("docs_src/",), "at": ("docs/tutorial/", "docs/advanced/", "docs/how-to/", "docs/guide/", "docs/guides/", "docs/reference/")}
+CODE_DOCS = {"has": ("/src/docs/", "/resources/mdtest/"), "dir": ("docs_src/",),
+    "at": ("docs/tutorial/", "docs/advanced/", "docs/how-to/", "docs/guide/", "docs/guides/", "docs/reference/")}
 LOCALIZED_DOCS = r"^docs/[a-z-]{2,8}/docs/"
 PARTITION_NAMES = {
     "Infrastructure": "infrastructure", "Schema": "schema", "Script": "script", "Migration": "migration", "Deployment": "deployment",
@@ -189,7 +193,8 @@ def is_config_like(path) -> Column:
 
 def is_top_level_doc(path) -> Column:
     low = F.lower(_c(path))
-    landing = _any(F.startswith(low, F.lit(s)) & (F.size(F.split(low, "/")) == s.count("/") + 1) & F.substring_index(low, ".", -1).isin(*DOC_EXTENSIONS) for s in LANDING_SECTIONS)
+    landing = _any(F.startswith(low, F.lit(s)) & (F.size(F.split(low, "/")) == s.count("/") + 1) & F.substring_index(low, ".",
+        -1).isin(*DOC_EXTENSIONS) for s in LANDING_SECTIONS)
     root = ~F.contains(low, F.lit("/")) & low.isin(*ROOT_DOCS)
     return low.isin(*API_DOCS) | landing | root | file_name(low).isin(*ANY_DEPTH_DOCS)
 
@@ -288,7 +293,8 @@ def normalize(path) -> Column:
     """Folds '.', '' and '..' segments; '..' above the root is dropped."""
     empty = F.array().cast("array<string>")
     folded = F.aggregate(F.split(_c(path), "/"), empty, lambda acc, s: (
-        F.when(s.isin(".", ""), acc).when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).otherwise(F.concat(acc, F.array(s)))))
+        F.when(s.isin(".", ""), acc).when(s == "..",
+            F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).otherwise(F.concat(acc, F.array(s)))))
     return F.array_join(folded, "/")
 
 
@@ -319,7 +325,8 @@ def group_name(file, symbol, kind) -> Column:
 
 
 # fixed values: extensions of sources within fixture trees, and what counts as source elsewhere besides
-FIXTURE_SOURCES = ("go", "rs", "ts", "tsx", "js", "jsx", "py", "java", "kt", "rb", "php", "cs", "swift", "scala", "vue", "svelte", "astro", "c", "h", "cc", "cpp", "cxx", "hh", "hpp")
+FIXTURE_SOURCES = ("go", "rs", "ts", "tsx", "js", "jsx", "py", "java", "kt", "rb", "php", "cs", "swift", "scala", "vue", "svelte", "astro", "c", "h",
+    "cc", "cpp", "cxx", "hh", "hpp")
 SOURCES = tuple(e for e in FIXTURE_SOURCES if e != "astro") + ("tmpl", "html", "css", "scss", "md", "mdx", "rst")
 FIXTURE_PROJECT_FILES = (".gitignore", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "turbo.json")
 

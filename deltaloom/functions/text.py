@@ -69,7 +69,8 @@ def line_diff(old, new) -> dict[str, Column]:
     """
     a, b = _lines(_c(old)), _lines(_c(new))
     fresh, gone = F.array_except(b, a), F.array_except(a, b)
-    added = F.when(F.size(fresh) == 0, F.array().cast("array<string>")).when(F.size(F.array_intersect(a, b)) == 0, b).otherwise(F.filter(b, lambda x: F.array_contains(fresh, x)))
+    added = F.when(F.size(fresh) == 0, F.array().cast("array<string>")).when(F.size(F.array_intersect(a, b)) == 0,
+        b).otherwise(F.filter(b, lambda x: F.array_contains(fresh, x)))
     removed = F.when(F.size(gone) == 0, 0).when(F.size(F.array_intersect(a, b)) == 0, F.size(a)).otherwise(F.size(F.filter(a, lambda x: F.array_contains(gone, x))))
     return {"added": added, "removed": removed.cast("long")}
 

@@ -17,7 +17,8 @@ MERGED_AT_ONCE = 12
 
 def assign(reach: DataFrame) -> DataFrame:
     """``reach(diff_id, entry, path, distance)`` -> each file at its nearest entry point, the first of equals."""
-    return reach.groupBy("diff_id", "path").agg(F.min(F.struct("distance", "entry")).alias("b")).select("diff_id", "path", F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
+    return reach.groupBy("diff_id", "path").agg(F.min(F.struct("distance", "entry")).alias("b")).select("diff_id", "path",
+        F.col("b.entry").alias("entry"), F.col("b.distance").alias("distance"))
 
 
 def positions(assigned: DataFrame) -> DataFrame:
@@ -47,10 +48,12 @@ def merge_level(files: DataFrame, depth: int) -> DataFrame:
     open_ = groups.where(fit)
     size = open_.groupBy("diff_id", "lo").agg(F.count("*").alias("members")).withColumnRenamed("lo", "b_lo").withColumnRenamed("diff_id", "b_diff")
     sub = F.when(F.contains("first_path", F.lit("/")), paths.directory("first_path")).otherwise(F.col("first_path"))
-    bucketed = open_.join(size, (F.col("diff_id") == F.col("b_diff")) & (F.col("lo") == F.col("b_lo"))).withColumn("bucket", F.when(F.col("members") <= MERGED_AT_ONCE, F.concat(F.lit("p:"), "lo")).otherwise(F.concat(F.lit("d:"), "lo", F.lit(":"), sub)))
+    bucketed = open_.join(size, (F.col("diff_id") == F.col("b_diff")) & (F.col("lo") == F.col("b_lo"))).withColumn("bucket",
+        F.when(F.col("members") <= MERGED_AT_ONCE, F.concat(F.lit("p:"), "lo")).otherwise(F.concat(F.lit("d:"), "lo", F.lit(":"), sub)))
     lead = bucketed.groupBy("diff_id", "bucket").agg(F.min(F.struct("grp", "name")).alias("lead"))
     moved = bucketed.join(lead, ["diff_id", "bucket"]).select("diff_id", "grp", F.col("lead.grp").alias("to_grp"), F.col("lead.name").alias("to_name"))
-    return files.join(moved, ["diff_id", "grp"], "left").select("diff_id", F.coalesce("to_grp", "grp").alias("grp"), F.coalesce("to_name", "name").alias("name"), "has_entry", "path")
+    return files.join(moved, ["diff_id", "grp"], "left").select("diff_id", F.coalesce("to_grp", "grp").alias("grp"),
+        F.coalesce("to_name", "name").alias("name"), "has_entry", "path")
 
 
 def consolidate(files: DataFrame) -> DataFrame:
@@ -99,12 +102,14 @@ def topic_affinity(files: DataFrame, grouped: DataFrame) -> DataFrame:
     per_group = shared.groupBy("diff_id", "path", "group_id").agg(F.max("n").alias("n"))
     best = per_group.groupBy("diff_id", "path").agg(F.max(F.struct("n", (-F.col("group_id")).alias("neg"))).alias("b"), F.max("n").alias("top"))
     tied = per_group.join(best.select("diff_id", "path", "top"), ["diff_id", "path"]).where("n = top").groupBy("diff_id", "path").agg(F.count("*").alias("ties"))
-    return best.join(tied, ["diff_id", "path"]).where("top >= 2 or ties = 1").select("diff_id", "path", (-F.col("b.neg")).alias("group_id"), F.col("top").alias("overlap"))
+    return best.join(tied, ["diff_id", "path"]).where("top >= 2 or ties = 1").select("diff_id", "path", (-F.col("b.neg")).alias("group_id"),
+        F.col("top").alias("overlap"))
 
 
 def move_tests(grouped: DataFrame) -> DataFrame:
     """Test files move to the group of the implementation with their stem; the last implementation of a stem counts."""
-    g = grouped.select("diff_id", "group_id", "path", paths.is_test_file("path").alias("is_test"), paths.test_impl_stem("path").alias("stem"), paths.bare_stem("path").alias("bare"))
+    g = grouped.select("diff_id", "group_id", "path", paths.is_test_file("path").alias("is_test"), paths.test_impl_stem("path").alias("stem"),
+        paths.bare_stem("path").alias("bare"))
     impl = g.where("not is_test")
     by_stem = impl.groupBy("diff_id", "stem").agg(F.max_by("group_id", "path").alias("to_stem"))
     by_bare = impl.where("bare <> ''").groupBy("diff_id", "bare").agg(F.max_by("group_id", "path").alias("to_bare"))
@@ -121,7 +126,8 @@ def common_prefix(files: DataFrame, keys: list[str]) -> DataFrame:
     lo, hi = F.split("lo", "/"), F.split("hi", "/")
     depth = F.aggregate(
         F.sequence(F.lit(0), F.size(lo) - 1), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, i: F.struct((s.n + F.when(s.on & (F.get(lo, i) == F.coalesce(F.get(hi, i), F.lit(""))) & (i < F.size(lo) - 1) & (i < F.size(hi) - 1), 1).otherwise(0)).alias("n"),
+        lambda s, i: F.struct((s.n + F.when(s.on & (F.get(lo, i) == F.coalesce(F.get(hi, i),
+            F.lit(""))) & (i < F.size(lo) - 1) & (i < F.size(hi) - 1), 1).otherwise(0)).alias("n"),
                               (s.on & (F.get(lo, i) == F.coalesce(F.get(hi, i), F.lit("")))).alias("on")), lambda s: s.n)
     shared = F.array_join(F.slice(lo, F.lit(1), depth), "/")
     return ends.select(*keys, F.when(depth > 0, F.concat(shared, F.lit("/"))).otherwise("Mixed").alias("prefix"))
@@ -180,7 +186,8 @@ def connected_groups(near: DataFrame, files: DataFrame) -> DataFrame:
     from . import reach
 
     node = lambda c: F.concat(F.col("diff_id").cast("string"), F.lit("/"), F.col(c))
-    both = near.join(files.select("diff_id", "path"), ["diff_id", "path"], "left_semi").join(files.select("diff_id", F.col("path").alias("other")), ["diff_id", "other"], "left_semi")
+    both = near.join(files.select("diff_id", "path"), ["diff_id", "path"], "left_semi").join(files.select("diff_id", F.col("path").alias("other")),
+        ["diff_id", "other"], "left_semi")
     links = materialize(both.where("path <> other").select(node("path").alias("src"), node("other").alias("dst")).distinct())
     if links.isEmpty():
         return files.where("false").select("diff_id", "path", F.lit("").alias("component"), F.lit("").alias("name"))
@@ -200,7 +207,8 @@ def exact_directory(files: DataFrame, grouped: DataFrame) -> DataFrame:
     """The group with the most files in the file's own directory, if no other has as many."""
     count = grouped.withColumn("dir", paths.parent_dir("path")).groupBy("diff_id", "dir", "group_id").agg(F.count("*").alias("n"))
     best = count.groupBy("diff_id", "dir").agg(F.max("n").alias("top"))
-    first = count.join(best, ["diff_id", "dir"]).where("n = top").groupBy("diff_id", "dir").agg(F.count("*").alias("ties"), F.min("group_id").alias("group_id")).where("ties = 1")
+    first = count.join(best, ["diff_id", "dir"]).where("n = top").groupBy("diff_id", "dir").agg(F.count("*").alias("ties"),
+        F.min("group_id").alias("group_id")).where("ties = 1")
     return files.withColumn("dir", paths.parent_dir("path")).join(first, ["diff_id", "dir"]).select("diff_id", "path", "group_id")
 
 
@@ -227,7 +235,8 @@ def rescue(files: DataFrame, grouped: DataFrame) -> DataFrame:
     j = j.withColumns({"root": paths.fixture_root("path"), "fixture": paths.is_fixture_source("path"), "project": paths.is_fixture_project("path")})
     held = grouped.where(paths.is_fixture_source("path")).groupBy("diff_id", paths.fixture_root("path").alias("root"), "group_id").agg(F.count("*").alias("n"))
     top = held.groupBy("diff_id", "root").agg(F.max("n").alias("n"))
-    by_root = held.join(top, ["diff_id", "root", "n"]).groupBy("diff_id", "root").agg(F.count("*").alias("ties"), F.min("group_id").alias("by_root")).where("ties = 1").drop("ties")
+    by_root = held.join(top, ["diff_id", "root", "n"]).groupBy("diff_id", "root").agg(F.count("*").alias("ties"),
+        F.min("group_id").alias("by_root")).where("ties = 1").drop("ties")
     first = j.where("fixture").groupBy("diff_id", "root").agg(F.min_by(F.coalesce("near", "largest"), "path").alias("by_first"))
     j = j.join(by_root, ["diff_id", "root"], "left").join(first, ["diff_id", "root"], "left")
     native = F.lower(F.substring_index("path", ".", -1)).isin("c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx", "h++")
@@ -250,9 +259,11 @@ def merge_by_directory(files: DataFrame, max_rounds: int = 200) -> DataFrame:
     now = files.select("diff_id", "group_id", "path")
     for _ in range(max_rounds):
         small = now.groupBy("diff_id", "group_id").agg(F.count("*").alias("n")).where(F.col("n") <= SMALL_GROUP).select("diff_id", "group_id")
-        held = now.where(F.contains("path", F.lit("/"))).join(small, ["diff_id", "group_id"], "left_semi").select("diff_id", paths.directory("path").alias("dir"), "group_id").distinct()
+        held = now.where(F.contains("path", F.lit("/"))).join(small, ["diff_id", "group_id"], "left_semi").select("diff_id",
+            paths.directory("path").alias("dir"), "group_id").distinct()
         order = F.row_number().over(Window.partitionBy("diff_id", "dir").orderBy("group_id"))
-        two = held.withColumn("nth", order).where("nth <= 2").groupBy("diff_id", "dir").agg(F.min("group_id").alias("a"), F.max("group_id").alias("b")).where("a <> b").select("diff_id", "a", "b").distinct()
+        two = held.withColumn("nth", order).where("nth <= 2").groupBy("diff_id", "dir").agg(F.min("group_id").alias("a"),
+            F.max("group_id").alias("b")).where("a <> b").select("diff_id", "a", "b").distinct()
         ends = two.select("diff_id", F.explode(F.array("a", "b")).alias("g"), F.struct("a", "b").alias("pair")).groupBy("diff_id", "g").agg(F.min("pair").alias("first"))
         one = lambda c: ends.select("diff_id", F.col("g").alias(c), F.col("first").alias(f"{c}_first"))
         pairs = materialize(two.join(one("a"), ["diff_id", "a"]).join(one("b"), ["diff_id", "b"]).where("a_first = struct(a, b) and b_first = struct(a, b)").select(
@@ -276,7 +287,8 @@ def merge_by_stem(files: DataFrame, max_rounds: int = 50) -> DataFrame:
     now = materialize(files.select("diff_id", "group_id", "path", paths.bare_stem("path").alias("stem"), paths.is_test_file("path").alias("test")))
     for _ in range(max_rounds):
         s = now.where("stem <> ''").groupBy("diff_id", "stem").agg(
-            F.count_distinct("group_id").alias("groups"), F.min(F.when(F.col("test"), F.col("group_id"))).alias("t"), F.min(F.when(~F.col("test"), F.col("group_id"))).alias("i"))
+            F.count_distinct("group_id").alias("groups"), F.min(F.when(F.col("test"), F.col("group_id"))).alias("t"),
+                F.min(F.when(~F.col("test"), F.col("group_id"))).alias("i"))
         pairs = materialize(s.where("groups = 2 and t is not null and i is not null and t <> i").select("diff_id", "t", "i").distinct())
         if pairs.isEmpty():
             break

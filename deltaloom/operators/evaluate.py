@@ -39,7 +39,8 @@ def metrics(files: DataFrame, key: str = "target") -> DataFrame:
         F.sum(F.when(grouped, F.col("n")).otherwise(0)).alias("grouped_files"))
     out = out.join(paths, key)
     return out.select(
-        key, "total_files", "total_groups", "infra_files", "singleton_groups", "max_group_size", ratio(F.col("grouped_files"), F.col("total_groups")).alias("avg_group_size"),
+        key, "total_files", "total_groups", "infra_files", "singleton_groups", "max_group_size",
+            ratio(F.col("grouped_files"), F.col("total_groups")).alias("avg_group_size"),
         ratio(F.col("infra_files"), F.col("total_files")).alias("infra_ratio"), ratio(F.col("singleton_groups"), F.col("total_groups")).alias("singleton_ratio"),
         (ratio(F.col("total_groups"), F.col("total_files")) * 1000).alias("groups_per_1000_files"), (F.col("entries") == F.col("total_files")).alias("files_accounted"))
 
@@ -69,7 +70,8 @@ def golden_checks(locations: DataFrame, constraints: DataFrame) -> DataFrame:
     member that lies nowhere fails its check.
     """
     j = constraints.join(locations, "path", "left")
-    agg = j.groupBy("check_id", "kind").agg(F.count("*").alias("members"), F.count_if(F.col("place").isNull()).alias("missing"), F.count_distinct("place").alias("places"))
+    agg = j.groupBy("check_id", "kind").agg(F.count("*").alias("members"), F.count_if(F.col("place").isNull()).alias("missing"),
+        F.count_distinct("place").alias("places"))
     good = (F.col("missing") == 0) & F.when(F.col("kind") == "same", F.col("places") == 1).otherwise(F.col("places") == F.col("members"))
     return agg.withColumn("satisfied", good)
 
@@ -111,7 +113,8 @@ def coherence(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 def entrypoint_accuracy(entrypoints: DataFrame, expected: DataFrame) -> DataFrame:
     """``entrypoints(target, file, type)``, ``expected(target, exp_id, file_contains, type)`` -> matched share."""
-    found = expected.join(entrypoints.select("target", "type", "file"), ["target", "type"]).where(F.contains("file", F.col("file_contains"))).select("target", "exp_id").distinct().withColumn("ok", F.lit(1.0))
+    found = expected.join(entrypoints.select("target", "type", "file"),
+        ["target", "type"]).where(F.contains("file", F.col("file_contains"))).select("target", "exp_id").distinct().withColumn("ok", F.lit(1.0))
     return expected.join(found, ["target", "exp_id"], "left").groupBy("target").agg(F.round(F.avg(F.coalesce("ok", F.lit(0.0))), 6).alias("entrypoints"))
 
 
@@ -129,7 +132,8 @@ def review_ordering(orders: DataFrame, constraints: DataFrame) -> DataFrame:
 def risk_reasonableness(groups: DataFrame) -> DataFrame:
     """``groups(target, group_id, risk, review_order, n_files)`` -> 1 less a quarter for each bad value and a tenth for equal orders."""
     bad = F.sum(((F.col("risk") < 0) | (F.col("risk") > 1)).cast("int") + (F.col("review_order") < 1).cast("int") + (F.col("n_files") == 0).cast("int"))
-    return groups.groupBy("target").agg(F.round(F.greatest(F.lit(0.0), 1.0 - 0.25 * bad - F.when(F.count_distinct("review_order") < F.count("*"), 0.1).otherwise(0.0)), 6).alias("risk"))
+    return groups.groupBy("target").agg(F.round(F.greatest(F.lit(0.0), 1.0 - 0.25 * bad - F.when(F.count_distinct("review_order") < F.count("*"),
+        0.1).otherwise(0.0)), 6).alias("risk"))
 
 
 def language_recall(detected: DataFrame, expected: DataFrame) -> DataFrame:
@@ -152,7 +156,8 @@ def file_locations(files: DataFrame, infra: DataFrame, key: str = "target") -> D
     both = subs.select(key, "path", "place").unionByName(infra.where("sub_group is null").select(key, "path", F.lit("infra").alias("place")))
     # what a sub-group names counts before the bare list
     both = both.groupBy(key, "path").agg(F.max("place").alias("place"))
-    return files.select(key, "path", F.col("group_id").cast("string").alias("place"), F.lit(False).alias("is_infra")).unionByName(both.withColumn("is_infra", F.lit(True)))
+    return files.select(key, "path", F.col("group_id").cast("string").alias("place"),
+        F.lit(False).alias("is_infra")).unionByName(both.withColumn("is_infra", F.lit(True)))
 
 
 def destinations(locations: DataFrame, key: str = "target") -> DataFrame:
@@ -167,7 +172,8 @@ def accounting(locations: DataFrame, expected: DataFrame, key: str = "target") -
     n = locations.groupBy(key).agg(F.count("*").alias("held"), F.count_distinct(F.when(~F.col("is_infra"), F.col("place"))).alias("n_groups"))
     j = expected.join(n, key, "left").na.fill(0, ["held", "n_groups"])
     off = lambda c, w: F.when(c, w).otherwise(0.0)
-    lost = off(F.col("total_files") != F.col("expected_files"), 0.5) + off(F.col("held") != F.col("total_files"), 0.5) + off(~F.col("n_groups").between(F.col("min_groups"), F.col("max_groups")), 0.25)
+    lost = off(F.col("total_files") != F.col("expected_files"), 0.5) + off(F.col("held") != F.col("total_files"),
+        0.5) + off(~F.col("n_groups").between(F.col("min_groups"), F.col("max_groups")), 0.25)
     return j.select(key, F.greatest(F.lit(0.0), 1.0 - lost).alias("accounting"))
 
 
@@ -184,13 +190,15 @@ def expectations(locations: DataFrame, deleted: DataFrame, wanted: DataFrame, bo
         F.count_if(F.col("place") == "infra").alias("bare"), F.count("deleted").alias("gone"))
     whole = F.col("found") == F.col("n")
     ok = (
-        F.when(F.col("kind") == "same_group", whole & (F.col("places") == 1) & (F.col("bare") == 0)).when(F.col("kind") == "separate_group", whole & (F.col("places") == F.col("n")))
+        F.when(F.col("kind") == "same_group", whole & (F.col("places") == 1) & (F.col("bare") == 0)).when(F.col("kind") == "separate_group",
+            whole & (F.col("places") == F.col("n")))
         .when(F.col("kind") == "infrastructure", (F.col("infra") == F.col("n")) | (F.col("gone") > 0))
         .otherwise((whole & (F.col("infra") == 0)) | ((F.col("found") == 0) & (F.col("gone") > 0)))
     )
     counted = bounds.join(destinations(locations, key), key, "left").na.fill(0, ["groups", "destinations"])
     held = F.when(F.col("kind") == "group_count_min", F.col("destinations") >= F.col("value")).otherwise(F.col("groups") <= F.col("value"))
-    return agg.select(key, "kind", "check_id", ok.alias("satisfied")).unionByName(counted.select(key, "kind", F.lit(-1).cast(agg.schema["check_id"].dataType).alias("check_id"), held.alias("satisfied")))
+    return agg.select(key, "kind", "check_id", ok.alias("satisfied")).unionByName(counted.select(key, "kind",
+        F.lit(-1).cast(agg.schema["check_id"].dataType).alias("check_id"), held.alias("satisfied")))
 
 
 def uncovered(changed: DataFrame, locations: DataFrame, deleted: DataFrame | None = None, key: str = "target") -> DataFrame:

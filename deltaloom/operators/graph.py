@@ -34,7 +34,8 @@ def resolve_workspace(imports: DataFrame, files: DataFrame, packages: DataFrame)
     """
     bare = imports.where(~F.startswith("source", F.lit("."))).select("source").distinct()
     parts = F.split("source", "/")
-    prefixes = bare.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("prefix"))
+    prefixes = bare.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("prefix"))
     known = files.select(F.col("path").alias("known")).distinct()
     met = prefixes.join(packages.select(F.col("package").alias("prefix"), "entry"), "prefix")
     exact = met.where("prefix = source").join(known, F.col("entry") == F.col("known"), "left_semi").groupBy("source").agg(F.min("entry").alias("exact"))
@@ -62,7 +63,8 @@ def import_map(names: DataFrame) -> DataFrame:
 
 def nodes(modules: DataFrame, definitions: DataFrame) -> DataFrame:
     """``(id, name, file, kind)``: a module for each file and its definitions; the first of one id stays."""
-    first = modules.select(F.col("path").alias("id"), paths.file_stem("path").alias("name"), F.col("path").alias("file"), F.lit("Module").alias("kind"), F.lit(-1).alias("pos"))
+    first = modules.select(F.col("path").alias("id"), paths.file_stem("path").alias("name"), F.col("path").alias("file"),
+        F.lit("Module").alias("kind"), F.lit(-1).alias("pos"))
     rest = definitions.select(F.concat_ws("::", "path", "name").alias("id"), "name", F.col("path").alias("file"), "kind", "pos")
     best = F.min(F.struct("pos", "name", "file", "kind")).alias("b")
     return first.unionByName(rest).groupBy("id").agg(best).select("id", "b.name", "b.file", "b.kind")
@@ -117,7 +119,8 @@ def import_edges(names: DataFrame, resolved: DataFrame, reexports: DataFrame, ve
         F.col("importer").alias("r_file"), F.col("name").alias("r_name"), F.concat_ws("::", "target", "name").alias("beyond")).distinct()
     direct = F.when(F.col("k").isNotNull(), F.col("k")).when(F.col("name").isNull() | F.col("whole"), F.col("target"))
     first = j.select(F.col("importer").alias("src"), direct.alias("dst"), "target", "name")
-    second = first.where("dst is null").join(onward, (F.col("target") == F.col("r_file")) & (F.col("name") == F.col("r_name"))).select("src", F.col("beyond").alias("dst"))
+    second = first.where("dst is null").join(onward, (F.col("target") == F.col("r_file")) & (F.col("name") == F.col("r_name"))).select("src",
+        F.col("beyond").alias("dst"))
     edges = first.where("dst is not null").select("src", "dst").unionByName(second).withColumn("edge_type", F.lit("Imports"))
     return known_edges(edges, vertices)
 
@@ -147,14 +150,16 @@ def build(parsed: DataFrame, packages: DataFrame | None = None, extends: bool =
     resolved = resolve_imports(sources, parsed.select("path"), packages)
     resolved = resolved.where(F.substring_index("importer", "/", 1) == F.substring_index("target", "/", 1))
     whole = F.col("is_default") | F.col("is_namespace")
-    names = statements.select("importer", "import_pos", "source", whole.alias("whole"), "is_default", "is_namespace", F.posexplode_outer("names").alias("name_pos", "n")).select(
+    names = statements.select("importer", "import_pos", "source", whole.alias("whole"), "is_default", "is_namespace",
+        F.posexplode_outer("names").alias("name_pos", "n")).select(
         "importer", "import_pos", "source", "whole", "is_default", "is_namespace", "name_pos", F.col("n.name").alias("name"), F.col("n.alias").alias("alias"))
     defined = definitions.select(F.col("path").alias("target"), "name", F.lit(True).alias("defined")).distinct()
     bound = names.where("name is not null").join(resolved, ["importer", "source"]).join(defined, ["target", "name"], "left")
     symbol = F.concat_ws("::", "target", "name")
     target = F.when(F.col("is_namespace"), F.col("target")).when(F.col("defined"), symbol).when(F.col("is_default"), F.col("target")).otherwise(symbol)
     imported = import_map(bound.select(F.col("importer").alias("file"), F.coalesce("alias", "name").alias("local"), target.alias("target"), "import_pos", "name_pos"))
-    sites = parsed.select(F.col("path").alias("file"), F.explode("call_sites").alias("c")).select("file", F.col("c.containing_function").alias("caller"), "c.callee", "c.line")
+    sites = parsed.select(F.col("path").alias("file"), F.explode("call_sites").alias("c")).select("file",
+        F.col("c.containing_function").alias("caller"), "c.callee", "c.line")
     edges = import_edges(names.select("importer", "source", "name", "whole"), resolved, again, vertices).unionByName(call_edges(sites, imported, vertices)).unionByName(
         enrich(heuristic_edges(sites), vertices))
     if extends:

@@ -10,7 +10,8 @@ def summarize(groups: DataFrame) -> DataFrame:
     """``groups(diff_id, name, n_files)`` -> counts and an ordered listing of each change."""
     rows = F.sort_array(F.collect_list(F.struct("name", "n_files")))
     return groups.groupBy("diff_id").agg(F.count("*").alias("total_groups"), F.sum("n_files").alias("total_files"), rows.alias("r")).select(
-        "diff_id", "total_groups", "total_files", F.array_join(F.transform("r", lambda x: F.concat(x["name"], F.lit(":"), x["n_files"].cast("string"))), ",").alias("listing"))
+        "diff_id", "total_groups", "total_files",
+            F.array_join(F.transform("r", lambda x: F.concat(x["name"], F.lit(":"), x["n_files"].cast("string"))), ",").alias("listing"))
 
 
 def nested(ranked: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def nested(ranked: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     f = files.groupBy("diff_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("flow_position", "path", "role", "additions", "deletions"))).alias("files"))
     e = edges.groupBy("diff_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "edge_type"))).alias("edges"))
     g = ranked.join(f, ["diff_id", "group_id"], "left").join(e, ["diff_id", "group_id"], "left")
-    row = F.struct("review_order", "group_id", "name", "score", F.coalesce("files", F.array().cast(f.schema["files"].dataType)).alias("files"), F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)).alias("edges"))
+    row = F.struct("review_order", "group_id", "name", "score", F.coalesce("files", F.array().cast(f.schema["files"].dataType)).alias("files"),
+        F.coalesce("edges", F.array().cast(e.schema["edges"].dataType)).alias("edges"))
     return g.groupBy("diff_id").agg(F.sort_array(F.collect_list(row)).alias("groups"), F.count("*").alias("total_groups"))
 
 

@@ -27,7 +27,8 @@ def _walk(step: DataFrame, sources: DataFrame, max_hops: int | None) -> DataFram
     seen, written, hops = frontier, [frontier], 0
     while max_hops is None or hops < max_hops:
         hops += 1
-        reached = frontier.join(step, ["way", "node"]).select("entry", "way", F.col("next").alias("node"), (F.col("distance") + F.col("cost")).alias("distance")).distinct()
+        reached = frontier.join(step, ["way", "node"]).select("entry", "way", F.col("next").alias("node"),
+            (F.col("distance") + F.col("cost")).alias("distance")).distinct()
         frontier = materialize(reached.join(seen.select(*keys), keys, "left_anti"))
         if frontier.isEmpty():
             break
@@ -43,7 +44,8 @@ def _walk(step: DataFrame, sources: DataFrame, max_hops: int | None) -> DataFram
 
 def distances(edges: DataFrame, sources: DataFrame, cost: int = 1, reverse: bool = False, max_hops: int | None = None) -> DataFrame:
     """``sources(entry, node)``, ``edges(src, dst)`` -> least ``(entry, node, distance)``; a hop costs ``cost``."""
-    step = edges.select(F.lit(0).alias("way"), F.col("dst" if reverse else "src").alias("node"), F.col("src" if reverse else "dst").alias("next"), F.lit(cost).cast("long").alias("cost")).distinct()
+    step = edges.select(F.lit(0).alias("way"), F.col("dst" if reverse else "src").alias("node"), F.col("src" if reverse else "dst").alias("next"),
+        F.lit(cost).cast("long").alias("cost")).distinct()
     return _walk(materialize(step), sources.withColumn("way", F.lit(0)), max_hops).drop("way")
 
 

@@ -39,9 +39,11 @@ def split(files: DataFrame, splits: DataFrame) -> DataFrame:
     A split whose new groups leave out a file of the source is not applied.
     """
     listed = splits.select(F.col("source").alias("group_id"), "path").distinct()
-    left_out = files.join(splits.select(F.col("source").alias("group_id")).distinct(), "group_id", "left_semi").join(listed, ["group_id", "path"], "left_anti").select("group_id").distinct()
+    left_out = files.join(splits.select(F.col("source").alias("group_id")).distinct(), "group_id", "left_semi").join(listed, ["group_id", "path"],
+        "left_anti").select("group_id").distinct()
     good = splits.withColumnRenamed("source", "group_id").join(left_out, "group_id", "left_anti")
-    return files.join(good, ["group_id", "path"], "left").select(F.coalesce(F.concat(F.lit("group_refined_"), F.col("new_ord").cast("string")), "group_id").alias("group_id"), "path")
+    return files.join(good, ["group_id", "path"], "left").select(F.coalesce(F.concat(F.lit("group_refined_"), F.col("new_ord").cast("string")),
+        "group_id").alias("group_id"), "path")
 
 
 def merge(files: DataFrame, merges: DataFrame) -> DataFrame:
@@ -77,7 +79,8 @@ def problems(groups: DataFrame, files: DataFrame, ops: dict[str, DataFrame]) ->
         return df.join(known, (F.col("diff_id") == F.col("k_diff")) & (F.col(column) == F.col(name)), "left").drop("k_diff")
 
     def holds(df, group, path):
-        return df.join(held.withColumnRenamed("diff_id", "h_diff"), (F.col("diff_id") == F.col("h_diff")) & (F.col(group) == F.col("h_group")) & (F.col(path) == F.col("h_path")), "left").drop("h_diff")
+        return df.join(held.withColumnRenamed("diff_id", "h_diff"),
+            (F.col("diff_id") == F.col("h_diff")) & (F.col(group) == F.col("h_group")) & (F.col(path) == F.col("h_path")), "left").drop("h_diff")
 
     text = lambda *x: F.concat(*[F.lit(v[1:]) if v[:1] == "'" else F.col(v) for v in x])
     first = lambda df, op, order: df.where("reason is not null").groupBy("diff_id", "ord").agg(F.min_by("reason", order).alias("reason")).select(
@@ -90,14 +93,17 @@ def problems(groups: DataFrame, files: DataFrame, ops: dict[str, DataFrame]) ->
     named = ops["splits"].select("diff_id", "ord", F.col("path").alias("h_path")).distinct()
     lost = asked.join(held.withColumnRenamed("h_group", "source"), ["diff_id", "source"]).join(named, ["diff_id", "ord", "h_path"], "left_anti")
     lost = lost.groupBy("diff_id", "ord", "source").agg(F.array_join(F.array_sort(F.collect_list("h_path")), ", ").alias("missing"))
-    lost = lost.join(bad.select("diff_id", "ord"), ["diff_id", "ord"], "left_anti").select("diff_id", F.lit("Split").alias("op"), "ord", text("'split of ", "source", "' leaves out: ", "missing").alias("reason"))
+    lost = lost.join(bad.select("diff_id", "ord"), ["diff_id", "ord"], "left_anti").select("diff_id", F.lit("Split").alias("op"), "ord",
+        text("'split of ", "source", "' leaves out: ", "missing").alias("reason"))
     merges = knows(ops["merges"], "group_id", "known").withColumn("reason", F.when(F.col("known").isNull(), text("'merge names an unknown group: ", "group_id")))
     ranks = knows(ops["ranks"], "group_id", "known").withColumn("reason", F.when(F.col("known").isNull(), text("'re-rank names an unknown group: ", "group_id")))
     moves = holds(knows(knows(ops["moves"], "from_group", "from_known"), "to_group", "to_known"), "from_group", "path")
     unknown = lambda c, k: F.col(k).isNull() & (F.col(c) != INFRASTRUCTURE)
     moves = moves.withColumn("reason", F.when(unknown("from_group", "from_known"), text("'reclassify from an unknown group: ", "from_group")).when(
-        unknown("to_group", "to_known"), text("'reclassify to an unknown group: ", "to_group")).when(F.col("h_path").isNull(), text("'reclassify: ", "path", "' is not in ", "from_group")))
-    return bad.unionByName(lost).unionByName(first(merges, "Merge", F.col("pos"))).unionByName(first(ranks, "ReRank", F.lit(0))).unionByName(first(moves, "Reclassify", F.lit(0)))
+        unknown("to_group", "to_known"), text("'reclassify to an unknown group: ", "to_group")).when(F.col("h_path").isNull(),
+            text("'reclassify: ", "path", "' is not in ", "from_group")))
+    return bad.unionByName(lost).unionByName(first(merges, "Merge", F.col("pos"))).unionByName(first(ranks, "ReRank",
+        F.lit(0))).unionByName(first(moves, "Reclassify", F.lit(0)))
 
 
 _KINDS = {"splits": "Split", "merges": "Merge", "ranks": "ReRank", "moves": "Reclassify"}
@@ -120,7 +126,8 @@ def repair(groups: DataFrame, ops: dict[str, DataFrame]) -> tuple[dict[str, Data
             j = df.join(known, (F.col("diff_id") == F.col("r_diff")) & (F.col(column) == F.col("r_known")), "left")
             j = j.join(named.withColumnRenamed("diff_id", "n_diff"), (F.col("diff_id") == F.col("n_diff")) & (normalize_name(F.col(column)) == F.col("r_name")), "left")
             wrong = F.col("r_known").isNull() & (F.col(column) != INFRASTRUCTURE) & F.col("r_id").isNotNull()
-            said = j.where(wrong).select("diff_id", F.lit(_KINDS[kind]).alias("op"), "ord", F.concat(F.lit(f"{column} "), F.col(column), F.lit(" -> "), "r_id").alias("reason")).distinct()
+            said = j.where(wrong).select("diff_id", F.lit(_KINDS[kind]).alias("op"), "ord",
+                F.concat(F.lit(f"{column} "), F.col(column), F.lit(" -> "), "r_id").alias("reason")).distinct()
             warnings = said if warnings is None else warnings.unionByName(said)
             df = j.withColumn(column, F.when(wrong, F.col("r_id")).otherwise(F.col(column))).select(*ops[kind].columns)
         out[kind] = df
@@ -148,14 +155,16 @@ def apply(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str,
     infra = F.col("group_id") == INFRASTRUCTURE
     # moves
     ranked = ops["moves"].withColumn("nth", F.row_number().over(Window.partitionBy("diff_id", "path", "from_group").orderBy("ord")))
-    moves = ranked.where((F.col("nth") == 1) | (F.col("from_group") == INFRASTRUCTURE)).select("diff_id", "path", F.col("from_group").alias("group_id"), "to_group", "ord")
+    moves = ranked.where((F.col("nth") == 1) | (F.col("from_group") == INFRASTRUCTURE)).select("diff_id", "path",
+        F.col("from_group").alias("group_id"), "to_group", "ord")
     gone = moves.select("diff_id", "path", "group_id").distinct()
     stay = files.join(gone, ["diff_id", "path", "group_id"], "left_anti").withColumn("after", F.lit(-1).cast("long"))
     moved = files.join(moves, ["diff_id", "path", "group_id"])
     plain = (F.col("group_id") == INFRASTRUCTURE) | (F.col("to_group") == INFRASTRUCTURE)
     moved = moved.select(
         "diff_id", F.col("to_group").alias("group_id"), "path", "flow_position", F.when(plain, "Infrastructure").otherwise(F.col("role")).alias("role"),
-        F.when(plain, 0).otherwise(F.col("additions")).cast("long").alias("additions"), F.when(plain, 0).otherwise(F.col("deletions")).cast("long").alias("deletions"), F.col("ord").cast("long").alias("after"))
+        F.when(plain, 0).otherwise(F.col("additions")).cast("long").alias("additions"),
+            F.when(plain, 0).otherwise(F.col("deletions")).cast("long").alias("deletions"), F.col("ord").cast("long").alias("after"))
     now = stay.select(*moved.columns).unionByName(moved)
     place = F.row_number().over(Window.partitionBy("diff_id", "group_id").orderBy("after", "flow_position", "path"))
     now = now.withColumn("at", place.cast("long")).drop("after", "flow_position")
@@ -164,12 +173,14 @@ def apply(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str,
     # splits
     applied = ops["splits"].join(alive.select("diff_id", F.col("group_id").alias("source"), "entry_file", "risk"), ["diff_id", "source"])
     heads = applied.select("diff_id", "ord", "source", "new_pos", "new_name", "risk").distinct()
-    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("diff_id").orderBy("ord", "new_pos")).cast("long")).withColumn("new_id", F.concat(F.lit("group_refined_"), F.col("nth").cast("string")))
+    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("diff_id").orderBy("ord", "new_pos")).cast("long")).withColumn("new_id",
+        F.concat(F.lit("group_refined_"), F.col("nth").cast("string")))
     parts = applied.join(heads.select("diff_id", "ord", "new_pos", "new_id", "nth"), ["diff_id", "ord", "new_pos"])
     entry = parts.groupBy("diff_id", "new_id").agg(F.max(F.when(F.col("path") == F.col("entry_file"), F.col("entry_file"))).alias("entry_file"))
     own = now.select("diff_id", F.col("group_id").alias("source"), "path", "role", "additions", "deletions")
     split_files = parts.select("diff_id", "source", "new_id", "path", "file_pos").join(own, ["diff_id", "source", "path"], "left").select(
-        "diff_id", F.col("new_id").alias("group_id"), "path", F.coalesce("role", F.lit("Infrastructure")).alias("role"), F.coalesce("additions", F.lit(0).cast("long")).alias("additions"),
+        "diff_id", F.col("new_id").alias("group_id"), "path", F.coalesce("role", F.lit("Infrastructure")).alias("role"),
+            F.coalesce("additions", F.lit(0).cast("long")).alias("additions"),
         F.coalesce("deletions", F.lit(0).cast("long")).alias("deletions"), F.col("file_pos").cast("long").alias("at"))
     now, alive, applied, split_files = (materialize(x) for x in (now, alive, applied, split_files))
     sources = applied.select("diff_id", F.col("source").alias("group_id")).distinct()
@@ -180,24 +191,29 @@ def apply(groups: DataFrame, files: DataFrame, edges: DataFrame, ops: dict[str,
     now = now.join(sources, ["diff_id", "group_id"], "left_anti").unionByName(split_files)
     edges = edges.join(sources, ["diff_id", "group_id"], "left_anti")
     # merges, folded over each group in their order: its id, its place among the groups, and the places it had before
-    listed = ops["merges"].groupBy("diff_id", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "group_id"))).alias("m"), F.first("merged_name").alias("merged_name"))
+    listed = ops["merges"].groupBy("diff_id", "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "group_id"))).alias("m"),
+        F.first("merged_name").alias("merged_name"))
     listed = listed.groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("m.group_id").alias("ids"), "merged_name"))).alias("merges"))
     state = F.struct(F.col("group_id").alias("id"), F.lit(None).cast("string").alias("name"), F.array("pos").alias("key"))
     folded = F.aggregate(
         F.coalesce("merges", F.array().cast(listed.schema["merges"].dataType)), state,
         lambda s, m: F.when(F.array_contains(m["ids"], s["id"]), F.struct(
             m["ids"][0].alias("id"), m["merged_name"].alias("name"), F.concat(F.array((F.lit(1 << 40) + m["ord"]).cast("long")), s["key"]).alias("key"))).otherwise(s))
-    to = alive.join(listed, "diff_id", "left").withColumn("s", folded).select(*alive.columns, F.col("s.id").alias("to_id"), F.col("s.name").alias("to_name"), F.col("s.key").alias("key"))
+    to = alive.join(listed, "diff_id", "left").withColumn("s", folded).select(*alive.columns, F.col("s.id").alias("to_id"),
+        F.col("s.name").alias("to_name"), F.col("s.key").alias("key"))
     merged = to.groupBy("diff_id", "to_id").agg(
         F.min_by(F.struct("name", "entry_file", "risk", "review_order"), "key").alias("g"), F.max("to_name").alias("to_name"),
         F.min_by("entry_file", F.when(F.col("entry_file").isNotNull(), F.col("key"))).alias("entry_file"))
     is_new = F.col("to_name").isNotNull()
     out = merged.select(
-        "diff_id", F.col("to_id").alias("group_id"), F.coalesce("to_name", "g.name").alias("name"), "entry_file", F.when(is_new, F.lit(0.0)).otherwise(F.col("g.risk")).alias("risk"),
+        "diff_id", F.col("to_id").alias("group_id"), F.coalesce("to_name", "g.name").alias("name"), "entry_file",
+            F.when(is_new, F.lit(0.0)).otherwise(F.col("g.risk")).alias("risk"),
         F.when(is_new, F.lit(0)).otherwise(F.col("g.review_order")).cast("long").alias("review_order"))
     route = materialize(to.select("diff_id", "group_id", "to_id", "key"))
-    grouped = now.where(~infra).join(route, ["diff_id", "group_id"]).select("diff_id", F.col("to_id").alias("group_id"), "path", "role", "additions", "deletions", "key", "at")
-    left = now.where(infra).select("diff_id", "group_id", "path", "role", "additions", "deletions", F.array().cast("array<bigint>").alias("key"), F.lit(0).cast("long").alias("at")).distinct()
+    grouped = now.where(~infra).join(route, ["diff_id", "group_id"]).select("diff_id", F.col("to_id").alias("group_id"), "path", "role", "additions",
+        "deletions", "key", "at")
+    left = now.where(infra).select("diff_id", "group_id", "path", "role", "additions", "deletions", F.array().cast("array<bigint>").alias("key"),
+        F.lit(0).cast("long").alias("at")).distinct()
     grouped = grouped.unionByName(left)
     # the places before a merge count from the last one on
     order = Window.partitionBy("diff_id", "group_id").orderBy(F.slice("key", 2, 1000), "at", "path")

@@ -23,7 +23,8 @@ def text_report(scores: DataFrame) -> DataFrame:
     """``scores(target, overall, ..)`` -> ``(line_no, line)``: a line for each target, the best first, and one for the mean."""
     parts = [c for c in scores.columns if c not in ("target", "overall")]
     shown = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.format_number(F.col(c).cast("double"), 2), F.lit("-"))) for c in parts])
-    rows = scores.select(F.col("overall"), F.concat_ws(" ", F.col("target").cast("string"), F.format_number("overall", 4), grade("overall"), shown).alias("line"), F.col("target").cast("string").alias("t"))
+    rows = scores.select(F.col("overall"), F.concat_ws(" ", F.col("target").cast("string"), F.format_number("overall", 4), grade("overall"),
+        shown).alias("line"), F.col("target").cast("string").alias("t"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("overall")).alias("o"), "t", "line")))
     mean = F.concat(F.lit("mean "), F.format_number(F.avg("overall"), 4), F.lit(" of "), F.count("*").cast("string"))
     lines = rows.agg(listed.alias("l"), mean.alias("m")).where("size(l) > 0")  # one row a target; reports are of small tables
@@ -32,7 +33,8 @@ def text_report(scores: DataFrame) -> DataFrame:
 
 def html_report(scores: DataFrame) -> DataFrame:
     """One row with a page that holds a table of the targets and their grades."""
-    cell = F.concat(F.lit('<tr class="'), grade("overall"), F.lit('"><td>'), text.html_escape(F.col("target").cast("string")), F.lit("</td><td>"), F.format_number("overall", 4), F.lit("</td></tr>"))
+    cell = F.concat(F.lit('<tr class="'), grade("overall"), F.lit('"><td>'), text.html_escape(F.col("target").cast("string")), F.lit("</td><td>"),
+        F.format_number("overall", 4), F.lit("</td></tr>"))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("overall")).alias("o"), F.col("target").cast("string").alias("t"), cell.alias("c"))))
     body = F.array_join(F.transform(rows, lambda r: r["c"]), "\n")
     return scores.agg(F.concat(F.lit("<html><body><table>\n<tr><th>target</th><th>overall</th></tr>\n"), body, F.lit("\n</table></body></html>")).alias("html"))
@@ -56,7 +58,8 @@ def overview_prompt(groups: DataFrame, files: DataFrame) -> DataFrame:
     line = F.format_string("%d. %s (%s, %d files)", "review_order", "name", "group_id", F.coalesce("n", F.lit(0)))
     rows = F.array_sort(F.collect_list(F.struct("review_order", line.alias("l"))))
     head = "Say in a few sentences what this change does, group by group.\n"
-    return groups.join(n, ["diff_id", "group_id"], "left").groupBy("diff_id").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["l"]), "\n")).alias("prompt"))
+    return groups.join(n, ["diff_id", "group_id"],
+        "left").groupBy("diff_id").agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["l"]), "\n")).alias("prompt"))
 
 
 # fixed values: the kinds of a job's events by name, and those that end it

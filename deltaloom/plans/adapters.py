@@ -9,16 +9,23 @@ from ..sources.shared import table
 
 #: path patterns of a mixed repository; {n} is a small number, {s} the document's source
 PATTERNS = (
-    "src/routes/users_{n}.ts", "src/services/{s}/user.service.ts", "src/{s}/repo_{n}.py", "docs/guide/{s}.md", "README.md", "packages/{s}/package.json", "packages/ui/{s}/index.tsx",
-    "migrations/00{n}_init.sql", "src/{s}/__tests__/user_{n}.test.ts", "tests/test_{s}.py", "app/api/{s}/route.ts", ".github/workflows/ci_{n}.yml", "terraform/{s}/main.tf", "src/schemas/{s}.schema.json",
-    "scripts/build_{n}.sh", "deploy/{s}.yaml", "docs/content/{s}.md", "src/docs/{s}/with_state.md", ".eslintrc.{n}", "src/generated/{s}.pb.go", "cmd/{s}/main.go", "crates/core/src/{s}.rs",
-    "src/main/java/com/{s}/UserController.java", "src/test/java/com/{s}/UserControllerTest.java", "lib/{s}/settings.py", "config/app.config.ts", "vendor/{s}/lib_{n}.js", "fixtures/{s}.json",
-    "services/workers/{s}/handler.ts", "apps/web/pages/{s}.tsx", "Dockerfile", "k8s/{s}/deployment.yaml", "src/auth/{s}/acl_{n}.go", "src/utils/helper_{n}.js", "proto/{s}.proto",
+    "src/routes/users_{n}.ts", "src/services/{s}/user.service.ts", "src/{s}/repo_{n}.py", "docs/guide/{s}.md", "README.md",
+        "packages/{s}/package.json", "packages/ui/{s}/index.tsx",
+    "migrations/00{n}_init.sql", "src/{s}/__tests__/user_{n}.test.ts", "tests/test_{s}.py", "app/api/{s}/route.ts", ".github/workflows/ci_{n}.yml",
+        "terraform/{s}/main.tf", "src/schemas/{s}.schema.json",
+    "scripts/build_{n}.sh", "deploy/{s}.yaml", "docs/content/{s}.md", "src/docs/{s}/with_state.md", ".eslintrc.{n}", "src/generated/{s}.pb.go",
+        "cmd/{s}/main.go", "crates/core/src/{s}.rs",
+    "src/main/java/com/{s}/UserController.java", "src/test/java/com/{s}/UserControllerTest.java", "lib/{s}/settings.py", "config/app.config.ts",
+        "vendor/{s}/lib_{n}.js", "fixtures/{s}.json",
+    "services/workers/{s}/handler.ts", "apps/web/pages/{s}.tsx", "Dockerfile", "k8s/{s}/deployment.yaml", "src/auth/{s}/acl_{n}.go",
+        "src/utils/helper_{n}.js", "proto/{s}.proto",
     "docs/user/{s}.rst", "src/{s}/Model_{n}.cs", "Makefile", "src/{s}/db/entity_{n}.kt", "www/docs/{s}.mdx", "src/{s}/Ünïcode_{n}.PY", "CHANGELOG.md",
 )
 CALLEES = (
-    "console.log", "logger.info", "process.env.HOME", "os.environ['A']", "config.get", "config.getter", "axios.get", "fetch", "fetchAll", "requests.post.x", "items.push", "JSON.parse", "bus.emit", "queue.publish",
-    "socket.on", "worker.consume", "userRepo.save", "prisma.user.findMany", "x.find", "cache.get", "db.query", "SELECT a FROM b", "INSERT INTO t", "session.execute", "map.get", "orders.where", "dotenv", "dotenv.config",
+    "console.log", "logger.info", "process.env.HOME", "os.environ['A']", "config.get", "config.getter", "axios.get", "fetch", "fetchAll",
+        "requests.post.x", "items.push", "JSON.parse", "bus.emit", "queue.publish",
+    "socket.on", "worker.consume", "userRepo.save", "prisma.user.findMany", "x.find", "cache.get", "db.query", "SELECT a FROM b", "INSERT INTO t",
+        "session.execute", "map.get", "orders.where", "dotenv", "dotenv.config",
     "model.update", "client.fetch", "a.b.send", "plain",
 )
 
@@ -29,7 +36,8 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.element_at(patterns, (F.col("doc_id") % len(PATTERNS) + 1).cast("int"))
     path = F.replace(F.replace(path, F.lit("{n}"), (F.col("doc_id") % 13).cast("string")), F.lit("{s}"), F.col("source"))
     return table(spark, sf_dir, "documents").select(
-        F.substr("source", F.lit(4)).cast("long").alias("diff_id"), "doc_id", path.alias("path"), (F.col("n_chars") % 97).alias("additions"), (F.col("n_chars") % 31).alias("deletions"))
+        F.substr("source", F.lit(4)).cast("long").alias("diff_id"), "doc_id", path.alias("path"), (F.col("n_chars") % 97).alias("additions"),
+            (F.col("n_chars") % 31).alias("deletions"))
 
 
 def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +51,12 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keys_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(src, dst, edge_type)``: customers and suppliers to nations to regions."""
-    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit("Calls").alias("edge_type"))
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), F.lit("Imports").alias("edge_type"))
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit("Calls").alias("edge_type"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"),
+        F.lit("Calls").alias("edge_type"))
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"),
+        F.lit("Imports").alias("edge_type"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"),
+        F.lit("Calls").alias("edge_type"))
     return c.unionByName(s).unionByName(n)
 
 

@@ -37,7 +37,8 @@ def detect_language(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {FILES_SQL} SELECT doc_id, path, {o.CATEGORY} AS category, {o.CONFIG_LIKE} AS config_like, {o.TOP_DOC} AS top_level_doc, {o.rule(paths.TRUE_INFRA)} AS true_infra FROM files""")
 def classify_paths(spark, sf):
     return changed_files(spark, sf).select(
-        "doc_id", "path", paths.category("path").alias("category"), paths.is_config_like("path").alias("config_like"), paths.is_top_level_doc("path").alias("top_level_doc"),
+        "doc_id", "path", paths.category("path").alias("category"), paths.is_config_like("path").alias("config_like"),
+            paths.is_top_level_doc("path").alias("top_level_doc"),
         paths.is_true_infrastructure("path").alias("true_infra"))
 
 
@@ -94,7 +95,8 @@ def rank_groups(spark, sf):
     files = (
         table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("c_mktsegment").alias("diff_id"), F.col("c_nationkey").alias("group_id"), (F.col("l_returnflag") == "R").alias("is_schema"), (F.col("o_orderpriority") == "1-URGENT").alias("is_api"),
+        .select(F.col("c_mktsegment").alias("diff_id"), F.col("c_nationkey").alias("group_id"), (F.col("l_returnflag") == "R").alias("is_schema"),
+            (F.col("o_orderpriority") == "1-URGENT").alias("is_api"),
                 ((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49)).alias("is_auth"), (F.col("l_returnflag") == "N").alias("is_test"),
                 F.col("l_quantity").cast("long").alias("additions"), F.col("l_linenumber").cast("long").alias("deletions"))
     )
@@ -114,7 +116,8 @@ SELECT src, dst, edge_type, count(*) AS n FROM e WHERE edge_type IS NOT NULL GRO
 def enrich_edges(spark, sf):
     c = call_sites(spark, sf)
     files = c.select(F.col("file").alias("path")).distinct()
-    defs = c.where("caller is not null").select(F.col("file").alias("path"), F.col("caller").alias("name"), F.lit("Function").alias("kind"), F.lit(0).alias("pos")).distinct()
+    defs = c.where("caller is not null").select(F.col("file").alias("path"), F.col("caller").alias("name"), F.lit("Function").alias("kind"),
+        F.lit(0).alias("pos")).distinct()
     return graph.enrich(graph.heuristic_edges(c), graph.nodes(files, defs)).groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
 
 
@@ -129,10 +132,13 @@ SELECT src, dst, 'Calls' AS edge_type, count(*) AS n FROM t WHERE dst IS NOT NUL
 def call_edges(spark, sf):
     c = call_sites(spark, sf)
     files = c.select(F.col("file").alias("path")).distinct()
-    defs = c.where("caller is not null").select(F.col("file").alias("path"), F.col("caller").alias("name"), F.lit("Function").alias("kind"), F.lit(0).alias("pos")).distinct()
+    defs = c.where("caller is not null").select(F.col("file").alias("path"), F.col("caller").alias("name"), F.lit("Function").alias("kind"),
+        F.lit(0).alias("pos")).distinct()
     target = F.format_string("src/m%d.ts::f%d", F.col("line") % 43, F.col("line") % 7)
-    names = graph.import_map(c.select("file", F.concat(F.lit("f"), F.col("line") % 9).alias("local"), target.alias("target"), F.col("line").alias("import_pos"), F.col("event_id").alias("name_pos")))
-    callee = F.concat(F.lit("f"), (F.col("event_id") % 11).cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(".f"), (F.col("event_id") % 4).cast("string"))).otherwise(""))
+    names = graph.import_map(c.select("file", F.concat(F.lit("f"), F.col("line") % 9).alias("local"), target.alias("target"),
+        F.col("line").alias("import_pos"), F.col("event_id").alias("name_pos")))
+    callee = F.concat(F.lit("f"), (F.col("event_id") % 11).cast("string"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(".f"), (F.col("event_id") % 4).cast("string"))).otherwise(""))
     out = graph.call_edges(c.select("file", "caller", callee.alias("callee")), names, graph.nodes(files, defs))
     return out.groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
 
@@ -165,7 +171,8 @@ def workspace_longest_prefix(spark, sf):
     packages = d.select(F.concat(F.lit("@"), "source", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/"), "lang")).otherwise("")).alias("package")).distinct()
     wanted = d.select(F.concat(F.lit("@"), "source", F.lit("/"), "lang", F.lit("/x"), (F.col("doc_id") % 5).cast("string")).alias("source")).distinct()
     parts = F.split("source", "/")
-    pre = wanted.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("package"))
+    pre = wanted.select("source", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("package"))
     return pre.join(packages, "package").groupBy("source").agg(F.max_by("package", F.length("package")).alias("package"))
 
 
@@ -191,8 +198,10 @@ SELECT a.file, a.scope, a.callee AS producer, c.callee AS consumer, a.variable A
 def data_flow_edges(spark, sf):
     e = table(spark, sf, "events")
     mod = lambda p, k: F.concat(F.lit(p), (F.col("event_id") % k).cast("string"))
-    a = e.select(F.col("user_id").alias("file"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("scope"), mod("v", 6).alias("variable"), mod("p", 5).alias("callee"))
-    c = e.select(F.col("user_id").alias("file"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("scope"), mod("p", 4).alias("callee"), F.array(mod("v", 6), mod("v", 10)).alias("arguments"), F.col("event_id").alias("line"))
+    a = e.select(F.col("user_id").alias("file"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("scope"),
+        mod("v", 6).alias("variable"), mod("p", 5).alias("callee"))
+    c = e.select(F.col("user_id").alias("file"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("scope"), mod("p", 4).alias("callee"),
+        F.array(mod("v", 6), mod("v", 10)).alias("arguments"), F.col("event_id").alias("line"))
     return graph.data_flow(a, c)
 
 
@@ -310,7 +319,8 @@ def consolidate_level(spark, sf):
 
 @query()
 def consolidate_all(spark, sf):
-    d = cluster.directory_groups(changed_files(spark, sf)).select("diff_id", F.dense_rank().over(Window.partitionBy("diff_id").orderBy("name")).cast("long").alias("grp"), "name", F.lit(False).alias("has_entry"), "path")
+    d = cluster.directory_groups(changed_files(spark, sf)).select("diff_id",
+        F.dense_rank().over(Window.partitionBy("diff_id").orderBy("name")).cast("long").alias("grp"), "name", F.lit(False).alias("has_entry"), "path")
     return cluster.consolidate(d).select("diff_id", "grp", "name", "path")
 
 
@@ -386,7 +396,8 @@ def entrypoints_dedup(spark, sf):
     none = F.lit(None).cast("string")
     facts = e.select(
         path.alias("path"), paths.language(path).alias("language"),
-        F.transform(named, lambda n: F.struct(n.alias("name"), F.lit("Function").alias("kind"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))).alias("definitions"),
+        F.transform(named, lambda n: F.struct(n.alias("name"), F.lit("Function").alias("kind"), F.lit(1).alias("start_line"),
+            F.lit(2).alias("end_line"))).alias("definitions"),
         F.array().cast("array<struct<source:string,names:array<struct<name:string,alias:string>>,is_default:boolean,is_namespace:boolean,line:int>>").alias("imports"),
         F.when(kind == 3, F.array(F.struct(F.lit("Page").alias("name"), F.lit(True).alias("is_default"), F.lit(False).alias("is_reexport"), none.alias("source"), line)))
         .otherwise(F.array().cast("array<struct<name:string,is_default:boolean,is_reexport:boolean,source:string,line:int>>")).alias("exports"),
@@ -395,7 +406,8 @@ def entrypoints_dedup(spark, sf):
     return entrypoints.detect(facts)
 
 
-_IMPORTS = ("express", "next/router", "nextcloud", "org.springframework.web.bind", "org.springframework", "Illuminate\\Http\\Request", "github.com/gin-gonic/gin", "actix_web::App", "react-domain", "@effect/platform", "django.db", "Microsoft.AspNetCore.Mvc")
+_IMPORTS = ("express", "next/router", "nextcloud", "org.springframework.web.bind", "org.springframework", "Illuminate\\Http\\Request",
+    "github.com/gin-gonic/gin", "actix_web::App", "react-domain", "@effect/platform", "django.db", "Microsoft.AspNetCore.Mvc")
 
 
 # every document imports three of these; a pattern is the whole source, or goes on with a separator
@@ -419,7 +431,8 @@ j AS (SELECT tg.target, t.exp_id, want, coalesce(best, 0) AS v, leaked FROM (SEL
 SELECT target, round(CAST(sum(CASE WHEN leaked IS NULL THEN v ELSE least(v, 1 - leaked::DOUBLE / want) END * want) / sum(want) AS DOUBLE), 6) AS coherence FROM j GROUP BY 1""")
 def group_coherence(spark, sf):
     f = changed_files(spark, sf).select(F.col("diff_id").alias("target"), "path", F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 4).alias("group_id"))
-    x = F.array(*[F.struct(F.lit(e).alias("exp_id"), F.lit(n).alias("needle"), F.lit(m).alias("must")) for e, n, m in ((1, "service", True), (1, "route", True), (1, ".md", False), (2, "test", True), (2, "config", False))])
+    x = F.array(*[F.struct(F.lit(e).alias("exp_id"), F.lit(n).alias("needle"), F.lit(m).alias("must")) for e, n,
+        m in ((1, "service", True), (1, "route", True), (1, ".md", False), (2, "test", True), (2, "config", False))])
     return evaluate.coherence(f, f.select("target").distinct().select("target", F.inline(x)))
 
 
@@ -428,9 +441,11 @@ c AS (SELECT a.n_regionkey AS target, a.n_nationkey AS c_id, a.n_name AS higher,
 SELECT c.target, round(avg(CASE WHEN h.ro IS NULL THEN 0.0 WHEN l.ro IS NULL OR h.ro <= l.ro THEN 1.0 ELSE 0.0 END), 6) AS ordering FROM c LEFT JOIN o h ON h.target = c.target AND h.path = higher LEFT JOIN o l ON l.target = c.target AND l.path = lower GROUP BY 1""")
 def review_ordering(spark, sf):
     n = table(spark, sf, "nation")
-    orders = n.select(F.col("n_regionkey").alias("target"), F.col("n_name").alias("path"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("n_nationkey"))).alias("review_order"))
+    orders = n.select(F.col("n_regionkey").alias("target"), F.col("n_name").alias("path"),
+        F.row_number().over(Window.partitionBy("n_regionkey").orderBy(F.desc("n_nationkey"))).alias("review_order"))
     other = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("lower"))
-    c = n.withColumn("k", F.col("n_nationkey") * 3 % 25).join(other, "k").select(F.col("n_regionkey").alias("target"), F.col("n_nationkey").alias("c_id"), F.col("n_name").alias("higher"), "lower")
+    c = n.withColumn("k", F.col("n_nationkey") * 3 % 25).join(other, "k").select(F.col("n_regionkey").alias("target"),
+        F.col("n_nationkey").alias("c_id"), F.col("n_name").alias("higher"), "lower")
     return evaluate.review_ordering(orders, c)
 
 
@@ -445,12 +460,15 @@ def analyze(spark, sf):
 
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_size")
     k, after, kind = F.col("k").cast("string"), (F.col("k") + 1).cast("string"), F.col("k") % 3
-    path = F.when(kind == 0, F.concat(F.lit("src/routes/r"), k, F.lit(".ts"))).when(kind == 1, F.concat(F.lit("src/services/s"), k, F.lit(".ts"))).otherwise(F.concat(F.lit(".github/workflows/w"), k, F.lit(".yml")))
-    route = F.concat(F.lit("import { f"), after, F.lit(" } from '../services/s"), after, F.lit("';\n\nexport function f"), k, F.lit("(a: string) {\n  return f"), after, F.lit("(a);\n}\n"))
+    path = F.when(kind == 0, F.concat(F.lit("src/routes/r"), k, F.lit(".ts"))).when(kind == 1,
+        F.concat(F.lit("src/services/s"), k, F.lit(".ts"))).otherwise(F.concat(F.lit(".github/workflows/w"), k, F.lit(".yml")))
+    route = F.concat(F.lit("import { f"), after, F.lit(" } from '../services/s"), after, F.lit("';\n\nexport function f"), k,
+        F.lit("(a: string) {\n  return f"), after, F.lit("(a);\n}\n"))
     service = F.concat(F.lit("export function f"), k, F.lit("(a: string) {\n  return a;\n}\n"))
     body = F.when(kind == 0, route).when(kind == 1, service).otherwise("on: push\n")
     none = F.lit(None).cast("string")
-    changes = p.select((F.floor(F.col("k") / 3) % 25).alias("diff_id"), none.alias("old_path"), path.alias("new_path"), none.alias("old_content"), body.alias("new_content"),
+    changes = p.select((F.floor(F.col("k") / 3) % 25).alias("diff_id"), none.alias("old_path"), path.alias("new_path"), none.alias("old_content"),
+        body.alias("new_content"),
                        F.col("p_size").cast("long").alias("additions"), F.lit(0).cast("long").alias("deletions"))
     return Engine().tables(changes)["groups"]
 
@@ -533,7 +551,8 @@ _GROUPS_SQL = "gf AS (SELECT 'group_' || (c_nationkey % 9) AS group_id, 'f' || c
 
 
 def _group_files(spark, sf):
-    return table(spark, sf, "customer").select(F.concat(F.lit("group_"), (F.col("c_nationkey") % 9).cast("string")).alias("group_id"), F.concat(F.lit("f"), "c_custkey").alias("path"), "c_custkey")
+    return table(spark, sf, "customer").select(F.concat(F.lit("group_"), (F.col("c_nationkey") % 9).cast("string")).alias("group_id"),
+        F.concat(F.lit("f"), "c_custkey").alias("path"), "c_custkey")
 
 
 @query(f"""WITH {_GROUPS_SQL}, mv AS (SELECT c_custkey AS ord, path, CASE WHEN c_custkey % 2 = 0 THEN group_id ELSE 'group_0' END AS from_group, 'group_' || (c_custkey % 4) AS to_group FROM gf WHERE c_custkey % 3 = 0
@@ -543,8 +562,10 @@ SELECT coalesce(l.to_group, gf.group_id) AS group_id, gf.path FROM gf LEFT JOIN
 def refine_reclassify(spark, sf):
     g = _group_files(spark, sf)
     own = F.when(F.col("c_custkey") % 2 == 0, F.col("group_id")).otherwise("group_0")
-    moves = g.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ord"), "path", own.alias("from_group"), F.concat(F.lit("group_"), (F.col("c_custkey") % 4).cast("string")).alias("to_group")).unionByName(
-        g.where("c_custkey % 15 = 0").select((F.col("c_custkey") + 1000000).alias("ord"), "path", F.col("group_id").alias("from_group"), F.lit("infra").alias("to_group")))
+    moves = g.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ord"), "path", own.alias("from_group"),
+        F.concat(F.lit("group_"), (F.col("c_custkey") % 4).cast("string")).alias("to_group")).unionByName(
+        g.where("c_custkey % 15 = 0").select((F.col("c_custkey") + 1000000).alias("ord"), "path", F.col("group_id").alias("from_group"),
+            F.lit("infra").alias("to_group")))
     return refine.reclassify(g.select("group_id", "path"), moves)
 
 
@@ -571,7 +592,8 @@ def refine_merge(spark, sf):
 SELECT diff_id, g.group_id, row_number() OVER (PARTITION BY diff_id ORDER BY coalesce(p, ro), g.group_id) AS review_order FROM g LEFT JOIN r ON r.group_id = g.group_id""")
 def refine_rerank(spark, sf):
     n = table(spark, sf, "nation").withColumn("group_id", F.concat(F.lit("group_"), "n_nationkey"))
-    g = n.select(F.col("n_regionkey").alias("diff_id"), "group_id", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).cast("long").alias("review_order"))
+    g = n.select(F.col("n_regionkey").alias("diff_id"), "group_id",
+        F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).cast("long").alias("review_order"))
     return refine.rerank(g, n.where("n_nationkey % 4 = 3").select("group_id", F.lit(1).cast("long").alias("new_position")))
 
 
@@ -583,7 +605,8 @@ def refine_sanitize_warnings(spark, sf):
     g = n.select(F.concat(F.lit("group_"), "n_nationkey").alias("group_id"), F.col("n_name").alias("name"))
     s = table(spark, sf, "supplier").join(n.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     k = F.col("s_suppkey") % 3
-    gid = F.when(k == 0, F.concat(F.lit("group_"), "s_nationkey")).when(k == 1, F.concat(F.lit("  "), F.lower("n_name"))).otherwise(F.concat(F.lit("group_"), (F.col("s_nationkey") + 20).cast("string")))
+    gid = F.when(k == 0, F.concat(F.lit("group_"), "s_nationkey")).when(k == 1,
+        F.concat(F.lit("  "), F.lower("n_name"))).otherwise(F.concat(F.lit("group_"), (F.col("s_nationkey") + 20).cast("string")))
     fixed = refine.repair_ids(s.select(F.col("s_suppkey").alias("ord"), gid.alias("group_id")), g)
     bad = refine.unknown_groups(fixed, g).select("ord", "reason")
     return fixed.join(bad, "ord", "left").select("ord", "group_id", "repaired", "reason")
@@ -593,7 +616,8 @@ def refine_sanitize_warnings(spark, sf):
 SELECT "group", count(*) AS n_files, count(role) AS n_known, count(*) FILTER (coalesce(role, 'Utility') = 'Utility') AS n_utility, round(CAST(sum(coalesce(risk, 0)) AS DOUBLE) / count(*), 6) AS risk FROM m LEFT JOIN k USING (path) GROUP BY 1""")
 def manifest_import(spark, sf):
     m = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("group"), F.concat(F.lit("f"), "o_custkey").alias("path"))
-    k = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("f"), "c_custkey").alias("path"), F.when(F.col("c_custkey") % 2 == 0, "Handler").otherwise("Utility").alias("role"), ((F.col("c_custkey") % 10) / 10).alias("risk"))
+    k = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("f"), "c_custkey").alias("path"),
+        F.when(F.col("c_custkey") % 2 == 0, "Handler").otherwise("Utility").alias("role"), ((F.col("c_custkey") % 10) / 10).alias("risk"))
     return refine.import_manifest(m, k)
 
 
@@ -608,7 +632,8 @@ mm AS (SELECT target, total_files, total_groups, infra_files, singleton_groups,
 
 
 def _metric_files(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("label").alias("target"), F.when(F.col("vec_id") % 4 != 0, F.col("vec_id") % 37).alias("group_id"), F.col("vec_id").alias("path"))
+    return table(spark, sf, "embeddings").select(F.col("label").alias("target"),
+        F.when(F.col("vec_id") % 4 != 0, F.col("vec_id") % 37).alias("group_id"), F.col("vec_id").alias("path"))
 
 
 @query(f"WITH {_METRICS_SQL} SELECT * FROM mm")
@@ -660,12 +685,15 @@ def eval_scores(spark, sf):
         return targets.select("target", F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(v, names)]) for v in values])))
 
     kind = F.when(F.col("doc_id") % 3 == 0, "HttpRoute").when(F.col("doc_id") % 3 == 1, "CliCommand").otherwise("TestFile")
-    s = evaluate.entrypoint_accuracy(files.select("target", F.col("path").alias("file"), kind.alias("type")), each((1, "routes", "HttpRoute"), (2, "main", "CliCommand"), (3, "test", "TestFile"), names=("exp_id", "file_contains", "type")))
+    s = evaluate.entrypoint_accuracy(files.select("target", F.col("path").alias("file"), kind.alias("type")),
+        each((1, "routes", "HttpRoute"), (2, "main", "CliCommand"), (3, "test", "TestFile"), names=("exp_id", "file_contains", "type")))
     orders = u.withColumn("review_order", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("path"))))
-    s = s.join(evaluate.review_ordering(orders, each((1, "README.md", "Makefile"), (2, "CHANGELOG.md", "README.md"), (3, "Dockerfile", "src/none.ts"), names=("c_id", "higher", "lower"))), "target")
+    s = s.join(evaluate.review_ordering(orders, each((1, "README.md", "Makefile"), (2, "CHANGELOG.md", "README.md"), (3, "Dockerfile", "src/none.ts"),
+        names=("c_id", "higher", "lower"))), "target")
     g = files.groupBy("target", (F.char_length("path") % 4).alias("group_id")).agg((F.avg("additions") / 50).alias("risk"), F.count("*").alias("n_files"))
     s = s.join(evaluate.risk_reasonableness(g.withColumn("review_order", F.when(F.col("group_id") == 3, 0).otherwise(F.col("group_id") + 1))), "target")
-    s = s.join(evaluate.language_recall(u.select("target", paths.language("path").alias("language")), each(("TypeScript",), ("Python",), ("Go",), ("Ruby",), names=("language",))), "target")
+    s = s.join(evaluate.language_recall(u.select("target", paths.language("path").alias("language")),
+        each(("TypeScript",), ("Python",), ("Go",), ("Ruby",), names=("language",))), "target")
     grouped = files.select("target", "path", (F.col("doc_id") % 4).alias("group_id"))
     s = s.join(evaluate.coherence(grouped, each((1, "service", True), (1, "route", True), names=("exp_id", "needle", "must"))), "target")
     return evaluate.overall_eval(s.withColumn("accounting", F.lit(1.0))).select("target", "overall")
@@ -707,7 +735,8 @@ SELECT target, CAST(greatest(0, 1 - CASE WHEN target % 2 = 1 THEN 0.5 ELSE 0 END
 def file_accounting(spark, sf):
     u, loc = _placed(spark, sf)
     n = u.groupBy("target").agg(F.count("*").alias("total_files"))
-    return evaluate.accounting(loc, n.select("target", "total_files", (F.col("total_files") - F.col("target") % 2).alias("expected_files"), F.lit(1).alias("min_groups"), F.lit(2).alias("max_groups")))
+    return evaluate.accounting(loc, n.select("target", "total_files", (F.col("total_files") - F.col("target") % 2).alias("expected_files"),
+        F.lit(1).alias("min_groups"), F.lit(2).alias("max_groups")))
 
 
 @query(f"""WITH {_PLACED_SQL}, k AS (SELECT target, CASE (rn // 2) % 4 WHEN 0 THEN 'same_group' WHEN 1 THEN 'separate_group' WHEN 2 THEN 'infrastructure' ELSE 'non_infrastructure' END AS kind, rn // 2 AS check_id, path, rn FROM n),
@@ -722,14 +751,17 @@ def golden_expectations(spark, sf):
     n = u.withColumn("rn", F.row_number().over(Window.partitionBy("target").orderBy("path")) - 1).withColumn("check_id", F.floor(F.col("rn") / 2))
     kind = F.get(F.array(*[F.lit(x) for x in ("same_group", "separate_group", "infrastructure", "non_infrastructure")]), (F.col("check_id") % 4).cast("int"))
     wanted = n.withColumn("kind", kind).where(F.col("kind").endswith("group") | (F.col("rn") % 2 == 0))
-    bounds = u.select("target").distinct().select("target", F.inline(F.array(F.struct(F.lit("group_count_min").alias("kind"), F.lit(5).alias("value")), F.struct(F.lit("group_count_max").alias("kind"), F.lit(2).alias("value")))))
+    bounds = u.select("target").distinct().select("target",
+        F.inline(F.array(F.struct(F.lit("group_count_min").alias("kind"), F.lit(5).alias("value")),
+            F.struct(F.lit("group_count_max").alias("kind"), F.lit(2).alias("value")))))
     return evaluate.expectations(loc, n.where("rn % 3 = 0"), wanted, bounds)
 
 
 @query("""WITH h AS (SELECT o_orderpriority AS series, strftime(o_orderdate, '%Y-%m') AS run, round(avg(o_totalprice) / 1000000, 6) AS score FROM orders GROUP BY 1, 2)
 SELECT series, run, score, lag(score) OVER w AS previous, coalesce(lag(score) OVER w - score > 0.005, FALSE) AS regressed FROM h WINDOW w AS (PARTITION BY series ORDER BY run)""")
 def regression_check(spark, sf):
-    h = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("run")).agg(F.round(F.avg("o_totalprice") / 1000000, 6).alias("score"))
+    h = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("run")).agg(F.round(F.avg("o_totalprice") / 1000000, 6).alias("score"))
     return evaluate.regressions(h, "series", "run", "score", 0.005)
 
 
@@ -792,10 +824,12 @@ def parse_facts(spark, sf):
     from ..sources.parse import parse
 
     p = table(spark, sf, "part")
-    body = F.concat(F.lit("import os\nfrom app."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(" import load as fetch\n\nclass Part"), F.col("p_partkey").cast("string"),
+    body = F.concat(F.lit("import os\nfrom app."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))),
+        F.lit(" import load as fetch\n\nclass Part"), F.col("p_partkey").cast("string"),
                     F.lit("(Base):\n    def run(self):\n        x = fetch(self.name)\n        return os.path.join(x)\n"))
     facts = parse(p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), body.alias("source")))
-    return facts.select("path", "language", "parse_tier", F.size("definitions").alias("definitions"), F.size("imports").alias("imports"), F.size("call_sites").alias("calls"), F.size("assignments").alias("assignments"))
+    return facts.select("path", "language", "parse_tier", F.size("definitions").alias("definitions"), F.size("imports").alias("imports"),
+        F.size("call_sites").alias("calls"), F.size("assignments").alias("assignments"))
 
 
 # --- fixtures with stated results ---------------------------------------------------
@@ -863,7 +897,8 @@ def refine_lenient(spark, sf):
     out, warnings = refine.apply_lenient(*fixtures.refinement(spark))
 
     def rows(df, kind, subject, *said):
-        return df.select(F.lit(kind).alias("kind"), subject.alias("subject"), F.concat_ws("; ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in said]).alias("said"))
+        return df.select(F.lit(kind).alias("kind"), subject.alias("subject"),
+            F.concat_ws("; ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in said]).alias("said"))
 
     found = rows(warnings, "warning", F.concat_ws(" ", "op", F.col("ord").cast("string")), "reason")
     found = found.unionByName(rows(out["groups"], "group", F.col("group_id"), "name", "entry_file", "risk", "review_order"))
@@ -908,7 +943,8 @@ def sse_events(spark, sf):
     from ..operators import report
 
     name = F.when(F.col("role") == "system", "job_started").when(F.col("role") == "user", "activity").otherwise("completed")
-    return report.sse(table(spark, sf, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), name.alias("event_name"), "role", F.char_length("text").alias("n")))
+    return report.sse(table(spark, sf, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), name.alias("event_name"),
+        "role", F.char_length("text").alias("n")))
 
 
 @query(f"WITH {FILES_SQL} SELECT diff_id, lang_of.k AS kind, CAST(greatest(sum(additions + deletions), 1) AS BIGINT) AS weight FROM files, LATERAL (SELECT {o.CATEGORY} AS k) lang_of GROUP BY 1, 2")
@@ -924,7 +960,8 @@ SELECT CAST(k AS INT) AS line_no, line FROM l UNION ALL SELECT CAST(count(*) AS
 def score_report(spark, sf):
     from ..operators import report
 
-    s = table(spark, sf, "documents").groupBy(F.col("source").alias("target")).agg(F.round(F.avg(F.col("n_chars") % 100) / 100, 4).alias("overall"), F.count("*").alias("n"))
+    s = table(spark, sf, "documents").groupBy(F.col("source").alias("target")).agg(F.round(F.avg(F.col("n_chars") % 100) / 100, 4).alias("overall"),
+        F.count("*").alias("n"))
     return report.text_report(s)
 
 
@@ -933,9 +970,11 @@ SELECT n_regionkey AS diff_id, 'Say in a few sentences what this change does, gr
 def overview_prompts(spark, sf):
     from ..operators import report
 
-    g = table(spark, sf, "nation").select(F.col("n_regionkey").alias("diff_id"), F.concat(F.lit("g"), F.col("n_nationkey").cast("string")).alias("group_id"), F.col("n_name").alias("name"),
+    g = table(spark, sf, "nation").select(F.col("n_regionkey").alias("diff_id"),
+        F.concat(F.lit("g"), F.col("n_nationkey").cast("string")).alias("group_id"), F.col("n_name").alias("name"),
                                           F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_name")).alias("review_order"))
-    files = table(spark, sf, "customer").select(F.concat(F.lit("g"), F.col("c_nationkey").cast("string")).alias("group_id"), F.col("c_custkey").alias("path")).join(g.select("diff_id", "group_id"), "group_id")
+    files = table(spark, sf, "customer").select(F.concat(F.lit("g"), F.col("c_nationkey").cast("string")).alias("group_id"),
+        F.col("c_custkey").alias("path")).join(g.select("diff_id", "group_id"), "group_id")
     return report.overview_prompt(g, files)
 
 
@@ -947,7 +986,8 @@ def vector_cache(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("|"), F.col("doc_id").cast("string")).alias("text"))
     store = vector_keys(d.where("doc_id % 3 = 0")).select("key", F.array(F.lit(1.0)).alias("vector"))
     held, missing = cached_vectors(d, store)
-    both = held.select("doc_id", F.lit(1).alias("held")).unionByName(missing.select(F.substring_index("text", "|", -1).cast("long").alias("doc_id"), F.lit(0).alias("held")))
+    both = held.select("doc_id", F.lit(1).alias("held")).unionByName(missing.select(F.substring_index("text", "|", -1).cast("long").alias("doc_id"),
+        F.lit(0).alias("held")))
     return both.groupBy((F.col("doc_id") % 50).alias("k")).agg(F.count("*").alias("asked"), F.sum("held").alias("held"))
 
 

@@ -273,18 +273,25 @@ async def main():
 # what a reader of SOURCES finds, by file
 #: name, kind, first and last line
 DEFINITIONS = {
-    "view.tsx": [("View", "Function", 6, 6), ("load", "Function", 7, 7), ("r", "Constant", 7, 7), ("LIMIT", "Constant", 8, 8), ("Service", "Class", 9, 14), ("constructor", "Function", 10, 10), ("find", "Function", 11, 13), ("Shape", "Interface", 15, 15), ("Pair", "TypeAlias", 16, 16)],
-    "main.go": [("Server", "Class", 8, 8), ("Runner", "Interface", 9, 9), ("Name", "TypeAlias", 10, 10), ("A", "Constant", 12, 12), ("B", "Constant", 13, 13), ("Run", "Function", 15, 18), ("main", "Function", 19, 19)],
-    "lib.rs": [("Point", "Class", 4, 4), ("Draw", "Interface", 5, 5), ("draw", "Function", 5, 5), ("draw", "Function", 7, 7), ("MAX", "Constant", 9, 9), ("Res", "TypeAlias", 10, 10), ("twice", "Function", 11, 11)],
+    "view.tsx": [("View", "Function", 6, 6), ("load", "Function", 7, 7), ("r", "Constant", 7, 7), ("LIMIT", "Constant", 8, 8),
+        ("Service", "Class", 9, 14), ("constructor", "Function", 10, 10), ("find", "Function", 11, 13), ("Shape", "Interface", 15, 15), ("Pair", "TypeAlias", 16, 16)],
+    "main.go": [("Server", "Class", 8, 8), ("Runner", "Interface", 9, 9), ("Name", "TypeAlias", 10, 10), ("A", "Constant", 12, 12),
+        ("B", "Constant", 13, 13), ("Run", "Function", 15, 18), ("main", "Function", 19, 19)],
+    "lib.rs": [("Point", "Class", 4, 4), ("Draw", "Interface", 5, 5), ("draw", "Function", 5, 5), ("draw", "Function", 7, 7),
+        ("MAX", "Constant", 9, 9), ("Res", "TypeAlias", 10, 10), ("twice", "Function", 11, 11)],
     "Shop.java": [("Shop", "Class", 5, 12), ("repo", "Constant", 7, 7), ("Shop", "Function", 8, 8), ("all", "Function", 9, 10), ("Color", "Class", 11, 11)],
-    "Shop.cs": [("Shop", "Class", 4, 9), ("Name", "Constant", 5, 5), ("_x", "Constant", 6, 6), ("Shop", "Function", 7, 7), ("Get", "Function", 8, 8), ("Point", "Class", 10, 10)],
+    "Shop.cs": [("Shop", "Class", 4, 9), ("Name", "Constant", 5, 5), ("_x", "Constant", 6, 6), ("Shop", "Function", 7, 7), ("Get", "Function", 8, 8),
+        ("Point", "Class", 10, 10)],
     "shop.php": [("LIMIT", "Constant", 6, 6), ("Shop", "Class", 7, 7), ("index", "Function", 7, 7), ("Store", "Interface", 8, 8), ("helper", "Function", 9, 9)],
     "shop.rb": [("Shop", "Module", 3, 17), ("LIMIT", "Constant", 4, 4), ("Cart", "Class", 5, 16), ("total", "Function", 7, 12), ("make", "Function", 13, 15)],
-    "shop.kt": [("LIMIT", "Constant", 5, 5), ("Point", "Class", 6, 6), ("Single", "Class", 7, 7), ("q", "Constant", 7, 7), ("Names", "TypeAlias", 8, 8), ("twice", "Function", 9, 9), ("main", "Function", 10, 10), ("r", "Constant", 10, 10)],
-    "shop.swift": [("Store", "Interface", 3, 3), ("all", "Function", 3, 3), ("Shop", "Class", 4, 7), ("size", "Constant", 5, 5), ("run", "Function", 6, 6), ("r", "Constant", 6, 6), ("Name", "TypeAlias", 8, 8)],
+    "shop.kt": [("LIMIT", "Constant", 5, 5), ("Point", "Class", 6, 6), ("Single", "Class", 7, 7), ("q", "Constant", 7, 7),
+        ("Names", "TypeAlias", 8, 8), ("twice", "Function", 9, 9), ("main", "Function", 10, 10), ("r", "Constant", 10, 10)],
+    "shop.swift": [("Store", "Interface", 3, 3), ("all", "Function", 3, 3), ("Shop", "Class", 4, 7), ("size", "Constant", 5, 5),
+        ("run", "Function", 6, 6), ("r", "Constant", 6, 6), ("Name", "TypeAlias", 8, 8)],
     "shop.c": [("node_t", "TypeAlias", 3, 3), ("node", "Class", 3, 3), ("color", "Class", 4, 4), ("count", "Constant", 5, 5), ("add", "Function", 6, 6)],
     "shop.cpp": [("shop", "Module", 2, 6), ("Cart", "Class", 3, 3), ("run", "Function", 4, 4), ("Names", "TypeAlias", 5, 5)],
-    "Shop.scala": [("Store", "Interface", 5, 5), ("all", "Function", 5, 5), ("Point", "Class", 6, 6), ("Main", "Class", 7, 7), ("q", "Constant", 7, 7), ("f", "Function", 7, 7), ("Name", "TypeAlias", 7, 7)],
+    "Shop.scala": [("Store", "Interface", 5, 5), ("all", "Function", 5, 5), ("Point", "Class", 6, 6), ("Main", "Class", 7, 7),
+        ("q", "Constant", 7, 7), ("f", "Function", 7, 7), ("Name", "TypeAlias", 7, 7)],
     "shop.py": [("Shop", "Class", 6, 10), ("total", "Function", 7, 10), ("main", "Function", 12, 13)],
 }
 #: source, names, default, namespace, line
@@ -294,7 +301,8 @@ IMPORTS = {
     "lib.rs": [("std::io", "io", False, True, 1), ("std::collections", "HashMap, HashSet as Set", False, False, 2), ("crate::store", "store", False, True, 3)],
     "Shop.java": [("java.util", "List", False, False, 2), ("java.util", "*", False, True, 3), ("org.junit.Assert", "assertEquals", False, False, 4)],
     "Shop.cs": [("System", "*", False, True, 1), ("System.Collections.Generic", "*", False, True, 2)],
-    "shop.php": [("App\\Models\\User", "User", False, False, 3), ("App\\Services\\UserService", "UserService as Svc", False, False, 4), ("boot.php", "", False, False, 5)],
+    "shop.php": [("App\\Models\\User", "User", False, False, 3), ("App\\Services\\UserService", "UserService as Svc", False, False, 4),
+        ("boot.php", "", False, False, 5)],
     "shop.rb": [("sinatra", "", False, False, 1), ("lib/cart", "", False, False, 2), ("Comparable", "Comparable", False, False, 6)],
     "shop.kt": [("a.b", "Cart", False, False, 2), ("a.b", "Item as Thing", False, False, 3), ("io.ktor", "*", False, True, 4)],
     "shop.swift": [("Foundation", "Foundation", False, True, 1), ("Vapor", "Vapor", False, True, 2)],
@@ -305,12 +313,15 @@ IMPORTS = {
 }
 #: name, default, source of a re-export, line
 EXPORTS = {
-    "view.tsx": [("b", False, "./other", 4), ("default", True, "./other", 4), ("*", False, "./all", 5), ("View", True, None, 6), ("load", False, None, 7), ("Service", False, None, 9), ("Shape", False, None, 15)],
-    "main.go": [("Server", False, None, 8), ("Runner", False, None, 9), ("Name", False, None, 10), ("A", False, None, 12), ("B", False, None, 13), ("Run", False, None, 15)],
+    "view.tsx": [("b", False, "./other", 4), ("default", True, "./other", 4), ("*", False, "./all", 5), ("View", True, None, 6),
+        ("load", False, None, 7), ("Service", False, None, 9), ("Shape", False, None, 15)],
+    "main.go": [("Server", False, None, 8), ("Runner", False, None, 9), ("Name", False, None, 10), ("A", False, None, 12), ("B", False, None, 13),
+        ("Run", False, None, 15)],
 }
 #: callee, line, containing function, arguments
 CALLS = {
-    "view.tsx": [("helper", 6, "View", "x; `t${x}`"), ("db.query", 7, "load", "q; { a: 1 }"), ("log", 7, "load", "r"), ("super", 10, "constructor", ""), ("this.db.find", 12, "find", "id")],
+    "view.tsx": [("helper", 6, "View", "x; `t${x}`"), ("db.query", 7, "load", "q; { a: 1 }"), ("log", 7, "load", "r"),
+        ("super", 10, "constructor", ""), ("this.db.find", 12, "find", "id")],
     'main.go': [('s.db.Query', 16, 'Run', 'ctx; "x"'), ('fmt.Errorf', 17, 'Run', '"bad %v"; err'), ('h.HandleFunc', 19, 'main', '"/a"; handle')],
     "lib.rs": [("helper", 7, "draw", "self.name"), ("q.run", 7, "draw", "1")],
     "Shop.java": [("Repo", 7, None, ""), ("findAll", 10, "all", "n")],
@@ -386,8 +397,10 @@ ENTRY_SOURCES = {
     "src/Cart.test.ts": "const a = 1;\n",
 }
 ENTRYPOINTS = [
-    ("src/jobs/mail.ts", "drain", "QueueConsumer"), ("src/jobs/night.ts", "Schedule.cron", "CronJob"), ("src/stream.ts", "pump", "EventHandler"), ("src/check.ts", "it.effect", "TestFile"),
-    ("app/modules/git.rs", "git", "CliCommand"), ("core/src/lib.rs", "lib", "CliCommand"), ("cmd/tool/main.go", "main", "CliCommand"), ("web/api.go", "Serve", "HttpRoute"), ("shop/views.py", "index", "HttpRoute"),
+    ("src/jobs/mail.ts", "drain", "QueueConsumer"), ("src/jobs/night.ts", "Schedule.cron", "CronJob"), ("src/stream.ts", "pump", "EventHandler"),
+        ("src/check.ts", "it.effect", "TestFile"),
+    ("app/modules/git.rs", "git", "CliCommand"), ("core/src/lib.rs", "lib", "CliCommand"), ("cmd/tool/main.go", "main", "CliCommand"),
+        ("web/api.go", "Serve", "HttpRoute"), ("shop/views.py", "index", "HttpRoute"),
     ("src/main/java/a/UserController.java", "all", "HttpRoute"), ("tests/test_cart.py", "test_sum", "TestFile"), ("src/Cart.test.ts", "Cart", "TestFile"),
 ]
 
@@ -419,7 +432,8 @@ def rows(table: dict) -> list[tuple]:
 
 #: change, kind of row, what it is about, what is said of it
 ANALYSIS = [
-    ("shop", "summary", "typescript", "4 files; Express"), ("api", "summary", "python", "3 files; FastAPI"), ("lib", "summary", "typescript", "5 files; "), ("links", "summary", "typescript", "5 files; "),
+    ("shop", "summary", "typescript", "4 files; Express"), ("api", "summary", "python", "3 files; FastAPI"),
+        ("lib", "summary", "typescript", "5 files; "), ("links", "summary", "typescript", "5 files; "),
     *[("shop", "entry", f"src/routes/health.ts::{x}", "HttpRoute") for x in ("ping", "router", "router.get")],
     *[("shop", "entry", f"src/routes/orders.ts::{x}", "HttpRoute") for x in ("postOrder", "router", "router.post")],
     ("api", "entry", "app/routes/parts.py::post_part", "HttpRoute"),
@@ -455,7 +469,8 @@ ANALYSIS = [
 # --- edits of a grouping --------------------------------------------------------------
 
 #: group, name, file of the entry point, risk, order
-REFINE_GROUPS = [("group_1", "Users", "a/route.ts", 0.5, 1), ("group_2", "Orders", "b/route.ts", 0.4, 2), ("group_3", "Jobs", None, 0.3, 3), ("group_4", "Mail", "d/mail.ts", 0.2, 4)]
+REFINE_GROUPS = [("group_1", "Users", "a/route.ts", 0.5, 1), ("group_2", "Orders", "b/route.ts", 0.4, 2), ("group_3", "Jobs", None, 0.3, 3),
+    ("group_4", "Mail", "d/mail.ts", 0.2, 4)]
 #: group, path, position, role, additions, deletions
 REFINE_FILES = [
     ("group_1", "a/route.ts", 0, "Entrypoint", 3, 1), ("group_1", "a/service.ts", 1, "Service", 2, 0), ("group_1", "a/repo.ts", 2, "Repository", 1, 0),
@@ -465,22 +480,29 @@ REFINE_FILES = [
 ]
 REFINE_EDGES = [("group_1", "a/route.ts", "a/service.ts", "Imports"), ("group_2", "b/route.ts", "b/util.ts", "Calls"), ("group_4", "d/mail.ts", "d/text.ts", "Imports")]
 #: the operations of a review; some name groups by name, some can't be applied
-REFINE_SPLITS = [(0, "Users", 0, "User routes", 0, "a/route.ts"), (0, "Users", 0, "User routes", 1, "a/service.ts"), (0, "Users", 1, "User store", 0, "a/repo.ts"), (1, "group_4", 0, "Half", 0, "d/mail.ts"), (2, "group_9", 0, "None", 0, "x.ts")]
+REFINE_SPLITS = [(0, "Users", 0, "User routes", 0, "a/route.ts"), (0, "Users", 0, "User routes", 1, "a/service.ts"),
+    (0, "Users", 1, "User store", 0, "a/repo.ts"), (1, "group_4", 0, "Half", 0, "d/mail.ts"), (2, "group_9", 0, "None", 0, "x.ts")]
 REFINE_MERGES = [(0, 0, "group_4", "Post"), (0, 1, " JOBS ", "Post"), (1, 0, "group_2", "No"), (1, 1, "group_8", "No")]
 REFINE_RANKS = [(0, "group_2", 1), (1, "group_7", 1)]
-REFINE_MOVES = [(0, "b/util.ts", "group_2", "Jobs"), (1, "c/late.ts", "infrastructure", "group_3"), (2, "d/text.ts", "group_4", "infrastructure"), (3, "b/util.ts", "group_2", "group_4"), (4, "no.ts", "group_1", "group_2"), (5, "ci.yml", "infrastructure", "group_6")]
+REFINE_MOVES = [(0, "b/util.ts", "group_2", "Jobs"), (1, "c/late.ts", "infrastructure", "group_3"), (2, "d/text.ts", "group_4", "infrastructure"),
+    (3, "b/util.ts", "group_2", "group_4"), (4, "no.ts", "group_1", "group_2"), (5, "ci.yml", "infrastructure", "group_6")]
 #: kind of row, what it is about, what is said of it
 REFINED = [
     # the repaired and the dropped
     ("warning", "Split 0", "source Users -> group_1"), ("warning", "Merge 0", "group_id  JOBS  -> group_3"), ("warning", "Reclassify 0", "to_group Jobs -> group_3"),
-    ("warning", "Split 1", "split of group_4 leaves out: d/text.ts"), ("warning", "Split 2", "unknown source_group_id group_9"), ("warning", "Merge 1", "merge names an unknown group: group_8"),
-    ("warning", "ReRank 1", "re-rank names an unknown group: group_7"), ("warning", "Reclassify 4", "reclassify: no.ts is not in group_1"), ("warning", "Reclassify 5", "reclassify to an unknown group: group_6"),
+    ("warning", "Split 1", "split of group_4 leaves out: d/text.ts"), ("warning", "Split 2", "unknown source_group_id group_9"),
+        ("warning", "Merge 1", "merge names an unknown group: group_8"),
+    ("warning", "ReRank 1", "re-rank names an unknown group: group_7"), ("warning", "Reclassify 4", "reclassify: no.ts is not in group_1"),
+        ("warning", "Reclassify 5", "reclassify to an unknown group: group_6"),
     # the new groups and the merged one stand at 0, group_2 was asked to 1
-    ("group", "group_4", "Post; d/mail.ts; 0.0; 1"), ("group", "group_refined_1", "User routes; a/route.ts; 0.5; 2"), ("group", "group_refined_2", "User store; -; 0.5; 3"), ("group", "group_2", "Orders; b/route.ts; 0.4; 4"),
-    ("file", "a/route.ts", "group_refined_1; 0; Entrypoint; 3; 1"), ("file", "a/service.ts", "group_refined_1; 1; Service; 2; 0"), ("file", "a/repo.ts", "group_refined_2; 0; Repository; 1; 0"),
+    ("group", "group_4", "Post; d/mail.ts; 0.0; 1"), ("group", "group_refined_1", "User routes; a/route.ts; 0.5; 2"),
+        ("group", "group_refined_2", "User store; -; 0.5; 3"), ("group", "group_2", "Orders; b/route.ts; 0.4; 4"),
+    ("file", "a/route.ts", "group_refined_1; 0; Entrypoint; 3; 1"), ("file", "a/service.ts", "group_refined_1; 1; Service; 2; 0"),
+        ("file", "a/repo.ts", "group_refined_2; 0; Repository; 1; 0"),
     ("file", "b/route.ts", "group_2; 0; Entrypoint; 5; 0"),
     # the third group's files come before the fourth's; what was moved in stands behind
-    ("file", "c/job.ts", "group_4; 0; Utility; 4; 0"), ("file", "b/util.ts", "group_4; 1; Utility; 1; 1"), ("file", "c/late.ts", "group_4; 2; Infrastructure; 0; 0"), ("file", "d/mail.ts", "group_4; 3; Entrypoint; 2; 2"),
+    ("file", "c/job.ts", "group_4; 0; Utility; 4; 0"), ("file", "b/util.ts", "group_4; 1; Utility; 1; 1"),
+        ("file", "c/late.ts", "group_4; 2; Infrastructure; 0; 0"), ("file", "d/mail.ts", "group_4; 3; Entrypoint; 2; 2"),
     ("file", "ci.yml", "infrastructure; 0; Infrastructure; 0; 0"), ("file", "d/text.ts", "infrastructure; 1; Infrastructure; 0; 0"),
     ("edge", "b/route.ts -> b/util.ts", "group_2; Calls"), ("edge", "d/mail.ts -> d/text.ts", "group_4; Imports"),
 ]
@@ -491,8 +513,10 @@ def refinement(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, di
         return spark.createDataFrame([("d", *r) for r in rows], f"diff_id string, {types}")
 
     ops = {
-        "splits": made(REFINE_SPLITS, "ord int, source string, new_pos int, new_name string, file_pos int, path string"), "merges": made(REFINE_MERGES, "ord int, pos int, group_id string, merged_name string"),
-        "ranks": made(REFINE_RANKS, "ord int, group_id string, new_position long"), "moves": made(REFINE_MOVES, "ord int, path string, from_group string, to_group string"),
+        "splits": made(REFINE_SPLITS, "ord int, source string, new_pos int, new_name string, file_pos int, path string"),
+            "merges": made(REFINE_MERGES, "ord int, pos int, group_id string, merged_name string"),
+        "ranks": made(REFINE_RANKS, "ord int, group_id string, new_position long"),
+            "moves": made(REFINE_MOVES, "ord int, path string, from_group string, to_group string"),
     }
     return (
         made(REFINE_GROUPS, "group_id string, name string, entry_file string, risk double, review_order long"),

@@ -25,9 +25,11 @@ n AS (SELECT *, regexp_extract(path, '([^/.]*)[^/]*$', 1) AS stem, list_extract(
 SELECT path, symbol, k, CASE WHEN symbol = stem OR symbol IN ('default', 'module') THEN stem ELSE symbol || ' (' || stem || ')' END || ' ' || suffix AS name FROM n""")
 def group_names(spark, sf):
     f = changed_files(spark, sf).select("path", (F.col("doc_id") % len(_KINDS)).alias("k"), "doc_id")
-    symbol = F.when(F.col("doc_id") % 4 == 0, "default").when(F.col("doc_id") % 4 == 1, paths.file_stem("path")).otherwise(F.concat(F.lit("run"), (F.col("doc_id") % 3).cast("string")))
+    symbol = F.when(F.col("doc_id") % 4 == 0, "default").when(F.col("doc_id") % 4 == 1,
+        paths.file_stem("path")).otherwise(F.concat(F.lit("run"), (F.col("doc_id") % 3).cast("string")))
     kind = F.get(F.array(*[F.lit(x) for x in _KINDS]), F.col("k").cast("int"))
-    return f.select("path", symbol.alias("symbol"), "k", kind.alias("kind")).distinct().select("path", "symbol", "k", paths.group_name("path", "symbol", "kind").alias("name"))
+    return f.select("path", symbol.alias("symbol"), "k", kind.alias("kind")).distinct().select("path", "symbol", "k",
+        paths.group_name("path", "symbol", "kind").alias("name"))
 
 
 @query(f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT path FROM files)
@@ -36,7 +38,8 @@ SELECT path, array_to_string(list_slice(string_split(path, '/'), greatest(len(st
   regexp_matches(path, '(^|/)[Ff]ixtures?/') AND contains(path, 'fixtures/') AS fixture FROM p""")
 def labels_and_html(spark, sf):
     p = changed_files(spark, sf).select("path").distinct()
-    return p.select("path", paths.short_label("path").alias("label"), text.html_escape(F.concat("path", F.lit('<&">'))).alias("html"), paths.fixture_root("path").isNotNull().alias("fixture"))
+    return p.select("path", paths.short_label("path").alias("label"), text.html_escape(F.concat("path", F.lit('<&">'))).alias("html"),
+        paths.fixture_root("path").isNotNull().alias("fixture"))
 
 
 @query(f"""WITH {FILES_SQL}, p AS (SELECT DISTINCT path FROM files)
@@ -47,7 +50,8 @@ def test_paths(spark, sf):
     return changed_files(spark, sf).select("path").distinct().select("path", entrypoints.is_test_path().alias("is_test"))
 
 
-_CONFIG = {"ignore": {"paths": ["docs/**", "**/*.lock", "vendor/*/lib_[0-4].js"]}, "layers": {"api": "src/routes/**", "data": "src/**/repo_*.py", "web": "{apps,packages}/**", "all": "src/*"},
+_CONFIG = {"ignore": {"paths": ["docs/**", "**/*.lock", "vendor/*/lib_[0-4].js"]}, "layers": {"api": "src/routes/**", "data": "src/**/repo_*.py",
+    "web": "{apps,packages}/**", "all": "src/*"},
            "entrypoints": {"http": ["src/routes/*.ts"], "cli": ["cmd/**/main.go"]}}
 
 
@@ -58,7 +62,8 @@ SELECT path, regexp_matches(path, '^docs/') OR regexp_matches(path, '[.]lock$')
 def config_paths(spark, sf):
     p = changed_files(spark, sf).select("path").distinct()
     c = F.col("path")
-    return p.select("path", config.is_ignored(c, _CONFIG).alias("ignored"), config.layer(c, _CONFIG).alias("layer"), config.is_entrypoint_file(c, _CONFIG).alias("entrypoint"))
+    return p.select("path", config.is_ignored(c, _CONFIG).alias("ignored"), config.layer(c, _CONFIG).alias("layer"),
+        config.is_entrypoint_file(c, _CONFIG).alias("entrypoint"))
 
 
 @query(f"""WITH {FILES_SQL}, u AS (SELECT DISTINCT diff_id, path FROM files WHERE length(path) % 2 = 0), s AS (SELECT diff_id, string_split(path, '/') AS p, path FROM u),
@@ -74,7 +79,8 @@ def common_prefixes(spark, sf):
 SELECT package, dir || CASE n_regionkey WHEN 0 THEN '/lib/main.js' WHEN 1 THEN '/src/index.ts' ELSE '/index.ts' END AS entry FROM p WHERE n_regionkey < 4""")
 def workspace_entries(spark, sf):
     n = table(spark, sf, "nation").select(
-        F.concat(F.lit("packages/"), F.col("n_nationkey").cast("string")).alias("dir"), F.concat(F.lit("pkg-"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))).alias("package"), "n_regionkey")
+        F.concat(F.lit("packages/"), F.col("n_nationkey").cast("string")).alias("dir"),
+            F.concat(F.lit("pkg-"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))).alias("package"), "n_regionkey")
     main = F.when(F.col("n_regionkey") == 0, F.lit("./lib/main.js"))
     manifest = n.select(F.concat("dir", F.lit("/package.json")).alias("path"), F.to_json(F.struct(F.col("package").alias("name"), main.alias("main"))).alias("source"))
     entry = F.when(F.col("n_regionkey") == 0, "/lib/main.js").when(F.col("n_regionkey") == 1, "/src/index.ts").when(F.col("n_regionkey") < 4, "/index.ts")
@@ -89,7 +95,8 @@ def json_in_answers(spark, sf):
     d = table(spark, sf, "documents")
     j = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "of": {"lang": "'), "lang", F.lit('"}}'))
     k = F.col("doc_id") % 4
-    said = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), j, F.lit("\n```\nDone."))).when(k == 1, F.concat(F.lit("The answer "), j, F.lit(" as asked."))).when(k == 2, j).otherwise("no object here")
+    said = F.when(k == 0, F.concat(F.lit("Here it is:\n```json\n"), j, F.lit("\n```\nDone."))).when(k == 1,
+        F.concat(F.lit("The answer "), j, F.lit(" as asked."))).when(k == 2, j).otherwise("no object here")
     return d.select("doc_id", text.json_in(said).alias("found"))
 
 
@@ -115,7 +122,8 @@ UNION ALL SELECT n_regionkey, n_name, 'R' || (n_nationkey % 3), 'Reads' FROM nat
 d AS (SELECT group_id, src, dst, min(t) AS t FROM e WHERE src <> dst GROUP BY 1, 2, 3), l AS (SELECT group_id, '  "' || src || '" -->|' || t || '| "' || dst || '"' AS line FROM d)
 SELECT group_id, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS chart FROM l GROUP BY 1""")
 def mermaid_charts(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("src"), F.concat(F.lit("R"), (F.col("n_nationkey") % 3).cast("string")).alias("dst"), "n_nationkey")
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("group_id"), F.col("n_name").alias("src"),
+        F.concat(F.lit("R"), (F.col("n_nationkey") % 3).cast("string")).alias("dst"), "n_nationkey")
     e = n.withColumn("edge_type", F.when(F.col("n_nationkey") % 2 == 0, "Calls").otherwise("Imports")).drop("n_nationkey")
     both = e.unionByName(e.withColumn("edge_type", F.lit("Reads"))).unionByName(e.withColumns({"dst": F.col("src"), "edge_type": F.lit("Calls")}))
     return output.mermaid(both)
@@ -152,7 +160,8 @@ def moved_files(spark, sf):
     u = changed_files(spark, sf).select("diff_id", "path").distinct().withColumn("n", F.char_length("path"))
     before = u.select("diff_id", "path", (F.col("n") % 3).cast("long").alias("group_id"))
     after = u.where("n % 5 <> 0").select("diff_id", "path", (F.col("n") % 3 + (F.col("n") % 4 == 0).cast("int")).cast("long").alias("group_id"))
-    return review.moved_files(before, after).select("diff_id", "path", F.col("from_group").cast("string").alias("from_group"), F.col("to_group").cast("string").alias("to_group"))
+    return review.moved_files(before, after).select("diff_id", "path", F.col("from_group").cast("string").alias("from_group"),
+        F.col("to_group").cast("string").alias("to_group"))
 
 
 @query("""WITH g AS (SELECT n_regionkey, n_nationkey, n_name FROM nation WHERE n_nationkey % 4 <> 0), f AS (SELECT c_nationkey, 'f' || c_custkey AS path FROM customer WHERE c_custkey % 10 = 0), i AS (SELECT n_regionkey, n_name AS path FROM nation WHERE n_nationkey % 4 = 0),
@@ -161,11 +170,14 @@ SELECT n_regionkey AS diff_id, CAST(count(*) AS INT) AS n_groups, string_agg(n_n
 def refinement_requests(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("diff_id"), F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("name"))
     g = n.where("group_id % 4 <> 0").withColumn("review_order", F.col("group_id"))
-    files = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("group_id"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path")).join(n.select("diff_id", "group_id"), "group_id")
+    files = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("group_id"),
+        F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path")).join(n.select("diff_id", "group_id"), "group_id")
     out = review.refinement_request(g, files, n.where("group_id % 4 = 0").select("diff_id", F.col("name").alias("path")))
     read = F.from_json("request", "groups array<struct<review_order:bigint,group_id:bigint,name:string,files:array<string>>>, infrastructure array<string>")
     return out.select("diff_id", read.alias("r")).select(
-        "diff_id", F.size("r.groups").alias("n_groups"), F.array_join(F.transform("r.groups", lambda x: F.concat(x["name"], F.lit(":"), F.coalesce(F.size(x["files"]), F.lit(0)).cast("string"))), ",").alias("groups"),
+        "diff_id", F.size("r.groups").alias("n_groups"),
+            F.array_join(F.transform("r.groups", lambda x: F.concat(x["name"], F.lit(":"), F.coalesce(F.size(x["files"]), F.lit(0)).cast("string"))),
+                ",").alias("groups"),
         F.array_join(F.array_sort("r.infrastructure"), ",").alias("infrastructure"))
 
 
@@ -180,7 +192,8 @@ def exported_comments(spark, sf):
     placed = F.when(t % 2 == 0, F.concat(F.lit("src/"), "role", F.lit(".ts")))
     at = lambda k: F.when(t % 2 == 0, t + k).cast("int")
     rows = c.select(
-        (F.col("conv_id") % 20).alias("analysis"), F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string")).alias("id"), F.concat(F.lit("g"), F.col("conv_id").cast("string")).alias("group_id"), placed.alias("file_path"),
+        (F.col("conv_id") % 20).alias("analysis"), F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string")).alias("id"),
+            F.concat(F.lit("g"), F.col("conv_id").cast("string")).alias("group_id"), placed.alias("file_path"),
         at(1).alias("start_line"), at(3).alias("end_line"), F.when(F.col("role") == "user", F.concat(F.lit("x = "), t.cast("string"))).alias("selected_code"),
         F.concat(F.lit("said "), t.cast("string"), F.lit("\nby "), "role").alias("text"), F.format_string("%06d", "turn").alias("created_at"))
     return caches.export_comments(rows)
@@ -216,7 +229,8 @@ def normalized_lines(spark, sf):
 
 @query("""SELECT user_id AS job_id, count(*) AS entries, count(*) FILTER (event_type = 'error') AS errors, arg_max(event_type, event_id) AS last_message FROM events GROUP BY 1""")
 def activity_summaries(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"), F.col("event_type").alias("message"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"), F.col("event_type").alias("message"))
     return review.activity_summary(e)
 
 
@@ -224,10 +238,12 @@ def activity_summaries(spark, sf):
 UNION ALL SELECT n_regionkey, 'pkg/' || n_name || '/svc_test.go', n_nationkey + 100 FROM nation WHERE n_nationkey % 2 = 1""")
 def late_tests(spark, sf):
     """Every nation has an implementation twice; a test of it goes to the later group, one of another name nowhere."""
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("diff_id"), F.concat(F.lit("pkg/"), "n_name", F.lit("/")).alias("d"), F.col("n_nationkey").alias("k"))
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("diff_id"), F.concat(F.lit("pkg/"), "n_name", F.lit("/")).alias("d"),
+        F.col("n_nationkey").alias("k"))
     test = F.when(F.col("k") % 2 == 0, "svc.test.ts").otherwise("svc_test.go")
     tests = n.select("diff_id", F.concat("d", test).alias("path")).unionByName(n.select("diff_id", F.concat("d", F.lit("other.spec.ts")).alias("path")))
-    impl = n.select("diff_id", F.concat("d", F.lit("svc.ts")).alias("path"), F.col("k").alias("group_id")).unionByName(n.select("diff_id", F.concat("d", F.lit("svc.go")).alias("path"), (F.col("k") + 100).alias("group_id")))
+    impl = n.select("diff_id", F.concat("d", F.lit("svc.ts")).alias("path"), F.col("k").alias("group_id")).unionByName(n.select("diff_id",
+        F.concat("d", F.lit("svc.go")).alias("path"), (F.col("k") + 100).alias("group_id")))
     return cluster.late_tests(tests, impl)
 
 
@@ -261,4 +277,5 @@ def linted_expectations(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("target"), "n_nationkey", F.substring("n_name", 1, 6).alias("path"))
     k = F.col("n_nationkey") % 4
     kind = F.when(k == 0, "same_group").when(k == 1, "infrastructure").when(k == 2, "non_infrastructure").otherwise("separate_group")
-    return review.lint_expectations(n.select("target", kind.alias("kind"), F.floor(F.col("n_nationkey") / 8).alias("check_id"), "path"), n.where("n_nationkey % 3 <> 0").select("target", "path"))
+    return review.lint_expectations(n.select("target", kind.alias("kind"), F.floor(F.col("n_nationkey") / 8).alias("check_id"), "path"),
+        n.where("n_nationkey % 3 <> 0").select("target", "path"))

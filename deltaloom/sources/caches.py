@@ -91,7 +91,8 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 def export_comments(comments: DataFrame) -> DataFrame:
     """Review comments of a file or group as text, in the order of their creation."""
-    place = F.when(F.col("start_line").isNotNull(), F.format_string("%s:%d-%d", "file_path", "start_line", F.coalesce("end_line", "start_line"))).otherwise(F.coalesce("file_path", "group_id"))
+    place = F.when(F.col("start_line").isNotNull(),
+        F.format_string("%s:%d-%d", "file_path", "start_line", F.coalesce("end_line", "start_line"))).otherwise(F.coalesce("file_path", "group_id"))
     code = F.when(F.col("selected_code").isNotNull(), F.concat(F.lit("\n```\n"), "selected_code", F.lit("\n```"))).otherwise("")
     block = F.concat(place, code, F.lit("\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
     rows = F.sort_array(F.collect_list(F.struct("created_at", "id", block.alias("block"))))

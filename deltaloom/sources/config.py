@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.rank import WEIGHTS
 
-DEFAULTS = {"project": {}, "entrypoints": {}, "layers": {}, "ignore": {"paths": []}, "ranking": dict(WEIGHTS), "diff": {"include_uncommitted": True}, "refine": {"max_iterations": 1}}
+DEFAULTS = {"project": {}, "entrypoints": {}, "layers": {}, "ignore": {"paths": []}, "ranking": dict(WEIGHTS), "diff": {"include_uncommitted": True},
+    "refine": {"max_iterations": 1}}
 
 
 def merged(base: dict, over: dict) -> dict:

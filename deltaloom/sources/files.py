@@ -61,4 +61,5 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
             rows += tomllib.loads(p.read_text()).get("repos", [])
     if any(not r.get("name") for r in rows) or len({r["name"] for r in rows}) < len(rows):
         raise ValueError("every target needs a name of its own")
-    return spark.createDataFrame([(r["name"], r.get("language"), r.get("range"), list(r.get("languages", []))) for r in rows], "name string, language string, range string, languages array<string>")
+    return spark.createDataFrame([(r["name"], r.get("language"), r.get("range"), list(r.get("languages", []))) for r in rows],
+        "name string, language string, range string, languages array<string>")

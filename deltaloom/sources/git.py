@@ -115,7 +115,8 @@ def _listed(repo: str, args: list[str], renames: bool, untracked: bool) -> list[
         if code not in STATUS:
             continue
         seen.add(b)
-        rows.append((None if code == "A" else a, None if code == "D" else b, None if code == "A" else blob(old), None if code == "D" else blob(new), hunks, STATUS[code], adds, dels))
+        rows.append((None if code == "A" else a, None if code == "D" else b, None if code == "A" else blob(old), None if code == "D" else blob(new),
+            hunks, STATUS[code], adds, dels))
     if untracked:
         for p in git(repo, "ls-files", "--others", "--exclude-standard", "-z").decode().split("\0"):
             if p and p not in seen:
@@ -145,7 +146,8 @@ def _diff(spark: SparkSession, repo: str, args: list[str], renames: bool, untrac
                     if lines is None or pd.isna(lines):  # an untracked file: all of its lines
                         lines = len(both[1].split("\n")) - both[1].endswith("\n") if both[1] else 0
                     out.append((r.old_path, r.new_path, *both, r.hunks, r.status, int(lines), int(r.deletions), False))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in ("old_path", "new_path", "old_content", "new_content", "hunks", "status", "additions", "deletions", "is_binary")])
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in ("old_path", "new_path", "old_content", "new_content", "hunks", "status",
+                    "additions", "deletions", "is_binary")])
         finally:
             blobs.close()
 

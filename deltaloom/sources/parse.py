@@ -39,16 +39,20 @@ KEYWORD_KINDS = {
     "Php": {"function": "Function", "class": "Class", "interface": "Interface", "trait": "Interface", "enum": "TypeAlias", "const": "Constant"},
     "Ruby": {"def": "Function", "class": "Class", "module": "Module"},
     "Kotlin": {"fun": "Function", "class": "Class", "interface": "Class", "object": "Class", "val": "Constant", "var": "Constant", "typealias": "TypeAlias"},
-    "Swift": {"func": "Function", "class": "Class", "struct": "Class", "enum": "Class", "actor": "Class", "protocol": "Interface", "let": "Constant", "var": "Constant", "typealias": "TypeAlias"},
+    "Swift": {"func": "Function", "class": "Class", "struct": "Class", "enum": "Class", "actor": "Class", "protocol": "Interface", "let": "Constant",
+        "var": "Constant", "typealias": "TypeAlias"},
     "Scala": {"def": "Function", "class": "Class", "object": "Class", "trait": "Interface", "val": "Constant", "var": "Constant", "type": "TypeAlias"},
     "C": {"struct": "Class", "enum": "Class", "union": "Class"},
     "Cpp": {"class": "Class", "struct": "Class", "enum": "Class", "namespace": "Module", "using": "TypeAlias"},
 }
 # fixed values: words that stand before a bracket and call nothing
 NO_CALLS = frozenset((
-    "if", "for", "while", "switch", "return", "catch", "function", "sizeof", "match", "def", "fn", "func", "fun", "elif", "elsif", "unless", "until", "when", "super", "async",
-    "await", "import", "using", "typeof", "foreach", "lock", "synchronized", "and", "or", "not", "in", "do", "else", "try", "case", "yield", "throw", "guard", "where", "let", "var",
-    "val", "const", "new", "defined", "alignof", "decltype", "static_assert", "isset", "empty", "list", "array", "echo", "include", "include_once", "require_once", "constructor", "base", "this",
+    "if", "for", "while", "switch", "return", "catch", "function", "sizeof", "match", "def", "fn", "func", "fun", "elif", "elsif", "unless", "until",
+        "when", "super", "async",
+    "await", "import", "using", "typeof", "foreach", "lock", "synchronized", "and", "or", "not", "in", "do", "else", "try", "case", "yield", "throw",
+        "guard", "where", "let", "var",
+    "val", "const", "new", "defined", "alignof", "decltype", "static_assert", "isset", "empty", "list", "array", "echo", "include", "include_once",
+        "require_once", "constructor", "base", "this",
 ))
 #: languages whose callee is the whole expression before the bracket
 WHOLE_CALLEE = ("TypeScript", "Go", "Rust")
@@ -281,7 +285,8 @@ class _Definitions:
         """The first token of the declaration: modifiers of the same statement stand before the keyword."""
         src, k = self.src, i
         while k > 0 and src.word(k - 1) in (
-            "export", "default", "async", "abstract", "declare", "public", "private", "protected", "internal", "static", "final", "open", "override", "sealed", "pub", "unsafe",
+            "export", "default", "async", "abstract", "declare", "public", "private", "protected", "internal", "static", "final", "open", "override",
+                "sealed", "pub", "unsafe",
             "extern", "virtual", "partial", "data", "inline", "suspend", "lazy", "implicit", "case", "mut", "readonly", "fileprivate", "mutating", "operator", "enum",
         ) and src.tokens[k - 1].kind == "word":
             k -= 1
@@ -342,7 +347,8 @@ class _Definitions:
                     after = self._past_type(after + 1)
                 if src.at(after) == "{":
                     start = i
-                    while src.word(start - 1) in ("async", "static", "public", "private", "protected", "get", "set", "override", "readonly", "abstract") and src.inside[start - 1] == inside:
+                    while src.word(start - 1) in ("async", "static", "public", "private", "protected", "get", "set", "override", "readonly",
+                        "abstract") and src.inside[start - 1] == inside:
                         start -= 1
                     self.add(word, "Function", start, src.close(after), after)
                     return True
@@ -447,7 +453,8 @@ class _Definitions:
         before = src.at(i - 1)
         typed = (src.word(i - 1) and src.word(i - 1) not in ("return", "new", "throw", "else", "package", "import")) or before in (">", "]", "?")
         start = i
-        while start > 0 and src.inside[start - 1] == src.inside[i] and src.at(start - 1) not in ("{", "}", ";", ")") and (src.tokens[start - 1].kind == "word" or src.at(start - 1) in ("<", ">", ",", "[", "]", ".", "?", "@")):
+        while start > 0 and src.inside[start - 1] == src.inside[i] and src.at(start - 1) not in ("{", "}", ";",
+            ")") and (src.tokens[start - 1].kind == "word" or src.at(start - 1) in ("<", ">", ",", "[", "]", ".", "?", "@")):
             start -= 1
         start = self._annotated(start)
         k = src.angle(i + 1)
@@ -504,7 +511,8 @@ class _Definitions:
                     k = src.close(k) + 1 if src.at(k) == "(" else k + 1
             if src.at(k) == "{":
                 start = i
-                while start > 0 and src.inside[start - 1] == src.inside[i] and src.at(start - 1) not in ("}", ";", "{", ")") and src.tokens[start - 1].kind != "text" and not (
+                while start > 0 and src.inside[start - 1] == src.inside[i] and src.at(start - 1) not in ("}", ";", "{",
+                    ")") and src.tokens[start - 1].kind != "text" and not (
                         src.tokens[start - 1].line < src.tokens[start].line - 1) and src.at(start - 1) != "#":
                     start -= 1
                 self.add(word, "Function", start, src.close(k), k)
@@ -905,7 +913,8 @@ def _calls(src: Source, language: str, defs: _Definitions) -> tuple[list, list]:
         held_by = defs.scope(start)
         if language == "TypeScript" and (held_by == "Interface" or held_by == "Class" and (src.at(start - 1) in ("{", ";", "}") or src.word(start - 1)) and not dotted):
             continue
-        if (language in ("Rust", "Go") and held_by in ("Class", "Interface")) or (language == "Kotlin" and src.at(start - 1) in (":", ",") and not dotted and held_by != "block" and src.inside[start] < 0):
+        if (language in ("Rust", "Go") and held_by in ("Class", "Interface")) or (language == "Kotlin" and src.at(start - 1) in (":",
+            ",") and not dotted and held_by != "block" and src.inside[start] < 0):
             continue
         if t.text[:1] == "@" and language != "TypeScript" and language != "Ruby":
             continue
@@ -951,7 +960,8 @@ def _declared(src: Source, v: int, language: str) -> bool:
 def _ruby_command(src: Source, i: int) -> bool:
     """A call without brackets: a name at the start of a line (or behind a dot) with a string or symbol after it."""
     t = src.tokens[i]
-    if i >= src.last or src.tokens[i + 1].line > t.line or t.text in NO_CALLS or t.text in _RUBY_OPEN or t.text in ("end", "then", "rescue", "ensure", "module", "include", "extend"):
+    if i >= src.last or src.tokens[i + 1].line > t.line or t.text in NO_CALLS or t.text in _RUBY_OPEN or t.text in ("end", "then", "rescue", "ensure",
+        "module", "include", "extend"):
         return False
     first = i == 0 or src.tokens[i - 1].line < t.line or src.at(i - 1) == "."
     nxt = src.tokens[i + 1]
@@ -970,7 +980,8 @@ def parse_tokens(path: str, language: str, source: str) -> dict:
     src = Source(source, kind)
     defs = _Definitions(src, kind)
     out["definitions"] = [
-        {"name": n, "kind": k, "start_line": src.tokens[s].line, "end_line": src.tokens[e].line + src.tokens[e].text.count("\n")} for n, k, s, e, _ in sorted(defs.found, key=lambda f: f[2])
+        {"name": n, "kind": k, "start_line": src.tokens[s].line, "end_line": src.tokens[e].line + src.tokens[e].text.count("\n")} for n, k, s, e,
+            _ in sorted(defs.found, key=lambda f: f[2])
     ]
     out["imports"], out["exports"] = _modules(src, kind, defs)
     out["call_sites"], out["assignments"] = _calls(src, kind, defs)
@@ -1006,7 +1017,8 @@ def data_flow_tables(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def symbols(parsed: DataFrame) -> DataFrame:
     """Definitions as rows, by kind: functions, types, constants."""
     d = parsed.select("path", F.posexplode("definitions").alias("pos", "d")).select("path", "pos", "d.*")
-    return d.withColumn("family", F.when(F.col("kind").isin("Function"), "function").when(F.col("kind") == "Constant", "constant").otherwise("type")).withColumn("lines", F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0)) + 1)
+    return d.withColumn("family", F.when(F.col("kind").isin("Function"), "function").when(F.col("kind") == "Constant",
+        "constant").otherwise("type")).withColumn("lines", F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0)) + 1)
 
 
 def outline(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def counts(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
     """Counts and sums by window and type; tumbling without a slide."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"),
+        F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
