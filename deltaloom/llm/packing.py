@@ -12,8 +12,8 @@ the data. All row-level work is distributed: the class counts, the rank of each
 piece within its class, and the look-up of the rank's place.
 
 The rank is dealt over hash parts within a class (row number in the part plus
-the counts of the parts before), so one size with a third of all pieces is no
-single task.
+the counts of the parts before), as many as the class has pieces for, so one
+size with a third of all pieces is no single task.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ BLOCK_BYTES = 24 << 20
 #: tokens that are gathered together
 GATHERED = 1 << 20
 #: pieces that one part of a size class holds on average
-RANKED = 50_000
+RANKED = 500
 
 # For ASCII text the vocabulary's own splitter, on lower case: what it gives are whole pieces of any pre-token.
 _FINE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -186,8 +186,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     pieces = materialize(made.withColumn("row", F.monotonically_increasing_id()))
     sizes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     placed = spark.sparkContext.broadcast(plan(sizes, capacity))
-    parts = max(1, -(-sum(sizes.values()) // RANKED))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    # at most `capacity` rows: a size with very many pieces has as many parts
+    parts = spark.createDataFrame([(n, -(-k // RANKED)) for n, k in sizes.items()], "p_length long, parts int")
+    dealt = pieces.join(F.broadcast(parts), F.col("length") == F.col("p_length")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     before = (
         dealt.groupBy("length", "part").count()
         .withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
