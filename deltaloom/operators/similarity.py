@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,38 +105,122 @@ def centroids(vectors: DataFrame, group_col: str, vector_col: str = "embedding")
     return vectors.select(F.col(group_col).alias("grp"), F.posexplode(vector_col)).groupBy("grp", "pos").agg(F.avg(F.col("col").cast("double")).alias("mean"))
 
 
+def _merge(x: np.ndarray, n: np.ndarray, threshold: float, small: int) -> np.ndarray:
+    """For groups with sums ``x`` and sizes ``n`` the place of the group that each ends in.
+
+    A row holds its nearest row among the later ones. If that one has gone or
+    moved, the similarity still bounds the row's from above, and the row is
+    compared anew only when it comes first. So memory is in proportion to the
+    rows, and a merge costs a few products of the matrix with one row.
+    Similarities are compared to 12 digits, for copies to be equal.
+    """
+    into, place = np.arange(len(n)), np.flatnonzero(n <= small)
+    u, n = _unit(x[place]), n[place].copy()
+    u[~np.isfinite(u).all(1)] = 0
+    norm = np.linalg.norm(x[place], axis=1)
+    left = m = len(place)
+    best, near, sure, gone = np.full(m, -np.inf), np.zeros(m, np.int64), np.ones(m, bool), np.zeros(m)
+    step = max(1, min(BLOCK, PRODUCT // max(1, m)))
+    for at in range(0, m - 1, step):
+        s = np.round(u[at:at + step] @ u[at:].T, 12)
+        s[np.tri(*s.shape, dtype=bool)] = -np.inf
+        k = s.argmax(1)
+        best[at:at + step], near[at:at + step] = s[np.arange(len(k)), k], at + k
+    while m > 1:
+        a = int(best.argmax())
+        if not best[a] >= threshold:
+            break
+        if not sure[a]:
+            s = np.round(u[a:] @ u[a], 12) + gone[a:]
+            s[0] = -np.inf
+            k = int(s.argmax())
+            best[a], near[a], sure[a] = s[k], a + k, True
+            continue
+        b = int(near[a])
+        into[place[b]] = place[a]
+        n[a] += n[b]
+        sure[(near == a) | (near == b)] = False
+        gone[b], best[b] = -np.inf, -np.inf
+        if n[a] > small:
+            gone[a], best[a] = -np.inf, -np.inf
+        else:
+            total = u[a] * norm[a] + u[b] * norm[b]
+            u[a], norm[a] = _unit(total[None])[0], np.linalg.norm(total)
+            s = np.round(u @ u[a], 12) + gone
+            s[a] = -np.inf
+            k = a + int(s[a:].argmax())
+            best[a], near[a], sure[a] = s[k], k, True
+            more = (s[:a] > best[:a]) & (gone[:a] == 0)
+            # an equal one comes first if it stands earlier; where the nearest is not known, it is found when its turn comes
+            more |= (s[:a] == best[:a]) & (gone[:a] == 0) & sure[:a] & (near[:a] > a)
+            rows = np.flatnonzero(more)
+            best[rows], near[rows], sure[rows] = s[rows], a, True
+        left -= 1 + (n[a] > small)
+        if left < m * 3 // 4:
+            keep = np.flatnonzero(gone == 0)
+            moved = np.zeros(m, np.int64)
+            moved[keep] = np.arange(len(keep))
+            near = moved[near[keep]]
+            u, norm, n, place, best, sure, gone = u[keep], norm[keep], n[keep], place[keep], best[keep], sure[keep], gone[keep]
+            m = left
+    # a group is merged into an earlier one, which may have gone into a still earlier one
+    for k in np.flatnonzero(into != np.arange(len(into))):
+        into[k] = into[into[k]]
+    return into
+
+
 def greedy_merge(members: DataFrame, threshold: float = 0.75, small: int = 5) -> DataFrame:
     """``members(diff_id, grp, embedding)`` -> ``(diff_id, grp, merged)``.
 
     The most similar pair of groups of at most ``small`` files, at or over the
-    threshold, is merged and its centroid taken anew, until none is left. Each
-    change is one small task: only sums and sizes of groups are gathered.
+    threshold, is merged and its centroid taken anew, until none is left; of
+    equal pairs the first by the groups' ids. A null vector counts as a file and
+    adds nothing. The merges of a change depend on one another, so each change
+    is one task: its files stream by, and its groups' sums and sizes are held.
     """
-    sums = (
-        members.select("diff_id", "grp", F.posexplode("embedding")).groupBy("diff_id", "grp", "pos").agg(F.sum(F.col("col").cast("double")).alias("s"))
-        .groupBy("diff_id", "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("x"))
-        .join(members.groupBy("diff_id", "grp").agg(F.count("*").alias("n")), ["diff_id", "grp"])
-        .select("diff_id", "grp", F.col("x.s").alias("total"), "n")
-    )
-
-    def run(pdf):
-        pdf = pdf.sort_values("grp").reset_index(drop=True)
-        ids, n = pdf["grp"].tolist(), pdf["n"].tolist()
-        x = np.stack(pdf["total"].to_numpy())
-        into, alive = list(range(len(ids))), [True] * len(ids)
-        while True:
-            idx = [i for i in range(len(ids)) if alive[i] and n[i] <= small]
-            if len(idx) < 2:
-                break
-            u = _unit(x[idx])
-            s = np.triu(u @ u.T, 1)
-            p = int(s.argmax())
-            if s.flat[p] < threshold:
-                break
-            a, b = idx[p // len(idx)], idx[p % len(idx)]
-            x[a], n[a], alive[b] = x[a] + x[b], n[a] + n[b], False
-            into = [a if t == b else t for t in into]
-        pdf["merged"] = [ids[t] for t in into]
-        return pdf[["diff_id", "grp", "merged"]]
-
-    return sums.groupBy("diff_id").applyInPandas(run, "diff_id long, grp long, merged long")
+    # the number is named, since few bytes are long work here and partitions aren't to be put together
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = members.select(F.col("diff_id").cast("long").alias("diff_id"), F.col("grp").cast("long").alias("grp"), F.col("embedding").alias("v"))
+
+    def vectors(column):
+        """As doubles; nulls are zeros."""
+        filled = np.flatnonzero(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        values = pc.fill_null(column.flatten(), 0).to_numpy(zero_copy_only=False)
+        x = np.zeros((len(column), len(values) // max(1, len(filled))))
+        if len(filled):
+            x[filled] = values.reshape(len(filled), -1)
+        return x
+
+    def summed(grp, none, n, x):
+        """Neighbours of one group as one row."""
+        at = np.flatnonzero(np.concatenate(([True], (grp[1:] != grp[:-1]) | (none[1:] != none[:-1]))))
+        return (grp, none, n, x) if len(at) == len(grp) else (grp[at], none[at], np.add.reduceat(n, at), np.add.reduceat(x, at))
+
+    def run(batches):
+        held, key = [], None
+
+        def out():
+            wide = max(h[3].shape[1] for h in held)
+            x = np.concatenate([h[3] if h[3].shape[1] else np.zeros((len(h[3]), wide)) for h in held])
+            grp, none, n, x = summed(*(np.concatenate([h[c] for h in held]) for c in range(3)), x)
+            held.clear()
+            into = _merge(x, n, threshold, small)
+            diff = pa.array(np.full(len(grp), key[0]), mask=np.full(len(grp), key[1]))
+            return pa.RecordBatch.from_arrays([diff, pa.array(grp, mask=none), pa.array(grp[into], mask=none[into])], ["diff_id", "grp", "merged"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (d, lost), (grp, none) = ((pc.fill_null(c, 0).to_numpy(zero_copy_only=False), c.is_null().to_numpy(zero_copy_only=False)) for c in batch.columns[:2])
+            x = vectors(batch.column(2))
+            cut = [0, *(np.flatnonzero((d[1:] != d[:-1]) | (lost[1:] != lost[:-1])) + 1).tolist(), len(d)]
+            for s, e in zip(cut, cut[1:]):
+                if (d[s], lost[s]) != key:
+                    if held:
+                        yield out()
+                    key = (d[s], lost[s])
+                held.append(summed(grp[s:e], none[s:e], np.ones(e - s, np.int64), x[s:e]))
+        if held:
+            yield out()
+
+    return files.repartition(parts, "diff_id").sortWithinPartitions("diff_id", "grp").mapInArrow(run, "diff_id long, grp long, merged long")

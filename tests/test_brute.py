@@ -1,8 +1,10 @@
 """Operators without a SQL form against plain Python that takes one step at a time."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +210,45 @@ def test_greedy_merge(spark):
     df = spark.createDataFrame([(label, v // 3, e) for v, label, e in rows], "diff_id long, grp long, embedding array<double>")
     got = {(r.diff_id, r.grp): r.merged for r in similarity.greedy_merge(df, 0.35).collect()}
     assert got == want and Counter(got.values()).most_common(1)[0][1] > 1
+
+
+def test_greedy_merge_copies_and_nulls(spark):
+    # copies are merged in the order of ids; no group goes for a null in its vector, its id or its change's id
+    one, other = [1.0, 2.0, 2.0], [2.0, -2.0, 1.0]
+    rows = [(1, g, one) for g in (9, 3, 5, 7, 1, 11, 13)] + [(1, 4, None), (1, None, other), (1, 6, [0.0, None, 3.0])]
+    rows += [(None, 1, other), (None, 2, other), (2, 1, None), *[(3, 1, one)] * 6, (3, 2, one), (3, 3, one), (3, 3, None)]
+    df = spark.createDataFrame(rows, "diff_id long, grp long, embedding array<double>")
+    want = {(1, g): 1 for g in (1, 3, 5, 7, 9, 11)} | {(1, g): g for g in (4, 6, 13, None)}
+    want |= {(None, 1): 1, (None, 2): 1, (2, 1): 1, (3, 1): 1, (3, 2): 2, (3, 3): 2}
+    got = similarity.greedy_merge(df, 0.8).collect()
+    assert {(r.diff_id, r.grp): r.merged for r in got} == want and len(got) == len(want)
+
+
+def test_greedy_merge_holds_no_matrix_of_pairs():
+    rng = np.random.default_rng(5)
+
+    def stepwise(x, n, threshold, small):
+        x, n, into, alive = x.copy(), n.tolist(), np.arange(len(x)), np.ones(len(x), bool)
+        while True:
+            some = [i for i in range(len(x)) if alive[i] and n[i] <= small]
+            u = similarity._unit(x[some])
+            s = np.round(u @ u.T, 12)
+            s[np.tri(len(some), dtype=bool)] = -2
+            p = int(s.argmax()) if len(some) > 1 else -1
+            if p < 0 or s.flat[p] < threshold:
+                return into
+            a, b = some[p // len(some)], some[p % len(some)]
+            x[a], n[a], alive[b] = x[a] + x[b], n[a] + n[b], False
+            into[into == b] = a
+
+    for k in range(60):  # whole numbers: with copies, opposites and zeros
+        m, d = rng.integers(1, 60), rng.integers(1, 8)
+        x, n = (rng.normal(size=(m, d)) if k % 2 else rng.integers(-1, 2, (m, d)).astype(float)), rng.integers(1, 8, m)
+        threshold, small = rng.choice([-2, 0, 0.35, 0.75]), rng.integers(1, 12)
+        assert (similarity._merge(x, n, threshold, small) == stepwise(x, n, threshold, small)).all()
+    x, n = rng.normal(size=(10_000, 16)), np.ones(10_000, np.int64)  # similarities of all pairs would take 800 MB
+    tracemalloc.start()
+    into = similarity._merge(x, n, 0.75, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(set(into.tolist())) < 5000
