@@ -960,8 +960,9 @@ SELECT CAST(k AS INT) AS line_no, line FROM l UNION ALL SELECT CAST(count(*) AS
 def score_report(spark, sf):
     from ..operators import report
 
-    s = table(spark, sf, "documents").groupBy(F.col("source").alias("target")).agg(F.round(F.avg(F.col("n_chars") % 100) / 100, 4).alias("overall"),
-        F.count("*").alias("n"))
+    # as in SQL the double is scaled and then rounded; round(x, 4) takes the shortest decimal for it, and another side where that ends in 5
+    overall = F.round(F.avg(F.col("n_chars") % 100) / 100 * 10000) / 10000
+    s = table(spark, sf, "documents").groupBy(F.col("source").alias("target")).agg(overall.alias("overall"), F.count("*").alias("n"))
     return report.text_report(s)
 
 
